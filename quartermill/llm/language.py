@@ -203,9 +203,10 @@ def documents_in_language(docs: DataFrame) -> DataFrame:
     if not model.languages:
         return docs.limit(0)
     scratch = Scratch(docs.sparkSession, "language-kept")
-    gone = scratch.keep(identify(document_evidence(docs), model).where("NOT kept").select("doc_id").distinct())
-    lone = docs.withColumn("_text", F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\P{L}+", "")) > 0)
-    return lone.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").drop("_text")
+    own = F.xxhash64("doc_id", "text")
+    gone = identify(document_evidence(docs.withColumn("doc_id", own)), model).where("NOT kept")
+    gone = scratch.keep(gone.select(F.col("doc_id").alias("_qm_gone")).distinct())
+    return docs.join(gone, own == F.col("_qm_gone"), "left_anti")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

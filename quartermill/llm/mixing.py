@@ -198,18 +198,18 @@ def documents_mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     A last repeat that is taken in part holds the first words of its text, a space between. Rows without a word stay as they are.
     Columns of docs stay; n_chars follows a shortened text where it is a column.
     """
-    taken = mix(docs, weights, share, floor=1.0).groupBy("doc_id", "size", "text_hash").agg(F.sum("taken").alias("_sum"), F.count("*").alias("_rows"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_hash").alias("_hash"), F.expr("_sum div _rows").alias("_taken"))
-    own = docs.withColumns({"_hash2": F.xxhash64("text"), "_key": F.col("doc_id")})
-    held = own.join(taken, own["_key"].eqNullSafe(taken["_id"]) & (own["_hash2"] == taken["_hash"]))
-    full = F.when(F.col("_size") > 0, F.expr("_taken div greatest(_size, 1)")).otherwise(1).cast("int")
-    rest = F.when(F.col("_size") > 0, F.expr("_taken % greatest(_size, 1)")).otherwise(0).cast("int")
+    taken = mix(docs, weights, share, floor=1.0).groupBy("doc_id", "size", "text_hash").agg(F.sum("taken").alias("_qm_sum"), F.count("*").alias("_qm_rows"))
+    taken = taken.select(F.col("doc_id").alias("_qm_id"), F.col("size").alias("_qm_size"), F.col("text_hash").alias("_qm_hash"), F.expr("_qm_sum div _qm_rows").alias("_qm_taken"))
+    own = docs.withColumns({"_qm_hash2": F.xxhash64("text"), "_qm_key": F.col("doc_id")})
+    held = own.join(taken, own["_qm_key"].eqNullSafe(taken["_qm_id"]) & (own["_qm_hash2"] == taken["_qm_hash"]))
+    full = F.when(F.col("_qm_size") > 0, F.expr("_qm_taken div greatest(_qm_size, 1)")).otherwise(1).cast("int")
+    rest = F.when(F.col("_qm_size") > 0, F.expr("_qm_taken % greatest(_qm_size, 1)")).otherwise(0).cast("int")
     pieces = F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = held.withColumn("_part", F.explode(pieces))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), 1, F.greatest(F.col("_part"), F.lit(1))), " ")
-    rows = rows.withColumn("text", F.when(F.col("_part") > 0, cut).otherwise(F.col("text")))
+    rows = held.withColumn("_qm_part", F.explode(pieces))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), 1, F.greatest(F.col("_qm_part"), F.lit(1))), " ")
+    rows = rows.withColumn("text", F.when(F.col("_qm_part") > 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_part") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_qm_part") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

@@ -354,9 +354,9 @@ def documents_kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).withColumn("node", F.xxhash64("fp")))
     roots = connected_components(scratch.keep(pattern_links(distinct, allowed_bits(similarity))), scratch)
     placed = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = scratch.keep(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")))
-    hashed = docs.withColumn("_hash", F.xxhash64("text")).withColumnRenamed("doc_id", "_id")
-    return hashed.join(kept, hashed["_id"].eqNullSafe(kept["_id"]) & (hashed["_hash"] == kept["_hash"]), "left_semi").dropDuplicates(["_id", "_hash"]).drop("_hash").withColumnRenamed("_id", "doc_id").select(*docs.columns)
+    kept = scratch.keep(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_qm_id"), F.col("first.text_hash").alias("_qm_hash")))
+    hashed = docs.withColumn("_qm_hash", F.xxhash64("text")).withColumnRenamed("doc_id", "_qm_id")
+    return hashed.join(kept, hashed["_qm_id"].eqNullSafe(kept["_qm_id"]) & (hashed["_qm_hash"] == kept["_qm_hash"]), "left_semi").dropDuplicates(["_qm_id", "_qm_hash"]).drop("_qm_hash").withColumnRenamed("_qm_id", "doc_id").select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

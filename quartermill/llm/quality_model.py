@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from quartermill.llm._common import Memo, columns_of, map_texts, table
 
-#: Labelled rows used to fit at most, features, and the share of highest-grade documents that selection may lose.
+#: Labelled rows used to fit at most, features, rows that a feature must be in, and the share of highest-grade documents that selection may lose.
 SAMPLE_ROWS = 6000
-SIZE = 1 << 16
-LOSS = 0.005
+SIZE = 1 << 20
+LEAST_ROWS = 8
+LOSS = 0.002
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -39,7 +40,7 @@ def word_features(word: str) -> tuple[int, ...]:
 
 
 def text_features(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Feature indices and values: the root of each feature's share of the words, and of how much the text repeats itself."""
+    """Feature indices and values: the root of each feature's count, damped by the text's length; and how much the text repeats itself."""
     words = text.split()
     found = [f for own in map(memo.__getitem__, words) for f in own]
     if not found:
@@ -49,7 +50,7 @@ def text_features(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     repeated = zlib.crc32(f"lines {int(5 * (1 - len(set(lines)) / max(1, len(lines))))}".encode()) % SIZE
     pairs = set(zip(words, words[1:], words[2:]))
     again = zlib.crc32(f"windows {int(5 * (1 - len(pairs) / max(1, len(words) - 2)))}".encode()) % SIZE
-    values = np.sqrt(counts / len(words))
+    values = np.sqrt(counts) / len(words) ** 0.25
     return np.append(ids, [repeated, again]), np.append(values, [0.5, 0.5])
 
 
@@ -62,44 +63,52 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None] - score[:, None], -60, 60)))
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, int]], grades: int = 3, steps: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> OrdinalModel:
-        """By Adam on the likelihood of two thirds of the rows; the other third sets the tail probability from which to keep."""
+    def fit(cls, rows: list[tuple[str, int]], grades: int = 3) -> OrdinalModel:
+        """On all rows; a model of two thirds of them, asked about the other third, sets the tail probability from which to keep."""
         memo = Memo(400_000, word_features)
         every = [text_features(t, memo) for t, _ in rows]
         grade = np.array([g for _, g in rows], np.int64)
         held = np.arange(len(rows)) % 3 == 2
-        fit = np.nonzero(~held)[0]
-        index = np.concatenate([every[i][0] for i in fit]) if len(fit) else np.zeros(0, np.int64)
-        value = np.concatenate([every[i][1] for i in fit]) if len(fit) else np.zeros(0)
-        row = np.repeat(np.arange(len(fit)), [len(every[i][0]) for i in fit]) if len(fit) else np.zeros(0, np.int64)
-        n = max(1, len(fit))
-        above = grade[fit][:, None] >= np.arange(1, grades)[None]
-        share = np.clip(above.mean(0) if len(fit) else np.full(grades - 1, 0.5), 0.01, 0.99)
-        cuts = -np.log(share / (1 - share))
-        model = cls(np.zeros(SIZE), np.maximum.accumulate(cuts + 1e-3 * np.arange(grades - 1)), 0.5)
-        theta = np.concatenate([model.weights, model.cuts])
-        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        trial = cls._descend([every[i] for i in np.nonzero(~held)[0]], grade[~held], grades)
+        model = cls._descend(every, grade, grades)
+        best = np.nonzero(held & (grade == grades - 1))[0]
+        if len(best):
+            tail = trial.tails(np.array([every[i][1] @ trial.weights[every[i][0]] for i in best]))[:, -1]
+            model.keep_from = max(0.5, float(np.quantile(tail, LOSS)) * 0.9)
+        return model
+
+    @classmethod
+    def _descend(cls, every: list, grade: np.ndarray, grades: int, steps: int = 400, rate: float = 0.1, ridge: float = 1e-5) -> OrdinalModel:
+        """Adam on the mean log-likelihood. Features in too few rows keep weight 0."""
+        n = len(every)
+        if not n:
+            return cls(np.zeros(SIZE), np.arange(grades - 1) * 1e-3, 0.5)
+        index, value = np.concatenate([x[0] for x in every]), np.concatenate([x[1] for x in every])
+        row = np.repeat(np.arange(n), [len(x[0]) for x in every])
+        common = np.bincount(index, minlength=SIZE) >= LEAST_ROWS
+        use = common[index]
+        names, index = np.unique(index[use], return_inverse=True)
+        value, row, size = value[use], row[use], len(names)
+        share = np.clip((grade[:, None] >= np.arange(1, grades)[None]).mean(0), 0.01, 0.99)
+        cuts = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(grades - 1))
+        theta = np.concatenate([np.zeros(size), cuts])
+        model = cls(theta[:size], theta[size:], 0.5)
+        m, v, edge = np.zeros_like(theta), np.zeros_like(theta), np.zeros((n, 1))
         for step in range(1, steps + 1):
-            model.weights, model.cuts = theta[:SIZE], np.maximum.accumulate(theta[SIZE:])
-            score = np.bincount(row, value * model.weights[index], n)[: len(fit)]
+            score = np.bincount(row, value * model.weights[index], n)
             tails = model.tails(score)
-            full = np.concatenate([np.ones((len(fit), 1)), tails, np.zeros((len(fit), 1))], 1)
-            own = np.maximum(full[np.arange(len(fit)), grade[fit]] - full[np.arange(len(fit)), grade[fit] + 1], 1e-9)
-            slope = np.concatenate([np.zeros((len(fit), 1)), tails * (1 - tails), np.zeros((len(fit), 1))], 1)
-            low, high = slope[np.arange(len(fit)), grade[fit]] / own, slope[np.arange(len(fit)), grade[fit] + 1] / own
-            to_score = -(low - high) / n
-            to_cuts = np.zeros(grades - 1)
-            for g in range(1, grades):
-                to_cuts[g - 1] = (low[grade[fit] == g].sum() - high[grade[fit] == g - 1].sum()) / n
-            gradient = np.concatenate([np.bincount(index, value * to_score[row], SIZE)[:SIZE] + ridge * model.weights, to_cuts])
+            full = np.concatenate([np.ones((n, 1)), tails, edge], 1)
+            own = np.maximum(full[np.arange(n), grade] - full[np.arange(n), grade + 1], 1e-9)
+            slope = np.concatenate([edge, tails * (1 - tails), edge], 1)
+            low, high = slope[np.arange(n), grade] / own, slope[np.arange(n), grade + 1] / own
+            to_cuts = [(low[grade == g].sum() - high[grade == g - 1].sum()) / n for g in range(1, grades)]
+            gradient = np.concatenate([np.bincount(index, value * ((high - low) / n)[row], size) + ridge * model.weights, to_cuts])
             m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
             theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        model.weights, model.cuts = theta[:SIZE], np.maximum.accumulate(theta[SIZE:])
-        best = [i for i in np.nonzero(held)[0] if grade[i] == grades - 1]
-        if best:
-            tail = model.tails(np.array([every[i][1] @ model.weights[every[i][0]] for i in best]))[:, -1]
-            model.keep_from = float(min(0.5, np.quantile(tail, LOSS)))
-        return model
+            model.weights, model.cuts = theta[:size], np.maximum.accumulate(theta[size:])
+        weights = np.zeros(SIZE)
+        weights[names] = model.weights
+        return cls(weights, model.cuts, 0.5)
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:

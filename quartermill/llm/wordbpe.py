@@ -262,7 +262,7 @@ class WordBpe:
             for token, name in self.surface.items():
                 ends = name.endswith(self.end)
                 if spelled or token in names:
-                    table[token] = name.encode()
+                    table[token] = name.encode() + (b"" if spelled else b" ")
                 else:
                     table[token] = bytes(code[c] for c in (name[: -len(self.end)] if ends else name)) + b" " * ends
             self._bytes[spelled] = table.__getitem__
@@ -331,7 +331,7 @@ class StreamDecoder:
     """Tokens to text as they come: bytes of a character that a token leaves open wait for the next token.
 
     spelled: the library's way for a file without a decoder, tokens as the vocabulary spells them with a space between;
-    else the text itself, a space for each word end.
+    else the text itself, a space for each word end and after a special token.
     """
 
     def __init__(self, tables: WordBpe, spelled: bool = False):
