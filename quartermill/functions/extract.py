@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quartermill.functions.numbers import directional, in_billions, midpoint, parsed
 
-NUMBER = r"\(?\$?\s*\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?"
+NUMBER = r"\(?\$?\s*\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?(?![0-9]|[.,][0-9])"
 GAP = r"[\s$]*"
 UNIT = r"(trillion|billion|million|thousand)"
 
@@ -29,7 +29,7 @@ def row_pair(text: Column, label: str, unit: float = 0.001) -> Column:
     p = quoted(label)
     a, b, y = _grouped(text, rf"{p}{GAP}({NUMBER}){GAP}({NUMBER}){GAP}(\(?-?[0-9.]+\)?)\s*%", 1, 2, 3)
     q5 = _grouped(text, rf"{p}{GAP}({NUMBER}){GAP}({NUMBER}){GAP}({NUMBER}){GAP}({NUMBER}){GAP}({NUMBER})(?!\s*%)", 1, 5)
-    c, d = _grouped(text, rf"{p}{GAP}({NUMBER}){GAP}({NUMBER})(?![0-9.,]*\s*%)", 1, 2)
+    c, d = _grouped(text, rf"{p}{GAP}({NUMBER}){GAP}({NUMBER})(?!\s*%)", 1, 2)
     with_pct = F.when(parsed(a).isNotNull() & parsed(y).isNotNull(), F.struct((parsed(a) * unit).alias("value"), (parsed(b) * unit).alias("prior"), F.when(F.abs(parsed(y)) <= 500, parsed(y)).alias("yoy")))
     change = lambda now, before: F.when(F.abs((now / F.nullif(before, F.lit(0.0)) - 1) * 100) <= 500, (now / F.nullif(before, F.lit(0.0)) - 1) * 100)
     two = F.when(parsed(c).isNotNull() & parsed(d).isNotNull(), F.struct((parsed(c) * unit).alias("value"), (parsed(d) * unit).alias("prior"), change(parsed(c), parsed(d)).alias("yoy")))
@@ -97,7 +97,7 @@ def structures(materials: DataFrame, labels: DataFrame) -> DataFrame:
     """
     pattern = F.concat(F.lit(r"(?is)\b"), F.regexp_replace("label", r"\s+", r"\\s+"), F.lit(rf"{GAP}({NUMBER}){GAP}({NUMBER})"))
     met = materials.join(labels, "company").withColumn("_p", pattern)
-    value, prior = (parsed(F.nullif(F.regexp_extract(F.col("text"), F.col("_p"), F.lit(g)), F.lit(""))) * 0.001 for g in (1, 2))
+    value, prior = (parsed(F.nullif(F.expr(f"regexp_extract(text, _p, {g})"), F.lit(""))) * 0.001 for g in (1, 2))
     found = met.select("company", "quarter_index", "name", "material_rank", "label_rank", value.alias("value"), prior.alias("prior")).where("value IS NOT NULL")
     own = Window.partitionBy("company", "quarter_index", "name").orderBy("material_rank", "label_rank")
     return found.withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k", "material_rank", "label_rank")

@@ -100,9 +100,9 @@ def chunks(text: Column, least: int = 220) -> Column:
 
 def quotes(text: Column, most: int = 2) -> Column:
     """array<struct<speaker, quote>>: '"...," said Name' and 'Name said, "..."', each quote once."""
-    after = r"[“\"]([^”\"]{30,600})[,.]?[”\"]\s*(?:,\s*)?(?:said|says|stated|commented)\s+([A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+){0,3})"
-    ahead = r"([A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+){1,3})\s*(?:,[^,]{0,80},)?\s*(?:said|stated|commented)\s*[:,]?\s*[“\"]([^”\"]{30,600})[”\"]"
-    pair = lambda p, s, q: F.zip_with(F.regexp_extract_all(text, F.lit(p), F.lit(s)), F.regexp_extract_all(text, F.lit(p), F.lit(q)), lambda a, b: F.struct(a.alias("speaker"), F.trim(b).alias("quote")))
+    after = r"[“\"]([^”\"]{30,600})[,.]?[”\"]\s*(?:,\s*)?(?:said|says|stated|commented)\s+([A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){0,3})"
+    ahead = r"([A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){1,3})\s*(?:,[^,]{0,80},)?\s*(?:said|stated|commented)\s*[:,]?\s*[“\"]([^”\"]{30,600})[”\"]"
+    pair = lambda p, s, q: F.zip_with(F.regexp_extract_all(text, F.lit(p), F.lit(s)), F.regexp_extract_all(text, F.lit(p), F.lit(q)), lambda a, b: F.struct(a.alias("speaker"), F.btrim(b, F.lit(" ,.")).alias("quote")))
     every = F.concat(pair(after, 2, 1), pair(ahead, 1, 2))
     return F.slice(F.filter(every, lambda x, i: (i == 0) | ~F.exists(F.slice(every, F.lit(1), i), lambda y: y["quote"] == x["quote"])), 1, most)
 

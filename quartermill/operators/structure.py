@@ -222,7 +222,7 @@ def suspicious_geographies(items: Column, revenue: Column) -> Column:
     share = lambda x: x["value"] / F.nullif(value, F.lit(0.0))
     lone = F.exists(items, lambda x: share(x) >= 0.95) & F.exists(items, lambda x: share(x) <= 0.01)
     home = F.exists(items, lambda x: F.lower(x["name"]).rlike(r"united states|^u\.s\.?$") & (share(x) < 0.02)) & F.exists(items, lambda x: F.lower(x["name"]).rlike("international|other countries|rest of world|non-u"))
-    return F.coalesce(lone, F.lit(False)) | F.coalesce(home, F.lit(False)) | F.coalesce(value / F.nullif(revenue, F.lit(0.0)) < 0.08, F.lit(False))
+    return F.coalesce(lone, F.lit(False)) | F.coalesce(home, F.lit(False)) | ((F.size(items) > 0) & F.coalesce(value / F.nullif(revenue, F.lit(0.0)) < 0.08, F.lit(False)))
 
 
 def geography_like(names: Column, regions: Column, markers: Column, canonical: Column) -> Column:

@@ -87,7 +87,7 @@ def submission_documents(rows: DataFrame) -> DataFrame:
     """seq, type, filename, description, body of each <DOCUMENT> block. rows: key, text."""
     blocks = rows.select("key", F.posexplode(F.regexp_extract_all("text", F.lit("(?is)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))).alias("seq", "b"))
     field = lambda n: F.trim(F.regexp_extract("b", rf"(?i)<{n}>([^\r\n<]*)", 1)).alias(n.lower())
-    return blocks.select("key", "seq", field("TYPE"), field("FILENAME"), field("DESCRIPTION"), F.trim(F.regexp_extract("b", r"(?is)<TEXT>(.*?)</TEXT>", 1)).alias("body"))
+    return blocks.select("key", "seq", field("TYPE"), field("FILENAME"), field("DESCRIPTION"), F.regexp_replace(F.regexp_extract("b", r"(?is)<TEXT>(.*?)</TEXT>", 1), r"^\s+|\s+$", "").alias("body"))
 
 
 def feed_items(rows: DataFrame) -> DataFrame:
