@@ -59,11 +59,11 @@ def percent_token(token: Column) -> Column:
 
 def money(value: Column, symbol: str = "$") -> Column:
     """'$1.2B', '-' for null."""
-    return F.coalesce(F.format_string(symbol + "%.1fB", value), F.lit("-"))
+    return F.when(value.isNotNull(), F.format_string(symbol + "%.1fB", value)).otherwise("-")
 
 
 def percent(value: Column, signed: bool = False) -> Column:
-    return F.coalesce(F.format_string("%+.1f%%" if signed else "%.1f%%", value), F.lit("-"))
+    return F.when(value.isNotNull(), F.format_string("%+.1f%%" if signed else "%.1f%%", value)).otherwise("-")
 
 
 def within(value: Column, base: Column, low: float, high: float) -> Column:

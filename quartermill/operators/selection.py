@@ -122,3 +122,60 @@ def reachable(links: DataFrame, start: DataFrame, depth: int = 2, most: int = 5)
         level = level.join(seen.select("url"), "url", "left_anti")
         seen = seen.unionByName(level)
     return seen
+
+
+def cascade(primary: DataFrame, fallback: DataFrame, keys: list[str], scalars: list[str], maps: list[str], lists: list[str], notes: list[str]) -> DataFrame:
+    """Primary payloads filled from fallback ones: scalars and map entries where missing or blank, lists where the fallback's is longer by two and at least half as long again, notes joined."""
+    p, f = primary.alias("p"), fallback.alias("f")
+    met = p.join(f, keys, "left")
+    a, b = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"f.{c}"))
+    known = lambda m: F.map_filter(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda _, v: F.coalesce(F.trim(v) != "", F.lit(False)))
+    filled = [F.coalesce(a(c), b(c)).alias(c) for c in scalars]
+    added = lambda m, more: F.map_concat(F.map_filter(more, lambda k, _: ~F.array_contains(F.map_keys(m), k)), m)
+    filled += [added(known(a(c)), known(b(c))).alias(c) for c in maps]
+    longer = lambda c: (F.size(b(c)) >= F.size(a(c)) + 2) & (F.size(b(c)) >= 1.5 * F.size(a(c)))
+    filled += [F.when(a(c).isNull() | (F.size(a(c)) == 0) | F.coalesce(longer(c), F.lit(False)), F.coalesce(b(c), a(c))).otherwise(a(c)).alias(c) for c in lists]
+    filled += [F.array_distinct(F.concat(F.coalesce(a(c), F.array().cast("array<string>")), F.coalesce(b(c), F.array().cast("array<string>")))).alias(c) for c in notes]
+    return met.select(*keys, *filled)
+
+
+def aligned(source_date: Column, period_end: Column, geographies_only: Column) -> Column:
+    """Whether a cached snapshot fits its period: 30 days before to 220 after its end; an annual one of geographies 400 before to 820 after."""
+    gap = F.datediff(source_date, period_end)
+    return F.coalesce(gap.between(-30, 220) | (geographies_only & gap.between(-400, 820)), F.lit(False))
+
+
+#: What a link's text or address says for each role, and against all.
+ROLE_WORDS = {"release": r"press release|earnings release|results|announces", "presentation": r"presentation|slides|deck", "call": r"transcript|conference call|webcast|prepared remarks", "filing": r"10-q|10-k|20-f|6-k|annual report|quarterly report"}
+AGAINST = r"privacy|cookie|careers|subscribe|login|dividend|proxy|governance"
+
+
+def link_score(text: Column, role: str, quarter: Column, year: Column) -> Column:
+    """20 for the role's words, 14 for the quarter, 10 for the year, 6 for a document's suffix, less 24 for words against it."""
+    low = F.lower(text)
+    spelled = F.concat(F.lit("q"), quarter.cast("string"))
+    return F.when(low.rlike(ROLE_WORDS[role]), 20).otherwise(0) + F.when(low.contains(spelled), 14).otherwise(0) + F.when(low.contains(year.cast("string")), 10).otherwise(0) + F.when(low.rlike(r"\.(pdf|htm|html)(\?|$)"), 6).otherwise(0) - F.when(low.rlike(AGAINST), 24).otherwise(0)
+
+
+def provenance(kind: Column, ready: Column, inferred: Column) -> Column:
+    """official, official_pending, inferred, structured or none."""
+    return F.when(inferred, "inferred").when(kind.isin("filing", "release") & ready, "official").when(kind.isin("filing", "release"), "official_pending").when(kind == "series", "structured").otherwise("none")
+
+
+def themes(*rules: tuple[Column, str, Column], most: int = 4) -> Column:
+    """array<struct<label, score>> of the rules (condition, label, score) that hold, a label once, the first `most`."""
+    from quartermill.functions.numbers import clamped_score
+
+    every = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(label).alias("label"), clamped_score(s).alias("score"))) for c, label, s in rules)))
+    return F.slice(F.filter(every, lambda x, i: (i == 0) | ~F.exists(F.slice(every, F.lit(1), i), lambda y: y["label"] == x["label"])), 1, most)
+
+
+def reconciled(warnings: Column, obsolete: Column) -> Column:
+    """Distinct warnings in order, without those that contain an obsolete phrase."""
+    return F.array_distinct(F.filter(warnings, lambda w: (F.trim(w) != "") & ~F.exists(obsolete, lambda o: w.contains(o))))
+
+
+def needs_enrichment(series: DataFrame, runs: DataFrame, most_missing: int = 2, longest: int = 4) -> DataFrame:
+    """company, missing, needed: more than `most_missing` quarters without a core metric, or a value repeated `longest` times. runs: company, longest_run."""
+    missing = series.groupBy("company").agg(F.count_if(F.col("revenue").isNull() | F.col("earnings").isNull()).alias("missing"))
+    return missing.join(runs, "company", "left").select("company", "missing", ((F.col("missing") > most_missing) | (F.coalesce("longest_run", F.lit(1)) >= longest)).alias("needed"))
