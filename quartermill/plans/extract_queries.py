@@ -149,8 +149,7 @@ def parsed_materials(spark, d):
     orders = table(spark, d, "orders").where("o_orderkey % 50 = 0")
     a = orders.select(F.col("o_orderkey").alias("company"), F.lit(8000).alias("quarter_index"), F.lit(0).alias("material_rank"), said("Turnover ", F.format_number(whole("o_totalprice"), 0), " 10\nNet income was $2.5 billion, up 4%.\nWe expect revenue of $30 billion.").alias("text"))
     b = orders.select(F.col("o_orderkey").alias("company"), F.lit(8000).alias("quarter_index"), F.lit(1).alias("material_rank"), F.lit("Diluted earnings per share 1.23 1.10\nTotal shareholders' equity 7,500 7,000").alias("text"))
-    registry = {str(k): {} for k in ()}
-    every = E.parse_materials(a.unionByName(b).withColumn("text", F.replace("text", F.lit("Turnover"), F.lit("Total revenue"))), registry)
+    every = E.parse_materials(a.unionByName(b).withColumn("text", F.replace("text", F.lit("Turnover"), F.lit("Total revenue"))))
     return every.select("company", F.col("revenue.value").alias("revenue"), F.col("net_income.value").alias("net_income"), "eps", "equity", F.col("guidance.mid").alias("guided"))
 
 
@@ -184,3 +183,25 @@ def promoted_structures(spark, d):
     item = lambda n: F.struct(F.lit(n).alias("name"), F.lit(1.0).alias("value"))
     rows = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_regionkey") % 2 == 1, F.array(item("a"))).otherwise(F.array().cast("array<struct<name:string,value:double>>")).alias("segments"), F.array(item("x"), item("y")).alias("geographies"))
     return T.promoted(rows).select("n_nationkey", F.get("segments", F.lit(0))["scope"].alias("scope"), F.size("segments").alias("n"))
+
+
+@query("issuer_layouts", """SELECT o_orderkey AS company, (o_custkey + 1000) * 0.001::DOUBLE AS pair, 2.0::DOUBLE AS pair_prior, 2.0::DOUBLE AS reversed, 5.0::DOUBLE AS five_quarters, 4.0::DOUBLE AS quarter_before, (o_custkey + 1000) * 0.001::DOUBLE AS five_values, 3.0::DOUBLE AS year_ago FROM orders WHERE o_orderkey % 50 = 0""")
+def issuer_layouts(spark, d):
+    """One row of numbers read in each layout."""
+    from quartermill.functions.issuers import laid_out
+
+    text = said("Cost 7 8\nTotal net sales $ ", F.format_number(F.col("o_custkey") + 1000, 0), " $ 2,000 3,000 4,000 5,000 12% end")
+    read = lambda layout: laid_out(text, ["Nothing", "Total net sales"], layout)
+    cols = {"pair": read("pair")["value"], "pair_prior": read("pair")["prior"], "reversed": read("reversed")["value"], "five_quarters": read("five_quarters")["value"], "quarter_before": read("five_quarters")["before"], "five_values": read("five_values")["value"], "year_ago": read("five_values")["prior"]}
+    return table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("company"), *(c.alias(n) for n, c in cols.items()))
+
+
+@query("issuer_parse", """SELECT o_orderkey AS company, (o_custkey + 2000) * 0.001::DOUBLE AS revenue, round((o_custkey + 1000) / (o_custkey + 2000)::DOUBLE * 100, 6) AS gross_margin, 2.5::DOUBLE AS net_income, CASE WHEN 2000 / (o_custkey + 2000)::DOUBLE >= 0.55 THEN 2 ELSE 0 END AS n_segments FROM orders WHERE o_orderkey % 50 = 0""")
+def issuer_parse(spark, d):
+    from quartermill.functions.issuers import parse_issuer
+
+    n = F.format_number(F.col("o_custkey") + 2000, 0)
+    text = said("Total revenue $ ", n, " $ 1,900\nTotal cost of revenue 1,000 900\nIntelligent Cloud 1,200 1,000\nMore Personal Computing 800 700\nNet income was $2.5 billion, up 3%.")
+    rows = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("company"), F.lit(8000).alias("quarter_index"), F.lit(0).alias("material_rank"), text.alias("text"))
+    out = parse_issuer(rows, "microsoft")
+    return out.select("company", F.col("revenue.value").alias("revenue"), F.round("gross_margin", 6).alias("gross_margin"), F.col("net_income.value").alias("net_income"), F.size("segments").alias("n_segments"))
