@@ -22,19 +22,23 @@ def _grouped(text: Column, pattern: str, *groups: int) -> list[Column]:
 
 
 def row_pair(text: Column, label: str, unit: float = 0.001) -> Column:
-    """struct<value, prior, yoy> by 'label now prior pct%', then 'label now prior', then five quarters (the last is now, the first a year before).
+    """struct<value, prior, yoy> of the numbers after a label: 'now prior pct%', else five quarters (the last is now, the first a year before), else 'now prior'.
 
-    A change beyond 500 % is no change.
+    A change beyond 500 % is no change. The text is searched once for a label; the numbers are bound once, by a function over one element.
     """
-    p = quoted(label)
-    a, b, y = _grouped(text, rf"{p}{GAP}({NUMBER}){GAP}({NUMBER}){GAP}(\(?-?[0-9.]+\)?)\s*%", 1, 2, 3)
-    q5 = _grouped(text, rf"{p}{GAP}({NUMBER}){GAP}({NUMBER}){GAP}({NUMBER}){GAP}({NUMBER}){GAP}({NUMBER})(?!\s*%)", 1, 5)
-    c, d = _grouped(text, rf"{p}{GAP}({NUMBER}){GAP}({NUMBER})(?!\s*%)", 1, 2)
-    with_pct = F.when(parsed(a).isNotNull() & parsed(y).isNotNull(), F.struct((parsed(a) * unit).alias("value"), (parsed(b) * unit).alias("prior"), F.when(F.abs(parsed(y)) <= 500, parsed(y)).alias("yoy")))
-    change = lambda now, before: F.when(F.abs((now / F.nullif(before, F.lit(0.0)) - 1) * 100) <= 500, (now / F.nullif(before, F.lit(0.0)) - 1) * 100)
-    two = F.when(parsed(c).isNotNull() & parsed(d).isNotNull(), F.struct((parsed(c) * unit).alias("value"), (parsed(d) * unit).alias("prior"), change(parsed(c), parsed(d)).alias("yoy")))
-    five = F.when(parsed(q5[1]).isNotNull(), F.struct((parsed(q5[1]) * unit).alias("value"), (parsed(q5[0]) * unit).alias("prior"), change(parsed(q5[1]), parsed(q5[0])).alias("yoy")))
-    return F.coalesce(with_pct, five, two)
+    run = F.regexp_extract(text, rf"(?is)(?<![A-Za-z]){quoted(label)}((?:{GAP}{NUMBER}\s*%?){{2,7}})", 1)
+    tokens = F.regexp_extract_all(run, F.lit(rf"({NUMBER}\s*%?)"), F.lit(1))
+
+    def read(t: Column) -> Column:
+        at = lambda k: parsed(F.get(t, F.lit(k)))
+        share = lambda k: F.coalesce(F.get(t, F.lit(k)).contains("%"), F.lit(False))
+        plain = lambda n: (F.size(t) >= n) & ~F.exists(F.slice(t, 1, n), lambda x: x.contains("%"))
+        change = lambda now, before: (now / F.nullif(before, F.lit(0.0)) - 1) * 100
+        near = lambda y: F.when(F.abs(y) <= 500, y)
+        make = lambda now, before, y: F.struct((now * unit).alias("value"), (before * unit).alias("prior"), near(y).alias("yoy"))
+        return F.when(plain(2) & share(2), make(at(0), at(1), at(2))).when(plain(5), make(at(4), at(0), change(at(4), at(0)))).when(plain(2), make(at(0), at(1), change(at(0), at(1))))
+
+    return F.get(F.transform(F.array(tokens), read), F.lit(0))
 
 
 def metric(text: Column, labels: list[str], unit: float = 0.001) -> Column:
