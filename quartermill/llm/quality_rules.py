@@ -24,7 +24,7 @@ RATES = (
     ("word_length", "word_chars * 100 div n_words", 200, True),
     ("symbols", "n_symbols * 1000 div n_words", 300, False),
     ("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", 500, False),
-    ("repeats", "n_repeat_words * 1000 div n_words", 350, False),
+    ("repeats", "n_repeat_words * 1000 div n_words", 450, False),
     ("capitals", "n_capitals * 1000 div greatest(word_chars, 1)", 300, False),
 )
 
