@@ -28,5 +28,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        kept = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(docs)  # a stage's table, not the input
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

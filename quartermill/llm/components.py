@@ -31,22 +31,23 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             above = parents.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             jumped = scratch.keep(parents.join(above, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
             scratch.drop(parents)
-            parents = jumped.select("u", "p")
-            parents_table = jumped
+            parents = jumped
             if not jumped.where("moved").take(1):
                 break
         if labels is None:
-            labels = parents.select(F.col("u").alias("node"), F.col("p").alias("root"))
+            labels = scratch.keep(parents.select(F.col("u").alias("node"), F.col("p").alias("root")))
         else:
-            moved = labels.join(parents.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+            moved = labels.join(parents.select(F.col("u").alias("root"), F.col("p")), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
             labels = scratch.keep(moved.unionByName(parents.select(F.col("u").alias("node"), F.col("p").alias("root"))).distinct())
         # every u has a parent; the edge joins the u's root and the v's
+        parents = parents.select("u", "p")
         roots_u = scratch.keep(left.join(parents, "u").select(F.col("p").alias("ru"), "v"))
         to = parents.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         contracted = roots_u.join(to, "v", "left").select(F.col("ru").alias("u"), F.coalesce("pv", "v").alias("v"))
-        left = _oriented(contracted, scratch)
+        contracted = _oriented(contracted, scratch)
         scratch.drop(roots_u)
-        del parents_table
+        scratch.drop(left)
+        left = contracted
     if labels is None:
         return edges.sparkSession.createDataFrame([], "node long, root long")
     return labels
