@@ -139,14 +139,17 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
 
-    gathered = sent.unionByName(map_texts(marked, mark, schema)).repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "kind", "text_hash")
+    gathered = sent.unionByName(map_texts(marked, mark, schema)).repartitionById(parts, F.greatest(F.col("bucket"), F.lit(0))).sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "kind", "text_hash")
     met = scratch.keep(map_texts(gathered, meet, RESULT + ", is_first boolean, canonical binary"))
-    return _compared(met)
+    return _compared(met, scratch)
 
 
-def _compared(met: DataFrame) -> DataFrame:
-    """met, a fingerprint lengthened where its canonical text isn't that of its bucket's first."""
-    first = met.where("is_first").select("fingerprint", F.col("canonical").alias("of_first")).dropDuplicates(["fingerprint"])
+def _compared(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """met, a fingerprint lengthened where its canonical text isn't that of its bucket's first.
+
+    Both sides of the comparison are stored tables, so that Spark can split a bucket with many copies.
+    """
+    first = scratch.keep(met.where("is_first").select("fingerprint", F.col("canonical").alias("of_first")).dropDuplicates(["fingerprint"]))
     unlike = met.where("canonical IS NOT NULL").select("doc_id", "fingerprint", "canonical").join(first, "fingerprint").where("canonical != of_first")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
