@@ -7,8 +7,8 @@ pairs of blocks, then pairs of inner nodes, last single fingerprints. Upper node
 input, so they are broadcast; fingerprints travel as packed blocks to the blocks they may link with. A task keeps a forest of
 the links it finds, never all pairs.
 
-A wider fingerprint (documents_kept) serves a similarity bound of 0.8: there shared masked bit patterns of 16 bits are the
-upper nodes, several tables of them, each again in Gray order below.
+A wider fingerprint (documents_kept) serves a similarity bound of 0.8: there shared masked bit patterns are the upper nodes,
+several tables of them, each again in Gray order below. Its bits only propose groups; inside a group the shingle sets decide.
 """
 
 from __future__ import annotations
@@ -260,33 +260,45 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- a similarity bound ------------------------------------------------------------------------------------------------
 
 LANES = 4
-TABLES = 40
-PATTERN = 16
+TABLES = 80
+PATTERN = 14
+#: Shingles in one chunk of a group; a larger group is searched in pairs of chunks.
+CHUNK = 2_000_000
 
 
 def allowed_bits(similarity: float, bits: int = 64 * LANES) -> int:
-    """Differing bits up to which documents count as similar: what the shared part of two shingle sets leads to, and a standard deviation."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+    """Differing bits up to which documents are candidates: what the shared part of two shingle sets leads to, and 3.5 standard deviations.
+
+    Sets of few shingles differ in more bits; four shingles and the same with a fifth, the worst case, in 3 of 16.
+    """
+    share = max(np.arccos(2 * similarity / (1 + similarity)) / np.pi, 3 / 16)
+    return int(bits * share + 3.5 * np.sqrt(bits * share * (1 - share)))
 
 
 def pattern_masks() -> list[np.ndarray]:
-    """The PATTERN bit positions of each table, by a fixed shuffle."""
-    order = [np.argsort(mixed(np.arange(64 * LANES, dtype=np.uint64), n + 1)) for n in range(-(-TABLES * PATTERN // (64 * LANES)))]
-    every = np.concatenate(order)
-    return [every[n * PATTERN : (n + 1) * PATTERN] for n in range(TABLES)]
+    """The PATTERN bit positions of each table, by fixed shuffles."""
+    each = 64 * LANES // PATTERN
+    order = [np.argsort(mixed(np.arange(64 * LANES, dtype=np.uint64), n + 1)) for n in range(-(-TABLES // each))]
+    return [order[n // each][n % each * PATTERN : (n % each + 1) * PATTERN] for n in range(TABLES)]
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text or "", shingle))
 
 
 def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text's hash, and the fingerprint of LANES * 64 bits (binary) of every row."""
+    """doc_id, text's hash, node (the shingle set's hash), n (its size) and the set's fingerprint of LANES * 64 bits (binary) of every row."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes, texts = columns_of(batch, "doc_id", "text_hash", "text")
-            wide = [np.array(simhash(shingle_hashes(t or "", shingle), LANES), "<u8").tobytes() for t in texts]
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(wide, pa.binary())], names=["doc_id", "text_hash", "fp"])
+            sets = [shingle_set(t, shingle) for t in texts]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            wide = [np.array(simhash(s, LANES), "<u8").tobytes() for s in sets]
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(wide, pa.binary())], names=["doc_id", "text_hash", "node", "n", "fp"])
 
-    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, fp binary")
+    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, node long, n long, fp binary")
 
 
 def pattern_links(distinct: DataFrame, most: int) -> DataFrame:
@@ -342,17 +354,110 @@ def pattern_links(distinct: DataFrame, most: int) -> DataFrame:
     return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(search, "u long, v long")
 
 
+def similar_sets(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each sorted set its group's label: sets that share `similarity` of their union or more are joined, and all they connect.
+
+    Exact: similar sets have one of their rarest shingles in common, as many as they may miss and one more. An index of these
+    gives the pairs to compare; pairs in one group already are passed over, so a group of copies costs about its size.
+    """
+    up = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def similar(i: int, j: int) -> bool:
+        n, m = len(sets[i]), len(sets[j])
+        if min(n, m) < similarity * max(n, m) - 1e-9:
+            return False
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return both >= similarity * (n + m - both) - 1e-9
+
+    names, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    index: dict[int, list] = {}  # shingle: the sets that have it among their rarest, and how many at the front are in one group
+    for i, own in enumerate(sets):
+        rarest = own[np.argsort(counts[np.searchsorted(names, own)], kind="stable")[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]]
+        tried = set()
+        for shingle in rarest.tolist():
+            there, alike = entry = index.setdefault(shingle, [[], 0])
+            while alike < len(there) and root(there[alike]) == root(there[0]):
+                alike += 1
+            entry[1] = alike
+            k = 0
+            while k < len(there):
+                j = there[k]
+                if root(i) != root(j):
+                    if j not in tried and similar(i, j):
+                        up[max(root(i), root(j))] = min(root(i), root(j))
+                    tried.add(j)
+                k = alike if k < alike and root(i) == root(j) else k + 1
+            there.append(i)
+    return [root(i) for i in range(len(sets))]
+
+
+def perhaps_in(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """rows less most of those whose text_hash isn't in members: by a bitmap of 2**23 places (1 MB), whatever the input."""
+    place = F.pmod("text_hash", F.lit(1 << 23))
+    bitmap = members.groupBy(F.shiftright(place, 15).alias("_qm_part")).agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("_qm_bits"))
+    placed = rows.withColumn("_qm_part", F.shiftright(place, 15)).withColumn("_qm_bit", place.bitwiseAND(32767).cast("int"))
+    is_set = F.expr("(cast(conv(hex(substring(_qm_bits, _qm_bit div 8 + 1, 1)), 16, 10) as int) >> (_qm_bit % 8)) & 1") == 1
+    return placed.join(F.broadcast(bitmap), "_qm_part").where(is_set).select(*rows.columns)
+
+
+def verified_links(docs: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (u, v) between members of one proposed group that connect them just as all pairs of similar shingle sets would.
+
+    members: node, n (its shingles), root (its group), first (doc_id and text_hash of a row that has the set). A group of more
+    than CHUNK shingles is searched as pairs of chunks, a task each.
+    """
+    chunks = members.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    tiled = members.join(chunks, "root").select("root", "node", F.col("first.doc_id").alias("_qm_id"), F.col("first.text_hash").alias("text_hash"), own.alias("own"), other.alias("other"))
+    tiled = tiled.select("root", "node", "_qm_id", "text_hash", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    texts = perhaps_in(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), members.select(F.col("first.text_hash").alias("text_hash")))
+
+    def edges(nodes: dict[int, np.ndarray]) -> pa.RecordBatch | None:
+        names = list(nodes)
+        label = similar_sets(list(nodes.values()), similarity)
+        pairs = [(names[i], names[r]) for i, r in enumerate(label) if i != r]
+        return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"]) if pairs else None
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, nodes = None, {}
+        for batch in batches:
+            for *at, node, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if at != tile:
+                    if len(nodes) > 1 and (found := edges(nodes)):
+                        yield found
+                    tile, nodes = at, {}
+                if node not in nodes:  # a row may be there twice
+                    nodes[node] = shingle_set(text, shingle)
+        if len(nodes) > 1 and (found := edges(nodes)):
+            yield found
+
+    met = tiled.join(texts, (tiled["text_hash"] == texts["text_hash"]) & tiled["_qm_id"].eqNullSafe(texts["doc_id"])).select("root", "low", "high", "node", "text")
+    return met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(search, "u long, v long")
+
+
 def documents_kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs less near copies: of each group of similar documents, the row with the least doc_id stays.
 
-    Similar: five-word shingle sets that share `similarity` of their union or more, as wide fingerprints show it. A row that
-    repeats a kept one in doc_id and text goes too. Texts that are null or have no word are alike, so one of them stays.
-    Columns of docs stay as they are.
+    Similar: five-word shingle sets that share `similarity` of their union or more. Wide fingerprints propose groups, the sets
+    themselves decide. A row that repeats a kept one in doc_id and text goes too. Texts that are null or have no word are
+    alike, so one of them stays. Columns of docs stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "near-dup-wide")
     prints = scratch.keep(wide_prints(docs, shingle))
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).withColumn("node", F.xxhash64("fp")))
-    roots = connected_components(scratch.keep(pattern_links(distinct, allowed_bits(similarity))), scratch)
+    distinct = scratch.keep(prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    scratch.drop(prints)
+    fewest = int(np.ceil(similarity / (1 - similarity) - 1e-9))  # a smaller set is similar to none but its like
+    proposed = connected_components(scratch.keep(pattern_links(distinct.where(F.col("n") >= fewest), allowed_bits(similarity))), scratch)
+    grouped = proposed.unionByName(proposed.select(F.col("root").alias("node"), "root").distinct())
+    members = scratch.keep(grouped.join(distinct.select("node", "n", "first"), "node"))
+    roots = connected_components(scratch.keep(verified_links(docs, members, shingle, similarity)), scratch)
     placed = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = scratch.keep(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_qm_id"), F.col("first.text_hash").alias("_qm_hash")))
     hashed = docs.withColumn("_qm_hash", F.xxhash64("text")).withColumnRenamed("doc_id", "_qm_id")
