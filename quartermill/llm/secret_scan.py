@@ -2,7 +2,7 @@
 
 Candidates are runs of key-like characters. In each, a window moves one character at a time; counts of its characters and
 the sum of c*log2(c) are kept up to date by the character that enters and the one that leaves, so a step costs the same for
-any window. Windows are judged by the class of characters they hold. Spans that an allow-list explains are suppressed.
+any window. Windows are judged by the class of characters they hold. Windows that an allow-list explains are suppressed.
 """
 
 from __future__ import annotations
@@ -26,15 +26,20 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: Least bits a character, by the class of the window's characters.
-BITS = {"digits": 9.0, "hex": 3.0, "letters": 9.0, "mixed": 3.6}
-#: What looks random and isn't: rules, paths, identifiers in words, numbered placeholders, and strings marked as examples.
-ALLOW = (
-    re.compile(r"[-_=+/]{4}"),
-    re.compile(r"(?i)example|sample|dummy|placeholder|redacted|xxxx"),
-    re.compile(r"^(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,}|[0-9]{1,4})(?:[-_/+=]+(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,}|[0-9]{1,4}))*[-_/+=]*$"),
-    re.compile(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
-)
+#: Least bits a character, by the class of the window's characters; letters and digits need the evidence of looks_random, too.
+BITS = {"digits": 2.7, "hex": 3.0, "letters": 3.6, "mixed": 3.6}
+#: Runs of separators are rules.
+RULED = re.compile(r"[-_=+/]{4,}")
+#: What marks an example. The last is the key of a vendor's manual.
+MARKED = re.compile(r"(?i)example|sample|dummy|placeholder|redacted|xxxx|wJalrXUtnFEMI/K7MDENG/bPxRfiCY")
+#: Whole pieces that look random and aren't: paths, identifiers in words, numbered placeholders.
+WORDED = re.compile(r"^(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,}|[0-9]{1,4})(?:[-_/+=]+(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,}|[0-9]{1,4}))*[-_/+=]*$")
+UUID = re.compile(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
+ALLOW = (MARKED, WORDED, UUID)
+CONSONANTS = re.compile(r"(?i)[b-df-hj-np-tv-xz]{6}")
+#: Letters that make up a third of random ones and a fourteenth of words.
+RARE = frozenset("jkqvwxyzJKQVWXYZ")
+CASE_CHANGE = re.compile(r"[a-z](?=[A-Z])|[A-Z](?=[a-z])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -55,14 +60,33 @@ def char_class(counts: dict[str, int]) -> str:
     return "mixed" if digits and (upper or lower) or upper and lower and any(c in "+/=" for c in counts) else "letters"
 
 
+def looks_random(own: str, kind: str, worded: bool) -> bool:
+    """Whether a window of letters or digits is no ordinary word, name or count.
+
+    Letters of both cases: capitals and changes of case in such number as words don't have. Of one case: many rare
+    letters, or several and six consonants in a row. Digits: no sequence like 1234.
+    """
+    if kind == "digits":
+        steps = [(ord(b) - ord(a)) % 10 for a, b in zip(own, own[1:])]
+        return 2 * max(steps.count(x) for x in set(steps)) < len(steps)
+    upper, lower = sum("A" <= c <= "Z" for c in own), sum("a" <= c <= "z" for c in own)
+    if 5 * (upper + lower) < 4 * len(own):
+        return False
+    if min(upper, lower) < 3:
+        rare = sum(c in RARE for c in own)
+        return 4 * rare >= len(own) or 7 * rare >= len(own) and CONSONANTS.search(own) is not None
+    return not worded and 10 * min(upper, lower) >= 3 * len(own) - 1e-9 and 10 * len(CASE_CHANGE.findall(own)) >= 3 * len(own)
+
+
 def entropy_spans(text: str, window: int = WINDOW, bits: dict[str, float] = BITS) -> list[tuple[int, int]]:
-    """Joined windows whose entropy reaches their class's bound, in candidates that no allow rule explains."""
-    terms = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    """Joined windows whose entropy reaches their class's bound and that no allow rule explains."""
+    terms = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # a window and the letter that enters
     out: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         own, begin = m[0], m.start()
-        if len(own) < window or any(rule.search(own) for rule in ALLOW):
+        if any(rule.search(own) for rule in (RULED, MARKED, UUID)):
             continue
+        worded = WORDED.search(own) is not None
         counts: dict[str, int] = {}
         total = 0.0  # of c * log2(c)
         start = end = -1
@@ -78,13 +102,25 @@ def entropy_spans(text: str, window: int = WINDOW, bits: dict[str, float] = BITS
                     counts[gone] = n - 1
                 else:
                     del counts[gone]
-            if i >= window - 1 and math.log2(window) - total / window >= bits[char_class(counts)] - 1e-9:
-                at = i - window + 1
-                if at > end:
-                    if start >= 0:
-                        out.append((begin + start, begin + end))
-                    start = at
-                end = i + 1
+            if i < window - 1:
+                continue
+            entropy = math.log2(window) - total / window + 1e-9
+            if entropy < min(bits.values()):
+                continue
+            kind = char_class(counts)
+            if entropy < bits[kind]:
+                continue
+            at = i - window + 1
+            if kind in ("letters", "digits"):
+                if not looks_random(own[at : i + 1], kind, worded):
+                    continue
+            elif worded:
+                continue
+            if at > end:
+                if start >= 0:
+                    out.append((begin + start, begin + end))
+                start = at
+            end = i + 1
         if start >= 0:
             out.append((begin + start, begin + end))
     return out
