@@ -28,9 +28,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Least bits a character, by the class of the window's characters; letters and digits need the evidence of looks_random, too.
 BITS = {"digits": 2.7, "hex": 3.0, "letters": 3.6, "mixed": 3.6}
-#: Runs of separators are rules.
+#: Runs of separators are rules; a candidate is cut at them.
 RULED = re.compile(r"[-_=+/]{4,}")
-#: What marks an example. The last is the key of a vendor's manual.
+#: What marks an example; windows that touch it are explained. The last is the key of a vendor's manual.
 MARKED = re.compile(r"(?i)example|sample|dummy|placeholder|redacted|xxxx|wJalrXUtnFEMI/K7MDENG/bPxRfiCY")
 #: Whole pieces that look random and aren't: paths, identifiers in words, numbered placeholders.
 WORDED = re.compile(r"^(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,}|[0-9]{1,4})(?:[-_/+=]+(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,}|[0-9]{1,4}))*[-_/+=]*$")
@@ -78,15 +78,27 @@ def looks_random(own: str, kind: str, worded: bool) -> bool:
     return not worded and 10 * min(upper, lower) >= 3 * len(own) - 1e-9 and 10 * len(CASE_CHANGE.findall(own)) >= 3 * len(own)
 
 
+def pieces(text: str, window: int) -> Iterator[tuple[int, str]]:
+    """(start, piece) of the candidates, cut at rules; shorter ones than a window are left out."""
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for cut in RULED.finditer(text, m.start(), m.end()):
+            if cut.start() - at >= window:
+                yield at, text[at : cut.start()]
+            at = cut.end()
+        if m.end() - at >= window:
+            yield at, text[at : m.end()]
+
+
 def entropy_spans(text: str, window: int = WINDOW, bits: dict[str, float] = BITS) -> list[tuple[int, int]]:
     """Joined windows whose entropy reaches their class's bound and that no allow rule explains."""
     terms = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # a window and the letter that enters
     out: list[tuple[int, int]] = []
-    for m in CANDIDATE.finditer(text):
-        own, begin = m[0], m.start()
-        if any(rule.search(own) for rule in (RULED, MARKED, UUID)):
+    for begin, own in pieces(text, window):
+        if UUID.search(own):
             continue
         worded = WORDED.search(own) is not None
+        marks = [m.span() for m in MARKED.finditer(own)]
         counts: dict[str, int] = {}
         total = 0.0  # of c * log2(c)
         start = end = -1
@@ -116,6 +128,8 @@ def entropy_spans(text: str, window: int = WINDOW, bits: dict[str, float] = BITS
                     continue
             elif worded:
                 continue
+            if any(at < b and a <= i for a, b in marks):
+                continue
             if at > end:
                 if start >= 0:
                     out.append((begin + start, begin + end))
