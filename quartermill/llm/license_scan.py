@@ -12,6 +12,7 @@ states, so its time is words times states and no input makes it backtrack.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,6 +25,18 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+
+def _creative_commons() -> Iterator[tuple[str, str]]:
+    """The six licences by their names, in one word or two, and by their short names."""
+    wording = {"nc": ("noncommercial", "non commercial"), "sa": ("sharealike", "share alike"), "nd": ("noderivatives", "no derivatives", "noderivs", "no derivs")}
+    version = "[[1 0]] [[2 0]] [[2 5]] [[3 0]] [[4 0]] [[generic]] [[unported]] [[international]] [[public]] license"
+    for parts in ((), ("sa",), ("nc",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+        label = "-".join(("cc-by", *parts))
+        for words in itertools.product(*(wording[p] for p in parts)):
+            yield label, " ".join(("creative commons attribution", *words, version))
+        yield label, " ".join(("cc by", *parts, version))
+
+
 #: Notices by the wording licenses ask for.
 TEMPLATES = (
     ("mit", "[[this {{subject:4}}]] [[is]] {{verb:2}} under the [[terms of the]] mit license"),
@@ -37,11 +50,7 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "under the [[terms of the]] bsd [[2 clause]] [[3 clause]] license"),
     ("mpl-2", "mozilla public license [[v]] [[version]] 2 0"),
-    ("cc-by", "creative commons attribution [[4 0]] [[3 0]] [[international]] license"),
-    ("cc-by", "cc by [[4 0]] [[3 0]] license"),
-    ("cc-by-sa", "creative commons attribution share [[ ]] alike [[4 0]] [[3 0]] [[international]] license"),
-    ("cc-by-nc", "creative commons attribution non commercial [[4 0]] [[international]] license"),
-    ("cc-by-nc", "cc by nc [[4 0]] [[3 0]] license"),
+    *_creative_commons(),
     ("cc0", "cc0 1 0 universal"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved [[by {{holder:4}}]] [[no part of this {{work:2}} may be reproduced]]"),
