@@ -12,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows whose Python objects a worker holds at once.
+SLICE = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,6 +53,13 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.count = 0
+        target, files = self._files(self.root)
+        files.mkdirs(target)
+        files.deleteOnExit(target)  # what results still read goes when the driver ends
+
+    def _files(self, path: str) -> tuple:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         """Writes df and reads it again."""
@@ -63,21 +74,32 @@ class Scratch:
         """Deletes a table that keep() returned and that nothing reads any more."""
         path = self.paths.pop(id(df), None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            target, files = self._files(path)
+            files.delete(target, True)
 
 
 def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow; fn sees Arrow batches and must hold no more than a batch."""
+    """mapInArrow; fn sees Arrow batches of SLICE rows at most and must hold no more than a batch."""
     importable(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+
+    return df.mapInArrow(run, schema)
 
 
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, or name with as many underscores ahead as make it unlike every column's, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Memo(dict):
     """A cache of bounded size that computes what it lacks, in two generations: the older goes when the newer is full."""
 
