@@ -2,8 +2,12 @@
 
 DataFrame functions alone. A sketch is a histogram over integer buckets whose width grows with the value (an eighth of a power of
 two), so sketches merge by adding counts and don't depend on the order of rows; a language's sketch is the sum of its sources',
-the corpus' the sum of all. A group's fences lie a multiple of its quartile range beyond its quartiles. Groups with few documents
+the corpus' the sum of all. A group's fences lie RANGES times its quartile range beyond its quartiles. Groups with few documents
 take the language's fences, languages with few the corpus'. Documents meet the fences by a join on language and source.
+
+A rate is a count over a base, and a short text's count is subject to chance. So a document fails a fence only if its count is
+beyond what the fence says for its base by RANGES standard deviations of a Poisson count, taken by Anscombe's transform
+2 * sqrt(count + 3/8), whose deviation is 1. There are no cutoffs besides: what a rate allows comes from the sketches.
 """
 
 from __future__ import annotations
@@ -16,19 +20,25 @@ from quartermill.llm._common import Scratch, table
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Documents a group needs for fences of its own, and quartile ranges beyond the quartile.
+#: Documents a group needs for fences of its own; quartile ranges beyond the quartile, and deviations of a count beyond the fence.
 ENOUGH = 100
 RANGES = 3
-#: Rates, their slack beyond the fence, and whether low values fail too.
+#: Rates in sketch units: name, count, base, units to one, and whether low values fail too. A repeat has six words at least.
 RATES = (
-    ("word_length", "word_chars * 100 div n_words", 200, True),
-    ("symbols", "n_symbols * 1000 div n_words", 300, False),
-    ("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", 500, False),
-    ("repeats", "n_repeat_words * 1000 div n_words", 450, False),
-    ("capitals", "n_capitals * 1000 div greatest(word_chars, 1)", 300, False),
+    ("word_length", "word_chars", "n_words", 100, True),
+    ("symbols", "n_symbols", "n_words", 1000, False),
+    ("dup_lines", "n_dup_lines", "greatest(n_lines, 1)", 1000, False),
+    ("repeats", "n_repeat_words / 6", "n_words", 6000, False),
+    ("capitals", "n_capitals", "greatest(word_chars, 1)", 1000, False),
 )
 
 
+def _rate(count: str, base: str, units: int) -> str:
+    """The integer that a sketch takes."""
+    name, _, part = count.partition(" / ")
+    return f"{name} * {units // int(part or 1)} div {base}"
+
+
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that is computed once a row, though later functions refer to it many times."""
     return df.select("*", F.explode(F.array(value)).alias(name))
@@ -48,7 +58,10 @@ def measures(docs: DataFrame) -> DataFrame:
     rows = held(rows, "lines", F.struct(F.size(lines).alias("n"), F.size(F.array_distinct(lines)).alias("distinct")))
     word = lambda i: F.get("words", i)
     starts = F.when(F.size("words") >= 3, F.sequence(F.lit(0), F.size("words") - 3)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.struct(F.xxhash64(word(i), word(i + 1), word(i + 2)).alias("h"), i.alias("i")))
+    rows = held(rows, "hashes", F.transform(starts, lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))))
+    placed = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    windows = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), placed).otherwise(none)  # most texts repeat nothing: no sort
     rows = rows.select(
         "doc_id", "lang", "source",
         F.size("words").cast("long").alias("n_words"),
@@ -57,7 +70,7 @@ def measures(docs: DataFrame) -> DataFrame:
         _without(F.col("text"), LETTERS).cast("long").alias("n_capitals"),
         F.col("lines.n").cast("long").alias("n_lines"),
         (F.col("lines.n") - F.col("lines.distinct")).cast("long").alias("n_dup_lines"),
-        F.explode(F.array(F.sort_array(windows))).alias("windows"),
+        F.explode(F.array(windows)).alias("windows"),
     )
     twin = lambda x, k: (x["h"] == F.get("windows", k - 1)["h"]) | (x["h"] == F.get("windows", k + 1)["h"])
     repeated = F.sort_array(F.transform(F.filter("windows", lambda x, k: F.coalesce(twin(x, k), x["h"] == F.get("windows", k + 1)["h"], x["h"] == F.get("windows", k - 1)["h"], F.lit(False))), lambda x: x["i"]))
@@ -103,21 +116,27 @@ def judge(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "quality-rules")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = measures(docs).withColumn("base_failed", base)
-    rates = F.when(F.col("n_words") > 0, F.array(*(F.expr(rule) for _, rule, _, _ in RATES)))
+    rates = F.when(F.col("n_words") > 0, F.array(*(F.expr(_rate(count, base, units)) for _, count, base, units, _ in RATES)))
+    counts = F.array(*(F.struct(F.expr(count).cast("double").alias("count"), F.expr(base).cast("double").alias("base")) for _, count, base, _, _ in RATES))
     group = {"lang_key": F.struct(F.col("lang").isNull(), F.coalesce("lang", F.lit(""))), "source_key": F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))}
-    counted = counted.withColumn("rates", rates).withColumns({k: F.to_json(v) for k, v in group.items()})
+    counted = counted.withColumns({"rates": rates, "counts": counts}).withColumns({k: F.to_json(v) for k, v in group.items()})
     rows = scratch.keep(counted.drop("lang", "source", "n_lines", "n_capitals"))
     sketch = rows.where("rates IS NOT NULL").select("lang_key", "source_key", F.posexplode("rates").alias("metric", "x")).withColumn("b", bucket(F.col("x")))
     sketch = scratch.keep(sketch.groupBy("lang_key", "source_key", "metric", "b").agg(F.count("*").alias("n")))
-    by_group, by_lang, by_all = fences(sketch, ["lang_key", "source_key"], "own"), fences(sketch, ["lang_key"], "of_lang"), fences(sketch, [], "of_all")
-    groups = sketch.select("lang_key", "source_key").distinct().join(by_group, ["lang_key", "source_key"], "left").join(by_lang, "lang_key", "left").join(F.broadcast(by_all))
+    by_group, by_lang = fences(sketch, ["lang_key", "source_key"], "own"), fences(sketch, ["lang_key"], "of_lang")
+    of_all = fences(sketch, [], "of_all").first()  # one row: two numbers a rate
+    whole = F.array(*(F.struct(F.lit(f["metric"]).alias("metric"), F.lit(f["low"]).cast("long").alias("low"), F.lit(f["high"]).cast("long").alias("high")) for f in (of_all["of_all"] if of_all else ())))
+    whole = whole if of_all else F.lit(None).cast("array<struct<metric:int,low:bigint,high:bigint>>")
+    groups = sketch.select("lang_key", "source_key").distinct().join(by_group, ["lang_key", "source_key"], "left").join(by_lang, "lang_key", "left").withColumn("of_all", whole)
     fence = scratch.keep(groups.select("lang_key", "source_key", F.coalesce("own", "of_lang", "of_all").alias("fence")))
     met = rows.join(fence, ["lang_key", "source_key"], "left")
     tests = []
-    for k, (name, _, slack, both) in enumerate(RATES):
-        x, f = F.get("rates", F.lit(k)), F.get("fence", F.lit(k))
-        beyond = x > f["high"] + slack
-        tests.append(F.when((beyond | (x < f["low"] - slack)) if both else beyond, F.lit(name)))
+    root = lambda x: F.sqrt(x + F.lit(0.375))
+    for k, (name, _, _, units, both) in enumerate(RATES):
+        own, f = F.get("counts", F.lit(k)), F.get("fence", F.lit(k))
+        said = lambda side: F.greatest(f[side], F.lit(0)).cast("double") * own["base"] / F.lit(float(units))  # noqa: B023, E731
+        beyond = root(own["count"]) - root(said("high")) > RANGES / 2
+        tests.append(F.when(F.col("rates").isNotNull() & ((beyond | (root(said("low")) - root(own["count"]) > RANGES / 2)) if both else beyond), F.lit(name)))
     failed = F.array_join(F.array_compact(F.array(*tests)), ",")
     met = met.withColumn("failed", F.coalesce(failed, F.lit("")))
     return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("failed") == "")).alias("kept"), "failed")
@@ -128,7 +147,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-_RATE_SQL = ", ".join(f"({rule.replace(' div ', ' // ')}) AS r{k}" for k, (_, rule, _, _) in enumerate(RATES))
+_RATE_SQL = ", ".join(f"({_rate(count, base, units).replace(' div ', ' // ')}) AS r{k}, ({count})::DOUBLE AS c{k}, ({base})::DOUBLE AS b{k}" for k, (_, count, base, units, _) in enumerate(RATES))
 _BUCKET_SQL = "CASE WHEN x < 16 THEN x ELSE 16 + (length(bin(x)) - 5) * 8 + ((x >> (length(bin(x)) - 4)) & 7) END"
 
 
@@ -146,8 +165,10 @@ def _fence_sql(name: str, keys: str, least: int) -> str:
 {name} AS (SELECT {by}metric, {q1} - {RANGES} * ({q3} - {q1}) AS low, {q3} + {RANGES} * ({q3} - {q1}) AS high FROM {name}2)"""
 
 
-_TEST_SQL = "CASE " + " ".join(f"WHEN metric = {k} THEN x > high + {slack}" + (f" OR x < low - {slack}" if both else "") for k, (_, _, slack, both) in enumerate(RATES)) + " END"
-_NAME_SQL = "CASE " + " ".join(f"WHEN metric = {k} THEN '{name}'" for k, (name, _, _, _) in enumerate(RATES)) + " END"
+_UNITS_SQL = "CASE metric " + " ".join(f"WHEN {k} THEN {units}" for k, (_, _, _, units, _) in enumerate(RATES)) + " END::DOUBLE"
+_TEST_SQL = f"sqrt(c + 0.375::DOUBLE) - sqrt(greatest(high, 0)::DOUBLE * base / {_UNITS_SQL} + 0.375::DOUBLE) > {RANGES / 2}::DOUBLE"
+_TEST_SQL += f" OR (metric IN ({', '.join(str(k) for k, r in enumerate(RATES) if r[4])}) AND sqrt(greatest(low, 0)::DOUBLE * base / {_UNITS_SQL} + 0.375::DOUBLE) - sqrt(c + 0.375::DOUBLE) > {RANGES / 2}::DOUBLE)"
+_NAME_SQL = "CASE " + " ".join(f"WHEN metric = {k} THEN '{name}'" for k, (name, *_) in enumerate(RATES)) + " END"
 OP8_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
@@ -158,12 +179,12 @@ m AS (SELECT w.k, doc_id, lang, source, len(words)::BIGINT AS n_words, coalesce(
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_capitals,
         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN p USING (k)),
 r AS (SELECT *, {_RATE_SQL} FROM m WHERE n_words > 0),
-x AS (SELECT k, lang, source, unnest(range(0, {len(RATES)})) AS metric, unnest([{", ".join(f"r{k}" for k in range(len(RATES)))}]) AS x FROM r),
+x AS (SELECT k, lang, source, unnest(range(0, {len(RATES)})) AS metric, {", ".join(f"unnest([{', '.join(f'{c}{k}' for k in range(len(RATES)))}]) AS {name}" for c, name in (("r", "x"), ("c", "c"), ("b", "base")))} FROM r),
 sketch AS (SELECT lang, source, metric, {_BUCKET_SQL} AS b, count(*) AS n FROM x GROUP BY ALL),
 {_fence_sql("own", "lang, source", ENOUGH)},
 {_fence_sql("of_lang", "lang", ENOUGH)},
 {_fence_sql("of_all", "", 0)},
-f AS (SELECT x.k, x.metric, x.x, coalesce(own.low, of_lang.low, of_all.low) AS low, coalesce(own.high, of_lang.high, of_all.high) AS high
+f AS (SELECT x.k, x.metric, x.c, x.base, coalesce(own.low, of_lang.low, of_all.low) AS low, coalesce(own.high, of_lang.high, of_all.high) AS high
       FROM x LEFT JOIN own USING (lang, source, metric) LEFT JOIN of_lang USING (lang, metric) LEFT JOIN of_all USING (metric)),
 z AS (SELECT k, string_agg({_NAME_SQL}, ',' ORDER BY metric) AS failed FROM f WHERE {_TEST_SQL} GROUP BY k),
 y AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(failed, '') AS failed FROM m LEFT JOIN z USING (k))
