@@ -2,7 +2,8 @@
 
 A document has grade 0 to 2: a point for quality, a point for not being toxic. The model has one weight for each hashed feature of the text, shared by all
 grades, and ordered thresholds: P(grade >= g) = logistic(score - threshold g). The expected grade and the tail probability of
-the highest grade follow. It is fitted on a bounded sample of labelled rows and scores every whole text.
+the highest grade follow. It is fitted on a bounded sample of labelled rows and scores every whole text. Features are worked out
+where the texts are; the driver, which fits, gets those that enough rows of the sample have, no texts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartermill.llm._common import Memo, columns_of, map_texts, table
+from quartermill.llm._common import Memo, Scratch, columns_of, map_texts, table
 
 #: Labelled rows used to fit at most, features, rows that a feature must be in, and the share of highest-grade documents that selection may lose.
 SAMPLE_ROWS = 6000
@@ -64,11 +65,14 @@ class OrdinalModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, int]], grades: int = 3) -> OrdinalModel:
-        """On all rows; a model of two thirds of them, asked about the other third, sets the tail probability from which to keep."""
+        """rows: texts and grades."""
         memo = Memo(400_000, word_features)
-        every = [text_features(t, memo) for t, _ in rows]
-        grade = np.array([g for _, g in rows], np.int64)
-        held = np.arange(len(rows)) % 3 == 2
+        return cls.fit_features([text_features(t, memo) for t, _ in rows], np.array([g for _, g in rows], np.int64), grades)
+
+    @classmethod
+    def fit_features(cls, every: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, grades: int = 3) -> OrdinalModel:
+        """On all rows; a model of two thirds of them, asked about the other third, sets the tail probability from which to keep."""
+        held = np.arange(len(every)) % 3 == 2
         trial = cls._descend([every[i] for i in np.nonzero(~held)[0]], grade[~held], grades)
         model = cls._descend(every, grade, grades)
         best = np.nonzero(held & (grade == grades - 1))[0]
@@ -112,11 +116,41 @@ class OrdinalModel:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """From sample_rows labelled rows at most, chosen by a hash of doc_id. Rows without both ratings aren't used."""
+    """From sample_rows labelled rows at most, chosen by a hash of doc_id.
+
+    Labels without both ratings or a doc_id aren't used; a null text has no features. A doc_id with several labels or documents
+    gives a row for each pair, sample_rows in all. No labels: a model without weights.
+    """
+    scratch = Scratch(docs.sparkSession, "quality-model")
     rated = labels.where("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "grade").limit(2 * sample_rows).collect()
-    return OrdinalModel.fit([(r["text"], r["grade"]) for r in sorted(rows, key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["text"], r["grade"]))])
+    order = [F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), F.col("doc_id"), F.col("grade")]
+    chosen = rated.orderBy(*order).limit(sample_rows)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(chosen), "doc_id")  # sample_rows at most
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(300_000, word_features, lambda w: len(w) <= 100)
+        for batch in batches:
+            keys, hashes, grades, texts = columns_of(batch, "doc_id", "text_hash", "grade", "text")
+            own = [text_features(t or "", memo) for t in texts]
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(grades, pa.int32()), pa.array([x.tolist() for x, _ in own], pa.list_(pa.int32())), pa.array([x.tolist() for _, x in own], pa.list_(pa.float64()))], names=["doc_id", "text_hash", "grade", "ids", "weights"])
+
+    every = map_texts(rows, features, "doc_id long, text_hash long, grade int, ids array<int>, weights array<double>")
+    own = scratch.keep(every.orderBy(*order, "text_hash").limit(sample_rows).drop("text_hash"))
+    common = own.select(F.explode("ids").alias("id")).groupBy("id").count().where(F.col("count") >= LEAST_ROWS).select("id").collect()  # SIZE ids at most
+    known = np.zeros(SIZE, bool)
+    known[[r["id"] for r in common]] = True
+    shipped = docs.sparkSession.sparkContext.broadcast(known)
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, grades, ids, weights = columns_of(batch, "doc_id", "grade", "ids", "weights")
+            keep = [[k for k, x in enumerate(i) if shipped.value[x]] for i in ids]
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(grades, pa.int32()), pa.array([[i[k] for k in own] for i, own in zip(ids, keep)], pa.list_(pa.int32())), pa.array([[w[k] for k in own] for w, own in zip(weights, keep)], pa.list_(pa.float64()))], names=["doc_id", "grade", "ids", "weights"])
+
+    taken = map_texts(own, thinned, "doc_id long, grade int, ids array<int>, weights array<double>").collect()  # sample_rows rows
+    taken.sort(key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["grade"], r["ids"], r["weights"]))
+    scratch.drop(own)
+    return OrdinalModel.fit_features([(np.array(r["ids"], np.int64), np.array(r["weights"])) for r in taken], np.array([r["grade"] for r in taken], np.int64))
 
 
 def rate(docs: DataFrame, model: OrdinalModel) -> DataFrame:
