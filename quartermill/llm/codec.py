@@ -56,7 +56,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: the ids as little-endian 32-bit words, and the decoded text.
 
     A null text counts as empty. Rows with the same doc_id, or the same row twice, each give a row. Columns besides doc_id
-    and text aren't read. An empty table gives no rows. Narrow: ids and texts stay in the worker, row by row.
+    and text aren't read. An empty table gives no rows. Narrow: ids go from the encoder to the decoder part by part.
     """
     spec = shipped(docs.sparkSession, tokenizer)
 
@@ -66,10 +66,15 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             keys, texts = columns_of(batch, "doc_id", "text")
             sizes, own, back = [], [], []
             for text in texts:
-                ids = tables.encode(text or "")
-                sizes.append(len(ids))
-                own.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                back.append(hashlib.sha256(_decoded(tables, ids, spelled=True).encode()).hexdigest())
+                stream, n, of_ids, of_text = StreamDecoder(tables, spelled=True), 0, hashlib.sha256(), hashlib.sha256()
+                for ids in tables.encoded(text or ""):
+                    n += len(ids)
+                    of_ids.update(np.array(ids, "<u4").tobytes())
+                    of_text.update(stream.feed(ids).encode())
+                of_text.update(stream.finish().encode())
+                sizes.append(n)
+                own.append(of_ids.hexdigest())
+                back.append(of_text.hexdigest())
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_texts(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -40,7 +40,8 @@ def shipped(spark: SparkSession, path: str | None):
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), fit_chars of every row.
 
-    fit_chars: code points of the longest prefix of at most `limit` tokens, white space not counted.
+    fit_chars: code points of the text's prefix that has at most `limit` tokens and more with the next code point; the
+    text's length where all fits.
     A null text counts as empty: 0 bytes, 0 tokens. Rows with the same doc_id, or the same row twice, each give a row.
     Columns besides doc_id and text aren't read, whatever their names. An empty table gives no rows.
     Narrow: no shuffle; a worker holds one batch and caches of bounded size.
@@ -57,7 +58,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
                 prefixes = PrefixTable(tables, text)
                 sizes.append(len(text.encode()))
                 counts.append(prefixes.total)
-                fits.append(prefixes.fits(limit))
+                fits.append(prefixes.cut(limit))
             yield pa.record_batch(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(fits, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],

@@ -9,8 +9,10 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import os
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate, chain
 
 from quartermill.llm._common import Memo
@@ -20,6 +22,13 @@ NEVER = 1 << 60
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: The file's split pattern, for Latin-1 text in lower case and without white space.
 LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: How the file normalises and cuts texts; others are refused.
+LAYOUT = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    None,
+    None,
+)
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 WHITE = re.compile("[\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
@@ -39,11 +48,14 @@ class WordBpe:
 
         raw = json.loads(spec)
         model = raw["model"]
+        if (raw["normalizer"], raw["pre_tokenizer"], raw["post_processor"], raw["decoder"]) != LAYOUT or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+            raise ValueError("the tokenizer file cuts texts in another way than this encoder")
         self.library = Tokenizer.from_str(spec)
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in raw["added_tokens"]}
         self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.special_hint = os.path.commonprefix(list(self.special))
         self.surface = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
         self.rank: dict[int, int] = {}  # by left << 20 | right
@@ -75,7 +87,7 @@ class WordBpe:
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at special strings; True marks one."""
-        if not self.special_re or "<|" not in text:
+        if not self.special_re or self.special_hint not in text:
             return [(text, False)]
         return [(x, x in self.special) for x in self.special_re.split(text) if x]
 
@@ -281,14 +293,21 @@ class WordBpe:
         own = [self.piece_ids[x] for x in self.pieces(chunk)]
         return own[0] if len(own) == 1 else tuple(i for x in own for i in x)
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encoded(self, text: str, size: int = 1 << 16) -> Iterator[list[int]]:
+        """The ids, as many at a time as about `size` letters give; cut at white space, where no token crosses."""
         for part, special in self.parts(text):
             if special:
-                out.append(self.special[part])
-            else:
-                out += chain.from_iterable(map(self.chunk_ids.__getitem__, self.chunks(part)))
-        return out
+                yield [self.special[part]]
+                continue
+            at = 0
+            while at < len(part):
+                cut = WHITE.search(part, at + size) if at + size < len(part) else None
+                to = cut.start() if cut else len(part)
+                yield list(chain.from_iterable(map(self.chunk_ids.__getitem__, self.chunks(part[at:to]))))
+                at = to
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.encoded(text)))
 
 
 class StreamEncoder:
@@ -358,7 +377,7 @@ class PrefixTable:
     """
 
     def __init__(self, tables: WordBpe, text: str):
-        self.tables = tables
+        self.tables, self.text = tables, text
         self.units = [(x, special) for part, special in tables.parts(text) for x in ([part] if special else tables.chunks(part))]
         self.plain = not text or max(text) < "\u0100"
         self.totals = list(accumulate((1 if special else tables.chunk_total[x] for x, special in self.units), initial=0))
@@ -381,6 +400,36 @@ class PrefixTable:
             chars += max((p + 1 for p, c in enumerate(row) if c <= left), default=0)
         return chars
 
+    def cut(self, budget: int) -> int:
+        """Code points of a prefix of the text itself that has at most budget tokens, and more with the next code point.
+
+        All of the text if it fits. In a chunk whose normal form has another length, the place is sought from the normal form's.
+        """
+        n = bisect_right(self.totals, budget) - 1
+        if n >= len(self.units):
+            return len(self.text)
+        at = self._starts()[n]
+        unit, special = self.units[n]
+        if special:
+            return at
+        left, total = budget - self.totals[n], self.tables.chunk_total
+        q = min(len(unit), max((p + 1 for p, c in enumerate(self.tables.chunk_prefixes(unit)) if c <= left), default=0))
+        if not self.plain:
+            while q and total[unit[:q]] > left:
+                q -= 1
+            while q < len(unit) and total[unit[: q + 1]] <= left:
+                q += 1
+        return at + q
+
+    def _starts(self) -> list[int]:
+        """Where each unit begins in the text."""
+        out, at = [], 0
+        for unit, _ in self.units:
+            at = self.text.index(unit, at)
+            out.append(at)
+            at += len(unit)
+        return out
+
     def at(self, chars: int) -> int:
         """Tokens of the prefix of so many code points, chunks counted without the white space between."""
         for n, size in enumerate(self.lengths()):
