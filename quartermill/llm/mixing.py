@@ -3,7 +3,8 @@
 Each source's documents are shuffled by a digest of doc_id and laid end to end; the stream is cut into blocks of BLOCK words.
 Slot i of the mix has the point frac(i * golden ratio), in 32-bit integers; mapped through the sources' cumulative weights it
 names a source, and the slot's rank among that source's slots names the block: block rank modulo the number of blocks. What
-the points leave over at the end, a few slots a source, is appended, so every source gets its words exactly.
+the points leave over at the end, a few slots a source, is appended, so every source gets its words exactly. scheduled() gives the
+mix itself, block after block; what a document gives to it is summed from that.
 
 Hot sources are spread: offsets come from sums of BUCKETS shuffle buckets, ranks from counts of slot chunks.
 """
@@ -15,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quartermill.llm._common import Scratch, table
+from quartermill.llm._common import Scratch, free_name, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
@@ -29,9 +30,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def digest(doc_id: Column) -> Column:
-    """60 bits of the doc_id's MD5: the shuffle order."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def digest(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of doc_id, or of the text where there is none: the shuffle order."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def in_order(df: DataFrame, scratch: Scratch, *order: Column) -> tuple[DataFrame, DataFrame]:
@@ -122,18 +123,14 @@ def schedule(sources: DataFrame, scratch: Scratch) -> DataFrame:
     return taken.select("slot", "sid", block.alias("block"), F.least(F.lit(BLOCK), F.col("source_size") - block * BLOCK, F.col("goal") - start).alias("words"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, floor: float = 0.0, cap: float = 2.0) -> DataFrame:
-    """doc_id, size, text_hash, source_size, target, taken of every row.
+ROW = ["doc_id", "no_source", "src", "size", "text_hash", "source_size", "target"]
 
-    size: words of the text (null: 0). Sources, by code point and null last, have the weights in turn and share `share` of all
-    sizes, each held between floor and cap times its own size. taken: words the schedule takes, repeats counted, so a document
-    has cap times its size at most, and the taken words of a source are its target, rounded. Documents of size 0 are never
-    taken. Equal rows are rows of their own and may be taken differently; which of them is which doesn't show. Columns besides
-    doc_id, text and source aren't read. An empty table gives no rows. Reruns agree.
-    """
+
+def _held(docs: DataFrame, weights: tuple[int, ...], share: float, floor: float, cap: float) -> tuple[DataFrame, DataFrame]:
+    """Each row's place in its source's stream (ROW, sid, at), and its pieces by slot (ROW, sid, at, slot, first, words); without a slot words is 0."""
     scratch = Scratch(docs.sparkSession, "mixing")
     source = F.col("source")
-    rows = docs.select("doc_id", source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("src"), word_count(F.col("text")).alias("size"), digest(F.col("doc_id")).alias("h"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select("doc_id", source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("src"), word_count(F.col("text")).alias("size"), digest(F.col("doc_id"), F.col("text")).alias("h"), F.xxhash64("text").alias("text_hash"))
     rows = scratch.keep(rows.withColumn("bucket", F.shiftright("h", 60 - BUCKETS_BITS).cast("int")))
     sources = plan(rows, scratch, weights, share, floor, cap)
     slots = schedule(sources, scratch)
@@ -142,28 +139,52 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     before = F.coalesce(F.sum("n").over(Window.partitionBy("no_source", "src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     buckets = scratch.keep(sums.withColumn("before", before).join(sources.select("no_source", "src", "sid", "source_size", "target"), ["no_source", "src"]).drop("n"))
     running = F.sum("size").over(Window.partitionBy(*key).orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    laid = rows.join(buckets, key).withColumn("at", F.col("before") + running - F.col("size")).select("doc_id", "size", "text_hash", "sid", "source_size", "target", "at")
-    pieces = laid.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {BLOCK}"), F.expr(f"(at + size - 1) div {BLOCK}"))).otherwise(F.array(F.lit(-1).cast("long")))))
+    laid = scratch.keep(rows.join(buckets, key).withColumn("at", F.col("before") + running - F.col("size")).select(*ROW, "sid", "at"))
+    pieces = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {BLOCK}"), F.expr(f"(at + size - 1) div {BLOCK}"))))
     begin = F.greatest(F.col("at") - F.col("block") * BLOCK, F.lit(0))
     end = F.least(F.col("at") + F.col("size") - F.col("block") * BLOCK, F.lit(BLOCK))
-    held = pieces.withColumns({"begin": begin, "end": end}).join(slots, ["sid", "block"], "left")
-    words = F.greatest(F.least("end", F.coalesce("words", F.lit(0))) - F.col("begin"), F.lit(0))
-    taken = held.groupBy("sid", "at", "doc_id", "size", "text_hash", "source_size", "target").agg(F.sum(F.when(F.col("size") > 0, words).otherwise(0)).alias("taken"))
-    whole = taken.where("size > 0")
-    none = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    columns = ["doc_id", "size", "text_hash", "source_size", "target", "taken"]
-    return whole.select(*columns).unionByName(none.select(*columns))
+    met = pieces.withColumns({"begin": begin, "end": end}).join(slots.withColumnRenamed("words", "upto"), ["sid", "block"], "left")
+    words = F.greatest(F.least("end", F.coalesce("upto", F.lit(0))) - F.col("begin"), F.lit(0))
+    return laid, met.select(*ROW, "sid", "at", "slot", F.greatest(F.col("block") * BLOCK - F.col("at"), F.lit(0)).alias("first"), words.alias("words"))
+
+
+def scheduled(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, floor: float = 0.0, cap: float = 2.0) -> DataFrame:
+    """The mix: slot, source, doc_id, text_hash, first (word of the document, from 0) and words of each piece; sorted by slot and place it is the corpus.
+
+    Slots are blocks of BLOCK words of one source, a source's last one shorter; a block that spans documents has a row for each.
+    """
+    held = _held(docs, weights, share, floor, cap)[1]
+    return held.where("slot IS NOT NULL AND words > 0").select("slot", "at", F.when(~F.col("no_source"), F.col("src")).alias("source"), "doc_id", "text_hash", "first", "words")
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], share: float, floor: float, cap: float) -> DataFrame:
+    """ROW and taken of every row."""
+    laid, held = _held(docs, weights, share, floor, cap)
+    whole = held.groupBy(*ROW, "sid", "at").agg(F.sum("words").alias("taken")).select(*ROW, "taken")
+    return whole.unionByName(laid.where("size = 0").select(*ROW, F.lit(0).cast("long").alias("taken")))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, floor: float = 0.0, cap: float = 2.0) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row.
+
+    size: words of the text (null: 0). Sources, by code point and null last, have the weights in turn and share `share` of all
+    sizes, each held between floor and cap times its own size. taken: words the schedule takes, repeats counted, so a document
+    has cap times its size at most, and the taken words of a source are its target, rounded. Documents of size 0 are never
+    taken. Equal rows are rows of their own and may be taken differently; which of them is which doesn't show. Columns besides
+    doc_id, text and source aren't read. An empty table gives no rows. Reruns agree.
+    """
+    return _taken(docs, weights, share, floor, cap).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed, weights 3, 1, 2 in turn, to 150 % of all words."""
-    return mix(table(spark, sf_dir, "documents")).drop("text_hash")
+    return mix(table(spark, sf_dir, "documents"))
 
 
 OP1_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
 w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, sum(source_size) OVER () AS total FROM s),
@@ -192,25 +213,41 @@ SELECT doc_id, size, source_size, target, taken FROM f UNION ALL SELECT doc_id,
 """
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its nth word, white space as it stands."""
+    gaps, words = F.split(text, WORDS), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+    return F.array_join(F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(words, F.lit(1), n), lambda gap, word: F.concat(gap, word)), "")
+
+
 def documents_mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it, never less than once nor more than twice.
 
-    A last repeat that is taken in part holds the first words of its text, a space between. Rows without a word stay as they are.
-    Columns of docs stay; n_chars follows a shortened text where it is a column.
+    A last repeat that is taken in part holds the text up to the last word taken. Rows without a word stay as they are. Rows alike
+    in doc_id, source and text are rows of their own. Columns of docs stay, whatever their names; n_chars follows a shortened
+    text where it is a column.
     """
-    taken = mix(docs, weights, share, floor=1.0).groupBy("doc_id", "size", "text_hash").agg(F.sum("taken").alias("_qm_sum"), F.count("*").alias("_qm_rows"))
-    taken = taken.select(F.col("doc_id").alias("_qm_id"), F.col("size").alias("_qm_size"), F.col("text_hash").alias("_qm_hash"), F.expr("_qm_sum div _qm_rows").alias("_qm_taken"))
-    own = docs.withColumns({"_qm_hash2": F.xxhash64("text"), "_qm_key": F.col("doc_id")})
-    held = own.join(taken, own["_qm_key"].eqNullSafe(taken["_qm_id"]) & (own["_qm_hash2"] == taken["_qm_hash"]))
-    full = F.when(F.col("_qm_size") > 0, F.expr("_qm_taken div greatest(_qm_size, 1)")).otherwise(1).cast("int")
-    rest = F.when(F.col("_qm_size") > 0, F.expr("_qm_taken % greatest(_qm_size, 1)")).otherwise(0).cast("int")
-    pieces = F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = held.withColumn("_qm_part", F.explode(pieces))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), 1, F.greatest(F.col("_qm_part"), F.lit(1))), " ")
-    rows = rows.withColumn("text", F.when(F.col("_qm_part") > 0, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_qm_part") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "mixed")
+    names = docs.columns
+    key, of_source, text_hash, size, taken, copy, part = (free_name(n, names) for n in ("mix_id", "mix_source", "mix_hash", "mix_size", "mix_taken", "mix_copy", "mix_part"))
+    given = _taken(docs, weights, share, 1.0, 2.0).select(F.col("doc_id").alias(key), F.when(~F.col("no_source"), F.col("src")).alias(of_source), F.col("text_hash").alias(text_hash), F.col("size").alias(size), F.col("taken").alias(taken))
+    given = scratch.keep(given)
+    repeated = given.groupBy(key, of_source, text_hash).count().where("count > 1").take(1)
+    number = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) if repeated else F.lit(1)
+    given = given.withColumn(copy, number([key, of_source, text_hash], [F.desc(taken)]))
+    own_hash, own_copy = free_name("own_hash", names), free_name("own_copy", names)
+    own = docs.withColumn(own_hash, F.xxhash64("text"))
+    own = own.withColumn(own_copy, number(["doc_id", "source", own_hash], [F.xxhash64(*names)]))
+    same = own["doc_id"].eqNullSafe(given[key]) & own["source"].eqNullSafe(given[of_source]) & (own[own_hash] == given[text_hash]) & (own[own_copy] == given[copy])
+    held = own.join(given, same)
+    some = F.col(size) > 0
+    full = F.when(some, F.expr(f"{taken} div greatest({size}, 1)")).otherwise(1).cast("int")
+    rest = F.when(some, F.expr(f"{taken} % greatest({size}, 1)")).otherwise(0).cast("int")
+    rows = held.withColumn(part, F.explode(F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
+    cut = F.col(part) > 0
+    rows = rows.withColumn("text", F.when(cut, first_words(F.col("text"), F.greatest(F.col(part), F.lit(1)))).otherwise(F.col("text")))
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*names)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
