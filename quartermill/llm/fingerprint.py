@@ -4,15 +4,16 @@ The canonical text is the Unicode compatibility form, case folded, white space f
 128-bit xxHash. Documents of equal hash form a bucket; inside it each canonical text is compared with the bucket's first byte for
 byte, and one that differs gets a longer fingerprint, so fingerprints are equal exactly when canonical texts are.
 
-Texts travel once, compressed, to range buckets of doc_id, where each meets the next; the first document of each bucket is sent
-to the one before as well. Only documents that share a hash leave their canonical text behind for the comparison.
+Texts travel once, compressed, to range buckets of doc_id and text hash, as many as their bytes ask for, where each meets the next;
+the first document of each bucket is sent to the one before as well. Only documents that share a hash leave their canonical text
+behind for the comparison.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from quartermill.llm._common import Scratch, columns_of, map_texts, table
 
+#: Bytes of text for a bucket.
+BUCKET_BYTES = 64 << 20
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -44,14 +47,14 @@ def edited(text: str, following: str) -> str:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and fingerprint (before any comparison) of every row."""
+    """doc_id, text_hash, bytes and fingerprint (before any comparison) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes, texts = columns_of(batch, "doc_id", "text_hash", "text")
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array([digest(canonical(t or "")) for t in texts], pa.string())], names=["doc_id", "text_hash", "fp"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([digest(canonical(t or "")) for t in texts], pa.string())], names=["doc_id", "text_hash", "size", "fp"])
 
-    return map_texts(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), run, "doc_id long, text_hash long, fp string")
+    return map_texts(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), run, "doc_id long, text_hash long, size long, fp string")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
@@ -64,30 +67,28 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "fingerprint")
     own = scratch.keep(digests(docs))
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = own.agg(F.percentile_approx("doc_id", F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(10000))).first()[0]
-    cuts = sorted(set(cuts or []))  # parts - 1 at most
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, hashes = columns_of(batch, "doc_id", "text_hash")
-            yield pa.record_batch([pa.array([-1 if k is None else bisect_left(cuts, k) for k in keys], pa.int32()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["bucket", "doc_id", "text_hash"])
-
-    placed = map_texts(own.select("doc_id", "text_hash"), place, "bucket int, doc_id long, text_hash long")
-    firsts = [(r["bucket"], r["first"]["doc_id"], r["first"]["text_hash"]) for r in placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).orderBy("bucket").collect()]
-    ahead = {(key, text_hash): firsts[n - 1][0] for n, (_, key, text_hash) in enumerate(firsts)}  # the first document of all goes to the last bucket
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(own.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
+    ranged = own.select("doc_id", "text_hash").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc())
+    starts = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).collect()  # a row a bucket
+    order = lambda key, text_hash: (key is not None, key or 0, text_hash)
+    starts = sorted(order(*r["first"]) for r in starts)
+    # by the first document of a bucket, the bucket before it; the first of all goes to the last
+    ahead = {first: (n - 1) % len(starts) for n, first in enumerate(starts)}
+    shipped = spark.sparkContext.broadcast((starts, ahead))  # three numbers a bucket
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
+        starts, ahead = shipped.value
         for batch in batches:
             rows = []
             for key, text_hash, text in zip(*columns_of(batch, "doc_id", "text_hash", "text")):
                 packed = pack((text or "").encode())
-                rows.append((-1 if key is None else bisect_left(cuts, key), 0, key, 1, text_hash, packed))
-                if (key, text_hash) in ahead:
-                    rows.append((ahead[key, text_hash], 1, key, 1, text_hash, packed))
+                own = order(key, text_hash)
+                rows.append((bisect_right(starts, own) - 1, 0, key, 1, text_hash, packed))
+                if own in ahead:
+                    rows.append((ahead[own], 1, key, 1, text_hash, packed))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "ahead", "doc_id", "kind", "text_hash", "packed"])
 
@@ -99,8 +100,8 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes, firsts = columns_of(batch, "doc_id", "text_hash", "is_first")
-            n = len(keys)
-            yield pa.record_batch([pa.array([-1 if k is None else bisect_left(cuts, k) for k in keys], pa.int32()), pa.array([0] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array([0] * n, pa.int32()), pa.array(hashes, pa.int64()), pa.array([b"first" if f else b"" for f in firsts], pa.binary())], names=["bucket", "ahead", "doc_id", "kind", "text_hash", "packed"])
+            n, starts = len(keys), shipped.value[0]
+            yield pa.record_batch([pa.array([bisect_right(starts, order(k, h)) - 1 for k, h in zip(keys, hashes)], pa.int32()), pa.array([0] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array([0] * n, pa.int32()), pa.array(hashes, pa.int64()), pa.array([b"first" if f else b"" for f in firsts], pa.binary())], names=["bucket", "ahead", "doc_id", "kind", "text_hash", "packed"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -139,7 +140,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
 
-    gathered = sent.unionByName(map_texts(marked, mark, schema)).repartitionById(parts, F.greatest(F.col("bucket"), F.lit(0))).sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "kind", "text_hash")
+    gathered = sent.unionByName(map_texts(marked, mark, schema)).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "kind", "text_hash")
     met = scratch.keep(map_texts(gathered, meet, RESULT + ", is_first boolean, canonical binary"))
     return _compared(met, scratch)
 
