@@ -289,9 +289,10 @@ LEAST_PATTERN = 10
 MISS = 0.01
 #: The largest share of differing bits of sets at a similarity of 0.8: four shingles and the same with a fifth, 3 of 16.
 WORST_SHARE = 3 / 16
-#: Fingerprints, and shingles, that one task compares with each other; a larger group is searched in parts.
+#: Fingerprints, and shingles and sets, that one task compares with each other; a larger group is searched in parts.
 TILE = 4096
 CHUNK = 2_000_000
+CHUNK_SETS = 512
 
 
 def allowed_bits(similarity: float, bits: int = 64 * LANES) -> int:
@@ -520,8 +521,9 @@ def verified_links(docs: DataFrame, members: DataFrame, shingle: int, similarity
 
     members: node, n (its shingles), root (its group), first (doc_id and text_hash of a row that has the set).
     """
+    weight = F.greatest("n", F.lit(CHUNK // CHUNK_SETS)).cast("long")
     texts = perhaps_in(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), members.select(F.col("first.text_hash").alias("text_hash")))
-    wanted = members.select(F.col("root").alias("key"), "node", F.col("n").alias("weight"), F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    wanted = members.select(F.col("root").alias("key"), "node", weight.alias("weight"), F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     met = wanted.join(texts, (wanted["first_hash"] == texts["text_hash"]) & wanted["first_id"].eqNullSafe(texts["doc_id"])).select("key", "node", "weight", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -530,7 +532,7 @@ def verified_links(docs: DataFrame, members: DataFrame, shingle: int, similarity
             yield pa.record_batch([*(batch.column(k) for k in range(3)), pa.array([shingle_set(t, shingle).astype("<u8").tobytes() for t in texts], pa.binary())], names=["key", "node", "weight", "payload"])
 
     rows = scratch.keep(map_texts(met, pack, "key long, node long, weight long, payload binary"))
-    sizes = members.select(F.col("root").alias("key"), F.col("n").alias("weight"))
+    sizes = members.select(F.col("root").alias("key"), weight.alias("weight"))
     return grouped_links(rows, sizes, CHUNK, set_links(similarity), scratch)
 
 
