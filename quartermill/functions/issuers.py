@@ -1,82 +1,218 @@
-"""Issuers' statements by configuration: how a row is laid out, which labels name a metric or segment, and what follows from what.
+"""Issuers' statements by configuration: how a row is laid out, which labels or sentences tell a metric or segment, and what follows from what.
 
-A layout says where, among the numbers after a label, the current value and the one of a year before stand. New issuers are rows
-of ISSUERS; there is no code for one.
+An issuer has variants, each for the texts with its markers; the first variant that finds a metric gives it, the generic parser what is
+left. New issuers and variants are rows of ISSUERS; there is no code for one.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartermill.functions.extract import NUMBER, parse_materials, quoted
+from quartermill.functions.extract import METRIC, MONEY, NUMBER, accepted, bound, change, parse_materials, percent_metric, quoted, row_both_changes, row_five_percents, row_five_quarters, row_pair, row_three_columns, row_with_percent, tail, tokens
 from quartermill.functions.numbers import parsed
+from quartermill.functions.text import has_any
+from quartermill.operators.structure import RATIO_BOUNDS
+
+
+class Sentence(NamedTuple):
+    """A pattern and its groups: value, change, and the word that says the change's direction; unit: billions a one of the value."""
+
+    pattern: str
+    value: int = 1
+    pct: int | None = None
+    way: int | None = None
+    unit: float = 1.0
+
+
+class Variant(NamedTuple):
+    """metrics, segments: labels by name; percents: labels of percentages; sentences, segment_sentences: patterns by name; derived: (name, expression over structs)."""
+
+    layout: str
+    metrics: dict[str, tuple[str, ...]]
+    segments: dict[str, tuple[str, ...]] = {}
+    percents: dict[str, tuple[str, ...]] = {}
+    sentences: dict[str, Sentence] = {}
+    segment_sentences: dict[str, Sentence] = {}
+    derived: tuple[tuple[str, str], ...] = ()
+    markers: tuple[str, ...] = ()
+    unit: float = 0.001
+
+
+def _first_and_last(text: Column, label: str, unit: float) -> Column:
+    """Five quarters, this one first, then two changes, of which the second is the year's."""
+    piece = tail(text, label, MONEY * 5 + r"\s+[—()0-9-]+\s+[()0-9-]+")
+    return bound(tokens(piece, rf"\(?-?{NUMBER}\)?|—"), lambda t: F.when(F.size(t) > 0, F.struct((F.get(t, F.lit(0)) * unit).alias("value"), (F.get(t, F.lit(4)) * unit).alias("prior"), accepted(F.get(t, F.lit(0)), F.get(t, F.lit(4)), F.get(t, F.lit(6))).alias("yoy")).cast(METRIC)))
+
+
+def _beside_percents(text: Column, label: str, unit: float) -> Column:
+    """This quarter and the one a year before, a percentage of revenue behind each."""
+    piece = tail(text, label, rf"{MONEY}\s+[0-9]+{MONEY}\s+[0-9]+")
+    return bound(tokens(piece), lambda t: F.when(F.size(t) >= 4, F.struct((F.get(t, F.lit(0)) * unit).alias("value"), (F.get(t, F.lit(2)) * unit).alias("prior"), change(F.get(t, F.lit(0)), F.get(t, F.lit(2))).alias("yoy")).cast(METRIC)))
 
-#: Positions of (now, a year before, the quarter before or none) among a row's numbers.
+
+def _both(text: Column, label: str, unit: float) -> Column:
+    return bound(row_both_changes(text, label, unit), lambda m: F.when(m.isNotNull(), F.struct(m["value"].alias("value"), m["prior"].alias("prior"), m["yoy"].alias("yoy")).cast(METRIC)))
+
+
+#: How a row's numbers are read: now and a year before, by layout.
 LAYOUTS = {
-    "pair": (0, 1, None),
-    "reversed": (1, 0, None),
-    "five_quarters": (4, 0, 3),
-    "five_values": (0, 2, 1),
-    "three_columns": (0, 2, 1),
-}
-#: Layout, labels by metric, labels by segment, and derived columns (name, expression) of each issuer.
-ISSUERS = {
-    "apple": ("pair", {"revenue": ["Total net sales"], "operating_income": ["Operating income"], "net_income": ["Net income"]}, {"iPhone": ["iPhone"], "Mac": ["Mac"], "iPad": ["iPad"], "Wearables": ["Wearables, Home and Accessories"], "Services": ["Services"]}, ()),
-    "microsoft": ("pair", {"revenue": ["Total revenue"], "cost": ["Total cost of revenue"], "operating_income": ["Operating income"], "net_income": ["Net income"]}, {"Productivity": ["Productivity and Business Processes"], "Cloud": ["Intelligent Cloud"], "Personal": ["More Personal Computing"]}, (("gross_margin", "(revenue.value - cost.value) / revenue.value * 100"),)),
-    "alphabet": ("pair", {"revenue": ["Revenues", "Total revenues"], "operating_income": ["Operating income"], "net_income": ["Net income"]}, {"Services": ["Google Services"], "Cloud": ["Google Cloud"], "Other Bets": ["Other Bets"]}, ()),
-    "amazon": ("reversed", {"revenue": ["Total net sales"], "operating_income": ["Operating income"], "net_income": ["Net income"]}, {"North America": ["North America"], "International": ["International"], "AWS": ["AWS"]}, ()),
-    "meta": ("pair", {"revenue": ["Total revenue", "Revenue"], "operating_income": ["Income from operations"], "net_income": ["Net income"]}, {"Family of Apps": ["Family of Apps"], "Reality Labs": ["Reality Labs"]}, ()),
-    "nvidia": ("five_values", {"revenue": ["Revenue"], "operating_income": ["Operating income"], "net_income": ["Net income"]}, {"Data Center": ["Data Center"], "Gaming": ["Gaming"]}, ()),
-    "tesla": ("five_quarters", {"revenue": ["Total revenues"], "operating_income": ["Income from operations"], "net_income": ["Net income attributable to common stockholders"]}, {"Automotive": ["Total automotive revenues"], "Energy": ["Energy generation and storage revenue"], "Services": ["Services and other revenue"]}, ()),
-    "micron": ("three_columns", {"revenue": ["Revenue"], "operating_income": ["Operating income"], "net_income": ["Net income"]}, {"Cloud": ["CMBU"], "Data Center": ["CDBU"], "Mobile": ["MCBU"], "Embedded": ["AEBU"]}, ()),
-    "asml": ("three_columns", {"revenue": ["Total net sales"], "installed_base": ["Installed Base Management sales"], "net_income": ["Net income"]}, {}, (("system_sales", "revenue.value - installed_base.value"),)),
-    "costco": ("pair", {"revenue": ["Total revenue"], "operating_income": ["Operating income"], "net_income": ["Net income"]}, {"Sales": ["Net sales"], "Fees": ["Membership fees"]}, ()),
+    "pair": lambda text, label, unit: F.coalesce(row_with_percent(text, label, unit), row_pair(text, label, unit)),
+    "reversed": lambda text, label, unit: F.coalesce(row_with_percent(text, label, unit, 1, 0), row_pair(text, label, unit, 1, 0)),
+    "five_quarters": row_five_quarters,
+    "three_columns": row_three_columns,
+    "both_changes": lambda text, label, unit: F.coalesce(_both(text, label, unit), row_three_columns(text, label, unit)),
+    "first_of_five": _first_and_last,
+    "beside_percents": _beside_percents,
 }
+_GROWTH = r"an? (increase|decrease) of ([0-9.]+)%"
+_MARGIN = (("gross_margin", "(revenue.value - cost.value) / revenue.value * 100"),)
+#: Labels, sentences and layouts of each issuer.
+ISSUERS: dict[str, tuple[Variant, ...]] = {
+    "apple": (
+        Variant("pair", {"revenue": ("Total net sales",), "operating_income": ("Operating income",), "net_income": ("Net income",)}, {"iPhone": ("iPhone and related products and services", "iPhone"), "iPad": ("iPad and related products and services",), "Mac": ("Total Mac net sales",), "Music": ("Other music related products and services",), "Software": ("Software, service and other sales", "Software, service, and other sales")}, {"gross_margin": ("Gross margin percentage",)}, markers=("iPhone and related products and services", "Other music related products and services", "Total Mac net sales")),
+        Variant("pair", {"revenue": ("Total net sales",), "operating_income": ("Operating income",), "net_income": ("Net income",)}, {"iPhone": ("iPhone",), "Mac": ("Mac",), "iPad": ("iPad",), "Wearables, Home and Accessories": ("Wearables, Home and Accessories",), "Services": ("Services",)}, {"gross_margin": ("Total gross margin percentage",)}),
+    ),
+    "microsoft": (Variant("pair", {"revenue": ("Total revenue",), "cost": ("Total cost of revenue",), "operating_income": ("Operating income",), "net_income": ("Net income",)}, {n: (n,) for n in ("Productivity and Business Processes", "Intelligent Cloud", "More Personal Computing")}, derived=_MARGIN),),
+    "alphabet": (
+        Variant("reversed", {"revenue": ("Revenues", "Total revenues"), "operating_income": ("Operating income",), "net_income": ("Net income",)}, {"Google Search & other": ("Google Search & other",), "YouTube ads": ("YouTube ads",), "Google Network": ("Google Network Members' properties", "Google Network"), "Google Cloud": ("Google Cloud",), "Google subscriptions, platforms, and devices": ("Google other", "Google subscriptions, platforms, and devices"), "Other Bets": ("Other Bets revenues", "Other Bets")}),
+        Variant("reversed", {}, {"Google properties": ("Google properties revenues",), "Google Network": ("Google Network Members' properties revenues",), "Google other": ("Google other revenues",), "Other Bets": ("Other Bets revenues",)}),
+    ),
+    "amazon": (
+        Variant("reversed", {"revenue": ("Total net sales",), "operating_income": ("Operating income",), "net_income": ("Net income",)}, {n: (f"{n} Net sales",) for n in ("North America", "International", "AWS")}),
+        Variant("reversed", {}, {n: (n,) for n in ("North America", "International", "AWS")}),
+    ),
+    "meta": (Variant("pair", {"revenue": ("Total revenue", "Revenue"), "operating_income": ("Income from operations",), "net_income": ("Net income",)}, {n: (n,) for n in ("Family of Apps", "Reality Labs")}),),
+    "nvidia": (
+        Variant("both_changes", {"revenue": ("Revenue",), "operating_income": ("Operating income",), "net_income": ("Net income",)}, {"Gaming": ("Gaming",), "Professional Visualization": ("Professional Visualization",), "Data Center": ("Datacenter", "Data Center"), "Automotive": ("Automotive",), "OEM and Other": ("OEM and IP",)}, {"gross_margin": ("Gross margin",)}, markers=("Revenue by Market Platform", "OEM and IP")),
+        Variant("both_changes", {"revenue": ("Revenue",), "operating_income": ("Operating income",), "net_income": ("Net income",)}, percents={"gross_margin": ("Gross margin",)}, segment_sentences={
+            "Data Center": Sentence(r"Data Center.{0,120}?quarter revenue was (?:a record )?\$([0-9.]+) billion, up ([0-9]+)% from the previous quarter and up ([0-9]+)% from a year ago", 1, 3),
+            "Gaming": Sentence(r"quarter Gaming revenue was \$([0-9.]+) billion, up ([0-9]+)% from a year ago", 1, 2),
+            "Professional Visualization": Sentence(r"Professional Visualization.{0,60}?quarter revenue was \$([0-9.]+) billion, up ([0-9]+)% from the previous quarter and up ([0-9]+)% from a year ago", 1, 3),
+            "Automotive": Sentence(r"quarter Automotive revenue was \$([0-9.]+) million, up ([0-9]+)% from the previous quarter and up ([0-9]+)% from a year ago", 1, 3, unit=0.001),
+        }),
+    ),
+    "tsla": (Variant("five_quarters", {"revenue": ("Total revenues",), "operating_income": ("Income from operations",), "net_income": ("Net income attributable to common stockholders (GAAP)", "Net income attributable to common stockholders"), "operating_cash_flow": ("Net cash provided by operating activities",), "free_cash_flow": ("Free cash flow",)}, {"Automotive": ("Total automotive revenues",), "Energy Generation and Storage": ("Energy generation and storage revenue",), "Services and Other": ("Services and other revenue",)}, {"gross_margin": ("Total GAAP gross margin",)}),),
+    "walmart": (Variant("pair", {}, {"Walmart U.S.": ("Walmart U.S.",), "Walmart International": ("Walmart International",), "Sam's Club U.S.": ("Sam's Club", "Sam’s Club")}, unit=1.0),),
+    "jnj": (Variant("pair", {"revenue": ("Sales to customers",), "net_income": ("Net Earnings",)}, {"Consumer Health": ("Consumer Health", "Consumer"), "Pharmaceutical": ("Pharmaceutical", "Innovative Medicine"), "MedTech": ("MedTech", "Medical Devices and Diagnostics", "Medical Devices")}, sentences={"revenue": Sentence(r"sales growth of ([0-9().-]+)% to \$([0-9.]+)\s*Billion", 2, 1)}),),
+    "visa": (
+        Variant("pair", {}, sentences={
+            "revenue": Sentence(rf"Net revenue in the fiscal \w+ quarter was \$([0-9.]+) billion, {_GROWTH}", 1, 3, 2),
+            "net_income": Sentence(rf"GAAP net income in the fiscal \w+ quarter was \$([0-9.]+) billion or \$[0-9.]+ per share, {_GROWTH}", 1, 3, 2),
+            "operating_expenses": Sentence(r"GAAP operating expenses were \$([0-9.]+) billion for the fiscal \w+ quarter, an? ([0-9]+)% (increase|decrease)", 1, 2, 3),
+        }, segment_sentences={
+            "Service revenue": Sentence(rf"Fiscal \w+ quarter service revenue was \$([0-9.]+) billion, {_GROWTH}", 1, 3, 2),
+            "Data processing revenue": Sentence(r"Data processing revenue rose ([0-9]+)% over the prior year to \$([0-9.]+) billion", 2, 1),
+            "International transaction revenue": Sentence(r"International transaction revenue grew ([0-9]+)% over the prior year to \$([0-9.]+) billion", 2, 1),
+            "Other revenue": Sentence(r"Other revenue of \$([0-9.]+) billion rose ([0-9]+)% over the prior year", 1, 2),
+        }),
+    ),
+    "micron": (Variant("three_columns", {"revenue": ("Revenue",), "gross_profit": ("Gross margin",), "operating_income": ("Operating income",), "net_income": ("Net income",)}, {n: (f"{n} Revenue",) for n in ("Cloud Memory Business Unit", "Core Data Center Business Unit", "Mobile and Client Business Unit", "Automotive and Embedded Business Unit")}, derived=(("gross_margin", "gross_profit.value / revenue.value * 100"),)),),
+    "asml": (
+        Variant("reversed", {"revenue": ("Net sales",), "installed_base": ("Installed Base Management sales", "net service and field option sales", "service and field option sales"), "net_income": ("Net income",)}, sentences={
+            "revenue": Sentence(r"Net sales of €\s*([0-9,]+(?:\.[0-9]+)?)\s+million", unit=0.001),
+            "installed_base": Sentence(r"(?:Installed Base Management sales|net service and field options? sales)\s+(?:of|at)\s+€\s*([0-9,]+(?:\.[0-9]+)?)\s+million", unit=0.001),
+        }, percents={"gross_margin": ("Gross margin",)}, derived=(("system_sales", "greatest(0D, revenue.value - installed_base.value)"),)),
+    ),
+    "tsmc": (
+        Variant("beside_percents", {"revenue": ("NET REVENUE",), "gross_profit": ("GROSS PROFIT",), "operating_income": ("INCOME FROM OPERATIONS",), "net_income": ("NET INCOME",)}, sentences={"revenue": Sentence(r"In US dollars,[^$]{0,200}\$([0-9]+(?:\.[0-9]+)?)\s*billion")}, derived=(("gross_margin", "gross_profit.value / revenue.value * 100"), ("net_margin", "net_income.value / revenue.value * 100"))),
+        Variant("pair", {}, {"HPC": ("High Performance Computing", "HPC"), "Smartphone": ("Smartphone",), "Internet of Things": ("Internet of Things", "IoT"), "Automotive": ("Automotive",), "DCE": ("Digital Consumer Electronics", "DCE"), "Others": ("Others",)}, markers=("Platform",)),
+    ),
+    "costco": (Variant("pair", {"revenue": ("Total revenue",), "operating_income": ("Operating income",), "net_income": ("NET INCOME ATTRIBUTABLE TO COSTCO", "Net income")}, {"Net sales": ("Net sales",), "Membership fees": ("Membership fees", "Membership fee revenue")}),),
+    "jpm": (
+        Variant("first_of_five", {}, {n: (n,) for n in ("Consumer & Community Banking", "Commercial & Investment Bank", "Asset & Wealth Management")}, sentences={
+            "revenue": Sentence(r"Reported revenue of \$([0-9.]+) billion and managed revenue"),
+            "net_income": Sentence(r"NET INCOME OF \$([0-9.]+)\s*BILLION"),
+        }),
+    ),
+    "avgo": (Variant("pair", {"revenue": ("Total net revenue", "Net revenue"), "net_income": ("Net income",)}, {"Semiconductor Solutions": ("Semiconductor solutions",), "Infrastructure Software": ("Infrastructure software",)}),),
+    "xom": (Variant("pair", {"revenue": ("Total revenues and other income",), "net_income": ("Net income attributable to ExxonMobil", "Net income")}),),
+    "berkshire": (Variant("pair", {"revenue": ("Total revenues",), "net_income": ("Net earnings attributable to Berkshire Hathaway shareholders", "Net earnings")}),),
+    "lly": (Variant("pair", {"revenue": ("Revenue",), "net_income": ("Net income",)}, {n: (n,) for n in ("Mounjaro", "Zepbound", "Verzenio", "Jardiance")}),),
+    "oracle": (Variant("pair", {"revenue": ("Total revenues",), "operating_income": ("Operating income",), "net_income": ("Net income",)}, {"Cloud": ("Cloud",), "Software": ("Software",), "Hardware": ("Hardware",), "Services": ("Services",)}),),
+}
+
 
+def laid_out(text: Column, labels: list[str] | tuple[str, ...], layout: str, unit: float = 0.001) -> Column:
+    """struct<value, prior, yoy> by the first label that is laid out so."""
+    return F.coalesce(*(LAYOUTS[layout](text, label, unit) for label in labels))
 
-def numbers_after(text: Column, label: str) -> Column:
-    """The numbers that follow a label at once, five at most; percentages left out."""
-    run = F.regexp_extract(text, rf"(?is)(?<![A-Za-z]){quoted(label)}((?:[\s$]*{NUMBER}%?){{1,7}})", 1)
-    tokens = F.filter(F.regexp_extract_all(run, F.lit(rf"({NUMBER}%?)"), F.lit(1)), lambda t: ~t.endswith("%"))
-    return F.slice(F.filter(F.transform(tokens, parsed), lambda v: v.isNotNull()), 1, 5)
 
+def told(text: Column, sentence: Sentence) -> Column:
+    """struct<value, prior, yoy> of a sentence; prior is null."""
+    group = lambda g: F.nullif(F.regexp_extract(text, f"(?is){sentence.pattern}", g), F.lit(""))
+    value = parsed(group(sentence.value)) * sentence.unit
+    yoy = parsed(group(sentence.pct)) if sentence.pct else F.lit(None).cast("double")
+    if sentence.way:
+        yoy = yoy * F.when(F.lower(group(sentence.way)) == "decrease", -1.0).otherwise(1.0)
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(None).cast("double").alias("prior"), yoy.alias("yoy")).cast(METRIC))
 
-def laid_out(text: Column, labels: list[str], layout: str, unit: float = 0.001) -> Column:
-    """struct<value, prior, before, yoy> by the first label with enough numbers."""
-    now, year, quarter = LAYOUTS[layout]
-    need = 1 + max(x for x in (now, year, quarter) if x is not None)
 
-    def one(label: str) -> Column:
-        v = numbers_after(text, label)
-        at = lambda k: F.lit(None).cast("double") if k is None else F.get(v, F.lit(k)) * unit
-        value, prior = at(now), at(year)
-        yoy = (value / F.nullif(prior, F.lit(0.0)) - 1) * 100
-        return F.when(F.size(v) >= need, F.struct(value.alias("value"), prior.alias("prior"), at(quarter).alias("before"), F.when(F.abs(yoy) <= 500, yoy).alias("yoy")))
+def _item(name: str):
+    """A segment of a metric, by name."""
+    return lambda m: F.when(m.isNotNull(), F.struct(F.lit(name).alias("name"), F.bround(m["value"], 3).alias("value"), F.bround(m["yoy"], 1).alias("yoy")))
 
-    return F.coalesce(*(one(label) for label in labels))
+
+def _percentage(text: Column, layout: str, labels: tuple[str, ...]) -> Column:
+    if layout == "five_quarters":
+        return F.coalesce(*(row_five_percents(text, label)["value"] for label in labels))
+    of = [parsed(F.nullif(F.regexp_extract(text, rf"(?is){quoted(label)}\s+of\s+([0-9.]+)%", 1), F.lit(""))) for label in labels]
+    three = [parsed(F.nullif(F.regexp_extract(text, rf"(?is){quoted(label)}\s+([0-9.]+)\s*%\s+[0-9.]+\s*%\s+[0-9.]+\s*%", 1), F.lit(""))) for label in labels]
+    return F.coalesce(*of, *three, percent_metric(text, list(labels)))
 
 
 def parse_issuer(materials: DataFrame, issuer: str) -> DataFrame:
-    """company, quarter_index, the issuer's metrics, derived columns and segments (array<struct<name, value, prior>>); what rows lack comes from the generic parser.
+    """company, quarter_index, the issuer's metrics (struct<value, prior, yoy>), percentages, derived columns and segments (array<struct<name, value, yoy>>).
 
-    materials: company, quarter_index, material_rank, text, of this issuer. A segment set counts if it makes up 0.55 to 1.35 of revenue.
+    materials: company, quarter_index, material_rank, text, of this issuer. A metric comes from the first material and variant that
+    has it; what none has, from the generic parser. The first variant's segments count that make up 0.55 to 1.35 of revenue (or the
+    issuer's own bounds); values have three decimals, changes one.
     """
-    layout, metrics, segments, derived = ISSUERS[issuer]
+    variants = ISSUERS[issuer]
     text = F.col("text")
-    rows = materials.select("company", "quarter_index", "material_rank", *(laid_out(text, labels, layout).alias(name) for name, labels in metrics.items()), *(laid_out(text, labels, layout).alias(f"_s{n}") for n, labels in enumerate(segments.values())))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("material_rank"))).alias(c)
+    when = lambda v, c: F.when(has_any(text, v.markers), c) if v.markers else c
+    names = list(dict.fromkeys(n for v in variants for n in (*v.metrics, *v.sentences)))
+    percents = list(dict.fromkeys(n for v in variants for n in v.percents))
+    fields = []
+    for name in names:
+        found = [when(v, x) for v in variants for x in ([told(text, v.sentences[name])] if name in v.sentences else []) + ([laid_out(text, v.metrics[name], v.layout, v.unit)] if name in v.metrics else [])]
+        fields.append(F.coalesce(*found).alias(name))
+    fields += [F.coalesce(*(when(v, _percentage(text, v.layout, v.percents[name])) for v in variants if name in v.percents)).alias(name) for name in percents]
+    for n, v in enumerate(variants):
+        rows = {name: laid_out(text, labels, v.layout, v.unit) for name, labels in v.segments.items()} | {name: told(text, s) for name, s in v.segment_sentences.items()}
+        made = [bound(when(v, x), _item(name)) for name, x in rows.items()]
+        none = F.array().cast("array<struct<name:string,value:double,yoy:double>>")
+        fields.append((F.array_compact(F.array(*made)) if made else none).alias(f"_s{n}"))
+    rows = materials.select("company", "quarter_index", "material_rank", F.explode(F.array(F.struct(*fields))).alias("f")).select("company", "quarter_index", "material_rank", "f.*")
+    known = lambda c: (F.size(c) > 0) if c.startswith("_s") else F.col(c).isNotNull()
+    first = lambda c: F.min_by(c, F.when(known(c), F.col("material_rank"))).alias(c)
     own = rows.groupBy("company", "quarter_index").agg(*(first(c) for c in rows.columns[3:]))
     generic = parse_materials(materials).select("company", "quarter_index", *(F.col(c).alias(f"_g_{c}") for c in ("revenue", "operating_income", "net_income", "gross_profit")), "eps", "equity", "guidance")
     met = own.join(generic, ["company", "quarter_index"])
     for c in ("revenue", "operating_income", "net_income", "gross_profit"):
-        g = F.col(f"_g_{c}")
-        plain = F.when(g.isNotNull(), F.struct(g["value"].alias("value"), g["prior"].alias("prior"), F.lit(None).cast("double").alias("before"), g["yoy"].alias("yoy")))
-        met = met.withColumn(c, F.coalesce(F.col(c), plain) if c in metrics else plain)
-    for name, rule in derived:
-        met = met.withColumn(name, F.expr(rule))
-    items = F.array_compact(F.array(*(F.when(F.col(f"_s{n}").isNotNull(), F.struct(F.lit(name).alias("name"), F.col(f"_s{n}.value").alias("value"), F.col(f"_s{n}.prior").alias("prior"))) for n, name in enumerate(segments)))) if segments else F.array().cast("array<struct<name:string,value:double,prior:double>>")
-    total = F.aggregate("segments", F.lit(0.0), lambda a, x: a + x["value"])
-    met = met.withColumn("segments", items)
-    met = met.withColumn("segments", F.when((total / F.nullif(F.col("revenue.value"), F.lit(0.0))).between(0.55, 1.35), F.col("segments")).otherwise(F.slice("segments", 1, 0)))
+        met = met.withColumn(c, F.coalesce(F.col(c), F.col(f"_g_{c}")) if c in names else F.col(f"_g_{c}"))
+    for v in variants:
+        for name, rule in v.derived:
+            met = met.withColumn(name, F.expr(rule))
+    low, high = RATIO_BOUNDS.get(issuer, (0.55, 1.35))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["value"])
+    fits = [F.when((total(f"_s{n}") / F.nullif(F.col("revenue.value"), F.lit(0.0))).between(low, high), F.col(f"_s{n}")) for n in range(len(variants))]
+    met = met.withColumn("segments", F.coalesce(*fits, F.array().cast("array<struct<name:string,value:double,yoy:double>>")))
     return met.drop(*(c for c in met.columns if c.startswith("_")))
+
+
+def parse(materials: DataFrame, registry: dict[str, tuple[Variant, ...]] | None = None) -> DataFrame:
+    """parse_issuer of each issuer's materials (column issuer), common columns: the dispatcher. registry: issuers to parse, ISSUERS by default.
+
+    An issuer without variants is parsed by the generic parser alone.
+    """
+    common = ("revenue", "operating_income", "net_income", "gross_profit", "eps", "equity", "guidance")
+    known = list(registry or ISSUERS)
+    out = None
+    for issuer in known:
+        one = parse_issuer(materials.where(F.col("issuer") == issuer), issuer).select("company", "quarter_index", *common, "segments")
+        out = one if out is None else out.unionByName(one)
+    rest = parse_materials(materials.where(~F.col("issuer").isin(known))).select("company", "quarter_index", *common).withColumn("segments", F.array().cast("array<struct<name:string,value:double,yoy:double>>"))
+    return rest if out is None else out.unionByName(rest)

@@ -66,14 +66,31 @@ def percent(value: Column, signed: bool = False) -> Column:
     return F.when(value.isNotNull(), F.format_string("%+.1f%%" if signed else "%.1f%%", value)).otherwise("-")
 
 
-def within(value: Column, base: Column, low: float, high: float) -> Column:
-    """value if its ratio to base is in the band, or there is no base; null otherwise."""
-    r = value / F.nullif(base, F.lit(0))
-    return F.when(r.isNull() | r.between(low, high), value)
+def candidate(existing: Column, found: Column, low: float = 0.45, high: float = 2.25) -> Column:
+    """found, if its ratio to the existing value is in the band or there is none to compare; the existing one otherwise."""
+    r = found / F.nullif(existing, F.lit(0.0))
+    return F.when(found.isNull(), existing).when(r.isNull() | r.between(low, high), found).otherwise(existing)
+
+
+def revenue_candidate(existing: Column, found: Column, profit: Column) -> Column:
+    """candidate, but the existing revenue where the found one would make profit an implausible share: 75 % and more instead of 65 % and less, of a revenue over a third larger."""
+    own, share = candidate(existing, found), lambda x: F.abs(profit) / F.nullif(x, F.lit(0.0))
+    veto = (F.nullif(profit, F.lit(0.0)).isNotNull()) & (own != existing) & (share(own) >= 0.75) & (share(existing) <= 0.65) & (existing >= own * 1.35)
+    return F.when(F.coalesce(veto, F.lit(False)), existing).otherwise(own)
 
 
 def or_history(value: Column, history: Column, low: float, high: float, least: float) -> Column:
-    """history where value strays from it both by ratio and by at least `least`."""
-    r = value / F.nullif(history, F.lit(0))
+    """history where value strays from it both by ratio and by at least `least`; value where there is no history."""
+    r = value / F.nullif(history, F.lit(0.0))
     stray = ((r < low) | (r > high)) & (F.abs(value - history) >= least)
-    return F.when(value.isNull() | F.coalesce(stray, F.lit(False)), F.coalesce(history, value)).otherwise(value)
+    return F.when(F.coalesce(stray, F.lit(False)), history).otherwise(value)
+
+
+def tone(score: Column) -> Column:
+    """Bands of a theme's score; fixed values."""
+    return F.when(score >= 82, "高").when(score >= 64, "中").otherwise("低")
+
+
+def coverage_state(score: Column) -> Column:
+    """Bands of a material's score; fixed values."""
+    return F.when(score >= 88, "覆盖完整").when(score >= 60, "部分覆盖").otherwise("待补强")

@@ -106,3 +106,67 @@ def search_window(index: Column, release: Column) -> tuple[Column, Column]:
     """70 days before the release (or the quarter's end) to 100 days after it."""
     anchor = F.coalesce(release, end_date(index))
     return F.date_sub(anchor, 70), F.date_add(anchor, 100)
+
+
+def resolved_end(index: Column, *candidates: Column) -> Column:
+    """The first candidate text that looks like an ISO date, else the quarter's last day; a string."""
+    iso = lambda c: F.when((F.length(c) == 10) & (F.substring(c, 5, 1) == "-") & (F.substring(c, 8, 1) == "-"), c)
+    return F.coalesce(*map(iso, candidates), F.date_format(end_date(index), "yyyy-MM-dd"))
+
+
+def is_annual(label_text: Column) -> Column:
+    """Whether a document's label names an annual report."""
+    return F.coalesce(F.lower(label_text).rlike("10-k|20-f|annual report"), F.lit(False))
+
+
+def before_cutoff(label_text: Column, cutoff: str) -> Column:
+    """Whether a quarter label is before another; what isn't a label is (0, 0) and before all, an empty one isn't."""
+    return F.when(F.coalesce(label_text, F.lit("")) == "", False).otherwise(index_of_label(label_text) < index_of_label(F.lit(cutoff)))
+
+
+ORDINALS = ("first", "second", "third", "fourth")
+
+
+def reference_terms(index: Column, period_end: Column, year_end_month: Column) -> Column:
+    """struct<calendar, fiscal, years, quarters>: how texts may name a quarter.
+
+    Calendar terms are the calendar quarter's, for companies whose year ends in December; period_end gives the fiscal ones.
+    """
+    word = lambda q: F.element_at(F.array(*map(F.lit, ORDINALS)), q.cast("int"))
+    said = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    none, number = F.array().cast("array<string>"), F.array().cast("array<int>")
+    calendar_year, q = F.floor(index / 4).cast("int"), (F.pmod(index, F.lit(4)) + 1).cast("int")
+    ends = F.coalesce(year_end_month == 12, F.lit(True))
+    o = word(q)
+    plain = F.array(said("q", q), said(calendar_year, " q", q), said("q", q, " ", calendar_year), said(calendar_year, "q", q), said(o, " quarter"), said(o, " quarter ", calendar_year), said(calendar_year, " ", o, " quarter"), said(q, "q ", calendar_year))
+    year, fq = fiscal_period(period_end, F.coalesce(year_end_month, F.lit(12)))
+    fo, month, short, day, own = word(fq), F.lower(F.date_format(period_end, "MMMM")), F.lower(F.date_format(period_end, "MMM")), F.dayofmonth(period_end), F.year(period_end)
+    fiscal = F.array(
+        said("q", fq, " fy", year), said("fy", year, " q", fq), said("fy", year, "q", fq), said("q", fq, " fiscal year ", year), said("fiscal year ", year, " q", fq), said(fo, " quarter fiscal year ", year),
+        said("fiscal year ", year, " ", fo, " quarter"), said("fy", F.substring(year.cast("string"), 3, 2), " q", fq), said("quarter ended ", month, " ", day, ", ", year), said("quarter ended ", month, " ", day, " ", year),
+        said("quarter ended ", month, " ", own), said("quarter ended ", short, " ", day, " ", own), said("ended ", month, " ", day, ", ", own), said("ended ", month, " ", day, " ", own), said(month, " quarter ", own), said(short, " quarter ", own),
+    )
+    known = period_end.isNotNull()
+    years = F.when(known, F.array(own.cast("string"), year.cast("string"))).otherwise(none)
+    return F.struct(
+        F.array_distinct(F.concat(F.when(ends, plain).otherwise(none), years)).alias("calendar"),
+        F.when(known, F.array_distinct(fiscal)).otherwise(none).alias("fiscal"),
+        F.array_distinct(F.concat(F.when(ends, F.array(calendar_year.cast("string"))).otherwise(none), years)).alias("years"),
+        F.array_distinct(F.concat(F.when(ends, F.array(q)).otherwise(number), F.when(known, F.array(fq)).otherwise(number))).alias("quarters"),
+    )
+
+
+def compact_fiscal(text: Column) -> Column:
+    """'FY2026 Q1' as 'Q1 FY26'; '-' for nothing."""
+    short = F.replace(F.regexp_replace(text, "[Ff]iscal", "FY"), F.lit("FY20"), F.lit("FY"))
+    words = F.split(F.replace(short, F.lit(","), F.lit(" ")), r"\s+")
+    first = lambda mark: F.get(F.filter(words, lambda w: w.startswith(mark)), F.lit(0))
+    pair = F.concat(first("Q"), F.lit(" "), first("FY"))
+    return F.when(F.coalesce(text, F.lit("")) == "", "-").otherwise(F.coalesce(pair, short))
+
+
+def period_badge(period_end: Column) -> Column:
+    """'Ending Sept. 2025' of an ISO date; fixed values."""
+    names = F.array(*map(F.lit, ("Jan.", "Feb.", "Mar.", "Apr.", "May", "Jun.", "Jul.", "Aug.", "Sept.", "Oct.", "Nov.", "Dec.")))
+    month = F.substring(period_end, 6, 2)
+    return F.when(F.length(F.coalesce(period_end, F.lit(""))) < 7, "Official period").otherwise(F.concat(F.lit("Ending "), F.coalesce(F.get(names, month.try_cast("int") - 1), month), F.lit(" "), F.substring(period_end, 1, 4)))

@@ -69,9 +69,37 @@ def quarter_columns(columns: Column, target: Column) -> Column:
 
 
 def statement_metric(rows: Column, labels: list[str], target: Column) -> Column:
-    """struct<value, prior, yoy> of a row for a quarter, in billions, three decimals."""
-    values = series(find_row(rows, labels))
-    at = quarter_columns(period_columns(rows), target)
-    unit = inferred_scale(values, scale(rows))
-    now, prior = (F.round(F.when(at[k] >= 0, F.get(values, at[k])) * unit, 3) for k in ("now", "before"))
-    return F.struct(now.alias("value"), prior.alias("prior"), F.round((now / F.nullif(prior, F.lit(0.0)) - 1) * 100, 1).alias("yoy"))
+    """struct<value, prior, yoy> of a row for a quarter, in billions, three decimals. Row, columns and scale are bound once."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    found = F.struct(series(find_row(rows, labels)).alias("v"), quarter_columns(period_columns(rows), target).alias("at"), scale(rows).alias("unit"))
+
+    def read(x: Column) -> Column:
+        pick = lambda k: F.when(x["at"][k] >= 0, F.get(x["v"], x["at"][k])) * inferred_scale(x["v"], x["unit"])
+        return F.struct(F.round(pick("now"), 3).alias("value"), F.round(pick("before"), 3).alias("prior"))
+
+    return once(once(found, read), lambda m: F.struct(m["value"].alias("value"), m["prior"].alias("prior"), F.round((m["value"] / F.nullif(m["prior"], F.lit(0.0)) - 1) * 100, 1).alias("yoy")))
+
+
+def statement_metrics(rows: Column, labels: dict[str, tuple[str, ...]], target: Column) -> Column:
+    """array<struct<name, value, prior, yoy>> of the names that have a row with a value: statement_metric of many, keys, columns and scale bound once a table."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    keyed = F.transform(rows, lambda r: F.struct(token(F.get(r, F.lit(0))).alias("key"), series(r).alias("v")))
+    known = F.struct(keyed.alias("rows"), quarter_columns(period_columns(rows), target).alias("at"), scale(rows).alias("unit"))
+
+    def one(x: Column, name: str) -> Column:
+        found = []
+        for label in labels[name]:
+            own = "".join(c for c in label.lower() if c.isalnum())
+            equal, begins = F.filter(x["rows"], lambda r: r["key"] == own), F.filter(x["rows"], lambda r: r["key"].startswith(own))  # noqa: B023
+            found += [F.get(equal, F.size(equal) - 1), F.get(begins, F.lit(0))]
+        return F.struct(F.lit(name).alias("name"), F.coalesce(*found)["v"].alias("v"))
+
+    def read(x: Column) -> Column:
+        def valued(m: Column) -> Column:
+            pick = lambda k: F.round(F.when(x["at"][k] >= 0, F.get(m["v"], x["at"][k])) * inferred_scale(m["v"], x["unit"]), 3)
+            return F.struct(m["name"].alias("name"), pick("now").alias("value"), pick("before").alias("prior"))
+
+        rated = F.transform(F.transform(F.array(*(one(x, name) for name in labels)), valued), lambda m: F.struct(m["name"].alias("name"), m["value"].alias("value"), m["prior"].alias("prior"), F.round((m["value"] / F.nullif(m["prior"], F.lit(0.0)) - 1) * 100, 1).alias("yoy")))
+        return F.filter(rated, lambda m: m["value"].isNotNull())
+
+    return once(known, read)

@@ -2,15 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Marks at which an excerpt may end.
 ENDS = (". ", "! ", "? ", "; ", "。", "！", "？", "；", ", ", "，")
-ERROR_PAGES = r"(?i)access denied|page not found|404 not found|service unavailable|enable javascript|captcha"
-FINANCE = r"(?i)revenue|income|earnings|margin|quarter|fiscal|cash flow|guidance"
-NOISE = ("stock-based compensation", "amortization", "non-gaap", "gaap", "reconciliation", "forward-looking", "tax rate", "depreciation")
-SIGNAL = r"(?i)revenue|sales|margin|growth|demand|outlook|expect|guidance"
+#: Phrases of unusable pages, the first that stands there counts; kinds and roles of official material; words of one.
+ERROR_PHRASES = ("access denied", "forbidden", "page not found", "404 not found", "request unsuccessful", "temporarily unavailable", "enable javascript", "javascript is disabled", "please turn javascript on", "are you a robot", "captcha")
+OFFICIAL_KINDS = ("official_release", "presentation", "call_summary", "sec_filing")
+OFFICIAL_ROLES = ("earnings_release", "earnings_commentary", "earnings_presentation", "earnings_call", "sec_filing")
+MATERIAL_WORDS = ("revenue", "earnings", "financial results", "quarterly results", "guidance", "margin", "operator", "question-and-answer", "prepared remarks", "cash flow", "net income", "conference call", "webcast replay")
+#: Accounting terms, two of which make a passage noise, and business terms of guidance.
+GUIDANCE_NOISE = ("income tax", "tax positions", "financial instruments", "balance sheet", "cash equivalents", "adoption", "disclosures", "note 2", "note 3", "note 4", "accounting", "fair value")
+GUIDANCE_SIGNAL = ("revenue", "sales", "demand", "orders", "backlog", "margin", "inventory", "pricing", "shipments", "capex", "utilization", "growth", "expect", "outlook", "guidance")
+#: Terms of a call, and who speaks in one.
+CALL_WORDS = ("question-and-answer", "question and answer", "prepared remarks", "conference call", "earnings call", "operator", "analyst")
+SPEAKERS = r"(?i)\b(?:Operator|Analyst|Question(?:er)?|CEO|CFO|COO|President|Chief Executive Officer|Chief Financial Officer)\b"
+#: Institutions by their aliases, the first that stands in a text counts; stances by pattern; ratings by word.
+INSTITUTIONS = {
+    "Goldman Sachs": ("goldman sachs", "goldman"), "Morgan Stanley": ("morgan stanley",), "JPMorgan": ("jpmorgan", "jp morgan", "jpm"), "UBS": ("ubs",),
+    "Bank of America": ("bank of america", "bofa", "bofa securities"), "Citi": ("citi", "citigroup"), "Bernstein": ("bernstein", "sanford c. bernstein"), "Barclays": ("barclays",),
+    "Evercore ISI": ("evercore", "evercore isi"), "Jefferies": ("jefferies",), "Wells Fargo": ("wells fargo",), "Deutsche Bank": ("deutsche bank",), "Mizuho": ("mizuho",),
+    "RBC Capital": ("rbc", "royal bank of canada"), "Raymond James": ("raymond james",), "Oppenheimer": ("oppenheimer",), "Wedbush": ("wedbush",), "Needham": ("needham",),
+    "Piper Sandler": ("piper sandler",), "Baird": ("baird",), "HSBC": ("hsbc",), "BMO Capital": ("bmo", "bmo capital"), "KeyBanc": ("keybanc",), "Wolfe Research": ("wolfe", "wolfe research"),
+    "Cowen": ("cowen",), "Stifel": ("stifel",), "Susquehanna": ("susquehanna",), "Canaccord": ("canaccord", "canaccord genuity"), "Credit Suisse": ("credit suisse",), "Cantor": ("cantor", "cantor fitzgerald"),
+}
+STANCES = (
+    ("positive", r"(?i)\bupgrade[sd]?\b|\boutperform\b|\boverweight\b|\bbuy\b|\bbullish\b|\b(?:raise[sd]?|lifts?)\b.{0,30}\btarget\b|\bprice target (?:raised|lifted)\b"),
+    ("negative", r"(?i)\bdowngrade[sd]?\b|\bunderperform\b|\bunderweight\b|\bsell\b|\bbearish\b|\b(?:cuts?|lowers?)\b.{0,30}\btarget\b|\bprice target lowered\b"),
+    ("neutral", r"(?i)\b(?:neutral|equal weight|hold|market perform)\b"),
+)
+RATINGS = ("outperform", "overweight", "buy", "neutral", "equal weight", "hold", "underweight", "underperform", "sell")
+#: Words of the themes that views come back to.
+VIEW_THEMES = {
+    "cloud": ("ai", "cloud", "azure", "aws", "copilot", "hpc", "inference"), "guidance": ("guidance", "outlook", "forecast", "expectation", "boundary"),
+    "profit": ("margin", "profit", "earnings", "cash flow", "fcf"), "valuation": ("price target", "target", "valuation", "multiple"), "supply": ("capex", "capacity", "supply", "shipment", "yield"),
+}
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words stands in the text, inside other words too."""
+    return reduce(or_, (text.contains(w) for w in words))
+
+
+def number_of(text: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words stand in the text."""
+    return reduce(add, (text.contains(w).cast("int") for w in words))
 
 
 def collapsed(text: Column) -> Column:
@@ -49,38 +89,49 @@ def count_of(text: Column, word: str) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word))
 
 
-def topic_scores(text: Column, topics: dict[str, tuple[str, ...]], most: int = 4) -> Column:
-    """array<struct<score, topic>>: twelve points an occurrence, 100 at most, the highest first, topics without any left out."""
-    low = F.lower(text)
-    scored = [F.struct(F.least(F.lit(100), sum((count_of(low, w) for w in words[1:]), count_of(low, words[0])) * 12).cast("int").alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("topic")) for n, (name, words) in enumerate(topics.items())]
+def topic_scores(low: Column, topics: dict[str, tuple[str, ...]], most: int = 4) -> Column:
+    """array<struct<score, topic>>: twelve points an occurrence, 100 at most, the highest first, topics without any left out.
+
+    low: the text in lower case; hand over a column that is computed once, since it is searched for every word.
+    """
+    scored = [F.struct(F.least(F.lit(100), reduce(add, (count_of(low, w) for w in words)) * 12).cast("int").alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("topic")) for n, (name, words) in enumerate(topics.items())]
     kept = F.filter(F.array(*scored), lambda s: s["score"] > 0)
     return F.transform(F.slice(F.sort_array(kept, asc=False), 1, most), lambda s: F.struct(s["score"].alias("score"), s["topic"].alias("topic")))
 
 
-def quality_issue(text: Column, kind: Column) -> Column:
-    """'empty', 'error_page', 'thin' (short, and no word of finance), or null."""
-    bare = F.trim(F.coalesce(text, F.lit("")))
-    return F.when(F.length(bare) == 0, "empty").when((F.length(bare) < 2000) & bare.rlike(ERROR_PAGES), "error_page").when(kind.isin("html", "txt") & (F.length(bare) < 180) & ~bare.rlike(FINANCE), "thin")
+def quality_issue(text: Column, title: Column, kind: Column, role: Column, suffix: Column, content_type: Column) -> Column:
+    """What is wrong with a material's text, or an empty string: nothing in it, an error page's phrase in title or text, or an
+    official one of less than 180 characters, HTML or plain, without a word of finance."""
+    bare = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    low = F.trim(F.concat(F.lower(F.coalesce(title, F.lit(""))), F.lit(" "), F.lower(bare)))
+    phrase = F.coalesce(*(F.when(low.contains(p), p) for p in ERROR_PHRASES))
+    official = F.coalesce(F.lower(kind).isin(*OFFICIAL_KINDS), F.lit(False)) | F.coalesce(F.lower(role).isin(*OFFICIAL_ROLES), F.lit(False))
+    written = F.coalesce(suffix.isin(".html", ".htm", ".txt"), F.lit(False)) | F.coalesce(F.lower(content_type).rlike("html|text"), F.lit(False))
+    thin = official & (F.length(bare) < 180) & written & ~has_any(low, MATERIAL_WORDS)
+    return (
+        F.when(bare == "", "empty extracted text")
+        .when(phrase.isNotNull(), F.concat(F.lit("unusable source page: "), phrase))
+        .when(thin, F.concat(F.lit("insufficient extracted text ("), F.length(bare).cast("string"), F.lit(" chars)")))
+        .otherwise("")
+    )
 
 
-def implausible_year(text: Column, year: Column, gap: int = 3) -> Column:
-    """Whether it names a year more than `gap` years after the report's."""
-    return F.exists(F.regexp_extract_all(text, F.lit(r"\b(20\d{2})\b"), F.lit(1)), lambda y: y.cast("int") > year + gap)
+def implausible_year(text: Column, year: Column, current_year: Column, gap: int = 3) -> Column:
+    """Whether it names a year more than `gap` years after the report's; reports of the current year and the one before may."""
+    beyond = F.exists(F.regexp_extract_all(text, F.lit(r"\b(20\d{2})\b"), F.lit(1)), lambda y: y.cast("int") > year + gap)
+    return F.coalesce((year < current_year - 1) & beyond, F.lit(False))
 
 
 def guidance_signal(text: Column) -> Column:
     """Less than two accounting terms, and a business one."""
     low = F.lower(text)
-    noise = sum((low.contains(w).cast("int") for w in NOISE[1:]), low.contains(NOISE[0]).cast("int"))
-    return (noise < 2) & text.rlike(SIGNAL)
+    return F.coalesce((number_of(low, GUIDANCE_NOISE) < 2) & has_any(low, GUIDANCE_SIGNAL), F.lit(False))
 
 
 def transcript_like(text: Column, label: Column) -> Column:
-    """By its label, or two phrases of a call, or four speakers."""
-    phrases = ("operator", "question-and-answer", "earnings call", "next question", "good afternoon", "thank you for joining")
+    """By its label, or two terms of a call, or four mentions of speakers."""
     low = F.lower(text)
-    found = sum((low.contains(p).cast("int") for p in phrases[1:]), low.contains(phrases[0]).cast("int"))
-    return F.coalesce(F.lower(label).rlike("transcript|earnings call"), F.lit(False)) | (found >= 2) | (F.regexp_count(text, F.lit(r"(?m)^[A-Z][A-Za-z .'-]{2,40}:")) >= 4)
+    return F.coalesce(has_any(F.lower(label), ("transcript", "prepared remarks")), F.lit(False)) | F.coalesce((number_of(low, CALL_WORDS) >= 2) | (F.regexp_count(text, F.lit(SPEAKERS)) >= 4), F.lit(False))
 
 
 def chunks(text: Column, least: int = 220) -> Column:
@@ -99,12 +150,20 @@ def chunks(text: Column, least: int = 220) -> Column:
 
 
 def quotes(text: Column, most: int = 2) -> Column:
-    """array<struct<speaker, quote>>: '"...," said Name' and 'Name said, "..."', each quote once."""
-    after = r"[“\"]([^”\"]{30,600})[,.]?[”\"]\s*(?:,\s*)?(?:said|says|stated|commented)\s+([A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){0,3})"
-    ahead = r"([A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){1,3})\s*(?:,[^,]{0,80},)?\s*(?:said|stated|commented)\s*[:,]?\s*[“\"]([^”\"]{30,600})[”\"]"
-    pair = lambda p, s, q: F.zip_with(F.regexp_extract_all(text, F.lit(p), F.lit(s)), F.regexp_extract_all(text, F.lit(p), F.lit(q)), lambda a, b: F.struct(a.alias("speaker"), F.btrim(b, F.lit(" ,.")).alias("quote")))
-    every = F.concat(pair(after, 2, 1), pair(ahead, 1, 2))
-    return F.slice(F.filter(every, lambda x, i: (i == 0) | ~F.exists(F.slice(every, F.lit(1), i), lambda y: y["quote"] == x["quote"])), 1, most)
+    """array<struct<speaker, quote>>: '"...," said Name', 'Name said, "..."' and 'Name: "..."', in that order, each once.
+
+    A quote has 40 to 320 characters; operators, questioners and analysts aren't quoted.
+    """
+    verbs, open_, close = r"(?:said|stated|noted|added|commented|remarked|explained)", r"[“\"]", r"[”\"]"
+    said = rf"([^\"”]{{40,320}}){close}"
+    pair = lambda p, s, q: F.zip_with(F.regexp_extract_all(text, F.lit("(?is)" + p), F.lit(s)), F.regexp_extract_all(text, F.lit("(?is)" + p), F.lit(q)), lambda a, b: F.struct(collapsed(a).alias("speaker"), collapsed(b).alias("quote")))
+    every = F.concat(
+        pair(rf"{open_}{said},?\s+{verbs}\s+([^.,\n]+)", 2, 1),
+        pair(rf"([^.,\n]+?)\s+{verbs}[:,]?\s+{open_}{said}", 1, 2),
+        pair(rf"([^:\n]{{3,120}}):\s*{open_}{said}", 1, 2),
+    )
+    fit = F.filter(every, lambda x: ~F.lower(x["speaker"]).isin("operator", "question", "analyst") & (F.length(x["quote"]) >= 40))
+    return F.slice(F.array_distinct(fit), 1, most)
 
 
 def label_variants(name: Column) -> Column:
@@ -113,8 +172,43 @@ def label_variants(name: Column) -> Column:
 
 
 def stance(text: Column) -> Column:
+    """positive, negative or neutral by the first pattern that fits, else reference."""
+    return F.coalesce(*(F.when(text.rlike(pattern), name) for name, pattern in STANCES), F.lit("reference"))
+
+
+def institution(text: Column) -> Column:
+    """The first of the institutions with an alias in the text; null for none."""
+    low = F.lower(text)
+    return F.coalesce(*(F.when(has_any(low, aliases), name) for name, aliases in INSTITUTIONS.items()))
+
+
+def ratings(text: Column) -> Column:
+    """array<string> of the ratings that stand in the text."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*(F.when(low.contains(r), r.title()) for r in RATINGS)))
+
+
+def action(text: Column) -> Column:
+    """What a view does: upgrade, downgrade, target cut, target raise, target, keep, cautious, positive or mention, the first that holds."""
+    low, target = F.lower(text), price_target(text).isNotNull()
+    on_target = target & low.contains("target")
+    return (
+        F.when(low.contains("upgrade"), "upgrade")
+        .when(low.contains("downgrade"), "downgrade")
+        .when(on_target & has_any(low, ("lower", "cut")), "target cut")
+        .when(on_target & has_any(low, ("raise", "lift")), "target raise")
+        .when(on_target, "target")
+        .when(has_any(low, ("maintain", "keep", "reiterate")) & (F.size(ratings(text)) > 0), "keep")
+        .when(low.contains("pessimistic forecast") | (stance(text) == "negative"), "cautious")
+        .when(stance(text) == "positive", "positive")
+        .otherwise("mention")
+    )
+
+
+def view_themes(text: Column) -> Column:
+    """array<string> of the themes a view touches."""
     low = F.lower(text)
-    return F.when(low.rlike(r"upgrade|overweight|outperform|\bbuy\b|raises? (?:price )?target"), "positive").when(low.rlike(r"downgrade|underweight|underperform|\bsell\b|cuts? (?:price )?target"), "negative").otherwise("neutral")
+    return F.array_compact(F.array(*(F.when(has_any(low, words), name) for name, words in VIEW_THEMES.items())))
 
 
 def price_target(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Points of an issue; the codes below are fixed values, too.
 WEIGHTS = {"critical": 25, "major": 10, "minor": 4}
 #: What evaluate() reads.
 PAYLOAD = """revenue double, net_income double, gross_margin double, net_margin double, segments array<struct<value:double,scope:string>>,
@@ -107,9 +108,20 @@ def issue_counts(issues_: DataFrame, most: int = 6) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("company").orderBy(F.desc("n"), "first_seen", "code"))).where(F.col("rank") <= most)
 
 
-def snapshots(results: DataFrame) -> DataFrame:
-    """company, quarters, first and last quarter, passed."""
-    return results.groupBy("company").agg(F.count("*").alias("quarters"), F.min("quarter_index").alias("first_quarter"), F.max("quarter_index").alias("last_quarter"), F.count_if(F.col("status") == "pass").alias("passed"))
+def snapshots(results: DataFrame, supported: DataFrame) -> DataFrame:
+    """A row for each company: cached and dynamic quarters with the first and last of each, quarters of the window, those excluded as not ready, audited ones and how they came out.
+
+    supported: company, quarter_index, cached, dynamic, in_window, target (booleans). results: company, quarter_index, status.
+    """
+    at = F.col("quarter_index")
+    of = lambda flag, agg: agg(F.when(F.col(flag), at))
+    known = supported.groupBy("company").agg(
+        *(f.alias(n) for k in ("cached", "dynamic") for n, f in ((f"{k}_count", F.count_if(F.col(k))), (f"{k}_first", of(k, F.min)), (f"{k}_last", of(k, F.max)))),
+        F.count_if("in_window").alias("window_count"),
+        F.greatest(F.lit(0).cast("long"), F.count_if("in_window") - F.count_if("target")).alias("excluded_count"),
+    )
+    audited = results.groupBy("company").agg(F.count("*").alias("audited_count"), *(F.count_if(F.col("status") == s).alias(s) for s in ("pass", "review", "fail", "error")))
+    return known.join(audited, "company", "left").na.fill(0, ["audited_count", "pass", "review", "fail", "error"])
 
 
 def pressure(companies: DataFrame, most: int = 10) -> DataFrame:
@@ -137,10 +149,26 @@ def ready_map(results: DataFrame) -> DataFrame:
     return results.groupBy("company").agg(F.sort_array(F.collect_list(F.when(F.col("status") == "pass", F.col("quarter_index")))).alias("ready"))
 
 
-def coverage_scores(kind: Column) -> Column:
-    """A material's score by what it offers, best first."""
-    steps = (("official", 100), ("segment", 92), ("geography", 74), ("transcript", 42), ("filing", 36), ("release", 32), ("presentation", 26))
-    out = F.lit(18)
-    for name, score in reversed(steps):
-        out = F.when(kind == name, score).otherwise(out)
-    return out
+def material_scores(tokens: Column, sources: Column, transcript: Column) -> Column:
+    """struct<release, presentation, call, extraction>: scores of what material a report has; fixed values.
+
+    tokens: the report's own; sources: array<struct<kind, status, text_length>>; transcript: whether there is a summary of one.
+    """
+    read = lambda s: s["status"].isin("fetched", "cached")
+    has = lambda kind: F.exists(sources, lambda s: read(s) & (s["kind"] == kind))
+    named = lambda token: F.array_contains(tokens, token)
+    extracted = F.size(F.filter(sources, lambda s: read(s) & (F.coalesce(s["text_length"], F.lit(0)) > 0)))
+    return F.struct(
+        F.when(has("official_release") | named("earnings_release"), 100).otherwise(32).alias("release"),
+        F.when(has("presentation") | named("presentation"), 92).otherwise(36).alias("presentation"),
+        F.when(transcript, 100).when(named("call_summary"), 42).otherwise(18).alias("call"),
+        F.when(F.size(sources) == 0, 18).when(extracted == 0, 26).when(extracted == F.size(sources), 100).otherwise(74).alias("extraction"),
+    )
+
+
+def markdown(snapshots_: DataFrame, codes: DataFrame) -> DataFrame:
+    """rank and line: the companies under pressure as lines of a list. snapshots_: pressure's rows with pass, review, fail, critical, major, minor; codes: issue_counts."""
+    top = codes.where(F.col("rank") <= 4).groupBy("company").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code", "n"))), lambda c: F.format_string("%s(%d)", c["code"], c["n"])), ", ").alias("_top"))
+    ranked = snapshots_.join(top, "company", "left").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("pressure"), "company")))  # ten rows at most
+    line = F.format_string("%d. `%s` | pressure=%d | pass=%d review=%d fail=%d | issues(c/m/n)=%d/%d/%d", "rank", F.col("company").cast("string"), F.col("pressure").cast("long"), *(F.col(c).cast("long") for c in ("pass", "review", "fail", "critical", "major", "minor")))
+    return ranked.select("rank", F.concat(line, F.coalesce(F.concat(F.lit(" | top: "), "_top"), F.lit(""))).alias("line"))

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartermill.functions.periods import ORDINALS
+from quartermill.functions.text import has_any, number_of, transcript_like
+
 
 def nearest_annual(quarters: DataFrame, annual: DataFrame, reach: int = 5) -> DataFrame:
     """Each quarter with the latest annual_index of 0 to `reach` quarters before. The range is unrolled, so the join is on equal keys."""
@@ -24,15 +27,120 @@ def effective_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.join(packed, "company", "left").withColumn("value", F.coalesce(hit["value"], "_default")).drop("_rules", "_default")
 
 
-def best_filing(filings: DataFrame, days_before: int = 45, days_after: int = 130) -> DataFrame:
-    """The filing of each company and period with the best score. filings: company, period_end, filed, report_date, form_rank, item, hints, excludes, ordinal.
+def document_tokens(*parts: Column) -> Column:
+    """The parts in lower case, each followed by its words: letters and digits apart, dashes, underscores and slashes as spaces."""
+    out = []
+    for part in parts:
+        low = F.trim(F.lower(F.coalesce(part.cast("string"), F.lit(""))))
+        words = F.regexp_replace(F.regexp_replace(low, r"(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)", " "), r"[-_/]+", " ")
+        words = F.trim(F.regexp_replace(F.regexp_replace(words, r"[^a-z0-9.% ]+", " "), r"\s+", " "))
+        out += [F.when(low != "", low), F.when((words != "") & (words != low), words)]
+    return F.concat_ws(" ", *out)
+
+
+def hint_score(tokens: Column, hints: Column, excludes: Column) -> Column:
+    """35 for each hint that the tokens hold, less 80 if they hold an exclusion. hints, excludes: arrays."""
+    return F.size(F.filter(hints, lambda h: tokens.contains(h))) * 35 - F.when(F.exists(excludes, lambda x: tokens.contains(x)), 80).otherwise(0)
+
+
+def filing_score(tokens: Column, hints: Column, excludes: Column, form_rank: Column, filed: Column, report_date: Column, period_end: Column) -> Column:
+    """The score of a filing for a period; form_rank: the form's place among the wanted ones.
 
-    In the window around the period's end: 40 less 8 a form rank, 30 less a day's distance / 3, 12 for the same report date, 15 for item 2.02, 6 a hint, less 20 an exclusion.
+    200 less 30 a rank, 160 less a day's distance and 12 if filed on the period's end or later, 120 less two a day between the
+    report's date and the period's end and 80 if they are one, the score of hints, less 120 if none of them is there and 160 for an exclusion.
     """
+    floor = lambda x: F.greatest(F.lit(0), x)
+    gap, report = F.datediff(filed, period_end), F.datediff(report_date, period_end)
+    near = F.coalesce(floor(160 - F.abs(gap)) + F.when(gap >= 0, 12).otherwise(0), F.lit(0))
+    same = F.coalesce(floor(120 - 2 * F.abs(report)) + F.when(report == 0, 80).otherwise(0), F.lit(0))
+    unhinted = (F.size(hints) > 0) & ~F.exists(hints, lambda h: tokens.contains(h))
+    return floor(200 - 30 * form_rank) + near + same + hint_score(tokens, hints, excludes) - F.when(unhinted, 120).otherwise(0) - F.when(F.exists(excludes, lambda x: tokens.contains(x)), 160).otherwise(0)
+
+
+def best_filing(filings: DataFrame, wanted: DataFrame, days_before: int = 45, days_after: int = 130) -> DataFrame:
+    """The filing of each company and period with the best score, the first of equals.
+
+    filings: company, period_end, form, filed, report_date, items, document, description, ordinal. wanted: company, forms (array in
+    order), hints, excludes (arrays), release_mode: an 8-K must then name item 2.02. Filings outside the days around the period's
+    end, and those of other forms, don't count.
+    """
+    met = filings.join(wanted, "company")
     gap = F.datediff("filed", "period_end")
-    score = 40 - 8 * F.col("form_rank") + F.greatest(F.lit(0.0), 30 - F.abs(gap) / 3) + F.when(F.col("report_date") == F.col("period_end"), 12).otherwise(0) + F.when(F.col("item") == "2.02", 15).otherwise(0) + 6 * F.col("hints") - 20 * F.col("excludes")
-    near = filings.where(gap.between(-days_before, days_after)).withColumn("score", F.round(score, 6)).where("score > -1000")
-    return near.withColumn("_k", F.row_number().over(Window.partitionBy("company", "period_end").orderBy(F.desc("score"), "ordinal"))).where("_k = 1").drop("_k")
+    rank = F.array_position("forms", F.col("form")).cast("int") - 1
+    met = met.where((rank >= 0) & (gap.isNull() | gap.between(-days_before, days_after)) & ~(F.col("release_mode") & (F.col("form") == "8-K") & ~F.coalesce(F.col("items").contains("2.02"), F.lit(False))))
+    met = met.withColumn("tokens", document_tokens(F.col("document"), F.col("description")))
+    scored = met.withColumn("score", filing_score(F.col("tokens"), F.col("hints"), F.col("excludes"), rank, F.col("filed"), F.col("report_date"), F.col("period_end"))).where("score > -1000")
+    return best_by(scored, ["company", "period_end"], F.desc("score"), F.col("ordinal")).drop("tokens", "forms", "hints", "excludes", "release_mode")
+
+
+#: Suffixes of attachments that aren't read, and what names of files say: words, points.
+BINARY_SUFFIXES = (".csv", ".gif", ".jpeg", ".jpg", ".js", ".json", ".png", ".svg", ".xbrl", ".xml", ".xsd", ".xls", ".xlsx", ".zip")
+NAME_POINTS = (
+    (("header", "xbrl", "schema", "instance", "ex101", "graphic", "image"), -120),
+    (("pressrelease", "earningsrelease", "financialresults", "results", "withguidance"), 28),
+    (("quarterlyresul", "q1results", "q2results", "q3results", "q4results"), 24),
+    (("exhibit991", "exhibit99", "99-1", "99_1", "ex99"), 24),
+    (("presentation", "slides", "deck"), 22),
+    (("presentat", "presq", "presq1", "presq2", "presq3", "presq4"), 22),
+    (("commentary", "cfo", "supplement"), 26),
+    (("exhibit992", "99-2", "99_2"), 18),
+)
+INDEX_NAMES = ("index.html", "index.htm", "index.json")
+QUARTER_WORDS = ("quarter", "result", "financial", "q1", "q2", "q3", "q4", "presentation", "commentary", "supplement", "webcast", "transcript")
+
+
+def file_name(address: Column) -> Column:
+    """The last part of an address' path, in lower case."""
+    return F.lower(F.regexp_extract(F.regexp_replace(address, r"[?#].*$", ""), r"([^/]*)/*$", 1))
+
+
+def attachment_score(href: Column, text: Column, kind: Column, hints: Column, excludes: Column) -> Column:
+    """The score of an attachment by its tokens and its file's name and suffix."""
+    name = file_name(href)
+    suffix = F.regexp_extract(name, r".(\.[^.]*)$", 1)
+    points = hint_score(document_tokens(href, text, kind), hints, excludes)
+    points = points + F.when(suffix.isin(*BINARY_SUFFIXES), -220).otherwise(0) + F.when(suffix.isin(".htm", ".html", ".pdf", ".txt"), 8).otherwise(0) + F.when(name.contains("form6k"), -18).otherwise(0)
+    points = points + F.when(name.endswith("-index.html") | name.endswith("-index-headers.html"), -220).otherwise(0) + F.when(name.isin(*INDEX_NAMES), -220).otherwise(0)
+    points = points + F.when(name.rlike(r"^\d{10}-\d{2}-\d{6}\.txt$"), -220).otherwise(0) + F.when((suffix == ".txt") & ~name.contains("exhibit99") & ~name.contains("ex99"), -120).otherwise(0)
+    for words, n in NAME_POINTS:
+        points = points + F.when(has_any(name, words), n).otherwise(0)
+    return points + F.when(name.rlike(r"d[a-z0-9]+dex99(?:1|01)\b"), 24).otherwise(0) + F.when(name.rlike(r"d[a-z0-9]+dex99(?:2|02)\b"), 18).otherwise(0)
+
+
+def slug_text(address: Column) -> Column:
+    """The last part of an address' path as words."""
+    last = F.regexp_extract(F.regexp_replace(address, r"[?#].*$", ""), r"([^/]*)/*$", 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(last, r"(?<=\d)(?=[A-Za-z])", " "), r"[-_]+", " "), r"\s+", " "))
+
+
+def wrapper_score(address: Column, hints: Column, excludes: Column) -> Column:
+    """The score of the page that lists the attachments."""
+    name = file_name(address)
+    points = hint_score(document_tokens(address, slug_text(address), name), hints, excludes)
+    points = points + F.when(name.rlike(r"\.(htm|html|pdf|txt)$"), 8).otherwise(0) + F.when(name.rlike(r"(-index\.html|-index-headers\.html|index\.html|index\.htm|index\.json)$"), -220).otherwise(0)
+    return points + F.when(has_any(name, NAME_POINTS[0][0]), NAME_POINTS[0][1]).otherwise(0)
+
+
+def attachment_choice(attachments: DataFrame, wrappers: DataFrame, margin: int = 6) -> DataFrame:
+    """filing, url, score: the attachment that beats the wrapper page, or the wrapper page.
+
+    attachments: filing, listing ('directory' or 'page'), ordinal, href, text, kind; wrappers: filing, wrapper_url, hints, excludes
+    (arrays). The best of the directory comes first, then the best of the page; either must beat the wrapper by more than `margin`, or
+    equal it where its name is that of a result and the wrapper's that of a cover form. A numbered exhibit from the page without a word
+    of a quarter doesn't replace a wrapper that has hints.
+    """
+    pages = wrappers.withColumn("wrapper", wrapper_score(F.col("wrapper_url"), F.col("hints"), F.col("excludes")))
+    rows = attachments.join(pages, "filing").withColumn("score", attachment_score(F.col("href"), F.col("text"), F.col("kind"), F.col("hints"), F.col("excludes")))
+    best = best_by(rows, ["filing", "listing"], F.desc("score"), F.col("ordinal"))
+    base = F.regexp_extract("wrapper_url", r"^(.*/)[^/]*$", 1)
+    best = best.withColumn("url", F.when(F.col("href").rlike("(?i)^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(F.regexp_extract("wrapper_url", r"^(https?://[^/]+)", 1), "href")).otherwise(F.concat(base, "href")))
+    name, cover = file_name(F.col("url")), file_name(F.col("wrapper_url"))
+    preferred = (F.col("url") != F.col("wrapper_url")) & (F.col("score") >= F.col("wrapper")) & has_any(name, ("pressreleasequarterlyresul", "financialstatements", "presentat", "presq")) & has_any(cover, ("form6k", "quarterlyfilings"))
+    vague = (F.col("wrapper") >= 35) & name.rlike(r"d[a-z0-9]+dex99(?:1|01|2|02)\b") & ~has_any(document_tokens(F.col("url"), F.col("text"), slug_text(F.col("url"))), QUARTER_WORDS)
+    ahead = F.col("score") > F.col("wrapper") + margin
+    wins = F.when(F.col("listing") == "directory", preferred | (ahead & (F.col("url") != F.col("wrapper_url")))).otherwise(~vague & (preferred | ahead))
+    won = best_by(best.where(wins), ["filing"], F.col("listing")).select("filing", F.col("url").alias("_url"), F.col("score").alias("_score"))
+    return pages.join(won, "filing", "left").select("filing", F.coalesce("_url", "wrapper_url").alias("url"), F.coalesce("_score", "wrapper").alias("score"))
 
 
 def best_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -40,15 +148,26 @@ def best_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
 
-def merged_sources(existing: DataFrame, resolved: DataFrame, superseded: dict[str, str]) -> DataFrame:
-    """Resolved sources before existing ones, without kinds that a resolved kind supersedes, one row a url. Columns: report, kind, kind_rank, url, ordinal."""
+#: Kinds and roles of sources, the best first.
+KIND_ORDER = ("official_release", "sec_filing", "call_summary", "presentation", "structured_financials")
+ROLE_ORDER = ("earnings_release", "sec_filing", "earnings_call", "earnings_commentary", "earnings_presentation")
+
+
+def merged_sources(existing: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Resolved and existing sources of a report by kind and role, one a url; the first of equals, resolved ones before existing.
+
+    An existing page of investor relations goes where anything official with a url was resolved, an existing release or filing
+    where one was resolved. Columns: report, kind, role, url, ordinal.
+    """
+    place = lambda c, order: F.coalesce(*(F.when(F.col(c) == x, len(order) - n) for n, x in enumerate(order)), F.lit(0))
     both = resolved.withColumn("_from", F.lit(0)).unionByName(existing.withColumn("_from", F.lit(1)))
-    kinds = F.collect_set(F.when(F.col("_from") == 0, F.col("kind"))).over(Window.partitionBy("report"))
-    dead = F.lit(False)
-    for old, new in superseded.items():
-        dead = dead | ((F.col("_from") == 1) & (F.col("kind") == old) & F.array_contains("_kinds", new))
-    alive = both.withColumn("_kinds", kinds).where(~dead)
-    return best_by(alive, ["report", "url"], F.col("kind_rank"), F.col("_from"), F.col("ordinal")).drop("_from", "_kinds")
+    own = Window.partitionBy("report")
+    found = lambda condition: F.coalesce(F.bool_or((F.col("_from") == 0) & condition).over(own), F.lit(False))
+    official = found(F.col("kind").isin("official_release", "sec_filing", "presentation") & has_value(F.col("url")))
+    both = both.withColumns({"_official": official, "_release": found(F.col("kind") == "official_release"), "_filing": found(F.col("kind") == "sec_filing")})
+    dead = (F.col("_from") == 1) & ((F.col("_official") & (F.col("kind") == "investor_relations")) | (F.col("_release") & (F.col("kind") == "official_release")) | (F.col("_filing") & (F.col("kind") == "sec_filing")))
+    alive = both.where(~F.coalesce(dead, F.lit(False)) & has_value(F.col("url"))).withColumns({"kind_rank": place("kind", KIND_ORDER), "role_rank": place("role", ROLE_ORDER)})
+    return best_by(alive, ["report", "url"], F.desc("kind_rank"), F.desc("role_rank"), F.col("_from"), F.col("ordinal")).drop("_from", "_official", "_release", "_filing")
 
 
 def with_materials(sources: DataFrame, materials: DataFrame) -> DataFrame:
@@ -66,7 +185,8 @@ def first_of_two_keys(views: DataFrame, most: int = 4) -> DataFrame:
     """Greedily, in order: views whose link and firm both are new; `most` a report. views: report, ordinal, firm, link."""
     rows = F.sort_array(F.collect_list(F.struct("ordinal", "firm", "link")))
     empty = F.array().cast("array<struct<ordinal:int,firm:string,link:string>>")
-    fresh = lambda kept, v: ~F.exists(kept, lambda k: (k["firm"] == v["firm"]) | (k["link"] == v["link"])) & (F.size(kept) < most)
+    same = lambda k, v, c: F.coalesce(k[c] == v[c], F.lit(False))
+    fresh = lambda kept, v: ~F.exists(kept, lambda k: same(k, v, "firm") | same(k, v, "link")) & (F.size(kept) < most)
     kept = F.aggregate("rows", empty, lambda a, v: F.when(fresh(a, v), F.concat(a, F.array(v))).otherwise(a))
     return views.groupBy("report").agg(rows.alias("rows")).select("report", F.inline(kept))
 
@@ -85,31 +205,35 @@ def ratio(a: str, b: str) -> float:
 def suggested(references: DataFrame, companies: DataFrame, most: int = 5) -> DataFrame:
     """Companies whose alias is like a reference: score (a prefix 0.92 at least, a part 0.84 at least), 0.55 and up, the best `most`.
 
-    references: reference. companies: company_id, aliases (array of normal tokens); a dimension of known, small size, sent with the function.
+    references: reference; companies: company_id, aliases (array of normal tokens). Tokens and aliases that share a letter meet by
+    a join, and lengths rule out most; only what is left has its likeness worked out in Python.
     """
-    known = [(r["company_id"], list(r["aliases"])) for r in companies.orderBy("company_id").collect()]
+    token = F.regexp_replace(F.lower("reference"), r"[^a-z0-9一-鿿]+", "")
+    own = references.select("reference", token.alias("token")).where("token != ''").distinct()
+    aliases = companies.select("company_id", F.explode("aliases").alias("alias")).where("alias != ''").distinct()
+    letters = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(F.col(c), k, F.lit(1))))
+    tried = own.withColumn("letter", F.explode(letters("token"))).join(aliases.withColumn("letter", F.explode(letters("alias"))), "letter")
+    # likeness is twice the matching letters over all, so it is bounded by the shorter one
+    n, m = F.length("token"), F.length("alias")
+    inside = F.col("alias").contains(F.col("token")) | F.col("token").contains(F.col("alias"))
+    near = tried.where(inside | (2 * F.least(n, m) >= 0.55 * (n + m))).select("reference", "token", "company_id", "alias").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for reference, token in zip(batch["reference"], batch["token"]):
-                scored = []
-                for company, aliases in known:
-                    best = 0.0
-                    for alias in aliases:
-                        own = ratio(token, alias)
-                        if alias.startswith(token) or token.startswith(alias):
-                            own = max(own, 0.92)
-                        elif token in alias or alias in token:
-                            own = max(own, 0.84)
-                        best = max(best, own)
-                    if best >= 0.55 and token:
-                        scored.append((-best, company))
-                out += [(reference, company, -score, n + 1) for n, (score, company) in enumerate(sorted(scored)[:most])]
-            yield pd.DataFrame(out, columns=["reference", "company_id", "score", "rank"])
+            for reference, token, company, alias in batch.itertuples(index=False):
+                score = ratio(token, alias)
+                if alias.startswith(token) or token.startswith(alias):
+                    score = max(score, 0.92)
+                elif token in alias or alias in token:
+                    score = max(score, 0.84)
+                if score >= 0.55:
+                    out.append((reference, company, score))
+            yield pd.DataFrame(out, columns=["reference", "company_id", "score"])
 
-    token = F.regexp_replace(F.lower("reference"), r"[^a-z0-9一-鿿]+", "")
-    return references.select("reference", token.alias("token")).mapInPandas(run, "reference string, company_id string, score double, rank int")
+    scored = near.mapInPandas(run, "reference string, company_id string, score double").groupBy("reference", "company_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("reference").orderBy(F.desc("score"), "company_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def reachable(links: DataFrame, start: DataFrame, depth: int = 2, most: int = 5) -> DataFrame:
@@ -124,18 +248,35 @@ def reachable(links: DataFrame, start: DataFrame, depth: int = 2, most: int = 5)
     return seen
 
 
-def cascade(primary: DataFrame, fallback: DataFrame, keys: list[str], scalars: list[str], maps: list[str], lists: list[str], notes: list[str]) -> DataFrame:
-    """Primary payloads filled from fallback ones: scalars and map entries where missing or blank, lists where the fallback's is longer by two and at least half as long again, notes joined."""
+def has_value(value: Column) -> Column:
+    """Whether a string isn't blank."""
+    return F.coalesce(F.trim(value) != "", F.lit(False))
+
+
+def clean_map(entries: Column) -> Column:
+    """A map of strings less its blank entries; null is empty."""
+    return F.map_filter(F.coalesce(entries, F.create_map().cast("map<string,string>")), lambda _, v: has_value(v))
+
+
+def cascade(primary: DataFrame, fallback: DataFrame, keys: list[str], scalars: list[str], maps: list[str], lists: list[str], preferred: list[str], notes: list[str]) -> DataFrame:
+    """Primary payloads filled from fallback ones.
+
+    Scalars and map entries where missing or blank; lists where empty; `preferred` lists also where the fallback's is longer and
+    the own has one item at most, or two and the fallback's two more; notes joined, trimmed, each once.
+    """
     p, f = primary.alias("p"), fallback.alias("f")
     met = p.join(f, keys, "left")
     a, b = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"f.{c}"))
-    known = lambda m: F.map_filter(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda _, v: F.coalesce(F.trim(v) != "", F.lit(False)))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
     filled = [F.coalesce(a(c), b(c)).alias(c) for c in scalars]
     added = lambda m, more: F.map_concat(F.map_filter(more, lambda k, _: ~F.array_contains(F.map_keys(m), k)), m)
-    filled += [added(known(a(c)), known(b(c))).alias(c) for c in maps]
-    longer = lambda c: (F.size(b(c)) >= F.size(a(c)) + 2) & (F.size(b(c)) >= 1.5 * F.size(a(c)))
-    filled += [F.when(a(c).isNull() | (F.size(a(c)) == 0) | F.coalesce(longer(c), F.lit(False)), F.coalesce(b(c), a(c))).otherwise(a(c)).alias(c) for c in lists]
-    filled += [F.array_distinct(F.concat(F.coalesce(a(c), F.array().cast("array<string>")), F.coalesce(b(c), F.array().cast("array<string>")))).alias(c) for c in notes]
+    filled += [added(clean_map(a(c)), clean_map(b(c))).alias(c) for c in maps]
+    filled += [F.when(a(c).isNull() | (size(a(c)) == 0), F.coalesce(b(c), a(c))).otherwise(a(c)).alias(c) for c in lists]
+    longer = lambda c: (size(b(c)) > size(a(c))) & ((size(a(c)) <= 1) | ((size(a(c)) <= 2) & (size(b(c)) >= size(a(c)) + 2)))
+    filled += [F.when(longer(c), b(c)).otherwise(a(c)).alias(c) for c in preferred]
+    empty = F.array().cast("array<string>")
+    both = lambda c: F.transform(F.concat(F.coalesce(a(c), empty), F.coalesce(b(c), empty)), lambda x: F.trim(x))
+    filled += [F.array_distinct(F.filter(both(c), lambda x: x != "")).alias(c) for c in notes]
     return met.select(*keys, *filled)
 
 
@@ -145,21 +286,159 @@ def aligned(source_date: Column, period_end: Column, geographies_only: Column) -
     return F.coalesce(gap.between(-30, 220) | (geographies_only & gap.between(-400, 820)), F.lit(False))
 
 
-#: What a link's text or address says for each role, and against all.
-ROLE_WORDS = {"release": r"press release|earnings release|results|announces", "presentation": r"presentation|slides|deck", "call": r"transcript|conference call|webcast|prepared remarks", "filing": r"10-q|10-k|20-f|6-k|annual report|quarterly report"}
-AGAINST = r"privacy|cookie|careers|subscribe|login|dividend|proxy|governance"
+#: Words of a role's links and their points, and parts of a path and theirs.
+ROLE_WORDS = {
+    "earnings_release": (("earnings", "financial results", "quarterly results", "results", "press release"), 22, ("news-release-details",), 18),
+    "earnings_call": (("webcast", "transcript", "earnings call", "conference call", "prepared remarks", "event"), 24, ("/events/",), 30),
+    "earnings_presentation": (("presentation", "slides", "deck", "supplement", "pdf"), 22, ("/presentations", "/quarterly-results"), 12),
+    "earnings_commentary": (("commentary", "supplement", "prepared remarks"), 20, (), 0),
+}
+AGAINST = ("annual report", "proxy", "dividend", "esg", "sustainability", "stock information")
+LISTING_WORDS = ("quarterly results", "financial news releases", "news releases", "events and presentations", "events + presentations", "events presentations", "past events", "upcoming events", "earnings", "results", "financial reports", "quarterly", "presentations", "events")
+LISTING_AGAINST = ("annual report", "proxy", "tax", "stock information", "governance", "esg", "sec filings archive")
+UPCOMING = ("to announce", "will host", "will hold", "scheduled to discuss", "scheduled for", "register here", "register now", "upcoming event")
+#: Least scores of links from a site's pages, from sitemaps, and from the pages of a source that is known already.
+LEAST_SCORES = {"site": 32, "sitemap": 34, "related": 38}
+
+
+def _mentioned(tokens: Column) -> tuple[Column, Column]:
+    """Years and quarters that the tokens name."""
+    years = F.array_distinct(F.regexp_extract_all(tokens, F.lit(r"\b(20\d{2})\b"), F.lit(1)))
+    quarters = F.array_compact(F.array(*(F.when(tokens.contains(f"q{n}") | tokens.contains(f"{n}q") | tokens.contains(f"{word} quarter"), n) for n, word in enumerate(ORDINALS, 1))))
+    return years, quarters
 
 
-def link_score(text: Column, role: str, quarter: Column, year: Column) -> Column:
-    """20 for the role's words, 14 for the quarter, 10 for the year, 6 for a document's suffix, less 24 for words against it."""
-    low = F.lower(text)
-    spelled = F.concat(F.lit("q"), quarter.cast("string"))
-    return F.when(low.rlike(ROLE_WORDS[role]), 20).otherwise(0) + F.when(low.contains(spelled), 14).otherwise(0) + F.when(low.contains(year.cast("string")), 10).otherwise(0) + F.when(low.rlike(r"\.(pdf|htm|html)(\?|$)"), 6).otherwise(0) - F.when(low.rlike(AGAINST), 24).otherwise(0)
+def link_score(tokens: Column, path: Column, role: str, terms: Column, ticker: Column, name: Column) -> Column:
+    """The score of a link for a role. terms: periods.reference_terms of the quarter; ticker and first word of the company's name in lower case.
+
+    The role's words and paths; 9 a calendar and 12 a fiscal term; 14 for a wanted year and less 24 for another; 12 for a wanted
+    quarter and less 18 for another; 3 each for ticker and name; less 26 for what isn't about a quarter.
+    """
+    words, points, paths, more = ROLE_WORDS[role]
+    held = lambda array: F.size(F.filter(array, lambda t: tokens.contains(t)))
+    years, quarters = _mentioned(tokens)
+    score = number_of(tokens, words) * points + (F.when(has_any(path, paths), more).otherwise(0) if paths else 0) + held(terms["calendar"]) * 9 + held(terms["fiscal"]) * 12
+    score = score + F.when(F.size(years) == 0, 0).when(F.arrays_overlap(years, terms["years"]), 14).when(F.size(terms["years"]) > 0, -24).otherwise(0)
+    score = score + F.when(F.size(quarters) == 0, 0).when(F.arrays_overlap(quarters, terms["quarters"]), 12).otherwise(-18)
+    own = lambda word: F.when((word != "") & tokens.contains(word), 3).otherwise(0)
+    return score + own(ticker) + own(name) - F.when(has_any(tokens, AGAINST), 26).otherwise(0)
+
+
+def timely(tokens: Column, terms: Column) -> Column:
+    """Whether the tokens name no year or quarter but wanted ones."""
+    years, quarters = _mentioned(tokens)
+    other = lambda named, wanted: (F.size(named) > 0) & (F.size(wanted) > 0) & ~F.arrays_overlap(named, wanted)
+    return ~other(years, terms["years"]) & ~other(quarters, terms["quarters"])
+
+
+def fits_role(tokens: Column, role: str) -> Column:
+    """Whether a link's tokens are those of a role."""
+    if role == "earnings_call":
+        stale = has_any(tokens, UPCOMING) & ~has_any(tokens, ("transcript", "prepared remarks", "replay", "archive"))
+        return ~stale & has_any(tokens, ("webcast", "transcript", "earnings call", "conference call", "prepared remarks", "call replay"))
+    if role == "earnings_presentation":
+        other = has_any(tokens, ("events and presentations", "past events", "upcoming events", "quarterly results", "how to", "tutorial", "template", "training", "pitch deck"))
+        asset, context = ("presentation", "slides", "deck", "supplement", ".pdf", "download"), ("earnings", "financial results", "quarterly results", "fiscal", "q1", "q2", "q3", "q4", "investor")
+        return ~other & has_any(tokens, asset) & has_any(tokens, context)
+    if role == "earnings_commentary":
+        return has_any(tokens, ("commentary", "supplement", "prepared remarks"))
+    other = ("to announce", "earnings call", "conference call", "webcast", "transcript", "prepared remarks", "presentation", "slides", "deck", "/events/")
+    return ~has_any(tokens, other) & has_any(tokens, ("earnings", "financial results", "quarterly results", "press release", "results"))
+
+
+def listing_score(tokens: Column) -> Column:
+    """How much a page's address and label promise lists of reports: 20 a word, less 20 for other pages, 8 for a path of news or events."""
+    return number_of(tokens, LISTING_WORDS) * 20 - F.when(has_any(tokens, LISTING_AGAINST), 20).otherwise(0) + F.when(has_any(tokens, ("/news", "/events", "/financial-information")), 8).otherwise(0)
+
+
+def best_links(links: DataFrame, source: str = "site") -> DataFrame:
+    """For each target and role the timely link that fits with the best score, the first of equals, if it reaches the least score.
+
+    links: target, ordinal, url, text, terms (struct), ticker, name.
+    """
+    tokens = document_tokens(F.col("url"), F.col("text"))
+    rows = links.select("*", F.explode(F.array(tokens)).alias("tokens"))
+    path = F.lower(F.regexp_extract("url", r"^[a-z+]+://[^/?#]*([^?#]*)", 1))
+    by_role = None
+    for role in ROLE_WORDS:
+        own = rows.where(fits_role(F.col("tokens"), role) & timely(F.col("tokens"), F.col("terms"))).select("target", F.lit(role).alias("role"), "ordinal", "url", link_score(F.col("tokens"), path, role, F.col("terms"), F.col("ticker"), F.col("name")).alias("score"))
+        by_role = own if by_role is None else by_role.unionByName(own)
+    return best_by(by_role.where(F.col("score") >= LEAST_SCORES[source]), ["target", "role"], F.desc("score"), F.col("ordinal"))
 
 
-def provenance(kind: Column, ready: Column, inferred: Column) -> Column:
-    """official, official_pending, inferred, structured or none."""
-    return F.when(inferred, "inferred").when(kind.isin("filing", "release") & ready, "official").when(kind.isin("filing", "release"), "official_pending").when(kind == "series", "structured").otherwise("none")
+def best_source(sources: DataFrame, kinds: tuple[str, ...] = (), roles: tuple[str, ...] = ()) -> DataFrame:
+    """One source a report: by preferred kind, preferred role, readiness (fetched 2, with an address 1), a label for readers, the later date; the first of equals.
+
+    sources: report, ordinal, kind, role, url, label, date, status.
+    """
+    place = lambda c, order: F.coalesce(*(F.when(F.col(c) == x, len(order) - n) for n, x in enumerate(order)), F.lit(0)) if order else F.lit(0)
+    ready = F.when(F.col("status").isin("fetched", "cached"), 2).when(has_value(F.col("url")), 1).otherwise(0)
+    readable = F.when(has_any(F.lower(F.coalesce("label", F.lit(""))), (".htm", ".html", ".txt", ".pdf", "ex99", "8-k")), 0).otherwise(1)
+    ranked = sources.withColumns({"kind_rank": place("kind", kinds), "role_rank": place("role", roles), "ready_rank": ready, "label_rank": readable, "_day": F.coalesce(F.datediff(F.try_to_date("date", "yyyy-MM-dd"), F.lit("0001-01-01").cast("date")), F.lit(-1))})
+    return best_by(ranked, ["report"], *(F.desc(c) for c in ("kind_rank", "role_rank", "ready_rank", "label_rank", "_day")), F.col("ordinal")).drop("_day")
+
+
+def document_types(kind: Column, role: Column, label: Column, url: Column) -> Column:
+    """Types of a submission's documents, the wanted first, by the source they are read for; fixed values."""
+    listed = lambda *x: F.array(*map(F.lit, x))
+    foreign = F.lower(label).contains("6-k") | F.lower(url).contains("6-k") | F.lower(url).contains("form6k")
+    return (
+        F.when((role == "earnings_release") | (kind == "official_release"), listed("EX-99.1", "EX-99", "99.1", "99.01", "EX-13", "8-K", "6-K"))
+        .when((role == "earnings_call") | (kind == "call_summary"), listed("EX-99.2", "EX-99", "99.2", "8-K", "6-K"))
+        .when((kind == "sec_filing") & foreign, listed("EX-99.1", "99.1", "EX-99.2", "99.2", "EX-99.3", "99.3", "6-K", "20-F", "EX-13", "EX-99"))
+        .otherwise(listed("10-Q", "10-K", "6-K", "20-F", "8-K", "EX-13", "EX-99"))
+    )
+
+
+def document_choice(documents: DataFrame) -> DataFrame:
+    """The document of each submission: by type, then HTML, then what its name promises less its place. documents: key, seq, type, filename, description, body, types (array)."""
+    kind, name = F.upper(F.coalesce("type", F.lit(""))), F.lower(F.coalesce("filename", F.lit("")))
+    rank = F.array_position(F.transform("types", lambda t: kind.startswith(t)), F.lit(True))
+    other = F.when(kind.startswith("EX-99"), 1).when(kind.isin("XML", "GRAPHIC", "ZIP", "JSON", "EX-101.INS", "EX-101.SCH") | name.rlike(r"\.(xml|xsd|jpg|png|gif|zip|xls|xlsx)$"), -10).otherwise(0)
+    page = name.contains("htm") | F.lower(F.coalesce("body", F.lit(""))).contains("<html")
+    promise = name.contains("earn") | name.contains("result") | F.lower(F.coalesce("description", F.lit(""))).contains("financial")
+    scored = documents.withColumns({"priority": F.when(rank > 0, F.size("types") - rank.cast("int") + 1).otherwise(other), "page": page.cast("int"), "bonus": promise.cast("int") - F.col("seq")})
+    # a document must beat (-1, -1, -1)
+    beats = (F.col("priority") > -1) | ((F.col("priority") == -1) & (F.col("page") >= 0))
+    return best_by(scored.where(beats), ["key"], F.desc("priority"), F.desc("page"), F.desc("bonus"), F.col("seq"))
+
+
+def transcript_choice(materials: DataFrame, least: int = 400) -> DataFrame:
+    """The transcript of each report: fetched material of a call that reads like one, by its label, then its length; the first of equals.
+
+    materials: report, ordinal, status, kind, role, label, text.
+    """
+    text, label = F.trim("text"), F.coalesce("label", F.lit(""))
+    call = F.coalesce((F.col("kind") == "call_summary") | (F.col("role") == "earnings_call"), F.lit(False))
+    rows = materials.where(F.col("status").isin("fetched", "cached") & call & (F.length(text) >= least) & transcript_like(text, label))
+    named = F.when(F.lower(label).contains("transcript"), 3).when(F.lower(label).contains("prepared remarks"), 2).otherwise(1)
+    return best_by(rows.withColumns({"label_score": named, "length": F.length(text)}), ["report"], F.desc("label_score"), F.desc("length"), F.col("ordinal"))
+
+
+def material_tokens(own: Column, materials: Column) -> Column:
+    """Sorted distinct tokens: a report's own, and kind and role of each fetched material with text. materials: array<struct<kind, role, status, text_length, text_path>>."""
+    read = F.filter(materials, lambda m: m["status"].isin("fetched", "cached") & ((F.coalesce(m["text_length"], F.lit(0)) > 0) | has_value(m["text_path"])))
+    every = F.concat(F.coalesce(own, F.array().cast("array<string>")), F.transform(read, lambda m: m["kind"]), F.transform(read, lambda m: m["role"]))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(every, F.trim), has_value)))
+
+
+#: Tokens of official material.
+OFFICIAL_TOKENS = ("official_release", "presentation", "sec_filing", "earnings_release", "earnings_presentation", "earnings_commentary")
+SYNTHESIZED = ("Management context", "Guidance context")
+
+
+def provenance(tokens: Column, transcript: Column, speakers: Column) -> Column:
+    """struct<qna, management, quotes, inferred>: where a report's narrative comes from.
+
+    tokens: material_tokens; transcript: the transcript summary's source_type or null; speakers: array of the quotes' speakers.
+    """
+    call, manual = F.coalesce(transcript == "official_call_material", F.lit(False)), F.coalesce(transcript == "manual_transcript", F.lit(False))
+    official = F.arrays_overlap(tokens, F.array(*map(F.lit, OFFICIAL_TOKENS)))
+    management = F.when(call, "official_call_material").when(official, "official_material_inferred").otherwise("structured_fallback")
+    qna = F.when(manual, "manual_transcript").otherwise(management)
+    made = F.forall(speakers, lambda s: F.trim(F.coalesce(s, F.lit(""))).isin(*SYNTHESIZED))
+    quotes = F.when(F.coalesce(F.size(speakers), F.lit(0)) == 0, "no_quote_excerpt").when(made, "synthesized_quote").otherwise("official_quote_excerpt")
+    return F.struct(qna.alias("qna"), management.alias("management"), quotes.alias("quotes"), (~qna.isin("manual_transcript", "official_call_material")).alias("inferred"))
 
 
 def themes(*rules: tuple[Column, str, Column], most: int = 4) -> Column:

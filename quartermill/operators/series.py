@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartermill.functions.numbers import pct_change, pct_change_abs
+from quartermill.functions.periods import label, majority_index
 
 KEY, AT = "company", "quarter_index"
 
@@ -77,8 +78,12 @@ def gated(supported: DataFrame, audited: DataFrame, window: int) -> DataFrame:
 
 
 def dense_window(series: DataFrame, targets: DataFrame, window: int = 12) -> DataFrame:
-    """The `window` calendar quarters up to each target, with or without a row. targets: company, target_index."""
-    grid = targets.withColumn(AT, F.explode(F.sequence(F.col("target_index") - window + 1, F.col("target_index"))))
+    """The `window` calendar quarters up to each target, with or without a row; a target before its company's first quarter fails. targets: company, target_index."""
+    first = series.groupBy(KEY).agg(F.min(AT).alias("_first"))
+    checked = targets.join(first, KEY, "left")
+    problem = F.concat(F.lit("no quarter of company "), F.col(KEY).cast("string"), F.lit(" is as early as the target"))
+    checked = checked.withColumn("target_index", F.when(F.col("_first") <= F.col("target_index"), F.col("target_index")).otherwise(F.raise_error(problem).cast("int")))
+    grid = checked.drop("_first").withColumn(AT, F.explode(F.sequence(F.col("target_index") - window + 1, F.col("target_index"))))
     return grid.join(series, [KEY, AT], "left")
 
 
@@ -104,6 +109,18 @@ def interpolated(series: DataFrame, *names: str) -> DataFrame:
     return series.withColumns(filled).drop("_row")
 
 
+def with_margin(series: DataFrame) -> DataFrame:
+    """Net margin of filled revenue and earnings, where both are there and revenue isn't 0; the old one otherwise."""
+    margin = F.col("earnings_filled") / F.nullif(F.col("revenue_filled"), F.lit(0.0)) * 100
+    return series.withColumn("net_margin", F.coalesce(margin, "net_margin")).withColumn("inferred", F.col("revenue_inferred") | F.col("earnings_inferred"))
+
+
+def metrics_with_data(series: DataFrame, names: list[str], most: int = 4) -> DataFrame:
+    """company and the first `most` of the names that have a value in any of its quarters."""
+    known = F.array_compact(F.array(*(F.when(F.count(n) > 0, F.lit(n)) for n in names)))
+    return series.groupBy(KEY).agg(F.slice(known, 1, most).alias("metrics"))
+
+
 def sparkline(series: DataFrame, name: str) -> DataFrame:
     """Carried forward, and the first known value carried back; then scaled to 0..1 (all alike: a half)."""
     value = F.coalesce(F.last(name, ignorenulls=True).over(by_quarter((Window.unboundedPreceding, 0))), F.first(name, ignorenulls=True).over(by_quarter((Window.unboundedPreceding, Window.unboundedFollowing))))
@@ -115,14 +132,14 @@ def sparkline(series: DataFrame, name: str) -> DataFrame:
 
 
 def despiked(series: DataFrame, name: str = "roe") -> DataFrame:
-    """company and an array of (quarter_index, value): a value over 20, 2.2 times and 10 beyond the upper median of the last four accepted is dropped."""
+    """company and an array of (quarter_index, value): a value over 20, 2.2 times and 10 beyond the upper median of the last four accepted is dropped, if that median is positive."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(AT), F.col(name).alias("v"))))
     grouped = series.groupBy(KEY).agg(rows.alias("rows"))
 
     def step(state: Column, row: Column) -> Column:
         recent = F.slice(state["accepted"], F.greatest(F.size(state["accepted"]) - 3, F.lit(1)), F.lit(4))
         median = F.get(F.sort_array(recent), F.floor(F.size(recent) / 2).cast("int"))
-        spike = F.coalesce((F.size(recent) >= 4) & (row["v"] > 20) & (row["v"] > 2.2 * median) & (row["v"] > median + 10), F.lit(False))
+        spike = F.coalesce((F.size(recent) >= 4) & (median > 0) & (row["v"] > 20) & (row["v"] > 2.2 * median) & (row["v"] > median + 10), F.lit(False))
         keep = F.when(~spike, row["v"])
         return F.struct(F.when(keep.isNotNull(), F.concat(state["accepted"], F.array(keep))).otherwise(state["accepted"]).alias("accepted"), F.concat(state["out"], F.array(F.struct(row[AT].alias(AT), keep.alias("v")))).alias("out"))
 
@@ -151,14 +168,25 @@ def best_facts(facts: DataFrame) -> DataFrame:
 
 
 def annual_delta(series: DataFrame, annual: DataFrame, name: str) -> DataFrame:
-    """A missing quarter in which a year ends gets the year less its three quarters before; under half a unit is 0, over 1.4 times the year is refused. annual: company, quarter_index, annual."""
-    w = by_quarter((-3, -1))
-    dense = series.join(annual, [KEY, AT], "full_outer")
-    consecutive = (F.count(name).over(w) == 3) & (F.lag(AT, 3).over(by_quarter()) == F.col(AT) - 3)
-    rest = F.col("annual") - F.sum(name).over(w)
-    rest = F.when(F.abs(rest) < 0.5, 0.0).otherwise(rest)
-    derived = F.when(consecutive & (F.abs(rest) <= 1.4 * F.abs(F.col("annual"))), rest)
-    return dense.withColumn(f"{name}_derived", F.col(name).isNull() & derived.isNotNull()).withColumn(name, F.coalesce(name, derived))
+    """A missing quarter in which a year ends gets the year less its three quarters before, rounded to whole units; under half a unit is 0, over 1.4 times the year is refused
+    (a year of 0 refuses nothing). Quarters go in order, so one that was filled serves the following. annual: company, quarter_index, annual.
+    """
+    rows = series.select(KEY, AT, F.col(name).alias("v")).join(annual, [KEY, AT], "full_outer")
+    packed = rows.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct(AT, "v", F.col("annual").cast("double").alias("annual")))).alias("rows"))  # a company's quarters
+    kind = f"array<struct<{AT}:int,v:double,derived:boolean>>"
+
+    def step(done: Column, row: Column) -> Column:
+        recent = F.slice(done, F.greatest(F.size(done) - 2, F.lit(1)), F.lit(3))
+        before = F.filter(recent, lambda x: (x[AT] >= row[AT] - 3) & x["v"].isNotNull())
+        rest = row["annual"] - F.aggregate(before, F.lit(0.0), lambda a, x: a + x["v"])
+        rest = F.when(F.abs(rest) < 0.5, 0.0).otherwise(rest)
+        derived = F.when(row["v"].isNull() & (F.size(before) == 3) & ((row["annual"] == 0) | (F.abs(rest) <= 1.4 * F.abs(row["annual"]))), F.bround(rest))
+        return F.concat(done, F.array(F.struct(row[AT].alias(AT), F.coalesce(row["v"], derived).alias("v"), derived.isNotNull().alias("derived"))))
+
+    filled = packed.select(KEY, F.inline(F.aggregate("rows", F.array().cast(kind), step)))
+    filled = filled.select(KEY, AT, F.col("v").alias(name), F.col("derived").alias(f"{name}_derived"))
+    others = [c for c in series.columns if c not in (KEY, AT, name)]
+    return filled.join(series.select(KEY, AT, *others), [KEY, AT], "left") if others else filled
 
 
 def merged(base: DataFrame, official: DataFrame) -> DataFrame:
@@ -169,6 +197,24 @@ def merged(base: DataFrame, official: DataFrame) -> DataFrame:
     return b.join(o, on, "full_outer").select(first(KEY), first(AT), first("revenue"), first("earnings"), F.coalesce("o.equity", "b.equity").alias("equity"))
 
 
+def merged_with_roe(base: DataFrame, official: DataFrame) -> DataFrame:
+    """merged, and the trailing return on equity of what came out; none is carried over from base."""
+    return trailing_roe(merged(base, official))
+
+
+def concept_union(facts: DataFrame, metrics: list[str]) -> DataFrame:
+    """company, period and a column for each metric: all periods that any concept has. facts: company, metric, period, value, one a key. One shuffle, no joins."""
+    return facts.groupBy(KEY, "period").agg(*(F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics))
+
+
+def page_series(rows: DataFrame) -> DataFrame:
+    """company, period (YYYYQn), revenue, earnings, gross_margin, revenue_yoy of a page's rows: whole numbers, change over the fourth row before. rows: company, date_key, revenue, earnings, gross_profit."""
+    index = majority_index(F.try_to_date("date_key", "yyyy-MM-dd"))
+    own = rows.select(KEY, index.alias(AT), F.col("revenue").cast("long").alias("revenue"), F.col("earnings").cast("long").alias("earnings"), (F.col("gross_profit") / F.nullif(F.col("revenue"), F.lit(0.0)) * 100).alias("gross_margin")).where(f"{AT} IS NOT NULL")
+    before_ = F.nullif(F.lag("revenue", 4).over(by_quarter()), F.lit(0))
+    return own.withColumns({"period": label(F.col(AT)), "revenue_yoy": (F.nullif(F.col("revenue"), F.lit(0)) - before_) / F.abs(before_) * 100})
+
+
 def relabelled(series: DataFrame, new_index: Column) -> DataFrame:
     """Series under new quarters; of rows that meet in one, the later stays."""
     values = [c for c in series.columns if c not in (KEY, AT)]
@@ -181,9 +227,9 @@ def recomputed(series: DataFrame) -> DataFrame:
 
 
 def endpoints(series: DataFrame, name: str) -> DataFrame:
-    """Per company: first, latest, previous, year-ago (or earliest) and cumulative change."""
+    """Per company: first, latest, previous, year-ago (or earliest), the middle one and cumulative change."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(AT), F.col(name).alias("v"))))
     g = series.groupBy(KEY).agg(rows.alias("r"))
     at = lambda k: F.get("r", F.size("r") - k)["v"]
     first, last = F.get("r", F.lit(0))["v"], at(1)
-    return g.select(KEY, first.alias("first"), last.alias("latest"), F.when(F.size("r") >= 2, at(2)).otherwise(first).alias("previous"), F.when(F.size("r") >= 5, at(5)).otherwise(first).alias("year_ago"), pct_change(last, first).alias("total_change"))
+    return g.select(KEY, first.alias("first"), last.alias("latest"), F.when(F.size("r") >= 2, at(2)).otherwise(first).alias("previous"), F.when(F.size("r") >= 5, at(5)).otherwise(first).alias("year_ago"), F.get("r", F.floor(F.size("r") / 2).cast("int"))["v"].alias("middle"), pct_change(last, first).alias("total_change"))

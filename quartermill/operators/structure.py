@@ -6,6 +6,9 @@ made the items has brought together already.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +46,38 @@ def shares(items: DataFrame) -> DataFrame:
     return positive.withColumn("share", F.col("value") / whole * 100)
 
 
-def reasonable(items: DataFrame, low: float = 0.45, high: float = 1.45) -> DataFrame:
-    """company, quarter_index, ratio of the items' sum to revenue, and whether it is in the band."""
+#: Issuers whose items don't add up to revenue by design, and their bounds.
+RATIO_BOUNDS = {"visa": (0.55, 1.55)}
+
+
+def reasonable(items: DataFrame, low: float = 0.45, high: float = 1.45, bounds: DataFrame | None = None) -> DataFrame:
+    """company, quarter_index, ratio of the items' sum to revenue, and whether it is in the band. bounds: company, low, high, for companies with a band of their own."""
     sums = items.groupBy(*QUARTER).agg((F.sum("value") / F.nullif(F.max("revenue"), F.lit(0))).alias("ratio"))
-    return sums.withColumn("reasonable", F.coalesce(F.col("ratio").between(low, high), F.lit(False)))
+    if bounds is not None:
+        sums = sums.join(bounds, KEY, "left")
+    own = (F.coalesce("low", F.lit(low)), F.coalesce("high", F.lit(high))) if bounds is not None else (F.lit(low), F.lit(high))
+    return sums.withColumn("reasonable", F.coalesce(F.col("ratio").between(*own), F.lit(False))).select(*QUARTER, "ratio", "reasonable")
 
 
-def top_and_other(items: DataFrame, most: int = 5) -> DataFrame:
-    """At most `most` items a quarter: the largest in their old order and the others as one."""
+def top_and_other(items: DataFrame, most: int = 5, least_share: float = 0.0) -> DataFrame:
+    """At most `most` items a quarter: of more, the largest with `least_share` percent in their old order, and the others as one."""
     order = in_quarter().orderBy(F.desc("value"), "position")
-    ranked = items.where("value > 0").withColumns({"_n": F.count("*").over(in_quarter()), "_k": F.row_number().over(order)})
-    other = (F.col("_n") > most) & (F.col("_k") > most - 1)
-    named = ranked.withColumns({"name": F.when(other, "Other").otherwise(F.col("name")), "position": F.when(other, 1 << 30).otherwise(F.col("position")).cast("int")})
+    ranked = items.where("value > 0").withColumns({"_n": F.count("*").over(in_quarter()), "_k": F.row_number().over(order), "_share": F.col("value") / total() * 100})
+    other = (F.col("_n") > most) & ((F.col("_k") > most - 1) | (F.col("_share") < least_share))
+    return _with_other(ranked, other, "Other")
+
+
+def first_and_other(items: DataFrame, most: int = 4, least_share: float = 5.0, name: str = "Other operating items") -> DataFrame:
+    """At most `most` items a quarter: of more, the first ones with `least_share` percent, in their order, and the others as one."""
+    large = F.col("value") / total() * 100 >= least_share
+    ranked = items.withColumns({"_n": F.count("*").over(in_quarter()), "_large": large})
+    ranked = ranked.withColumn("_k", F.sum(F.when(F.col("_large"), 1).otherwise(0)).over(in_quarter().orderBy("position").rowsBetween(Window.unboundedPreceding, 0)))
+    return _with_other(ranked, (F.col("_n") > most) & ~(F.col("_large") & (F.col("_k") <= most - 1)), name).where("value > 0")
+
+
+def _with_other(ranked: DataFrame, other: Column, name: str) -> DataFrame:
+    named = ranked.withColumn("_other", other)
+    named = named.withColumns({"name": F.when(F.col("_other"), name).otherwise(F.col("name")), "position": F.when(F.col("_other"), 1 << 30).otherwise(F.col("position")).cast("int")})
     return named.groupBy(*QUARTER, "name", "position").agg(F.sum("value").alias("value"))
 
 
@@ -71,39 +94,102 @@ def delta_leader(items: DataFrame, least: float = 0.05) -> DataFrame:
     return delta(items).where(F.col("change") > least).groupBy(KEY).agg(F.max_by("name", F.struct("change", "name")).alias("leader"), F.max("change").alias("change"))
 
 
-def name_profile(items: DataFrame) -> DataFrame:
-    """company, name, quarters it occurs in, rank, and whether it is one of the two core names; with the target count of names.
+#: Names of regions.
+REGIONS = (
+    "north america", "international", "other international", "united states", "u s", "u.s.", "u.s", "united states and canada", "other countries", "americas", "americas excluding united states", "americas excluding u.s.",
+    "americas excluding us", "other americas", "europe", "greater china", "japan", "rest of asia pacific", "rest of asia-pacific", "other asia pacific", "other asia-pacific", "rest of asia", "asia", "asia-pacific", "asia pacific",
+    "apac", "apj", "emea", "europe, the middle east and africa", "europe middle east africa", "europe / middle east / africa", "middle east and africa", "latin america / caribbean", "latin america/caribbean", "south korea",
+    "singapore", "taiwan", "china", "china including hong kong", "mainland china excluding hong kong", "hong kong", "non u.s.", "non-u.s.", "rest of world", "others", "other",
+)
+
 
-    The target is four fifths of the upper median number of names (2 at least, no more than there are); a core name is in two fifths of
-    the quarters, 2 at least.
+def required_names(n: Column) -> Column:
+    """Names a company's quarter needs, by how many canonical names it has."""
+    return F.when(n >= 5, 3).when(n >= 3, 2).otherwise(1)
+
+
+def incomplete(names: Column, n_canonical: Column) -> Column:
+    """Whether a structure has too few names, or only regions though the company has three canonical names or more; none at all isn't incomplete."""
+    regional = F.forall(names, lambda x: F.lower(x).isin(*REGIONS))
+    return (F.size(names) > 0) & ((F.size(names) < required_names(n_canonical)) | (regional & (n_canonical >= 3)))
+
+
+def name_profile(items: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
+    """company, name, quarters it occurs in, rank, and whether it is a core name; with the target count of names.
+
+    canonical: company, names (array in order); they come first, the others by how often they occur, then by where they stand.
+    Quarters of regions alone don't count. The target is four fifths of the upper median number of names (of the required number at
+    least; 2 at least, no more than there are, never less than required). Core names are the first two in rank that are in two fifths of
+    the quarters, 2 at least; without such, the first two.
     """
-    per_quarter = items.groupBy(*QUARTER).agg(F.countDistinct("name").alias("n"))
-    sized = per_quarter.groupBy(KEY).agg(F.sort_array(F.collect_list("n")).alias("sizes"))
-    median = F.get("sizes", F.floor(F.size("sizes") / 2).cast("int"))
-    sized = sized.select(KEY, F.size("sizes").alias("_quarters"), median.alias("_median"))
-    counts = items.groupBy(KEY, "name").agg(F.countDistinct(AT).alias("quarters"), F.min("position").alias("_p"))
+    marked = items.withColumn("_region", F.lower("name").isin(*REGIONS))
+    regional = marked.groupBy(*QUARTER).agg(F.bool_and("_region").alias("_only"))
+    counted = items.join(regional.where("NOT _only").select(*QUARTER), QUARTER)
+    per_quarter = counted.groupBy(*QUARTER).agg(F.countDistinct("name").alias("n"))
+    sized = per_quarter.groupBy(KEY).agg(F.sort_array(F.collect_list("n")).alias("sizes"))  # a number a quarter
+    sized = sized.select(KEY, F.size("sizes").alias("_quarters"), F.get("sizes", F.floor(F.size("sizes") / 2).cast("int")).alias("_median"))
+    found = counted.groupBy(KEY, "name").agg(F.countDistinct(AT).alias("quarters"), F.min(F.struct(AT, "position")).alias("_p"))
+    found = found.select(KEY, "name", "quarters", "_p", F.lit(None).cast("int").alias("_place"))
+    if canonical is not None:
+        wanted = canonical.select(KEY, F.posexplode("names").alias("_place", "name"), F.lit(0).cast("long").alias("_none"))
+        found = found.drop("_place").join(wanted, [KEY, "name"], "full_outer").select(KEY, "name", F.coalesce("quarters", "_none").alias("quarters"), "_p", "_place")
+        required = required_names(F.max(F.col("_place") + 1).over(Window.partitionBy(KEY)))
+    else:
+        required = F.lit(1)
     w = Window.partitionBy(KEY)
-    ranked = counts.join(sized, KEY).withColumns({"rank": F.row_number().over(w.orderBy(F.desc("quarters"), "_p", "name")), "_names": F.count("*").over(w)})
-    target = F.least(F.col("_names"), F.greatest(F.lit(2), F.bround(F.col("_median") * 0.8)))
-    stable = F.col("quarters") >= F.greatest(F.lit(2), F.bround(F.col("_quarters") * 0.4))
-    core = stable & (F.sum(F.when(stable, 1).otherwise(0)).over(w.orderBy("rank")) <= 2)
+    order = w.orderBy(F.col("_place").asc_nulls_last(), F.desc("quarters"), "_p", "name")
+    ranked = found.join(sized, KEY, "left").withColumns({"rank": F.row_number().over(order), "_names": F.count("*").over(w), "_required": F.coalesce(required, F.lit(1))})
+    most = F.greatest(F.lit(2), F.bround(F.greatest(F.coalesce("_median", F.lit(0)), F.col("_required")) * 0.8))
+    target = F.greatest(F.col("_required"), F.least(F.col("_names"), most))
+    stable = F.coalesce((F.col("_quarters") > 0) & (F.col("quarters") >= F.greatest(F.lit(2), F.bround(F.col("_quarters") * 0.4))), F.lit(False))
+    ranked = ranked.withColumns({"_stable": stable, "_k": F.sum(F.when(stable, 1).otherwise(0)).over(w.orderBy("rank"))})
+    core = F.when(F.max("_k").over(w) > 0, F.col("_stable") & (F.col("_k") <= 2)).otherwise(F.col("rank") <= 2)
     return ranked.select(KEY, "name", "quarters", "rank", core.alias("core"), target.cast("long").alias("target"))
 
 
 def complete_snapshots(items: DataFrame, profile: DataFrame) -> DataFrame:
-    """company, quarter_index, names known to the profile, core names present, and whether the quarter is complete."""
-    met = items.join(profile.select(KEY, "name", "core", "target"), [KEY, "name"], "left")
+    """company, quarter_index, names known to the profile, core names present, and whether the quarter is complete.
+
+    Complete: as many known names as the target, and one core name (two if the target is four or more, no more than there are).
+    """
+    met = items.where("value > 0").join(profile.select(KEY, "name", "core", "target"), [KEY, "name"], "left")
     found = met.groupBy(*QUARTER).agg(F.count("core").alias("known"), F.count_if("core").alias("core"))
     need = profile.groupBy(KEY).agg(F.max("target").alias("target"), F.count_if("core").alias("_cores"))
-    return found.join(need, KEY).select(KEY, AT, "known", "core", ((F.col("known") >= F.col("target")) & (F.col("core") >= F.col("_cores"))).alias("complete"))
+    wanted = F.least(F.col("_cores"), F.when(F.col("target") >= 4, 2).otherwise(1))
+    return found.join(need, KEY).select(KEY, AT, "known", "core", ((F.col("known") >= F.col("target")) & (F.col("core") >= wanted)).alias("complete"))
 
 
-def replacement(existing: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Whether a candidate snapshot should replace the existing one; both: company, quarter_index, count, coverage, reasonable, complete."""
-    e, c = existing.alias("e"), candidate.alias("c")
-    met = c.join(e, QUARTER, "left")
-    better = ~F.coalesce("e.reasonable", F.lit(False)) | (F.col("c.complete") & ~F.coalesce("e.complete", F.lit(False))) | ((F.col("c.count") >= F.col("e.count")) & (F.col("c.coverage") >= F.col("e.coverage") - 0.03)) | (F.col("c.coverage") >= F.col("e.coverage") + 0.08)
-    return met.select(*QUARTER, (F.col("c.reasonable") & (F.col("e.count").isNull() | better)).alias("replace"))
+def snapshot_quality(items: DataFrame, profile: DataFrame) -> DataFrame:
+    """company, quarter_index, count, coverage, reasonable, complete of each structure. Reads revenue."""
+    sums = items.where("value > 0").groupBy(*QUARTER).agg(F.count("*").alias("count"), F.coalesce(F.sum("value") / F.nullif(F.max("revenue"), F.lit(0.0)), F.lit(0.0)).alias("coverage"))
+    met = sums.join(complete_snapshots(items, profile).select(*QUARTER, "complete"), QUARTER, "left")
+    fit = F.col("coverage").between(0.45, 1.45)
+    return met.select(*QUARTER, "count", "coverage", fit.alias("reasonable"), (fit & F.coalesce("complete", F.lit(False))).alias("complete"))
+
+
+def should_replace(existing: Column, found: Column, partial: bool) -> Column:
+    """Whether a found snapshot replaces the existing one; both: struct<count, coverage, reasonable, complete>, count 0 for none.
+
+    Nothing never does, and anything replaces nothing. A complete one stays against an incomplete one and replaces it; of two complete
+    ones the found one needs as many items and at most 0.03 less coverage. Otherwise, if partial ones may: more items,
+    over 0.08 more coverage, or an unreasonable existing one.
+    """
+    better = (found["count"] > existing["count"]) | (found["coverage"] > existing["coverage"] + 0.08) | ~existing["reasonable"]
+    return (
+        F.when(found["count"] == 0, False)
+        .when(existing["count"] == 0, True)
+        .when(existing["complete"] != found["complete"], found["complete"])
+        .when(found["complete"], (found["count"] >= existing["count"]) & (found["coverage"] >= existing["coverage"] - 0.03))
+        .otherwise(better if partial else F.lit(False))
+    )
+
+
+def replacement(existing: DataFrame, found: DataFrame, partial: bool = True) -> DataFrame:
+    """company, quarter_index, replace of each found snapshot; both: snapshot_quality."""
+    pack = lambda df, name: df.select(*QUARTER, F.struct(F.col("count").cast("long").alias("count"), "coverage", "reasonable", "complete").alias(name))
+    none = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("coverage"), F.lit(False).alias("reasonable"), F.lit(False).alias("complete"))
+    met = pack(found, "found").join(pack(existing, "existing"), QUARTER, "left")
+    return met.select(*QUARTER, should_replace(F.coalesce("existing", none), F.col("found"), partial).alias("replace"))
 
 
 def dominant_basis(kinds: DataFrame) -> DataFrame:
@@ -138,9 +224,15 @@ def inferred_shares(items: DataFrame, quarters: DataFrame, least: float = 0.2) -
 
 
 def rescaled(items: DataFrame) -> DataFrame:
-    """Values scaled to add up to revenue where they make up 0.55 to 1.35 of it."""
-    ratio = total() / F.nullif(F.col("revenue"), F.lit(0))
-    return items.withColumn("scaled", F.when(ratio.between(0.55, 1.35), F.col("value") * F.col("revenue") / total()).otherwise(F.col("value")))
+    """Values scaled to add up to revenue where they are less than 0.55 or more than 1.35 of it, three decimals; changes beyond 500 % are null.
+
+    items: company, quarter_index, name, value, revenue, yoy, scope. Structures that are annual or regional throughout keep their values.
+    """
+    quarterly = F.bool_or(~F.lower(F.coalesce("scope", F.lit(""))).isin("annual_filing", "regional_segment")).over(in_quarter())
+    ratio = total() / F.nullif(F.col("revenue"), F.lit(0.0))
+    off = quarterly & (total() > 0) & ~ratio.between(0.55, 1.35)
+    value = F.when(F.coalesce(off, F.lit(False)), F.col("revenue") * F.col("value") / total()).otherwise(F.col("value"))
+    return items.where("value IS NOT NULL").withColumns({"scaled": F.bround(value, 3), "yoy": F.when(F.abs("yoy") <= 500, F.col("yoy"))})
 
 
 def flows(items: DataFrame, fallback: str = "Rest") -> DataFrame:
@@ -172,57 +264,97 @@ def income_bridge(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"gross_profit": floor(gross), "operating_profit": floor(gross - F.col("opex")), "cost": floor(F.col("cost")), "opex": floor(F.col("opex"))})
 
 
-MOST_SUBSET_ITEMS = 12
+#: Names of aggregates by issuer; issuers whose items keep the official order, and the one whose items stay as they are.
+AGGREGATES = {"apple": ("products",), "alphabet": ("google services",)}
+OFFICIAL_ORDER, KEPT_WHOLE = ("micron", "visa"), ("visa",)
 
 
 def best_subset(quarters: DataFrame) -> DataFrame:
-    """The items that best make up revenue, of all subsets. quarters: company, quarter_index, revenue, items array<struct<name, value, business>>.
+    """The items that best make up revenue, of all subsets. quarters: company, quarter_index, revenue, items array<struct<name, value, business, aggregate>>, ordered boolean.
 
     A subset's sum must be 0.45 to 1.18 of revenue. Score: closeness, 0.06 if all items are of one family (else less 0.08), 0.03 an item
-    and 0.015 a business item. Ties: fewer items, then the earlier ones. More than MOST_SUBSET_ITEMS items stay as they are.
-    Subsets are a row's own array, scored by higher-order functions: no row is multiplied and nothing shuffles.
+    and 0.015 a business item, less 0.09 an aggregate. Ties: fewer items, then the earlier ones. The largest comes first unless the
+    row is `ordered`. Items without a positive value go; a lone item, and items of which no subset fits, stay.
+
+    Subsets grow item by item in a row's own array; values are positive, so one that is too large already, or too small with all that
+    follow, is dropped with all it would grow to. No row is multiplied and nothing shuffles.
     """
-    n = F.size("items")
     few = quarters.withColumn("items", F.filter("items", lambda x: x["value"] > 0))
-    masks = F.when(n.between(2, MOST_SUBSET_ITEMS), F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)).otherwise(F.array().cast("array<int>"))
+    known = F.coalesce(F.col("revenue") != 0, F.lit(False))
+    top, low = F.when(known, F.col("revenue") * 1.18).otherwise(float("inf")), F.when(known, F.col("revenue") * 0.45).otherwise(0.0)
+    whole = F.aggregate("items", F.lit(0.0), lambda a, x: a + x["value"])
+    kind = "struct<sum:double,n:int,business:int,aggregate:int,mask:bigint>"
+    start = F.struct(F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("business"), F.lit(0).alias("aggregate"), F.lit(0).cast("long").alias("mask")).cast(kind)).alias("open"), whole.alias("rest"), F.lit(61).alias("bit"))
+
+    def step(a: Column, x: Column) -> Column:
+        rest = a["rest"] - x["value"]
+        grown = F.transform(a["open"], lambda s: F.struct((s["sum"] + x["value"]).alias("sum"), (s["n"] + 1).alias("n"), (s["business"] + x["business"].cast("int")).alias("business"), (s["aggregate"] + x["aggregate"].cast("int")).alias("aggregate"), s["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), a["bit"])).alias("mask")).cast(kind))
+        alive = F.filter(F.concat(a["open"], grown), lambda s: (s["sum"] <= top * (1 + 1e-12)) & (s["sum"] + rest >= low * (1 - 1e-12)))
+        return F.struct(alive.alias("open"), rest.alias("rest"), (a["bit"] - 1).alias("bit"))
+
+    def scored(s: Column) -> Column:
+        closeness = F.when(known, 1 - F.abs(F.col("revenue") - s["sum"]) / F.greatest(F.col("revenue"), F.lit(1.0))).otherwise(0.6)
+        family = F.when((s["business"] == s["n"]) | (s["business"] == 0), 0.06).otherwise(-0.08)
+        fits = (s["n"] > 0) & F.when(known, (s["sum"] / F.col("revenue")).between(0.45, 1.18)).otherwise(True)
+        return F.struct(F.when(fits, F.round(closeness + family + s["n"] * 0.03 + s["business"] * 0.015 - s["aggregate"] * 0.09, 9)).alias("score"), (-s["n"]).alias("few"), s["mask"].alias("mask"))
+
+    best = F.array_max(F.filter(F.transform(F.aggregate("items", start, step, lambda a: a["open"]), scored), lambda s: s["score"].isNotNull()))
+    few = few.select("*", F.explode(F.array(F.when(F.size("items") > 1, best))).alias("_best"))
+    kept = F.filter("items", lambda x, i: F.call_function("shiftright", F.col("_best")["mask"], (61 - i).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    kept = F.when(F.col("_best").isNull(), F.col("items")).otherwise(kept)
+    by_value = F.transform(F.array_sort(F.transform(kept, lambda x, i: F.struct((-x["value"]).alias("v"), i.alias("i"), x.alias("x")))), lambda s: s["x"])
+    return few.withColumn("kept", F.when(F.col("ordered") | F.col("_best").isNull(), kept).otherwise(by_value)).drop("_best")
+
+
+#: Coarse and plain region names, pairs of names that say little, and buckets beside the United States.
+COARSE = ("international", "other countries", "rest of world", "non-u.s.")
+PLAIN = ("united states", "u.s.", "u.s", "north america", "international", "asia", "europe", "americas", "japan", "emea", "apac", "asia-pacific")
+AMBIGUOUS = (("north america", "international"), ("united states", "international"), ("united states", "canada", "other international"))
+BESIDE_HOME = ("international", "other international", "other countries", "non-u.s.")
 
-    def chosen(mask: Column) -> Column:
-        return F.filter("items", lambda x, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
 
-    def scored(mask: Column) -> Column:
-        own = chosen(mask)
-        value = F.aggregate(own, F.lit(0.0), lambda a, x: a + x["value"])
-        business = F.size(F.filter(own, lambda x: x["business"]))
-        closeness = F.when(F.col("revenue") != 0, 1 - F.abs(F.col("revenue") - value) / F.greatest(F.col("revenue"), F.lit(1.0))).otherwise(0.6)
-        family = F.when((business == F.size(own)) | (business == 0), 0.06).otherwise(-0.08)
-        fits = F.when(F.col("revenue") != 0, (value / F.col("revenue")).between(0.45, 1.18)).otherwise(value > 0)
-        order = F.transform(F.sequence(F.lit(0), F.lit(MOST_SUBSET_ITEMS - 1)), lambda i: F.call_function("shiftright", mask, i.cast("int")).bitwiseAND(F.lit(1)))
-        return F.struct(F.when(fits, F.round(closeness + family + F.size(own) * 0.03 + business * 0.015, 9)).alias("score"), (-F.size(own)).alias("few"), order.alias("order"), mask.alias("mask"))
+def _region_names(items: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.lower(F.trim(x["name"]))), lambda n: F.coalesce(n != "", F.lit(False))))
 
-    best = F.array_max(F.filter(F.transform(masks, scored), lambda s: s["score"].isNotNull()))
-    return few.withColumn("_best", best).withColumn("kept", F.when(F.col("_best").isNull(), F.col("items")).otherwise(chosen(F.col("_best")["mask"]))).drop("_best")
 
-
-#: Coarse and plain region names.
-COARSE = ("international", "other countries", "rest of world", "non-u.s.")
-PLAIN = ("united states", "u.s.", "u.s", "north america", "international", "asia", "europe", "americas", "japan", "emea", "apac", "asia-pacific")
+def ambiguous(names: Column) -> Column:
+    """Whether lower-case names are just those that stand for several tables."""
+    same = lambda want: (F.size(names) == len(want)) & (F.size(F.array_except(names, F.array(*map(F.lit, want)))) == 0)
+    return same(AMBIGUOUS[0]) | same(AMBIGUOUS[1]) | same(AMBIGUOUS[2])
 
 
-def geography_detail(names: Column) -> Column:
-    """10 a name, a point for each that isn't plain, less 2 for each coarse one; no names: -100."""
-    low = F.transform(names, F.lower)
-    coarse = F.size(F.filter(low, lambda x: x.rlike("|".join(c.replace(".", r"\.") for c in COARSE))))
-    fine = F.size(F.filter(low, lambda x: ~x.isin(*PLAIN)))
-    return F.when(F.size(names) == 0, -100).otherwise(F.size(names) * 10 - 2 * coarse + fine)
+def geography_detail(items: Column) -> Column:
+    """10 a name, less 12 for an ambiguous set, a point for each that isn't plain, less 2 for each coarse one; no items: -100. items: array<struct<name, ...>>."""
+    names = _region_names(items)
+    coarse = F.size(F.filter(names, lambda n: reduce(or_, (n.contains(c) for c in COARSE))))
+    fine = F.size(F.filter(names, lambda n: ~n.isin(*PLAIN)))
+    return F.when(F.size(items) == 0, -100).otherwise(F.size(names) * 10 - F.when(ambiguous(names), 12).otherwise(0) - 2 * coarse + fine)
 
 
 def suspicious_geographies(items: Column, revenue: Column) -> Column:
-    """One item of 95 % beside a tiny one; the United States under 2 % beside an international bucket; all under 8 % of revenue."""
-    value = F.aggregate(items, F.lit(0.0), lambda a, x: a + F.coalesce(x["value"], F.lit(0.0)))
-    share = lambda x: x["value"] / F.nullif(value, F.lit(0.0))
-    lone = F.exists(items, lambda x: share(x) >= 0.95) & F.exists(items, lambda x: share(x) <= 0.01)
-    home = F.exists(items, lambda x: F.lower(x["name"]).rlike(r"united states|^u\.s\.?$") & (share(x) < 0.02)) & F.exists(items, lambda x: F.lower(x["name"]).rlike("international|other countries|rest of world|non-u"))
-    return F.coalesce(lone, F.lit(False)) | F.coalesce(home, F.lit(False)) | ((F.size(items) > 0) & F.coalesce(value / F.nullif(revenue, F.lit(0.0)) < 0.08, F.lit(False)))
+    """Items without a positive sum; one of 95 % beside one of 2 % and less, where one of 1 % and less moved by 300 %; the United States under 2 % beside an
+    international bucket; all under 8 % of revenue. No items aren't suspicious. items: array<struct<name, value, yoy>>."""
+    value = lambda x: F.greatest(F.coalesce(x["value"], F.lit(0.0)), F.lit(0.0))
+    whole = F.aggregate(items, F.lit(0.0), lambda a, x: a + value(x))
+    shares = F.transform(items, lambda x: F.struct(F.lower(x["name"]).alias("name"), (value(x) / whole).alias("share"), F.abs(F.coalesce(x["yoy"], F.lit(0.0))).alias("move")))
+    lone = F.exists(shares, lambda s: s["share"] >= 0.95) & F.exists(shares, lambda s: s["share"] <= 0.02) & F.exists(shares, lambda s: (s["share"] <= 0.01) & (s["move"] >= 300))
+    last = lambda name: F.get(F.reverse(F.filter(shares, lambda s: s["name"] == name)), F.lit(0))["share"]
+    home = F.exists(shares, lambda s: s["name"].isin(*BESIDE_HOME)) & reduce(or_, (F.coalesce(last(n) < 0.02, F.lit(False)) for n in ("united states", "u.s.", "u.s")))
+    small = F.coalesce(whole / F.nullif(revenue, F.lit(0.0)) < 0.08, F.lit(False))
+    return F.when(F.size(items) == 0, False).when(whole <= 0, True).otherwise(lone | home | small)
+
+
+def richer_geographies(current: Column, found: Column, revenue: Column) -> Column:
+    """found, where it isn't suspicious and current is, or is empty; or it has three names and more instead of two and less, two more names and more detail, or 8 more detail."""
+    n, m = F.size(_region_names(current)), F.size(_region_names(found))
+    a, b = geography_detail(current), geography_detail(found)
+    better = ((m >= 3) & (n <= 2)) | ((m >= n + 2) & (b > a)) | (b >= a + 8)
+    return (
+        F.when((F.size(found) == 0) | suspicious_geographies(found, revenue), current)
+        .when((F.size(current) == 0) | suspicious_geographies(current, revenue), found)
+        .when(better, found)
+        .otherwise(current)
+    )
 
 
 def geography_like(names: Column, regions: Column, markers: Column, canonical: Column) -> Column:

@@ -30,7 +30,11 @@ def lines(spark: SparkSession, sf_dir: str, *customer: str) -> DataFrame:
 
 def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """company, quarter_index, revenue, earnings, equity: a row for each nation and quarter."""
-    sums = lines(spark, sf_dir).groupBy("company", "quarter_index").agg(F.sum(net()).cast("double").alias("revenue"), F.sum(profit()).alias("_profit"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(net()).alias("_net"), F.sum(profit()).alias("_profit"))  # an order's sums before the joins
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", index_of_date(F.col("o_orderdate")).alias("quarter_index"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("company"))
+    met = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    sums = met.groupBy("company", "quarter_index").agg(F.sum("_net").cast("double").alias("revenue"), F.sum("_profit").alias("_profit"))
     running = F.sum("_profit").over(Window.partitionBy("company").orderBy("quarter_index").rowsBetween(Window.unboundedPreceding, 0))
     return sums.select("company", "quarter_index", "revenue", F.col("_profit").cast("double").alias("earnings"), (running.cast("double") + F.lit(1000000.0)).alias("equity"))
 

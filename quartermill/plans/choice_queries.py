@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from quartermill.functions import numbers as N
 from quartermill.functions import periods as P
 from quartermill.functions import text as S
-from quartermill.operators import quality as Q
 from quartermill.operators import selection as X
 from quartermill.operators import series as R
 from quartermill.operators import structure as T
+from quartermill.plans import sql
 from quartermill.plans.base import OVER, SERIES_SQL, gapped, quarterly, table
 
 QUERIES: dict = {}
@@ -27,31 +27,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("payload_cascade", """SELECT p_partkey, CASE WHEN p_partkey % 3 != 0 THEN p_size ELSE p_size * 2 END AS size, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'f' || p_type END AS a, 'g' || p_brand AS b,
- CASE WHEN p_partkey % 4 = 0 THEN 3 ELSE 2 END AS n_list, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 2 END AS n_notes FROM part""")
-def payload_cascade(spark, d):
-    k = F.col("p_partkey")
-    part = table(spark, d, "part")
-    entry = lambda n, v: (F.lit(n), v)
-    primary = part.select("p_partkey", F.when(k % 3 != 0, F.col("p_size")).alias("size"), F.create_map(*entry("a", F.when(k % 2 == 0, F.col("p_type")).otherwise(" "))).alias("m"), F.when(k % 4 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y"))).alias("l"), F.array(F.lit("n")).alias("notes"))
-    fallback = part.select("p_partkey", (F.col("p_size") * 2).alias("size"), F.create_map(*entry("a", F.concat(F.lit("f"), "p_type")), *entry("b", F.concat(F.lit("g"), "p_brand"))).alias("m"), F.array(F.lit("u"), F.lit("v"), F.lit("w")).alias("l"), F.array(F.when(k % 5 == 0, "n").otherwise("o")).alias("notes"))
-    out = X.cascade(primary, fallback, ["p_partkey"], ["size"], ["m"], ["l"], ["notes"])
-    return out.select("p_partkey", "size", F.element_at("m", "a").alias("a"), F.element_at("m", "b").alias("b"), F.size("l").alias("n_list"), F.size("notes").alias("n_notes"))
-
-
 @query("snapshot_alignment", """SELECT o_orderkey, CAST(o_orderdate AS DATE) - DATE '1998-06-30' BETWEEN -30 AND 220 OR (o_orderkey % 2 = 0 AND CAST(o_orderdate AS DATE) - DATE '1998-06-30' BETWEEN -400 AND 820) AS aligned FROM orders""")
 def snapshot_alignment(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.aligned(F.to_date("o_orderdate"), F.lit("1998-06-30").cast("date"), F.col("o_orderkey") % 2 == 0).alias("aligned"))
 
 
-@query("link_scores", """WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Q3 2024 results' ELSE 'Careers 2024' END || CASE WHEN o_orderkey % 3 = 0 THEN ' /a.pdf' ELSE ' /a' END AS t FROM orders)
-SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 20 + 14 + 10 ELSE 10 - 24 END + CASE WHEN o_orderkey % 3 = 0 THEN 6 ELSE 0 END AS score FROM t""")
-def link_scores(spark, d):
-    k = F.col("o_orderkey")
-    text = F.concat(F.when(k % 2 == 0, "Q3 2024 results").otherwise("Careers 2024"), F.when(k % 3 == 0, " /a.pdf").otherwise(" /a"))
-    return table(spark, d, "orders").select("o_orderkey", X.link_score(text, "release", F.lit(3), F.lit(2024)).alias("score"))
-
-
 @query("material_pick", """WITH m AS (SELECT o_custkey AS company, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS rank, length(o_orderpriority) AS size FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY rank, size DESC, o_orderkey) AS k FROM m) SELECT company, o_orderkey FROM r WHERE k = 1""")
 def material_pick(spark, d):
     rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
@@ -59,13 +39,6 @@ def material_pick(spark, d):
     return X.best_by(rows, ["company"], F.col("rank"), F.desc("size"), F.col("o_orderkey")).select("company", "o_orderkey")
 
 
-@query("provenance_state", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'inferred' WHEN o_orderkey % 3 < 2 AND o_orderkey % 2 = 0 THEN 'official' WHEN o_orderkey % 3 < 2 THEN 'official_pending' ELSE 'structured' END AS state FROM orders""")
-def provenance_state(spark, d):
-    k = F.col("o_orderkey")
-    kind = F.when(k % 3 == 0, "filing").when(k % 3 == 1, "release").otherwise("series")
-    return table(spark, d, "orders").select("o_orderkey", X.provenance(kind, k % 2 == 0, k % 7 == 0).alias("state"))
-
-
 @query("theme_list", SERIES_SQL + f""", g AS (SELECT *, (revenue / lag(revenue, 1) {OVER} - 1) * 100 AS qoq FROM series),
 u AS (SELECT company, quarter_index, 1 AS o, 'growth' AS label, CAST(greatest(32, least(98, round_even(60 + qoq, 0))) AS INTEGER) AS score FROM g WHERE qoq > 0 UNION ALL SELECT company, quarter_index, 2, 'decline', CAST(greatest(32, least(98, round_even(60 - qoq, 0))) AS INTEGER) FROM g WHERE qoq < 0
  UNION ALL SELECT company, quarter_index, 3, 'loss', 70 FROM g WHERE earnings < 0) SELECT company, quarter_index, label, score FROM u""")
@@ -95,12 +68,6 @@ def geography_names(spark, d):
     return table(spark, d, "nation").select("n_nationkey", T.geography_like(names, lits("europe", "asia"), lits("region"), F.when(F.col("n_regionkey") > 2, lits("asia")).otherwise(lits("cloud"))).alias("alike"))
 
 
-@query("material_scores", """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 100 WHEN '2-HIGH' THEN 92 WHEN '3-MEDIUM' THEN 74 ELSE 18 END AS score FROM orders""")
-def material_scores(spark, d):
-    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "official").when(F.col("o_orderpriority") == "2-HIGH", "segment").when(F.col("o_orderpriority") == "3-MEDIUM", "geography").otherwise("other")
-    return table(spark, d, "orders").select("o_orderkey", Q.coverage_scores(kind).alias("score"))
-
-
 @query("date_functions", """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
 SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN d WHEN 1 THEN d END AS parsed, CAST(d - INTERVAL 70 DAY AS DATE) AS opens, CAST(d + INTERVAL 100 DAY AS DATE) AS closes, strftime(d - INTERVAL 2 MONTH, '%Y-%m') AS first_month,
  CASE WHEN month(d) <= 3 THEN (year(d) - 1)::VARCHAR ELSE year(d)::VARCHAR END || 'Q4' AS fiscal FROM o""")
@@ -129,13 +96,18 @@ def formats(spark, d):
     return table(spark, d, "orders").select("o_orderkey", money.alias("money"), pct.alias("pct"), directed.alias("directed"), N.percent_token(F.when(c % 2 == 0, "three percent").otherwise("12.5%")).alias("worded"))
 
 
-@query("guidance_filter", """SELECT o_orderkey, o_orderkey % 3 = 0 AS signal, CASE o_orderkey % 3 WHEN 0 THEN 'growth' WHEN 1 THEN 'margin' ELSE 'structure' END AS bucket FROM orders""")
+PASSAGES = ("We expect demand to continue", "Accounting for income tax positions and growth", "Adoption of note 2, fair value", "non-GAAP margin reconciliation", "A mix of things", "Deferred income tax, revenue up", "Outlook unchanged", "")
+
+
+@query("guidance_filter", f"""WITH t AS (SELECT o_orderkey, {sql.pick(PASSAGES, 'o_orderkey % 8')} || ' ' || {sql.pick(PASSAGES, 'o_orderkey // 8 % 8')} AS t FROM orders), l AS (SELECT *, lower(t) AS low FROM t)
+SELECT o_orderkey, {sql.number_of('low', S.GUIDANCE_NOISE)} < 2 AND {sql.any_of('low', S.GUIDANCE_SIGNAL)} AS signal, CASE WHEN regexp_matches(low, 'margin|profit|cost') THEN 'margin' WHEN regexp_matches(low, 'segment|mix|geograph|region') THEN 'structure' ELSE 'growth' END AS bucket FROM l""")
 def guidance_filter(spark, d):
     k = F.col("o_orderkey")
-    text = F.when(k % 3 == 0, "We expect demand to continue").when(k % 3 == 1, "GAAP reconciliation of margin").otherwise("A mix of things")
-    return table(spark, d, "orders").select("o_orderkey", S.guidance_signal(text).alias("signal"), S.signal_bucket(text).alias("bucket"))
+    part = lambda at: F.get(F.array(*map(F.lit, PASSAGES)), at.cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.explode(F.array(F.concat(part(k % 8), F.lit(" "), part(F.floor(k / 8) % 8)))).alias("t"))
+    return rows.select("o_orderkey", S.guidance_signal(F.col("t")).alias("signal"), S.signal_bucket(F.col("t")).alias("bucket"))
 
 
-@query("match_excerpts", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]{2,}') THEN length(substr(text, greatest(1, length(regexp_extract(text, '(?s)^(.*?)[0-9]{2,}', 1)) + 1 - 20), length(regexp_extract(text, '(?s)^(.*?)[0-9]{2,}', 1)) + 1 + 40 - greatest(1, length(regexp_extract(text, '(?s)^(.*?)[0-9]{2,}', 1)) + 1 - 20))) END AS n FROM documents""")
+@query("match_excerpts", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]{2,}') THEN md5(substr(text, greatest(1, length(regexp_extract(text, '(?s)^(.*?)[0-9]{2,}', 1)) + 1 - 20), length(regexp_extract(text, '(?s)^(.*?)[0-9]{2,}', 1)) + 1 + 40 - greatest(1, length(regexp_extract(text, '(?s)^(.*?)[0-9]{2,}', 1)) + 1 - 20))) END AS excerpt_md5 FROM documents""")
 def match_excerpts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(S.around(F.col("text"), "[0-9]{2,}", 20, 40)).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.md5(S.around(F.col("text"), "[0-9]{2,}", 20, 40)).alias("excerpt_md5"))

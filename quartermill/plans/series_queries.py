@@ -87,11 +87,22 @@ def _gap_sql(c: str) -> str:
     return f"last_value({c} IGNORE NULLS) {w0} AS v0, last_value(CASE WHEN {c} IS NOT NULL THEN k END IGNORE NULLS) {w0} AS k0, first_value({c} IGNORE NULLS) {w1} AS v1, first_value(CASE WHEN {c} IS NOT NULL THEN k END IGNORE NULLS) {w1} AS k1"
 
 
-@query("gap_fill_linear", SERIES_SQL + f""", n AS (SELECT *, row_number() {OVER} AS k FROM gapped), f AS (SELECT *, {_gap_sql('revenue')} FROM n)
-SELECT company, quarter_index, round(coalesce(revenue, CASE WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN v0 + (v1 - v0) * (k - k0) / (k1 - k0) END, v0, CASE WHEN k1 - k = 1 THEN v1 END), 4) AS revenue_filled,
-       revenue IS NULL AND coalesce(v0, CASE WHEN k1 - k = 1 THEN v1 END) IS NOT NULL AS revenue_inferred FROM f""")
+def _fill_sql(c: str) -> str:
+    return f"coalesce({c}, CASE WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN v0 + (v1 - v0) * (k - k0) / (k1 - k0) END, v0, CASE WHEN k1 - k = 1 THEN v1 END) AS {c}_filled, {c} IS NULL AND coalesce(v0, CASE WHEN k1 - k = 1 THEN v1 END) IS NOT NULL AS {c}_inferred"
+
+
+@query("gap_fill_linear", SERIES_SQL.replace("gapped AS", "gapped0 AS") + f""", gapped AS (SELECT company, quarter_index, revenue, CASE WHEN quarter_index % 4 != 1 THEN earnings END AS earnings, equity FROM gapped0), n AS (SELECT *, row_number() {OVER} AS k FROM gapped), f AS (SELECT *, {_gap_sql('revenue')} FROM n), r AS (SELECT company, quarter_index, {_fill_sql('revenue')} FROM f), g AS (SELECT *, {_gap_sql('earnings')} FROM n), e AS (SELECT company, quarter_index, {_fill_sql('earnings')} FROM g)
+SELECT company, quarter_index, round(revenue_filled, 4) AS revenue_filled, round(earnings_filled, 4) AS earnings_filled, round(coalesce(earnings_filled / nullif(revenue_filled, 0) * 100, 1.0), 4) AS net_margin, revenue_inferred OR earnings_inferred AS inferred FROM r JOIN e USING (company, quarter_index)""")
 def gap_fill_linear(spark, d):
-    return rounded(S.interpolated(gapped(quarterly(spark, d)), "revenue").select("company", "quarter_index", "revenue_filled", "revenue_inferred"), "revenue_filled")
+    s = gapped(quarterly(spark, d)).withColumn("earnings", F.when(F.col("quarter_index") % 4 != 1, F.col("earnings"))).withColumn("net_margin", F.lit(1.0))
+    filled = S.with_margin(S.interpolated(s, "revenue", "earnings"))
+    return rounded(filled.select("company", "quarter_index", "revenue_filled", "earnings_filled", "net_margin", "inferred"), "revenue_filled", "earnings_filled", "net_margin")
+
+
+@query("metrics_with_data", SERIES_SQL + """ SELECT company, array_to_string((CASE WHEN company % 3 != 0 THEN ['revenue'] ELSE [] END || ['earnings'] || CASE WHEN company % 2 = 0 THEN ['equity'] ELSE [] END || ['quarter_index'])[1:2], ',') AS metrics FROM series GROUP BY company""")
+def metrics_with_data(spark, d):
+    s = quarterly(spark, d).withColumns({"revenue": F.when(F.col("company") % 3 != 0, F.col("revenue")), "equity": F.when(F.col("company") % 2 == 0, F.col("equity"))})
+    return S.metrics_with_data(s, ["revenue", "earnings", "equity", "quarter_index"], 2).select("company", F.array_join("metrics", ",").alias("metrics"))
 
 
 @query("sparkline_scaled", SERIES_SQL + """, s AS (SELECT company, quarter_index, coalesce(last_value(revenue IGNORE NULLS) OVER (PARTITION BY company ORDER BY quarter_index ROWS UNBOUNDED PRECEDING),
@@ -109,11 +120,17 @@ def equal_run_length(spark, d):
     return S.longest_run(quarterly(spark, d).withColumn("v", F.when(F.col("quarter_index") % 7 != 0, F.floor(F.col("revenue") / 1e6))), "v")
 
 
-@query("roe_spike_filter")
+@query("roe_spike_filter", SERIES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_TTM}, e AS (SELECT *, count(nullif(equity, 0)) {frame(4)} AS n, avg(nullif(equity, 0)) {frame(4)} AS m FROM t), r AS (SELECT company, quarter_index, CASE WHEN n >= 2 AND m > 0 THEN ttm_earnings / m * 100 END AS roe FROM e),
+s AS (SELECT company, quarter_index, round(CASE WHEN roe > -100 AND roe < 250 THEN roe END * CASE WHEN quarter_index % 5 = 0 THEN 40 WHEN company % 3 = 0 AND quarter_index % 5 = 1 THEN -10 ELSE 10 END, 4) AS v, row_number() {OVER} AS i FROM r),
+f AS (SELECT company, 0 AS i, CAST(NULL AS DOUBLE) AS kept, CAST([] AS DOUBLE[]) AS accepted FROM s WHERE i = 1 UNION ALL
+ SELECT s.company, s.i, CASE WHEN spike THEN NULL ELSE v END, CASE WHEN spike OR v IS NULL THEN accepted ELSE list_append(accepted, v) END FROM f JOIN s ON s.company = f.company AND s.i = f.i + 1,
+ LATERAL (SELECT coalesce(len(accepted) >= 4 AND list_sort(accepted[-4:])[3] > 0 AND v > 20 AND v > 2.2 * list_sort(accepted[-4:])[3] AND v > list_sort(accepted[-4:])[3] + 10, false) AS spike))
+SELECT s.company, quarter_index, kept AS roe_kept FROM f JOIN s USING (company, i)""")
 def roe_spike_filter(spark, d):
-    """A fold over accepted values; tests hold it against a plain loop."""
-    series = S.trailing_roe(quarterly(spark, d)).withColumn("roe", F.round(F.col("ttm_roe") * F.when(F.col("quarter_index") % 5 == 0, 40).otherwise(10), 4))
-    return S.despiked(series, "roe")
+    """Values made to jump every fifth quarter, and to turn negative."""
+    q = F.col("quarter_index")
+    factor = F.when(q % 5 == 0, 40).when((F.col("company") % 3 == 0) & (q % 5 == 1), -10).otherwise(10)
+    return S.despiked(S.trailing_roe(quarterly(spark, d)).withColumn("roe", F.round(F.col("ttm_roe") * factor, 4)), "roe")
 
 
 @query("best_fact_selection", """WITH f AS (SELECT o_custkey AS company, CAST(year(o_orderdate) AS VARCHAR) || 'Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS period, o_totalprice AS value, o_orderkey AS ordinal,
@@ -128,25 +145,31 @@ def best_fact_selection(spark, d):
     return S.best_facts(facts).select("company", "period", "value", "score", "ordinal")
 
 
-@query("annual_delta_fill", SERIES_SQL + f""", y AS (SELECT company, quarter_index, annual FROM (SELECT company, quarter_index, sum(revenue) {frame(3)} AS annual, count(revenue) {frame(3)} AS n FROM series) WHERE quarter_index % 4 = 3 AND n = 4),
-q AS (SELECT company, quarter_index, CASE WHEN NOT (quarter_index % 4 = 3 AND company % 2 = 0) THEN revenue END AS revenue FROM series),
-j AS (SELECT company, quarter_index, revenue, annual FROM q FULL JOIN y USING (company, quarter_index)),
-w AS (SELECT *, count(revenue) {frame(3, 1)} AS n, lag(quarter_index, 3) {OVER} AS q3, annual - sum(revenue) {frame(3, 1)} AS rest FROM j)
-SELECT company, quarter_index, round(coalesce(revenue, CASE WHEN n = 3 AND q3 = quarter_index - 3 AND abs(rest) <= 1.4 * abs(annual) THEN CASE WHEN abs(rest) < 0.5 THEN 0 ELSE rest END END), 5) AS revenue,
-       revenue IS NULL AND n = 3 AND q3 = quarter_index - 3 AND coalesce(abs(rest) <= 1.4 * abs(annual), false) AS revenue_derived FROM w""")
+@query("annual_delta_fill", SERIES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", y AS (SELECT company, quarter_index, CASE WHEN company % 5 = 4 THEN annual * 0.1 ELSE annual END AS annual FROM (SELECT company, quarter_index, sum(revenue) {frame(3)} AS annual, count(revenue) {frame(3)} AS n FROM series) WHERE n = 4 AND (quarter_index % 4 = 3 OR (company % 3 = 0 AND quarter_index % 4 = 0))),
+q AS (SELECT company, quarter_index, CASE WHEN NOT (quarter_index % 4 IN (3, 0) AND company % 2 = 0) THEN revenue END AS revenue FROM series WHERE NOT (company % 7 = 6 AND quarter_index % 4 = 2)),
+j AS (SELECT company, quarter_index, revenue, annual, row_number() {OVER} AS i FROM q FULL JOIN y USING (company, quarter_index)),
+r AS (SELECT company, 0 AS i, CAST(NULL AS INTEGER) AS quarter_index, CAST(NULL AS DOUBLE) AS v, false AS derived, CAST([] AS STRUCT(q INTEGER, v DOUBLE)[]) AS recent FROM j WHERE i = 1 UNION ALL
+ SELECT j.company, j.i, j.quarter_index, coalesce(revenue, d), revenue IS NULL AND d IS NOT NULL, list_append(recent, {{'q': j.quarter_index, 'v': coalesce(revenue, d)}})[-3:]
+ FROM r JOIN j ON j.company = r.company AND j.i = r.i + 1, LATERAL (SELECT list_filter(recent, lambda x: x.q >= j.quarter_index - 3 AND x.v IS NOT NULL) AS b), LATERAL (SELECT annual - coalesce(list_sum(list_transform(b, lambda x: x.v)), 0) AS rest),
+ LATERAL (SELECT CASE WHEN revenue IS NULL AND len(b) = 3 AND (annual = 0 OR abs(CASE WHEN abs(rest) < 0.5 THEN 0 ELSE rest END) <= 1.4 * abs(annual)) THEN round_even(CASE WHEN abs(rest) < 0.5 THEN 0 ELSE rest END, 0) END AS d))
+SELECT company, quarter_index, round(v, 5) AS revenue, derived AS revenue_derived FROM r WHERE i > 0""")
 def annual_delta_fill(spark, d):
+    """Years that end in the fourth quarter and, in a third of the nations, in the first, so that a filled quarter serves the next."""
+    c, q = F.col("company"), F.col("quarter_index")
     series = quarterly(spark, d).select("company", "quarter_index", "revenue")
-    annual = series.withColumn("annual", S.trailing_sum("revenue")).where("quarter_index % 4 = 3 AND annual IS NOT NULL").select("company", "quarter_index", "annual")
-    known = series.withColumn("revenue", F.when(~((F.col("quarter_index") % 4 == 3) & (F.col("company") % 2 == 0)), F.col("revenue")))
+    annual = series.withColumn("annual", S.trailing_sum("revenue")).where("annual IS NOT NULL AND (quarter_index % 4 = 3 OR (company % 3 = 0 AND quarter_index % 4 = 0))").select("company", "quarter_index", F.when(c % 5 == 4, F.col("annual") * 0.1).otherwise(F.col("annual")).alias("annual"))
+    known = series.where("NOT (company % 7 = 6 AND quarter_index % 4 = 2)").withColumn("revenue", F.when(~((q % 4).isin(3, 0) & (c % 2 == 0)), F.col("revenue")))
     return rounded(S.annual_delta(known, annual, "revenue").select("company", "quarter_index", "revenue", "revenue_derived"), "revenue", digits=5)
 
 
-@query("official_merge", SERIES_SQL + """, o AS (SELECT company, quarter_index, revenue * 2 AS revenue, earnings * 2 AS earnings, CASE WHEN quarter_index % 2 = 0 THEN equity * 2 END AS equity FROM series WHERE company % 2 = 0), b AS (SELECT * FROM gapped WHERE quarter_index % 3 != 0)
-SELECT company, quarter_index, coalesce(b.revenue, o.revenue) AS revenue, coalesce(b.earnings, o.earnings) AS earnings, coalesce(o.equity, b.equity) AS equity FROM b FULL JOIN o USING (company, quarter_index)""")
+@query("official_merge", SERIES_SQL + f""", o AS (SELECT company, quarter_index, revenue * 2 AS revenue, earnings * 2 AS earnings, CASE WHEN quarter_index % 2 = 0 THEN equity * 2 END AS equity FROM series WHERE company % 2 = 0), b AS (SELECT * FROM gapped WHERE quarter_index % 3 != 0),
+m AS (SELECT company, quarter_index, coalesce(b.revenue, o.revenue) AS revenue, coalesce(b.earnings, o.earnings) AS earnings, coalesce(o.equity, b.equity) AS equity FROM b FULL JOIN o USING (company, quarter_index)),
+t AS (SELECT *, CASE WHEN count(earnings) {frame(3)} = 4 THEN sum(earnings) {frame(3)} END AS te, count(nullif(equity, 0)) {frame(4)} AS n, avg(nullif(equity, 0)) {frame(4)} AS a FROM m), r AS (SELECT *, CASE WHEN n >= 2 AND a > 0 THEN te / a * 100 END AS roe FROM t)
+SELECT company, quarter_index, revenue, earnings, equity, round(CASE WHEN roe > -100 AND roe < 250 THEN roe END, 4) AS ttm_roe FROM r""")
 def official_merge(spark, d):
     s = quarterly(spark, d)
     official = s.where("company % 2 = 0").select("company", "quarter_index", (F.col("revenue") * 2).alias("revenue"), (F.col("earnings") * 2).alias("earnings"), F.when(F.col("quarter_index") % 2 == 0, F.col("equity") * 2).alias("equity"))
-    return S.merged(gapped(s).where("quarter_index % 3 != 0"), official)
+    return rounded(S.merged_with_roe(gapped(s).where("quarter_index % 3 != 0"), official), "ttm_roe")
 
 
 @query("relabelled_quarters", SERIES_SQL + """, r AS (SELECT company, quarter_index - quarter_index % 2 AS q, revenue, quarter_index AS src FROM series) SELECT company, CAST(q AS INTEGER) AS quarter_index, arg_max(revenue, src) AS revenue FROM r GROUP BY company, q""")
@@ -163,15 +186,15 @@ def growth_recomputed(spark, d):
 
 
 @query("series_endpoints", SERIES_SQL + """, l AS (SELECT company, list(revenue ORDER BY quarter_index) AS r FROM series GROUP BY company)
-SELECT company, r[1] AS first, r[-1] AS latest, CASE WHEN len(r) >= 2 THEN r[-2] ELSE r[1] END AS previous, CASE WHEN len(r) >= 5 THEN r[-5] ELSE r[1] END AS year_ago, round((r[-1] / nullif(r[1], 0) - 1) * 100, 4) AS total_change FROM l""")
+SELECT company, r[1] AS first, r[-1] AS latest, CASE WHEN len(r) >= 2 THEN r[-2] ELSE r[1] END AS previous, CASE WHEN len(r) >= 5 THEN r[-5] ELSE r[1] END AS year_ago, r[len(r) // 2 + 1] AS middle, round((r[-1] / nullif(r[1], 0) - 1) * 100, 4) AS total_change FROM l""")
 def series_endpoints(spark, d):
     return rounded(S.endpoints(quarterly(spark, d), "revenue"), "total_change")
 
 
-@query("period_union", SERIES_SQL + """ SELECT quarter_index FROM series WHERE company = 1 AND quarter_index % 2 = 0 UNION SELECT quarter_index FROM series WHERE company = 2 AND quarter_index % 3 = 0""")
+@query("period_union", SERIES_SQL + """ SELECT company, quarter_index FROM series WHERE quarter_index % 2 = 0 UNION SELECT company, quarter_index FROM series WHERE quarter_index % 3 = 0""")
 def period_union(spark, d):
-    s = quarterly(spark, d)
-    return s.where("company = 1 AND quarter_index % 2 = 0").select("quarter_index").union(s.where("company = 2 AND quarter_index % 3 = 0").select("quarter_index")).distinct()
+    s = quarterly(spark, d).select("company", "quarter_index")
+    return s.where("quarter_index % 2 = 0").union(s.where("quarter_index % 3 = 0")).distinct()
 
 
 @query("guidance_baseline", SERIES_SQL + f""", g AS (SELECT *, CASE WHEN quarter_index % 3 = 0 THEN revenue * 1.02 END AS official, avg(revenue) {frame(3)} AS proxy FROM series), r AS (SELECT *, coalesce(official, proxy) AS guidance, CASE WHEN official IS NULL THEN 'proxy' ELSE 'official' END AS mode FROM g)
@@ -195,7 +218,7 @@ def period_functions(spark, d):
     return table(spark, d, "orders").select("o_orderkey", P.label(q).alias("label"), P.shift(P.label(q), -5).alias("shifted"), P.end_date(q).alias("ends"), P.majority_index(date).alias("majority"), year.alias("fiscal_year"), quarter.alias("fiscal_quarter"))
 
 
-@query("annual_lookup", """WITH a AS (SELECT DISTINCT c_nationkey AS company, CAST(year(o_orderdate) * 4 + 3 AS INTEGER) AS annual_index FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 0),
+@query("annual_lookup", """WITH a AS (SELECT DISTINCT c_nationkey AS company, CAST(year(o_orderdate) * 4 + 3 AS INTEGER) AS annual_index FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'),
 q AS (SELECT DISTINCT c_nationkey AS company, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS quarter_index FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT q.company, quarter_index, max(annual_index) AS annual_index FROM q LEFT JOIN a ON a.company = q.company AND q.quarter_index - annual_index BETWEEN 0 AND 5 GROUP BY q.company, quarter_index""")
 def annual_lookup(spark, d):
@@ -203,7 +226,7 @@ def annual_lookup(spark, d):
     from quartermill.operators.selection import nearest_annual
 
     joined = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("company")), F.col("o_custkey") == F.col("c_custkey"))
-    annual = joined.where("o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 0").select("company", (F.year("o_orderdate") * 4 + 3).cast("int").alias("annual_index")).distinct()
+    annual = joined.where("o_orderpriority = '1-URGENT'").select("company", (F.year("o_orderdate") * 4 + 3).cast("int").alias("annual_index")).distinct()
     return nearest_annual(joined.select("company", P.index_of_date(F.col("o_orderdate")).alias("quarter_index")).distinct(), annual)
 
 

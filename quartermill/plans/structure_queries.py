@@ -44,16 +44,25 @@ def segment_share(spark, d):
     return rounded(T.shares(s).select("company", "quarter_index", "name", "share"), "share")
 
 
-@query("structure_reasonable", SEG + """ SELECT company, quarter_index, round(sum(value) / (max(revenue) * (1 + company % 4)), 4) AS ratio, sum(value) / (max(revenue) * (1 + company % 4)) BETWEEN 0.45 AND 1.45 AS reasonable FROM seg GROUP BY company, quarter_index""")
+@query("structure_reasonable", SEG + """, s AS (SELECT company, quarter_index, sum(value) / (max(revenue) * (0.6 + company % 4 * 0.3)) AS ratio FROM seg GROUP BY company, quarter_index)
+SELECT company, quarter_index, round(ratio, 4) AS ratio, CASE WHEN company % 5 = 0 THEN ratio BETWEEN 0.55 AND 1.55 WHEN company % 5 = 1 THEN ratio BETWEEN 0.7 AND 1.0 ELSE ratio BETWEEN 0.45 AND 1.45 END AS reasonable FROM s""")
 def structure_reasonable(spark, d):
-    return rounded(T.reasonable(segments(spark, d).withColumn("revenue", F.col("revenue") * (1 + F.col("company") % 4))), "ratio")
+    c = F.col("n_nationkey")
+    bounds = table(spark, d, "nation").where("n_nationkey % 5 < 2").select(c.alias("company"), F.when(c % 5 == 0, T.RATIO_BOUNDS["visa"][0]).otherwise(0.7).alias("low"), F.when(c % 5 == 0, T.RATIO_BOUNDS["visa"][1]).otherwise(1.0).alias("high"))
+    return rounded(T.reasonable(segments(spark, d).withColumn("revenue", F.col("revenue") * (0.6 + F.col("company") % 4 * 0.3)), bounds=bounds), "ratio")
 
 
-@query("top_n_other", SEG + """, k AS (SELECT *, row_number() OVER (PARTITION BY company, quarter_index ORDER BY value DESC, position) AS k, count(*) OVER (PARTITION BY company, quarter_index) AS n FROM seg WHERE value > 0),
-o AS (SELECT company, quarter_index, CASE WHEN n > 3 AND k > 2 THEN 'Other' ELSE name END AS name, CAST(CASE WHEN n > 3 AND k > 2 THEN 1 << 30 ELSE position END AS INTEGER) AS position, value FROM k)
+@query("top_n_other", SEG + """, k AS (SELECT *, row_number() OVER (PARTITION BY company, quarter_index ORDER BY value DESC, position) AS k, count(*) OVER (PARTITION BY company, quarter_index) AS n, value / sum(value) OVER (PARTITION BY company, quarter_index) * 100 AS share FROM seg WHERE value > 0),
+t AS (SELECT *, n > 4 AND (k > 3 OR share < 20) AS o FROM k), o AS (SELECT company, quarter_index, CASE WHEN o THEN 'Other' ELSE name END AS name, CAST(CASE WHEN o THEN 1 << 30 ELSE position END AS INTEGER) AS position, value FROM t)
 SELECT company, quarter_index, name, position, round(sum(value), 5) AS value FROM o GROUP BY ALL""")
 def top_n_other(spark, d):
-    return rounded(T.top_and_other(segments(spark, d), 3), "value", digits=5)
+    return rounded(T.top_and_other(segments(spark, d), 4, 20.0), "value", digits=5)
+
+
+@query("first_n_other", SEG + """, k AS (SELECT *, count(*) OVER (PARTITION BY company, quarter_index) AS n, value / sum(value) OVER (PARTITION BY company, quarter_index) * 100 >= 19 AS large FROM seg), t AS (SELECT *, n > 3 AND NOT (large AND sum(CASE WHEN large THEN 1 ELSE 0 END) OVER (PARTITION BY company, quarter_index ORDER BY position) <= 2) AS o FROM k),
+o AS (SELECT company, quarter_index, CASE WHEN o THEN 'Other operating items' ELSE name END AS name, value FROM t) SELECT company, quarter_index, name, round(sum(value), 5) AS value FROM o GROUP BY ALL""")
+def first_n_other(spark, d):
+    return rounded(T.first_and_other(segments(spark, d), 3, 19.0).select("company", "quarter_index", "name", "value"), "value", digits=5)
 
 
 @query("delta_contribution", SEG + """, e AS (SELECT company, min(quarter_index) AS a, max(quarter_index) AS b FROM seg GROUP BY company)
@@ -73,21 +82,38 @@ def delta_leader(spark, d):
 _PARTIAL = "(company + quarter_index + position) % 4 != 0"
 
 
-@query("core_name_profile", SEG + f""", i AS (SELECT * FROM seg WHERE {_PARTIAL}), q AS (SELECT company, quarter_index, count(DISTINCT name) AS n FROM i GROUP BY ALL),
-z AS (SELECT company, count(*) AS quarters, list_sort(list(n))[count(*) // 2 + 1] AS median FROM q GROUP BY company),
-c AS (SELECT company, name, count(DISTINCT quarter_index) AS quarters, min(position) AS p FROM i GROUP BY ALL),
-r AS (SELECT c.*, row_number() OVER (PARTITION BY company ORDER BY c.quarters DESC, p, name) AS rank, count(*) OVER (PARTITION BY company) AS names, median, z.quarters AS all_quarters FROM c JOIN z USING (company)),
-s AS (SELECT *, quarters >= greatest(2, round_even(all_quarters * 0.4, 0)) AS stable FROM r)
-SELECT company, name, quarters, CAST(rank AS INTEGER) AS rank, stable AND sum(CASE WHEN stable THEN 1 ELSE 0 END) OVER (PARTITION BY company ORDER BY rank) <= 2 AS core, CAST(least(names, greatest(2, round_even(median * 0.8, 0))) AS BIGINT) AS target FROM s""")
+def _canonical(spark, d):
+    c = F.col("n_nationkey")
+    every = F.array(*map(F.lit, ("MACHINERY", "SPACE", "BUILDING", "AUTOMOBILE", "FURNITURE")))
+    return table(spark, d, "nation").where("n_nationkey % 3 != 0").select(c.alias("company"), F.slice(every, F.lit(1), (c % 6).cast("int")).alias("names"))
+
+
+_PROFILE = SEG + f""", i AS (SELECT company, quarter_index, CASE WHEN position = 1 AND company % 4 = 0 THEN 'Europe' ELSE name END AS name, value, position, revenue FROM seg WHERE {_PARTIAL} AND NOT (company % 4 = 0 AND quarter_index % 3 = 0 AND position != 1)),
+u AS (SELECT company, quarter_index FROM i GROUP BY ALL HAVING count(CASE WHEN name != 'Europe' THEN 1 END) > 0), j AS (SELECT i.* FROM i JOIN u USING (company, quarter_index)),
+q AS (SELECT company, quarter_index, count(DISTINCT name) AS n FROM j GROUP BY ALL), z AS (SELECT company, count(*) AS quarters, list_sort(list(n))[count(*) // 2 + 1] AS median FROM q GROUP BY company),
+y AS (SELECT n_nationkey AS company, ['MACHINERY', 'SPACE', 'BUILDING', 'AUTOMOBILE', 'FURNITURE'][1 : n_nationkey % 6] AS names FROM nation WHERE n_nationkey % 3 != 0), w AS (SELECT company, unnest(names) AS name, generate_subscripts(names, 1) - 1 AS place FROM y),
+c AS (SELECT company, name, count(DISTINCT quarter_index) AS quarters, min(quarter_index * 100 + position) AS p FROM j GROUP BY ALL), f AS (SELECT company, name, coalesce(quarters, 0) AS quarters, p, place FROM c FULL JOIN w USING (company, name)),
+n AS (SELECT *, count(*) OVER (PARTITION BY company) AS names, coalesce(max(place + 1) OVER (PARTITION BY company), 0) AS m FROM f), r AS (SELECT n.*, CASE WHEN m >= 5 THEN 3 WHEN m >= 3 THEN 2 ELSE 1 END AS required, row_number() OVER (PARTITION BY n.company ORDER BY place NULLS LAST, n.quarters DESC, p, name) AS rank, coalesce(median, 0) AS median, coalesce(z.quarters, 0) AS total FROM n LEFT JOIN z USING (company)),
+s AS (SELECT *, total > 0 AND quarters >= greatest(2, round_even(total * 0.4, 0)) AS stable FROM r), t AS (SELECT *, sum(CASE WHEN stable THEN 1 ELSE 0 END) OVER (PARTITION BY company ORDER BY rank) AS k, bool_or(stable) OVER (PARTITION BY company) AS held FROM s),
+profile AS (SELECT company, name, quarters, CAST(rank AS INTEGER) AS rank, CASE WHEN held THEN stable AND k <= 2 ELSE rank <= 2 END AS core, CAST(greatest(required, least(names, greatest(2, round_even(greatest(median, required) * 0.8, 0)))) AS BIGINT) AS target FROM t)"""
+
+
+def _profiled(spark, d):
+    regional = F.when((F.col("position") == 1) & (F.col("company") % 4 == 0), "Europe").otherwise(F.col("name"))
+    return segments(spark, d).where(_PARTIAL).where("NOT (company % 4 = 0 AND quarter_index % 3 = 0 AND position != 1)").withColumn("name", regional)
+
+
+@query("core_name_profile", _PROFILE + " SELECT * FROM profile")
 def core_name_profile(spark, d):
-    return T.name_profile(segments(spark, d).where(_PARTIAL))
+    """Canonical names for two nations in three; in every fourth nation quarters of a region alone."""
+    return T.name_profile(_profiled(spark, d), _canonical(spark, d))
 
 
-@query("complete_snapshots", SEG + f""", i AS (SELECT * FROM seg WHERE {_PARTIAL}), p AS (SELECT company, name, count(*) AS n, row_number() OVER (PARTITION BY company ORDER BY count(*) DESC, min(position), name) AS k FROM i GROUP BY company, name),
-m AS (SELECT company, quarter_index, count(*) AS known, count(CASE WHEN k <= 2 THEN 1 END) AS core FROM i JOIN p USING (company, name) GROUP BY ALL) SELECT company, quarter_index, known, core, known >= 3 AND core >= 2 AS complete FROM m""")
+@query("complete_snapshots", _PROFILE + """, m AS (SELECT company, quarter_index, count(core) AS known, count(CASE WHEN core THEN 1 END) AS core FROM i LEFT JOIN profile USING (company, name) WHERE value > 0 GROUP BY ALL), e AS (SELECT company, max(target) AS target, count(CASE WHEN core THEN 1 END) AS cores FROM profile GROUP BY company)
+SELECT company, quarter_index, known, m.core, known >= target AND m.core >= least(cores, CASE WHEN target >= 4 THEN 2 ELSE 1 END) AS complete FROM m JOIN e USING (company)""")
 def complete_snapshots(spark, d):
-    items = segments(spark, d).where(_PARTIAL)
-    return T.complete_snapshots(items, T.name_profile(items))
+    items = _profiled(spark, d)
+    return T.complete_snapshots(items, T.name_profile(items, _canonical(spark, d)))
 
 
 @query("dominant_basis", SERIES_SQL + """, k AS (SELECT company, CASE WHEN (company * 3 + quarter_index) % 5 < 1 + company % 4 THEN 'geography' ELSE 'segment' END AS kind FROM series)
@@ -121,11 +147,13 @@ def segment_share_inferred(spark, d):
     return rounded(rounded(T.inferred_shares(known, quarters, 10.0), "share"), "value", digits=5)
 
 
-@query("rescale_to_total", SEG + """, r AS (SELECT *, revenue * (1 + company % 3 * 0.5) AS t, sum(value) OVER (PARTITION BY company, quarter_index) AS s FROM seg)
-SELECT company, quarter_index, name, round(CASE WHEN s / t BETWEEN 0.55 AND 1.35 THEN value * t / s ELSE value END, 5) AS scaled FROM r""")
+@query("rescale_to_total", SEG + """, seg7 AS (SELECT company, quarter_index, name, position, value / 7 AS value, revenue / 7 AS revenue FROM seg), r AS (SELECT *, revenue * (0.5 + company % 4 * 0.4) AS t, sum(value) OVER (PARTITION BY company, quarter_index) AS s, quarter_index % 5 != 0 OR position % 2 = 0 AS quarterly, (position * company * 40)::DOUBLE AS y FROM seg7),
+b AS (SELECT *, bool_or(quarterly) OVER (PARTITION BY company, quarter_index) AND quarter_index % 7 != 0 AS held FROM r)
+SELECT company, quarter_index, name, round_even(CASE WHEN held AND NOT s / t BETWEEN 0.55 AND 1.35 THEN t * value / s ELSE value END, 3) AS scaled, CASE WHEN y <= 500 THEN y END AS yoy FROM b""")
 def rescale_to_total(spark, d):
-    s = segments(spark, d).withColumn("revenue", F.col("revenue") * (1 + F.col("company") % 3 * 0.5))
-    return rounded(T.rescaled(s).select("company", "quarter_index", "name", "scaled"), "scaled", digits=5)
+    annual = (F.col("quarter_index") % 7 == 0) | ((F.col("quarter_index") % 5 == 0) & (F.col("position") % 2 == 1))
+    s = segments(spark, d).withColumns({"value": F.col("value") / 7, "revenue": F.col("revenue") / 7 * (0.5 + F.col("company") % 4 * 0.4), "scope": F.when(annual, "annual_filing"), "yoy": (F.col("position") * F.col("company") * 40).cast("double")})
+    return T.rescaled(s).select("company", "quarter_index", "name", "scaled", "yoy")
 
 
 @query("flow_items", SEG + """, f AS (SELECT *, revenue * (0.7 + company % 4 * 0.2) AS target, sum(value) OVER (PARTITION BY company, quarter_index) AS s, row_number() OVER (PARTITION BY company, quarter_index ORDER BY position DESC) AS k FROM seg WHERE value > 0.03),
@@ -154,20 +182,18 @@ def segment_merge_alias(spark, d):
     return rounded(merged.select("company", "quarter_index", "name", "value", "position"), "value", digits=5)
 
 
-_PACK = "company % 5 < 2 AND quarter_index % 4 = 1"
-
-
-@query("subset_prune", SEG + f""", i AS (SELECT company, quarter_index, revenue * 0.8 AS revenue, position, name, value FROM seg WHERE {_PACK}),
-m AS (SELECT DISTINCT company, quarter_index, revenue, unnest(range(1, 1 << 5)) AS mask FROM i),
-x AS (SELECT m.company, m.quarter_index, m.mask, max(m.revenue) AS revenue, sum(value) AS v, count(*) AS n, count(CASE WHEN i.position % 2 = 0 THEN 1 END) AS b, list(name ORDER BY i.position) AS names, list((m.mask >> (i.position - 1)) & 1) AS bits,
-             sum(CASE WHEN i.position = 1 THEN 16 WHEN i.position = 2 THEN 8 WHEN i.position = 3 THEN 4 WHEN i.position = 4 THEN 2 ELSE 1 END) AS ord
-      FROM m JOIN i ON m.company = i.company AND m.quarter_index = i.quarter_index AND ((m.mask >> (i.position - 1)) & 1) = 1 GROUP BY m.company, m.quarter_index, m.mask),
-s AS (SELECT *, round(1 - abs(revenue - v) / greatest(revenue, 1) + CASE WHEN b = n OR b = 0 THEN 0.06 ELSE -0.08 END + n * 0.03 + b * 0.015, 9) AS score FROM x WHERE v / revenue BETWEEN 0.45 AND 1.18),
-r AS (SELECT *, row_number() OVER (PARTITION BY company, quarter_index ORDER BY score DESC, n, ord DESC) AS k FROM s)
-SELECT company, quarter_index, array_to_string(names, ',') AS kept FROM r WHERE k = 1""")
+@query("subset_prune", SEG + """, i AS (SELECT company, quarter_index, revenue * (0.5 + company % 5 * 0.15) AS revenue, position, name, CASE WHEN company % 6 = 5 AND position = 2 THEN 0 ELSE value END AS value, position % 2 = 0 AS business, position = 5 AS aggregate FROM seg), pos AS (SELECT * FROM i WHERE value > 0),
+m0 AS (SELECT company, quarter_index, max(revenue) AS revenue FROM pos GROUP BY ALL), m AS (SELECT *, unnest(range(1, 1 << 5)) AS mask FROM m0),
+x AS (SELECT m.company, m.quarter_index, m.mask, m.revenue, sum(value) AS s, count(*) AS n, count(CASE WHEN business THEN 1 END) AS b, count(CASE WHEN aggregate THEN 1 END) AS a, sum(1 << (5 - v.position)) AS ord, list(name ORDER BY v.position) AS names, list(name ORDER BY value DESC, v.position) AS by_value
+      FROM m JOIN pos v ON m.company = v.company AND m.quarter_index = v.quarter_index AND ((m.mask >> (v.position - 1)) & 1) = 1 GROUP BY ALL),
+c AS (SELECT *, round(1 - abs(revenue - s) / greatest(revenue, 1) + CASE WHEN b = n OR b = 0 THEN 0.06 ELSE -0.08 END + n * 0.03 + b * 0.015 - a * 0.09, 9) AS score FROM x WHERE s / revenue BETWEEN 0.45 AND 1.18),
+r AS (SELECT *, row_number() OVER (PARTITION BY company, quarter_index ORDER BY score DESC, n, ord DESC) AS k FROM c), w AS (SELECT company, quarter_index, list(name ORDER BY position) AS names FROM pos GROUP BY ALL)
+SELECT w.company, w.quarter_index, array_to_string(CASE WHEN r.names IS NULL THEN w.names WHEN w.company % 3 = 0 THEN r.names ELSE by_value END, ',') AS kept FROM w LEFT JOIN r ON r.company = w.company AND r.quarter_index = w.quarter_index AND k = 1""")
 def subset_prune(spark, d):
-    s = segments(spark, d).where(_PACK)
-    packed = s.groupBy("company", "quarter_index").agg((F.max("revenue") * 0.8).alias("revenue"), F.transform(F.sort_array(F.collect_list(F.struct("position", "name", "value"))), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), (x["position"] % 2 == 0).alias("business"))).alias("items"))
+    p = F.col("position")
+    s = segments(spark, d).withColumn("value", F.when((F.col("company") % 6 == 5) & (p == 2), 0.0).otherwise(F.col("value")))
+    item = lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), (x["position"] % 2 == 0).alias("business"), (x["position"] == 5).alias("aggregate"))
+    packed = s.groupBy("company", "quarter_index").agg((F.max("revenue") * (0.5 + F.first("company") % 5 * 0.15)).alias("revenue"), F.transform(F.sort_array(F.collect_list(F.struct("position", "name", "value"))), item).alias("items")).withColumn("ordered", F.col("company") % 3 == 0)
     return T.best_subset(packed).select("company", "quarter_index", F.array_join(F.transform("kept", lambda x: x["name"]), ",").alias("kept"))
 
 
@@ -196,10 +222,10 @@ def largest_item(spark, d):
 
 
 @query("outlier_gate", SERIES_SQL + f""", p AS (SELECT *, revenue * CASE WHEN quarter_index % 7 = 0 THEN 3.0 WHEN quarter_index % 7 = 1 THEN 0.4 ELSE 1.02 END AS parsed FROM series)
-SELECT company, quarter_index, round(CASE WHEN (parsed / revenue < 0.6 OR parsed / revenue > 1.6) AND abs(parsed - revenue) >= 500000 THEN revenue ELSE parsed END, 4) AS gated, round(CASE WHEN parsed / revenue BETWEEN 0.45 AND 2.25 THEN parsed END, 4) AS accepted FROM p""")
+SELECT company, quarter_index, round(CASE WHEN (parsed / revenue < 0.6 OR parsed / revenue > 1.6) AND abs(parsed - revenue) >= 500000 THEN revenue ELSE parsed END, 4) AS gated, round(CASE WHEN parsed / revenue BETWEEN 0.45 AND 2.25 THEN parsed ELSE revenue END, 4) AS accepted FROM p""")
 def outlier_gate(spark, d):
     p = quarterly(spark, d).withColumn("parsed", F.col("revenue") * F.when(F.col("quarter_index") % 7 == 0, 3.0).when(F.col("quarter_index") % 7 == 1, 0.4).otherwise(1.02))
-    return rounded(p.select("company", "quarter_index", N.or_history(F.col("parsed"), F.col("revenue"), 0.6, 1.6, 500000.0).alias("gated"), N.within(F.col("parsed"), F.col("revenue"), 0.45, 2.25).alias("accepted")), "gated", "accepted")
+    return rounded(p.select("company", "quarter_index", N.or_history(F.col("parsed"), F.col("revenue"), 0.6, 1.6, 500000.0).alias("gated"), N.candidate(F.col("revenue"), F.col("parsed")).alias("accepted")), "gated", "accepted")
 
 
 def audit(spark, d):
@@ -243,9 +269,27 @@ def issue_top_k(spark, d):
     return Q.issue_counts(issues, 2).select("company", "code", "n", "rank")
 
 
-@query("company_snapshot", AUDIT + " SELECT company, count(*) AS quarters, min(quarter_index) AS first_quarter, max(quarter_index) AS last_quarter, count(CASE WHEN status = 'pass' THEN 1 END) AS passed FROM audit GROUP BY company")
+@query("company_snapshot", AUDIT + """, s AS (SELECT company, quarter_index AS q, quarter_index % 2 = 0 AS c, quarter_index % 3 != 0 AS d, quarter_index % 5 != 0 AS w, quarter_index % 10 < 4 OR company % 4 = 3 AS t FROM series),
+k AS (SELECT company, count(CASE WHEN c THEN 1 END) AS cached_count, min(CASE WHEN c THEN q END) AS cached_first, max(CASE WHEN c THEN q END) AS cached_last, count(CASE WHEN d THEN 1 END) AS dynamic_count, min(CASE WHEN d THEN q END) AS dynamic_first, max(CASE WHEN d THEN q END) AS dynamic_last, count(CASE WHEN w THEN 1 END) AS window_count, greatest(0, count(CASE WHEN w THEN 1 END) - count(CASE WHEN t THEN 1 END)) AS excluded_count FROM s GROUP BY company),
+a AS (SELECT company, count(*) AS audited_count, count(CASE WHEN status = 'pass' THEN 1 END) AS pass, count(CASE WHEN status = 'review' THEN 1 END) AS review, count(CASE WHEN status = 'fail' THEN 1 END) AS fail FROM audit WHERE company % 5 != 4 GROUP BY company)
+SELECT k.*, coalesce(audited_count, 0) AS audited_count, coalesce(pass, 0) AS pass, coalesce(review, 0) AS review, coalesce(fail, 0) AS fail, 0::BIGINT AS error FROM k LEFT JOIN a USING (company)""")
 def company_snapshot(spark, d):
-    return Q.snapshots(audit(spark, d))
+    q = F.col("quarter_index")
+    supported = quarterly(spark, d).select("company", "quarter_index", (q % 2 == 0).alias("cached"), (q % 3 != 0).alias("dynamic"), (q % 5 != 0).alias("in_window"), ((q % 10 < 4) | (F.col("company") % 4 == 3)).alias("target"))
+    return Q.snapshots(audit(spark, d).where("company % 5 != 4").select("company", "quarter_index", "status"), supported)
+
+
+@query("audit_lines", AUDIT + """, p AS (SELECT company, count(CASE WHEN status = 'pass' THEN 1 END) AS pass, count(CASE WHEN status = 'review' THEN 1 END) AS review, count(CASE WHEN status = 'fail' THEN 1 END) AS fail, sum(critical) AS critical, sum(major) AS major, sum(minor) AS minor FROM audit GROUP BY company),
+s AS (SELECT *, 1000 * fail + 10 * review + 6 * critical + 2 * major AS pressure FROM p), t AS (SELECT *, row_number() OVER (ORDER BY pressure DESC, company) AS rank FROM s WHERE pressure > 0 ORDER BY rank LIMIT 10),
+i AS (SELECT company, code, sum(n) AS n, min(CASE WHEN n > 0 THEN quarter_index * 10 + k END) AS seen FROM (SELECT company, quarter_index, unnest(['short', 'jump', 'move', 'loss']) AS code, unnest([major, critical, moved, loss]) AS n, unnest([0, 1, 2, 3]) AS k FROM audit) GROUP BY ALL HAVING sum(n) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY n DESC, seen, code) AS i FROM i),
+top AS (SELECT company, string_agg(code || '(' || n || ')', ', ' ORDER BY i) AS names FROM r WHERE i <= 4 GROUP BY company)
+SELECT CAST(rank AS INTEGER) AS rank, rank || '. `' || t.company || '` | pressure=' || pressure || ' | pass=' || pass || ' review=' || review || ' fail=' || fail || ' | issues(c/m/n)=' || critical || '/' || major || '/' || minor || coalesce(' | top: ' || names, '') AS line FROM t LEFT JOIN top USING (company)""")
+def audit_lines(spark, d):
+    a = audit(spark, d)
+    sums = a.groupBy("company").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("pass", "fail", "error", "review")), *(F.sum(s).alias(s) for s in Q.WEIGHTS))
+    order = F.create_map(*(x for n, c in enumerate(("short", "jump", "move", "loss")) for x in (F.lit(c), F.lit(n))))
+    issues = a.select("company", "quarter_index", F.explode("issues").alias("i")).select("company", (F.col("quarter_index") * 10 + F.element_at(order, F.col("i.code"))).alias("seq"), "i.severity", "i.code")
+    return Q.markdown(Q.pressure(sums), Q.issue_counts(issues, 4))
 
 
 @query("pressure_rank", AUDIT + """, p AS (SELECT company, 1000 * count(CASE WHEN status = 'fail' THEN 1 END) + 10 * count(CASE WHEN status = 'review' THEN 1 END) + 6 * sum(critical) + 2 * sum(major) AS pressure FROM audit GROUP BY company) SELECT company, CAST(pressure AS BIGINT) AS pressure FROM p WHERE pressure > 0 ORDER BY pressure DESC, company LIMIT 10""")
@@ -285,25 +329,6 @@ def theme_scores(spark, d):
     return g.select("company", "quarter_index", N.clamped_score(60 + yoy * 0.8 + qoq * 0.4).alias("score"))
 
 
-@query("filing_choice", """WITH f AS (SELECT o_custkey AS company, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_end, CAST(o_orderdate AS DATE) AS filed, CAST(o_orderkey % 4 AS INTEGER) AS form_rank, CASE WHEN o_orderkey % 5 = 0 THEN '2.02' ELSE '' END AS item, CAST(o_orderkey % 3 AS INTEGER) AS hints, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS INTEGER) AS excludes, o_orderkey AS ordinal FROM orders),
-s AS (SELECT *, round(40 - 8 * form_rank + greatest(0, 30 - abs(filed - period_end) / 3.0::DOUBLE) + CASE WHEN filed = period_end THEN 12 ELSE 0 END + CASE WHEN item = '2.02' THEN 15 ELSE 0 END + 6 * hints - 20 * excludes, 6) AS score FROM f WHERE filed - period_end BETWEEN -45 AND 130),
-r AS (SELECT *, row_number() OVER (PARTITION BY company, period_end ORDER BY score DESC, ordinal) AS k FROM s) SELECT company, period_end, ordinal, score FROM r WHERE k = 1""")
-def filing_choice(spark, d):
-    k = F.col("o_orderkey")
-    date = F.to_date("o_orderdate")
-    f = table(spark, d, "orders").select(F.col("o_custkey").alias("company"), F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("period_end"), date.alias("filed"), date.alias("report_date"), (k % 4).cast("int").alias("form_rank"), F.when(k % 5 == 0, "2.02").otherwise("").alias("item"), (k % 3).cast("int").alias("hints"), F.when(k % 11 == 0, 1).otherwise(0).alias("excludes"), k.alias("ordinal"))
-    return X.best_filing(f).select("company", "period_end", "ordinal", "score")
-
-
-@query("source_merge", """WITH r AS (SELECT o_custkey AS report, 'k' || (o_orderkey % 4) AS kind, CAST(o_orderkey % 4 AS INTEGER) AS kind_rank, 'u' || (o_orderkey % 9) AS url, o_orderkey AS ordinal, o_orderkey % 2 AS src FROM orders),
-n AS (SELECT DISTINCT report, kind FROM r WHERE src = 0), a AS (SELECT r.* FROM r WHERE NOT (src = 1 AND kind = 'k1' AND EXISTS (SELECT 1 FROM n WHERE n.report = r.report AND n.kind = 'k2'))),
-k AS (SELECT *, row_number() OVER (PARTITION BY report, url ORDER BY kind_rank, src, ordinal) AS k FROM a) SELECT report, kind, url, ordinal FROM k WHERE k = 1""")
-def source_merge(spark, d):
-    k = F.col("o_orderkey")
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("report"), F.concat(F.lit("k"), (k % 4).cast("string")).alias("kind"), (k % 4).cast("int").alias("kind_rank"), F.concat(F.lit("u"), (k % 9).cast("string")).alias("url"), k.alias("ordinal"))
-    return X.merged_sources(rows.where("ordinal % 2 = 1"), rows.where("ordinal % 2 = 0"), {"k1": "k2"}).select("report", "kind", "url", "ordinal")
-
-
 @query("source_material_join", """WITH m AS (SELECT l_partkey % 50 AS url, arg_max(l_linestatus || l_returnflag, l_orderkey * 10 + l_linenumber) AS status FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1) SELECT p_partkey, p_partkey % 50 AS url, status FROM part LEFT JOIN m ON p_partkey % 50 = m.url""")
 def source_material_join(spark, d):
     sources = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("url"), F.lit("x").alias("label"))
@@ -349,9 +374,11 @@ def pending_targets(spark, d):
 
 @query("fuzzy_resolve")
 def fuzzy_resolve(spark, d):
-    """Ratcliff-Obershelp similarity is beyond SQL; tests hold it against the plain loop."""
-    companies = spark.createDataFrame([("furniture", ["furniture", "furnish"]), ("machines", ["machinery", "machines"]), ("cars", ["automobile", "cars"])], "company_id string, aliases array<string>")
-    return X.suggested(table(spark, d, "customer").select(F.col("c_mktsegment").alias("reference")).distinct(), companies)
+    """Nations by names that are almost theirs. Ratcliff-Obershelp similarity is beyond SQL; tests hold it against the plain loop."""
+    nation = table(spark, d, "nation")
+    companies = nation.select(F.lower("n_name").alias("company_id"), F.array(F.regexp_replace(F.lower("n_name"), "[^a-z0-9]", "")).alias("aliases"))
+    near = F.array(F.col("n_name"), F.concat(F.substring("n_name", 1, 4), F.lit("x")), F.reverse("n_name"))
+    return X.suggested(nation.select(F.explode(near).alias("reference")).unionByName(table(spark, d, "customer").select(F.col("c_mktsegment").alias("reference")).distinct()), companies)
 
 
 @query("window_frames", SERIES_SQL + f" SELECT company, quarter_index, round(sum(revenue) {frame(1)}, 5) AS two FROM series")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quartermill.functions import text as S
 from quartermill.operators import selection as X
+from quartermill.plans import sql
 from quartermill.plans.base import table
 from quartermill.sources import readers as R
 
@@ -36,7 +37,8 @@ _TOPIC_SQL = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS topic, {k} AS o, least
 @query("keyword_topics", f"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS ({_TOPIC_SQL}),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, o) AS k FROM s WHERE score > 0) SELECT doc_id, topic, CAST(score AS INTEGER) AS score FROM r WHERE k <= 3""")
 def keyword_topics(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(S.topic_scores(F.col("text"), TOPICS, 3)).alias("s")).select("doc_id", "s.topic", "s.score")
+    lowered = table(spark, d, "documents").select("doc_id", F.explode(F.array(F.lower("text"))).alias("low"))  # once a text
+    return lowered.select("doc_id", F.explode(S.topic_scores(F.col("low"), TOPICS, 3)).alias("s")).select("doc_id", "s.topic", "s.score")
 
 
 def _last_sql(mark: str) -> str:
@@ -50,23 +52,35 @@ def excerpt_text(spark, d):
     return table(spark, d, "documents").select("doc_id", S.excerpt(F.col("text"), 200).alias("excerpt"))
 
 
-@query("text_quality_gate", r"""WITH d AS (SELECT doc_id, trim(text) AS t, CASE WHEN doc_id % 2 = 0 THEN 'html' ELSE 'pdf' END AS k FROM documents)
-SELECT doc_id, CASE WHEN length(t) = 0 THEN 'empty' WHEN length(t) < 2000 AND regexp_matches(t, '(?i)access denied|page not found|404 not found|service unavailable|enable javascript|captcha') THEN 'error_page'
-  WHEN k = 'html' AND length(t) < 180 AND NOT regexp_matches(t, '(?i)revenue|income|earnings|margin|quarter|fiscal|cash flow|guidance') THEN 'thin' END AS issue FROM d""")
+_PHRASE = "CASE " + " ".join(f"WHEN contains(low, {sql.lit(w)}) THEN {sql.lit(w)}" for w in S.ERROR_PHRASES) + " END"
+
+
+@query("text_quality_gate", rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 23 < 11 THEN 'See ' || {sql.pick(S.ERROR_PHRASES, 'doc_id % 11')} || ' here' ELSE 'Report' END AS title, CASE doc_id % 5 WHEN 0 THEN left(text, 120) WHEN 1 THEN left(text, 100) || ' Net Income' WHEN 2 THEN '  ' ELSE text END AS t,
+  doc_id % 3 != 1 OR doc_id % 4 = 0 AS official, doc_id % 2 = 0 OR doc_id % 7 = 0 AS written FROM documents), n AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g')) AS bare FROM d), l AS (SELECT *, trim(lower(title) || ' ' || lower(bare)) AS low FROM n)
+SELECT doc_id, CASE WHEN bare = '' THEN 'empty extracted text' WHEN {_PHRASE} IS NOT NULL THEN 'unusable source page: ' || {_PHRASE} WHEN official AND length(bare) < 180 AND written AND NOT {sql.any_of('low', S.MATERIAL_WORDS)} THEN 'insufficient extracted text (' || length(bare) || ' chars)' ELSE '' END AS issue FROM l""")
 def text_quality_gate(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.quality_issue(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "html").otherwise("pdf")).alias("issue"))
+    k = F.col("doc_id")
+    phrase = F.get(F.array(*map(F.lit, S.ERROR_PHRASES)), (k % 11).cast("int"))
+    title = F.when(k % 23 < 11, F.concat(F.lit("See "), phrase, F.lit(" here"))).otherwise("Report")
+    text = F.when(k % 5 == 0, F.substring("text", 1, 120)).when(k % 5 == 1, F.concat(F.substring("text", 1, 100), F.lit(" Net Income"))).when(k % 5 == 2, "  ").otherwise(F.col("text"))
+    kind, role = F.when(k % 3 != 1, "official_release").otherwise("news"), F.when(k % 4 == 0, "Earnings_Call").otherwise("x")
+    issue = S.quality_issue(text, title, kind, role, F.when(k % 2 == 0, ".html").otherwise(".pdf"), F.when(k % 7 == 0, "TEXT/plain").otherwise("application/pdf"))
+    return table(spark, d, "documents").select("doc_id", issue.alias("issue"))
 
 
-@query("transcript_detect", r"""SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN true ELSE false END OR (CASE WHEN contains(lower(text), 'operator') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'question-and-answer') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'earnings call') THEN 1 ELSE 0 END
- + CASE WHEN contains(lower(text), 'next question') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'good afternoon') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'thank you for joining') THEN 1 ELSE 0 END) >= 2 OR len(regexp_extract_all(text, '(?m)^[A-Z][A-Za-z .''-]{2,40}:')) >= 4 AS transcript FROM conversations""")
+@query("transcript_detect", rf"""WITH c AS (SELECT conv_id, turn, text || CASE conv_id % 4 WHEN 0 THEN ' Operator, CEO, cfo and President' WHEN 1 THEN ' Prepared remarks of the conference call' WHEN 2 THEN ' an analyst' ELSE '' END AS t, CASE WHEN turn % 5 = 0 THEN 'Q3 Transcript' WHEN turn % 5 = 1 THEN 'Earnings call' END AS label FROM conversations)
+SELECT conv_id, turn, coalesce({sql.any_of('lower(label)', ('transcript', 'prepared remarks'))}, false) OR {sql.number_of('lower(t)', S.CALL_WORDS)} >= 2 OR len(regexp_extract_all(t, {sql.lit(S.SPEAKERS)})) >= 4 AS transcript FROM c""")
 def transcript_detect(spark, d):
-    label = F.when(F.col("role") == "assistant", "Earnings call").otherwise("note")
-    return table(spark, d, "conversations").select("conv_id", "turn", S.transcript_like(F.col("text"), label).alias("transcript"))
+    k, t = F.col("conv_id") % 4, F.col("turn") % 5
+    text = F.concat("text", F.when(k == 0, " Operator, CEO, cfo and President").when(k == 1, " Prepared remarks of the conference call").when(k == 2, " an analyst").otherwise(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", S.transcript_like(text, F.when(t == 0, "Q3 Transcript").when(t == 1, "Earnings call")).alias("transcript"))
 
 
-@query("implausible_year", r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '\b(20\d{2})\b', 1), lambda y: CAST(y AS INTEGER) > 2023)) > 0 AS implausible FROM documents""")
+@query("implausible_year", r"""WITH d AS (SELECT doc_id, text || ' in ' || (2018 + doc_id % 9) AS t, 2019 + doc_id % 6 AS y FROM documents) SELECT doc_id, y < 2023 AND len(list_filter(regexp_extract_all(t, '\b(20\d{2})\b', 1), lambda x: CAST(x AS INTEGER) > y + 3)) > 0 AS implausible FROM d""")
 def implausible_year(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.implausible_year(F.col("text"), F.lit(2020)).alias("implausible"))
+    k = F.col("doc_id")
+    text = F.concat("text", F.lit(" in "), (2018 + k % 9).cast("string"))
+    return table(spark, d, "documents").select("doc_id", S.implausible_year(text, 2019 + k % 6, F.lit(2024)).alias("implausible"))
 
 
 @query("token_slug", r"""SELECT p_partkey, regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '', 'g') AS token, trim(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part""")
@@ -75,16 +89,27 @@ def token_slug(spark, d):
     return table(spark, d, "part").select("p_partkey", S.token(name).alias("token"), S.slug(name).alias("slug"))
 
 
-@query("paragraph_chunks", r"""WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n+'), lambda p: trim(p)), lambda p: p != '') AS p FROM documents) SELECT doc_id, unnest(p) AS chunk FROM d WHERE len(p) > 1""")
+def _chunks_sql(text):
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({text}, '\n\s*\n+'), lambda p: trim(p)), lambda p: p != '') AS p, list_filter(list_transform(regexp_split_to_array({text}, '\n+'), lambda p: trim(p)), lambda p: p != '') AS lines FROM documents),
+r AS (SELECT doc_id, 1 AS i, CAST([] AS VARCHAR[]) AS done, '' AS held FROM d WHERE len(p) <= 1 UNION ALL
+ SELECT doc_id, i + 1, CASE WHEN length(own) >= 220 THEN list_append(done, own) ELSE done END, CASE WHEN length(own) >= 220 THEN '' ELSE own END FROM (SELECT r.*, CASE WHEN held = '' THEN lines[i] ELSE held || ' ' || lines[i] END AS own FROM r JOIN d USING (doc_id) WHERE i <= len(lines))),
+m AS (SELECT doc_id, CASE WHEN held = '' THEN done ELSE list_append(done, held) END AS chunks FROM r JOIN d USING (doc_id) WHERE i = len(lines) + 1), a AS (SELECT doc_id, p AS chunks FROM d WHERE len(p) > 1 UNION ALL SELECT * FROM m)
+SELECT doc_id, CAST(unnest(range(0, len(chunks))) AS INTEGER) AS seq, md5(unnest(chunks)) AS chunk_md5 FROM a"""
+
+
+def _chunked(docs):
+    return docs.select("doc_id", F.posexplode(S.chunks(F.col("text"))).alias("seq", "chunk")).select("doc_id", "seq", F.md5("chunk").alias("chunk_md5"))
+
+
+@query("paragraph_chunks", _chunks_sql("CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END"))
 def paragraph_chunks(spark, d):
-    docs = table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))).where(F.size(F.filter(F.transform(F.split("text", r"\n\s*\n+"), F.trim), lambda p: p != "")) > 1)
-    return docs.select("doc_id", F.explode(S.chunks(F.col("text"))).alias("chunk"))
+    """Every second text with blank lines between its own."""
+    return _chunked(table(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))))
 
 
-@query("merged_lines")
+@query("merged_lines", _chunks_sql("text"))
 def merged_lines(spark, d):
-    """A greedy fold over lines; tests hold it against a plain loop."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(S.chunks(F.col("text"))).alias("seq", "chunk"))
+    return _chunked(table(spark, d, "documents"))
 
 
 @query("page_links", r"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"''#]+)[^>]*>(.*?)</a\s*>', 1) AS h FROM pages),
@@ -132,9 +157,12 @@ def grouping_sets(spark, d):
     return table(spark, d, "events").cube("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("stance_counts", """WITH c AS (SELECT conv_id, CASE WHEN regexp_matches(lower(text), 'upgrade|overweight|outperform|\\bbuy\\b|raises? (price )?target') THEN 'positive' WHEN regexp_matches(lower(text), 'downgrade|underweight|underperform|\\bsell\\b|cuts? (price )?target') THEN 'negative' ELSE 'neutral' END AS stance FROM conversations) SELECT stance, count(*) AS n FROM c GROUP BY stance""")
+_STANCE = "CASE " + " ".join(f"WHEN regexp_matches(text, {sql.lit(p)}) THEN '{name}'" for name, p in S.STANCES) + " ELSE 'reference' END"
+
+
+@query("stance_counts", f"""SELECT {_STANCE} AS stance, role, count(*) AS n FROM conversations GROUP BY ALL""")
 def stance_counts(spark, d):
-    return table(spark, d, "conversations").groupBy(S.stance(F.col("text")).alias("stance")).agg(F.count("*").alias("n"))
+    return table(spark, d, "conversations").groupBy(S.stance(F.col("text")).alias("stance"), "role").agg(F.count("*").alias("n"))
 
 
 @query("set_operations", """(SELECT c_nationkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2""")
@@ -148,8 +176,11 @@ def topped_up_lists(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(X.topped_up([F.array("p_type"), F.array("p_brand"), F.array("p_name")]), "|").alias("items"))
 
 
-@query("first_of_two_keys")
+@query("first_of_two_keys", """WITH RECURSIVE e AS (SELECT user_id AS report, CAST(event_id AS INTEGER) AS ordinal, event_type AS firm, json_extract_string(props, '$.k') AS link, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT report, 0 AS i, CAST([] AS INTEGER[]) AS kept, CAST([] AS VARCHAR[]) AS firms, CAST([] AS VARCHAR[]) AS links FROM e WHERE i = 1 UNION ALL
+ SELECT r.report, e.i, CASE WHEN fresh THEN list_append(kept, ordinal) ELSE kept END, CASE WHEN fresh THEN list_append(firms, firm) ELSE firms END, CASE WHEN fresh THEN list_append(links, link) ELSE links END
+ FROM r JOIN e ON e.report = r.report AND e.i = r.i + 1, LATERAL (SELECT len(kept) < 4 AND NOT coalesce(list_contains(firms, firm), false) AND NOT coalesce(list_contains(links, link), false) AS fresh)),
+f AS (SELECT report, arg_max(kept, i) AS kept FROM r GROUP BY report), k AS (SELECT report, unnest(kept) AS ordinal FROM f) SELECT report, ordinal, firm, link FROM k JOIN e USING (report, ordinal)""")
 def first_of_two_keys(spark, d):
-    """Greedy on two keys at once; tests hold it against a plain loop."""
     rows = table(spark, d, "events").select(F.col("user_id").alias("report"), F.col("event_id").cast("int").alias("ordinal"), F.col("event_type").alias("firm"), F.get_json_object("props", "$.k").alias("link"))
     return X.first_of_two_keys(rows)

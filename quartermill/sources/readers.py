@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quartermill.functions.text import collapsed, html_text
+from quartermill.functions.text import collapsed, excerpt, html_text
 
 FACTS = "facts map<string, map<string, struct<units: map<string, array<struct<start: string, end: string, val: bigint, form: string, filed: string, frame: string, fp: string, accn: string>>>>>>"
 RECENT = "filings struct<recent: struct<accessionNumber: array<string>, form: array<string>, filingDate: array<string>, reportDate: array<string>, items: array<string>, primaryDocument: array<string>>>"
@@ -30,10 +30,11 @@ def segment_history(spark: SparkSession, path: str, names: list[str], periods: D
     """Columns of values (thousandths) and <name>_share unpivoted; rows aligned by position to the last periods. periods: quarter_index."""
     kinds = ", ".join(["quarter_end string", *(f"`{n}` double, `{n}_share` double" for n in names)])
     rows = spark.read.option("header", True).schema(kinds).csv(path)
-    ordered = rows.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("quarter_end"))))  # a company's quarters
-    last = periods.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("quarter_index"))))
+    ordered = rows.withColumns({"file": F.col("_metadata.file_path"), "_k": F.row_number().over(Window.partitionBy("_metadata.file_path").orderBy(F.desc("quarter_end")))})
+    last = periods.groupBy().agg(F.reverse(F.array_sort(F.collect_set("quarter_index"))).alias("_q"))  # one row: a file's quarters
     stacked = ", ".join(f"'{n}', `{n}` / 1000, `{n}_share`" for n in names)
-    return ordered.join(last, "_k").selectExpr("quarter_index", f"stack({len(names)}, {stacked}) AS (name, value, share)").where("value IS NOT NULL")
+    placed = ordered.join(F.broadcast(last)).withColumn("quarter_index", F.get("_q", F.col("_k") - 1)).where("quarter_index IS NOT NULL")
+    return placed.selectExpr("quarter_index", f"stack({len(names)}, {stacked}) AS (name, value, share)").where("value IS NOT NULL")
 
 
 def company_facts(json: DataFrame, preferred: str = "USD") -> DataFrame:
@@ -45,8 +46,8 @@ def company_facts(json: DataFrame, preferred: str = "USD") -> DataFrame:
 
 
 def quarterly_facts(facts: DataFrame) -> DataFrame:
-    """Facts over 70 to 110 days."""
-    return facts.where(F.col("days").between(70, 110))
+    """Facts over 70 to 110 days, and those at a day."""
+    return facts.where(F.col("days").between(70, 110) | F.col("start").isNull())
 
 
 def annual_facts(facts: DataFrame) -> DataFrame:
@@ -126,7 +127,8 @@ def anchors_by_link(links: DataFrame) -> DataFrame:
 
 def latest(rows: DataFrame, keys: list[str], version: int) -> DataFrame:
     """The latest row of each key at or above a schema version. rows: keys, schema_version, created_at."""
-    own = Window.partitionBy(*keys).orderBy(F.desc("created_at"))
+    rest = [c for c in rows.columns if c not in (*keys, "created_at")]
+    own = Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("schema_version"), F.xxhash64(*rest))  # rows alike in time: reruns agree
     return rows.where(F.col("schema_version") >= version).withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k")
 
 
@@ -138,6 +140,70 @@ def is_fresh(created: Column, release: Column, now: Column, version: Column, lea
     return fresh if changed is None else fresh & (F.coalesce(created >= changed, F.lit(True)))
 
 
+def directory_rows(json: DataFrame) -> DataFrame:
+    """key, ordinal, href, text, kind of a filing's index; names with a slash go. json: key, body."""
+    schema = "directory struct<item: array<struct<name: string, type: string>>>"
+    items = json.select("key", F.posexplode(F.from_json("body", schema)["directory"]["item"]).alias("ordinal", "i"))
+    name = F.trim(F.coalesce("i.name", F.lit("")))
+    return items.select("key", "ordinal", name.alias("href"), name.alias("text"), F.coalesce("i.type", F.lit("")).alias("kind")).where("href != '' AND NOT contains(href, '/')")
+
+
+def nested_sitemaps(rows: DataFrame, score: Column, most: int = 8) -> DataFrame:
+    """key, url: a sitemap's own pages, or for an index the `most` best child sitemaps, by `score` over the column url, the first of equals. rows: key, xml."""
+    index = F.col("xml").rlike("(?i)<sitemapindex")
+    urls = rows.select("key", index.alias("is_index"), F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("ordinal", "url"))
+    urls = urls.groupBy("key", "is_index", "url").agg(F.min("ordinal").alias("ordinal")).withColumn("score", F.when(F.col("is_index"), score).otherwise(0))
+    ranked = urls.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "ordinal")))
+    return ranked.where(~F.col("is_index") | (F.col("_k") <= most)).select("key", "url", "is_index")
+
+
+def needs_page_reading(text: Column, images: Column) -> Column:
+    """Whether a page is mostly pictures: three and more, with little text beside them. images: array of addresses."""
+    n, length = F.size(images), F.length(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return (n >= 3) & (((n >= 8) & (length / n < 1300)) | (length < F.greatest(F.lit(6000), n * 420)))
+
+
+def needs_scan_reading(pages: Column) -> Column:
+    """Whether a document of pages (array of their texts) is mostly scanned: four pages under 80 characters, or three and a quarter of all with little text in all."""
+    lengths = F.transform(pages, lambda p: F.length(F.trim(F.regexp_replace(p, r"\s+", " "))))
+    sparse = F.size(F.filter(lengths, lambda n: n < 80))
+    whole = F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
+    return (F.size(pages) >= 3) & ((sparse >= 4) | ((sparse >= F.greatest(F.lit(3), F.floor(F.size(pages) / 4))) & (whole < 18000)))
+
+
+#: Words that a page read from a picture has.
+SCAN_WORDS = ("Revenue", "Margin", "Application", "Technology", "Communication", "Computer", "Consumer", "Balance Sheets", "Cash Flows", "Guidance")
+
+
+def usable_scan(text: Column) -> Column:
+    """Whether text read from pictures has three of the words and few odd characters."""
+    part = F.regexp_extract(text, r"(?s)(=== page-.*)$", 1)
+    odd = F.length(part) - F.length(F.regexp_replace(part, r"[^\x00-\x7F]", ""))
+    return (part != "") & (sum((part.contains(w).cast("int") for w in SCAN_WORDS[1:]), part.contains(SCAN_WORDS[0]).cast("int")) >= 3) & (odd <= F.greatest(F.lit(40), F.floor(F.length(part) / 90)))
+
+
+def uploads(files: DataFrame, allowed: tuple[str, ...] = (".pdf", ".txt", ".html", ".htm")) -> DataFrame:
+    """id, filename, suffix, text of accepted uploads. files: as spark.read.format('binaryFile') gives them. A PDF's text isn't read here and is null."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    text = F.decode("content", "UTF-8")
+    own = files.select(F.sha2("content", 256).alias("id"), name.alias("filename"), suffix.alias("suffix"), F.when(suffix.isin(".html", ".htm"), html_text(text)).when(suffix != ".pdf", text).alias("text"))
+    return own.where(F.col("suffix").isin(*allowed))
+
+
+def refreshed(materials: DataFrame, disabled: Column) -> DataFrame:
+    """Cached materials with excerpt and length of the text they have now; without one, a placeholder that says why. materials: label, url, kind, role, status, excerpt, text_length, text."""
+    cached = F.col("text").isNotNull()
+    status = F.when(cached, F.when(disabled, "cached").otherwise(F.col("status"))).otherwise(F.when(disabled, "disabled").otherwise(F.col("status")))
+    text = F.trim("text")
+    return materials.withColumns({"excerpt": F.when(cached, excerpt(collapsed(text), 240)).otherwise(""), "text_length": F.when(cached, F.length(text)).otherwise(0), "from_cache": cached, "status": status}).drop("text")
+
+
+def upsert(stored: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """stored with the rows of `rows` in place of those with their keys."""
+    return stored.join(rows.select(*keys).distinct(), list(keys), "left_anti").unionByName(rows)
+
+
 def store(df: DataFrame, path: str, *partitions: str) -> None:
     """Adds rows to a table of Parquet files."""
     df.write.mode("append").partitionBy(*partitions).parquet(path)
