@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quartermill.functions import text as S
 from quartermill.operators import selection as X
 from quartermill.operators import series as Q
-from quartermill.plans.text_queries import merged_lines
 from quartermill.sources import readers as R
 from quartermill.streaming import events as E
 
@@ -16,33 +15,18 @@ from .conftest import DATA
 
 
 def test_spikes(spark):
-    values = [(1, n, v) for n, v in enumerate([22.0, 23.0, 21.0, 24.0, 80.0, None, 25.0, 90.0, 26.0])] + [(2, n, v) for n, v in enumerate([1.0, 50.0, 2.0])]
+    values = [(1, n, v) for n, v in enumerate([22.0, 23.0, 21.0, 24.0, 80.0, None, 25.0, 90.0, 26.0])] + [(2, n, v) for n, v in enumerate([1.0, 50.0, 2.0])] + [(3, n, v) for n, v in enumerate([-5.0, -6.0, -7.0, -4.0, 25.0])] + [(4, n, v) for n, v in enumerate([10.0, 11.0, 10.5, 11.2, 37.4])]
     got = {(r.company, r.quarter_index): r.roe_kept for r in Q.despiked(spark.createDataFrame(values, "company int, quarter_index int, roe double")).collect()}
     accepted, want = {}, {}
     for company, quarter, v in values:
         own = accepted.setdefault(company, [])
         recent = sorted(own[-4:])
-        if v is not None and len(recent) == 4 and v > 20 and v > 2.2 * recent[2] and v > recent[2] + 10:
+        if v is not None and len(recent) == 4 and recent[2] > 0 and v > 20 and v > 2.2 * recent[2] and v > recent[2] + 10:
             v = None
         want[company, quarter] = v
         if v is not None:
             own.append(v)
-    assert got == want and got[1, 4] is None and got[1, 7] is None
-
-
-def test_merged_lines(spark):
-    got = {}
-    for r in merged_lines(spark, DATA).collect():
-        got.setdefault(r.doc_id, []).append(r.chunk)
-    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(200).collect():
-        done, held = [], ""
-        for line in (x.strip(" ") for x in r.text.split("\n")):
-            if line:
-                held = f"{held} {line}" if held else line
-                if len(held) >= 220:
-                    done.append(held)
-                    held = ""
-        assert got.get(r.doc_id, []) == done + [held] * bool(held)
+    assert got == want and got[1, 4] is None and got[1, 7] is None and got[3, 4] == 25.0 and got[4, 4] is None
 
 
 def test_fuzzy_names(spark):
@@ -104,6 +88,72 @@ def test_label_variants_and_stance(spark):
     assert r.v == ["Data & AI", "Data and AI"] and r.s == "positive" and r.p == 120.5
 
 
+def test_uploads_and_document_text(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("plain")
+    (tmp_path / "b.HTML").write_text("<p>rich <b>text</b></p>")
+    (tmp_path / "c.exe").write_text("no")
+    rows = R.uploads(spark.read.format("binaryFile").load(f"{tmp_path}/*")).collect()
+    assert sorted((r.filename, r.text) for r in rows) == [("a.txt", "plain"), ("b.HTML", "rich text")]
+    docs = spark.createDataFrame([("First line\nmore",), ("x" * 200,)], "text string")
+    assert [r.title for r in R.plain_text(docs).collect()] == ["First line", ""]
+    kinds = spark.createDataFrame([(".PDF", ""), ("", "text/html; x"), (".txt", None)], "s string, c string").select(R.by_format(F.col("s"), F.col("c")).alias("k")).collect()
+    assert [r.k for r in kinds] == ["pdf", "html", "txt"]
+
+
+def test_a_target_before_the_first_quarter_fails(spark):
+    import pytest
+
+    series = spark.createDataFrame([(1, 8000, 5.0)], "company int, quarter_index int, revenue double")
+    assert Q.dense_window(series, spark.createDataFrame([(1, 8003)], "company int, target_index int"), 4).count() == 4
+    with pytest.raises(Exception, match="as early as the target"):
+        Q.dense_window(series, spark.createDataFrame([(1, 7999)], "company int, target_index int"), 4).collect()
+
+
+def test_many_items_have_a_best_subset(spark):
+    """Sixteen items: beyond what enumerating them all in a row would take; against all subsets."""
+    import itertools
+
+    from quartermill.operators import structure as T
+
+    values = [3.0, 5.0, 7.0, 11.0, 13.0, 17.0, 19.0, 23.0, 2.0, 4.0, 6.0, 8.0]
+    for n, revenue in ((12, 60.0), (3, 4.0), (1, 100.0)):
+        items = [(f"n{i}", v, i % 2 == 0, i % 5 == 4) for i, v in enumerate(values[:n])]
+        best, kept = float("-inf"), items
+        for size in range(1, n + 1):
+            for own in itertools.combinations(items, size):
+                total = sum(x[1] for x in own)
+                if not 0.45 <= total / revenue <= 1.18:
+                    continue
+                b = sum(x[2] for x in own)
+                score = round(1 - abs(revenue - total) / max(revenue, 1.0) + (0.06 if b in (0, size) else -0.08) + size * 0.03 + b * 0.015 - 0.09 * sum(x[3] for x in own), 9)
+                if score > best:
+                    best, kept = score, list(own)
+        want = [x[0] for x in sorted(kept, key=lambda x: -x[1])] if best > float("-inf") else [x[0] for x in items]
+        df = spark.createDataFrame([(1, 1, revenue, items, False)], "company int, quarter_index int, revenue double, items array<struct<name:string,value:double,business:boolean,aggregate:boolean>>, ordered boolean")
+        assert [x.name for x in T.best_subset(df).first().kept] == want
+
+
+def test_annual_less_three_quarters(spark):
+    rows = [(1, 8000 + n, v) for n, v in enumerate([100.0, 110.0, 120.0])]
+    series = spark.createDataFrame(rows, "company int, quarter_index int, revenue double")
+    got = {r.quarter_index: (r.revenue, r.revenue_derived) for r in Q.annual_delta(series, spark.createDataFrame([(1, 8003, 460.0), (1, 8004, 380.0)], "company int, quarter_index int, annual double"), "revenue").collect()}
+    assert got[8003] == (130.0, True) and got[8004] == (20.0, True)
+
+
+def test_full_coverage_rules(spark):
+    from quartermill.operators import quality as K
+
+    names = [x.split()[0] for x in K.PAYLOAD.replace("\n", " ").split(", ") if " " in x]
+    assert "revenue" in names
+    good = dict(revenue=10.0, net_income=1.0, gross_margin=40.0, net_margin=10.0, segments=[(6.0, "segment"), (4.0, "segment")], geographies=[(5.0, ""), (5.0, "")], structure="segment", history_count=12, history_window=12, missing_revenue=0, missing_net_income=0, segment_coverage=1.0, geography_coverage=1.0, qna=3, management=3, evidence=3, quotes=2, materials=[("fetched", 900, "earnings_release"), ("fetched", 900, "sec_filing"), ("cached", 900, "earnings_call")], fallback_lines=0)
+    thin = good | dict(segments=[], geographies=[(5.0, "annual_filing")], structure="management", segment_coverage=0.2, geography_coverage=0.96, qna=2, management=1, evidence=1, quotes=0, materials=[("fetched", 900, "investor_relations")], fallback_lines=2)
+    schema = "revenue double, net_income double, gross_margin double, net_margin double, segments array<struct<value:double,scope:string>>, geographies array<struct<value:double,scope:string>>, structure string, history_count int, history_window int, missing_revenue int, missing_net_income int, segment_coverage double, geography_coverage double, qna int, management int, evidence int, quotes int, materials array<struct<status:string,text_length:int,role:string>>, fallback_lines int"
+    a, b = K.evaluate(spark.createDataFrame([tuple(good.values()), tuple(thin.values())], schema), True).collect()
+    assert a.status == "pass" and a.score == 100 and not a.issues
+    assert {i.code for i in b.issues if i.code.startswith("full")} == {"full_coverage_structure_mode_management", "full_coverage_segment_missing", "full_coverage_geography_missing", "full_coverage_geography_non_quarterly", "full_coverage_segment_history_incomplete", "full_coverage_qna_sparse", "full_coverage_management_sparse", "full_coverage_evidence_sparse", "full_coverage_source_role_missing_earnings_release", "full_coverage_source_role_missing_sec_filing", "full_coverage_source_role_missing_call_context", "full_coverage_fallback_detected"}
+    assert b.status == "fail"
+
+
 def test_streams_equal_batches(spark, tmp_path):
     source = tmp_path / "in"
     table = spark.read.parquet(f"{DATA}/events.parquet")
