@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartermill.functions import tables as H
-from quartermill.functions.extract import MONEY, NUMBER, PERCENT, accepted, bound, change, labelled, quoted, tokens
+from quartermill.functions.extract import NUMBER, bound, change, metric, quoted, tokens
 from quartermill.functions.numbers import parsed
 from quartermill.functions.periods import is_annual
 from quartermill.functions.text import has_any
@@ -76,20 +76,19 @@ def profile_geographies(materials: DataFrame) -> DataFrame:
     """company, quarter_index, geographies: the best profile over a quarter's materials. materials: company, quarter_index, material_rank, kind, label, text, revenue.
 
     A profile needs two regions and scores ten a region and the whole part of their sum. The best whose sum fits revenue wins, in the order of
-    profiles, then materials; else the best of an annual report, marked as annual. Labels are rows with patterns of their own, so the
-    plan is as large for a hundred of them as for one; a region's value is that of its first label with a row.
+    profiles, then materials; else the best of an annual report, marked as annual. Each label is looked for once a text; a region's
+    value is that of its first label with a row.
     """
-    annual = is_annual(F.col("label"))
-    rows = [(n, place, name, k, rf"(?is){labelled(label)}(", n in VAGUE) for n, profile in enumerate(PROFILES) for place, (name, labels) in enumerate(profile.items()) for k, label in enumerate(labels)]
-    every = F.array(*(F.struct(F.lit(n).alias("profile"), F.lit(place).alias("place"), F.lit(name).alias("name"), F.lit(k).alias("k"), F.lit(pattern).alias("pattern"), F.lit(vague).alias("vague")) for n, place, name, k, pattern, vague in rows))
-    tried = materials.select("company", "quarter_index", "material_rank", "text", "revenue", annual.alias("annual"), has_any(F.lower("text"), CONTEXT).alias("context"), F.explode(every).alias("r")).where("NOT r.vague OR context")
-    take = lambda numbers: F.nullif(F.call_function("regexp_extract", F.col("text"), F.concat("r.pattern", F.lit(numbers + ")")), F.lit(1)), F.lit(""))
-    both = tried.select("*", F.explode(F.array(F.struct(tokens(take(rf"{MONEY}{MONEY}\s+{PERCENT}\s*%")).alias("a"), tokens(take(MONEY + MONEY)).alias("b")))).alias("t"))
-    now, prior = (F.coalesce(F.get("t.a", F.lit(n)), F.get("t.b", F.lit(n))) for n in (0, 1))
-    found = both.select("company", "quarter_index", "material_rank", "revenue", "annual", "r.profile", "r.place", "r.name", "r.k", (now * 0.001).alias("value"), accepted(now, prior, F.get("t.a", F.lit(2))).alias("yoy")).where("value IS NOT NULL")
-    key = ["company", "quarter_index", "material_rank", "revenue", "annual", "profile"]
-    first = found.groupBy(*key, "place").agg(F.min_by(F.struct("name", F.bround("value", 3).alias("value"), F.bround("yoy", 1).alias("yoy")), "k").alias("x"))
-    sets = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("items")).where(F.size("items") >= 2)  # a profile's regions
+    text, annual = F.col("text"), is_annual(F.col("label"))
+    labels = list(dict.fromkeys(label for p in PROFILES for own in p.values() for label in own))
+    rows = materials.select("company", "quarter_index", "material_rank", "text", "revenue", annual.alias("annual"), F.explode(F.array(F.struct(*(metric(text, [label]).alias(f"l{k}") for k, label in enumerate(labels))))).alias("m"))
+    context = has_any(F.lower(text), CONTEXT)
+    tried = []
+    for n, profile in enumerate(PROFILES):
+        found = [F.coalesce(*(F.col(f"m.l{labels.index(label)}") for label in own)) for own in profile.values()]
+        items = F.array_compact(F.array(*(item(name, x["value"], x["yoy"]) for name, x in zip(profile, found))))
+        tried.append(F.struct(F.lit(n).alias("profile"), (F.when(context, items) if n in VAGUE else items).alias("items")))
+    sets = rows.select("company", "quarter_index", "material_rank", "revenue", "annual", F.explode(F.array(*tried)).alias("p")).select("*", "p.profile", "p.items").where(F.size("items") >= 2)
     sets = sets.withColumn("score", F.size("items") * 10 + F.floor(added(F.col("items")))).withColumn("fits", reasonable(F.col("items"), F.col("revenue"))).where("fits OR annual")
     order = F.struct(F.col("fits").alias("fits"), F.col("score").alias("score"), (-F.col("profile")).alias("p"), (-F.col("material_rank")).alias("m"))
     marked = F.transform("items", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), x["yoy"].alias("yoy"), F.when(~F.col("fits"), "annual_filing").alias("scope")))
@@ -140,7 +139,7 @@ STACKED = {
 def _row(block: Column, label: str, layout: tuple) -> Column:
     """Numbers of a table's row: the label, then as many numbers as the layout has."""
     each = rf"\s*(?:NT)?\$?\s*{NUMBER}" + (r"\s*[0-9.]+\s*%" if len(layout) > 3 else "")
-    piece = F.nullif(F.regexp_extract(block, rf"(?is){quoted(label)}(?:\s*\(?[0-9a]\)?(?=\s+\$?\s*[0-9]))?((?:{each}){{{layout[0]}}})", 1), F.lit(""))
+    piece = F.nullif(F.regexp_extract(block, rf"(?is){quoted(label)}(?:\s*\([0-9a]\)|[0-9])?((?:{each}){{{layout[0]}}})", 1), F.lit(""))
     bare = F.regexp_replace(piece, r"[0-9.]+\s*%", " ") if len(layout) > 3 else piece
     return tokens(bare, NUMBER)
 

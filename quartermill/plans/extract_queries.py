@@ -437,7 +437,7 @@ _FILED = [*HEADINGS, "avgo", "xom", "berkshire", "jpm"]
 
 
 @query("issuer_geographies", f"""WITH o AS (SELECT o_orderkey AS company, {sql.pick(_FILED, f'o_orderkey % {len(_FILED)}')} AS issuer, (o_custkey + 2000)::DOUBLE AS v, (o_custkey % 50 + 40)::DOUBLE AS p FROM orders), r(issuer, i, name, scope) AS ({sql.values(_PLACED)})
-SELECT company, name, round((v + 100 * i) / 1000, 3) AS value, round(((v + 100 * i) / (1000 + 100 * i) - 1) * 100, 1) AS yoy, scope FROM o JOIN r USING (issuer)
+SELECT company, name, round((v + 100 * i) / 1000, 3) AS value, round_even(((v + 100 * i) / (1000 + 100 * i) - 1) * 100, 1) AS yoy, scope FROM o JOIN r USING (issuer)
 UNION ALL SELECT company, unnest(['United States', 'Other']), unnest([round(2 * p, 3), round(200 - 2 * p, 3)]), unnest([round((2 * p / 80 - 1) * 100, 1), round(((200 - 2 * p) / 20 - 1) * 100, 1)]), 'annual_filing' FROM o WHERE issuer = 'berkshire'""")
 def issuer_geographies(spark, d):
     filed = _filed()

@@ -136,9 +136,9 @@ def _link_sql(role):
 _QUARTERS = " || ".join(f"CASE WHEN contains(t, 'q{n}') OR contains(t, '{n}q') OR contains(t, '{w} quarter') THEN [{n}] ELSE [] END" for n, w in enumerate(P.ORDINALS, 1))
 
 
-@query("link_scores", rf"""WITH {subsets_sql(LINKS, 'url, txt', 'target')}, c AS (SELECT target, n AS ordinal, url, {sql.all_tokens('url', 'txt')} AS t, regexp_extract(url, '^[a-z+]+://[^/?#]*([^?#]*)', 1) AS path FROM b),
+@query("link_scores", rf"""WITH {subsets_sql(LINKS, 'url, txt', 'target')}, c AS MATERIALIZED (SELECT target, n AS ordinal, url, {sql.all_tokens('url', 'txt')} AS t, regexp_extract(url, '^[a-z+]+://[^/?#]*([^?#]*)', 1) AS path FROM b),
 y AS (SELECT *, list_distinct(regexp_extract_all(t, '\b(20[0-9]{{2}})\b', 1)) AS years, {_QUARTERS} AS quarters FROM c),
-m AS (SELECT *, 9 * {sql.number_of('t', _CALENDAR)} + 12 * {sql.number_of('t', _FISCAL)} + CASE WHEN len(years) = 0 THEN 0 WHEN list_contains(years, '2024') THEN 14 ELSE -24 END + CASE WHEN len(quarters) = 0 THEN 0 WHEN list_contains(quarters, 3) THEN 12 ELSE -18 END
+m AS MATERIALIZED (SELECT *, 9 * {sql.number_of('t', _CALENDAR)} + 12 * {sql.number_of('t', _FISCAL)} + CASE WHEN len(years) = 0 THEN 0 WHEN list_contains(years, '2024') THEN 14 ELSE -24 END + CASE WHEN len(quarters) = 0 THEN 0 WHEN list_contains(quarters, 3) THEN 12 ELSE -18 END
  + {sql.points("contains(t, 'acm')", 3)} + {sql.points("contains(t, 'acme')", 3)} - {sql.points(sql.any_of('t', X.AGAINST), 26)} AS common, (len(years) = 0 OR list_contains(years, '2024')) AND (len(quarters) = 0 OR list_contains(quarters, 3)) AS timely FROM y),
 a AS ({' UNION ALL '.join(map(_link_sql, X.ROLE_WORDS))}), r AS (SELECT *, row_number() OVER (PARTITION BY target, role ORDER BY score DESC, ordinal) AS k FROM a WHERE score >= 34)
 SELECT target, role, url, CAST(score AS INTEGER) AS score FROM r WHERE k = 1""")
