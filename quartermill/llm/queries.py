@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quartermill.llm import codec, fingerprint, language, license_scan, mixing, near_dup, quality_model, quality_rules, secret_scan, tokens
+from quartermill.llm import codec, fill_middle, fingerprint, language, license_scan, mixing, near_dup, quality_model, quality_rules, repair, secret_scan, tokens
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_bpe_codec": codec.op9,
     "op10_secret_scan": secret_scan.op10,
+    "op11_fill_in_middle": fill_middle.op11,
+    "op12_conversation_repair": repair.op12,
 }
 
-ORACLES = {"op1_mix_sources": mixing.OP1_SQL, "op8_quality_rules": quality_rules.OP8_SQL}
+ORACLES = {"op1_mix_sources": mixing.OP1_SQL, "op8_quality_rules": quality_rules.OP8_SQL, "op11_fill_in_middle": fill_middle.OP11_SQL}
