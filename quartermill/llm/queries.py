@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quartermill.llm import codec, fill_middle, fingerprint, language, license_scan, mixing, near_dup, quality_model, quality_rules, repair, secret_scan, tokens
+from quartermill.llm import codec, fill_middle, fingerprint, jaccard_join, language, license_scan, mixing, near_dup, quality_model, quality_rules, repair, secret_scan, tokens
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_secret_scan": secret_scan.op10,
     "op11_fill_in_middle": fill_middle.op11,
     "op12_conversation_repair": repair.op12,
+    "op13_jaccard_join": jaccard_join.op13,
 }
 
 ORACLES = {"op1_mix_sources": mixing.OP1_SQL, "op8_quality_rules": quality_rules.OP8_SQL, "op11_fill_in_middle": fill_middle.OP11_SQL}
