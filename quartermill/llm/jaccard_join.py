@@ -2,16 +2,17 @@
 
 A token is a five-word shingle's hash. Sets that are similar enough may miss `spare` tokens of each other at most, so that any
 spare + 1 of a set's tokens, taken in an order that holds for all sets, share one with every similar set. The order is: rare
-tokens by hash, then frequent ones by hash. What is frequent is found by counting, not guessed: first the tokens in all sets'
-first spare + 1 hashes; then, for sets that have a frequent one there, all of their tokens, until no further set is concerned.
+tokens by hash, then frequent ones by hash. What is frequent is found by counting, not guessed: a set's window is its first
+spare + 1 hashes to begin with, and grows where frequent tokens leave fewer rare ones in it, until no window grows any more.
 A prefix that rare tokens fill is indexed by its tokens. One that they don't fill goes on into the frequent tokens, which are dealt
 by hash into classes: a class of c tokens there costs c - 1 misses to lose all its pairs, so the prefix extends until rare tokens
 and the classes' c - 1 exceed `spare`, and is indexed by the pairs within each class besides. A passage that a third of all
 documents quote thus makes no pair of them a candidate unless they consist of such passages.
 
-Groups of up to FEW sets under one index key give candidate pairs: first each set with the group's least, then, of sets that
-these links leave apart, those that share enough of their prefixes. Sets decide a pair exactly. Larger groups are near copies
-by the thousand; they are dealt out to tasks that pass over what is linked already (near_dup.grouped_links).
+Groups of up to FEW sets under one index key give pairs, with the number of prefix tokens that they share and the places of
+the last; what may be alike behind it bounds their overlap, and few pairs are left. Whole sets decide these exactly: first each
+set with the least that it is paired with, then pairs that these links leave apart. Larger groups are near copies by the
+thousand; they are dealt out to tasks that pass over what is linked already (near_dup.grouped_links).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartermill.llm._common import Scratch, columns_of, map_texts, table
@@ -46,8 +47,19 @@ def fewest(bound: int = BOUND) -> int:
     return -(-bound // (100 - bound)) if bound < 100 else 1 << 62
 
 
+def reserve_of(n: int, bound: int = BOUND) -> int:
+    """First hashes that are kept of a set of n: the prefix, and some in place of frequent ones."""
+    prefix = spare_of(n, bound) + 1
+    return min(n, prefix + prefix // 6 + 8)
+
+
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    lengths = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64()))
+
+
 def set_rows(docs: DataFrame, shingle: int, bound: int) -> DataFrame:
-    """doc_id, text_hash, digest (of the set), n, prefix (its first spare + 1 hashes; none for sets too small) of every row."""
+    """doc_id, text_hash, digest (of the set), n, head (its first hashes; none for sets too small to have unlike partners) of every row."""
     import xxhash
 
     least = fewest(bound)
@@ -60,66 +72,129 @@ def set_rows(docs: DataFrame, shingle: int, bound: int) -> DataFrame:
                 own = shingle_set(text, shingle).astype("<u8")
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
-                parts.append(own[: spare_of(len(own), bound) + 1].view(np.int64) if len(own) >= least else own[:0].view(np.int64))
-            lengths = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int64()))
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), prefix], names=["doc_id", "text_hash", "digest", "n", "prefix"])
+                parts.append(own[: reserve_of(len(own), bound) if len(own) >= least else 0].copy())
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists(parts)], names=["doc_id", "text_hash", "digest", "n", "head"])
 
-    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, digest binary, n long, prefix array<long>")
+    return map_texts(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, digest binary, n long, head array<long>")
 
 
-def packed_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node, n, packed (its sorted tokens) of nodes: node, n, first (doc_id and text_hash of a row that has the set)."""
+def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, n, tokens (all, by hash) of nodes: node, n, first (doc_id and text_hash of a row that has the set). Rows may repeat."""
     texts = perhaps_in(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), nodes.select(F.col("first.text_hash").alias("text_hash")))
     wanted = nodes.select("node", "n", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     met = wanted.join(texts, (wanted["first_hash"] == texts["text_hash"]) & wanted["first_id"].eqNullSafe(texts["doc_id"])).select("node", "n", "text")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = columns_of(batch, "text")[0]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([shingle_set(t, shingle).astype("<u8").tobytes() for t in texts], pa.binary())], names=["node", "n", "packed"])
+            yield pa.record_batch([batch.column(0), batch.column(1), lists([shingle_set(t, shingle) for t in columns_of(batch, "text")[0]])], names=["node", "n", "tokens"])
 
-    return map_texts(met, pack, "node long, n long, packed binary")
+    return map_texts(met, run, "node long, n long, tokens array<long>")
 
 
 # ---- frequent tokens -------------------------------------------------------------------------------------------------------
 
 
-def tokens_of(packed: DataFrame) -> DataFrame:
-    """node, token: a row a token."""
+def prefix_length(n: str, bound: int) -> Column:
+    """spare_of + 1 of a column."""
+    return (F.col(n) - F.ceil(F.col(n) * bound / 100) + 1).cast("int")
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = np.frombuffer(own, "<i8")
-                for at in range(0, len(tokens), 100_000):
-                    part = tokens[at : at + 100_000]
-                    yield pa.record_batch([pa.array(np.full(len(part), node)), pa.array(part)], names=["node", "token"])
 
-    return map_texts(packed.select("node", "packed"), unpack, "node long, token long")
+def possibly(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """rows less most of those whose key isn't among members' (one column): by a bitmap of 2**25 places (4 MB), whatever the input."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 25))
+    own = members.toDF("_qm_key").select(place("_qm_key").alias("_qm_place"))
+    bitmap = own.groupBy(F.shiftright("_qm_place", 15).alias("_qm_part")).agg(F.bitmap_construct_agg(F.col("_qm_place").bitwiseAND(32767)).alias("_qm_bits"))
+    placed = rows.withColumn("_qm_part", F.shiftright(place(key), 15)).withColumn("_qm_bit", place(key).bitwiseAND(32767).cast("int"))
+    is_set = F.expr("(cast(conv(hex(substring(_qm_bits, _qm_bit div 8 + 1, 1)), 16, 10) as int) >> (_qm_bit % 8)) & 1") == 1
+    return placed.join(F.broadcast(bitmap), "_qm_part").where(is_set).select(*rows.columns)
 
 
-def frequent_and_concerned(rare: DataFrame, counts: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
-    """The frequent tokens, and the sets (packed) that have one among their first hashes; None if no token is frequent.
+class Windows:
+    """The first hashes of every set that are looked at, and which tokens are frequent in them.
 
-    rare: node, token, of tokens in several sets' first hashes. Counting all tokens of the sets concerned can make more tokens
-    frequent, and these concern more sets: repeated until none is new, so that every set agrees on what is frequent.
+    A token is frequent if more than FEW windows have it. base: the windows to begin with, of spare + 1 hashes; added: node, token
+    of what windows have grown by; hits: node, token where a window has a frequent one; whole: the sets whose window is all they
+    have. A window grows to the head that is kept of every set and then to the whole set.
     """
-    frequent = scratch.keep(counts.where(F.col("sets") > FEW).select("token"))
-    if not frequent.take(1):
-        return None
-    concerned = scratch.keep(rare.join(frequent, "token", "left_semi").select("node").distinct())
-    packed = scratch.keep(packed_sets(docs, concerned.join(distinct, "node").select("node", "n", "first"), shingle))
-    while True:
-        more = tokens_of(packed).groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > FEW).select("token")
-        grown = scratch.keep(frequent.unionByName(more).distinct())
-        scratch.drop(frequent)
-        frequent = grown
-        new = scratch.keep(rare.join(frequent, "token", "left_semi").select("node").distinct().join(concerned, "node", "left_anti"))
-        if not new.take(1):
-            return frequent, packed
-        packed = scratch.keep(packed.unionByName(packed_sets(docs, new.join(distinct, "node").select("node", "n", "first"), shingle)))
-        concerned = scratch.keep(concerned.unionByName(new))
+
+    def __init__(self, distinct: DataFrame, docs: DataFrame, shingle: int, bound: int, scratch: Scratch):
+        self.distinct, self.docs, self.shingle, self.bound, self.scratch = distinct, docs, shingle, bound, scratch
+        self.sets = distinct.where(F.size("head") > 0).select("node", "n", "head")
+        self.base = self.sets.select("node", F.explode(F.slice("head", F.lit(1), prefix_length("n", bound))).alias("token"))
+        empty = distinct.sparkSession.createDataFrame
+        self.counts = scratch.keep(self.base.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"))
+        self.frequent = scratch.keep(self.counts.where(F.col("sets") > FEW).select("token"))
+        self.added, self.whole, self.wide = empty([], "node long, token long"), empty([], "node long, n long, tokens array<long>"), empty([], "node long")
+        self.any = bool(self.frequent.take(1))
+        if self.any:
+            self.hits = scratch.keep(self._having(self.base, self.frequent))
+            while self._grown():
+                pass
+
+    @staticmethod
+    def _having(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+        return possibly(rows, "token", tokens).join(tokens, "token", "left_semi").select("node", "token")
+
+    def _grown(self) -> bool:
+        """Lets windows grow that have too few rare tokens; whether any did."""
+        keep, size = self.scratch.keep, F.size("head")
+        found = self.hits.groupBy("node").agg(F.count("*").alias("found"))
+        full = self.whole.select("node").distinct()
+        short = found.join(full, "node", "left_anti").join(self.sets, "node").join(self.wide.withColumn("is_wide", F.lit(True)), "node", "left")
+        length = prefix_length("n", self.bound)
+        window = F.when(F.col("is_wide"), size).otherwise(length)
+        short = keep(short.where((window < F.col("n")) & (window - F.col("found") < length)).select("node", "n", "head", F.coalesce("is_wide", F.lit(False)).alias("is_wide")))
+        if not short.take(1):
+            return False
+        whole = keep(whole_sets(self.docs, short.where("is_wide").join(self.distinct.select("node", "first"), "node").select("node", "n", "first"), self.shingle).dropDuplicates(["node"]))
+        behind = whole.join(short.select("node", size.alias("kept")), "node").select("node", F.explode(F.slice("tokens", F.col("kept") + 1, F.greatest(F.size("tokens") - F.col("kept"), F.lit(0)))).alias("token"))
+        within = short.where("NOT is_wide").select("node", F.explode(F.slice("head", length + 1, size - length)).alias("token"))
+        new = keep(within.unionByName(behind))
+        self.whole, self.wide = keep(self.whole.unionByName(whole)), keep(self.wide.unionByName(short.where("NOT is_wide").select("node")))
+        before = self.added
+        self.added = keep(self.added.unionByName(new))
+        # a token of one window at most to begin with isn't in counts
+        more = self.added.groupBy("token").agg(F.count("*").alias("more")).join(self.counts, "token", "left").where(F.col("more") + F.coalesce("sets", F.lit(1)) > FEW)
+        fresh = keep(more.select("token").join(self.frequent, "token", "left_anti"))
+        known = self._having(new, self.frequent)
+        self.frequent = keep(self.frequent.unionByName(fresh))
+        self.hits = keep(self.hits.unionByName(known).unionByName(self._having(self.base.unionByName(before).unionByName(new), fresh)))
+        return True
+
+    def index(self) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+        """key, node, place (from 1) of all prefixes' rare tokens that more than one window may have; key, node of the pairs of
+        frequent tokens, if any token is frequent; and node, n, ending, taken: where a set's prefix ends among the rare tokens, and
+        how many of them it takes. A prefix that goes into frequent tokens ends behind all rare ones.
+        """
+        length, signed = prefix_length("n", self.bound), lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  in the order of unsigned hashes
+        rare = self.counts.select("token").unionByName(self.added.select("token")).distinct()
+        taken = F.slice("head", F.lit(1), length)
+        if not self.any:
+            prefixes, pairs = self.sets.select("node", "n", taken.alias("prefix")), None
+        else:
+            rare = rare.join(self.frequent, "token", "left_anti")
+            often = self.scratch.keep(self.hits.groupBy("node").agg(F.collect_set("token").alias("often")))  # a set's own tokens
+            plain = self.sets.join(often, "node", "left_anti").select("node", "n", taken.alias("prefix"))
+            special = self.sets.join(often, "node")
+            partial = F.size("head") < F.col("n")
+            by_head = special.where(partial).join(self.whole.select("node"), "node", "left_anti")
+            by_head = by_head.select("node", "n", F.slice(F.filter("head", lambda t: ~F.array_contains("often", t)), F.lit(1), length).alias("prefix"))
+            by_set = special.where(~partial).select("node", "n", F.col("head").alias("tokens"), "often").unionByName(self.whole.join(often, "node"))
+            bound = self.bound
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    nodes, sizes, tokens, of = (batch.column(k).to_pylist() for k in range(4))
+                    made = [combined(np.array(t, np.int64).view(np.uint64), np.array(o, np.int64).view(np.uint64), n, bound) for n, t, o in zip(sizes, tokens, of)]
+                    yield pa.record_batch([batch.column(0), batch.column(1), lists([m[0] for m in made]), lists([m[1] for m in made])], names=["node", "n", "prefix", "pairs"])
+
+            mixed = self.scratch.keep(map_texts(by_set, run, "node long, n long, prefix array<long>, pairs array<long>"))
+            prefixes = plain.unionByName(by_head).unionByName(mixed.select("node", "n", "prefix"))
+            pairs = mixed.select(F.explode("pairs").alias("key"), "node")
+        singles = possibly(prefixes.select("node", F.posexplode("prefix").alias("place", "token")), "token", rare).join(rare, "token", "left_semi")
+        filled = F.size("prefix") == length
+        ending = F.when(filled, signed(F.element_at("prefix", length))).otherwise(F.lit((1 << 63) - 1))
+        return singles.select(F.col("token").alias("key"), "node", F.col("place") + 1), pairs, prefixes.select("node", "n", ending.alias("ending"), F.when(filled, length).otherwise(0).alias("taken"))
 
 
 def class_number(n: int) -> int:
@@ -133,19 +208,20 @@ def size_classes(n: int, bound: int) -> list[int]:
     return [own, own + 1] if (n * 100 // bound).bit_length() > own else [own]
 
 
-def combined(tokens: np.ndarray, frequent: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+def combined(tokens: np.ndarray, frequent: np.ndarray, n: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """The rare tokens of a set's prefix, and the keys of its pairs of frequent ones; none where the rare ones fill the prefix.
 
-    tokens: sorted as unsigned; frequent: those of them that are. All of a set's tokens exceed its classes by more than it may
-    miss, so that the prefix always ends within the set.
+    tokens: a window of the set, or all of it where rare ones don't fill the prefix, sorted as unsigned; frequent: those of them
+    that are; n: the set's size. All of a set's tokens exceed its classes by more than it may miss, so that the prefix always
+    ends within the set.
     """
-    spare = spare_of(len(tokens), bound)
+    spare = spare_of(n, bound)
     is_frequent = np.isin(tokens, frequent)
     singles, often = tokens[~is_frequent][: spare + 1], tokens[is_frequent]
     if len(singles) > spare:
         return singles, np.zeros(0, np.uint64)
     keys = []
-    for size in size_classes(len(tokens), bound):
+    for size in size_classes(n, bound):
         classes = class_number(1 << (size - 1))
         of = (often >> np.uint64(17)) % np.uint64(classes)
         # the k-th token adds to the misses unless it is the first of its class
@@ -164,39 +240,37 @@ def combined(tokens: np.ndarray, frequent: np.ndarray, bound: int) -> tuple[np.n
     return singles, np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
-def index_rows(packed: DataFrame, frequent: DataFrame, bound: int) -> DataFrame:
-    """key, node, n, mixed (the prefix goes into frequent tokens) of the sets that have frequent tokens among their first hashes."""
-    often = tokens_of(packed).join(frequent, "token").groupBy("node").agg(F.collect_set("token").alias("often"))  # a set's own tokens
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, n, own, frequent_ones in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                tokens = np.frombuffer(own, "<u8")
-                singles, pairs = combined(tokens, np.array(frequent_ones or [], np.int64).view(np.uint64), bound)
-                keys = np.concatenate([singles, pairs]).view(np.int64)
-                mixed = len(singles) <= spare_of(len(tokens), bound)
-                yield pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), n)), pa.array(np.full(len(keys), mixed))], names=["key", "node", "n", "mixed"])
+# ---- pairs -----------------------------------------------------------------------------------------------------------------
 
-    return map_texts(packed.join(often, "node", "left").select("node", "n", "packed", "often"), index, "key long, node long, n long, mixed boolean")
 
+def candidates(grouped: DataFrame, info: DataFrame, bound: int) -> DataFrame:
+    """u, v (u < v) of sets under one key that may be similar by what their prefixes share.
 
-# ---- pairs -----------------------------------------------------------------------------------------------------------------
+    grouped: key, node, place; FEW to a key at most. Rare tokens that both have stand in both prefixes up to the end of the one
+    that ends first, and behind the last shared one none is shared before that end.
+    """
+    a, b = (grouped.select("key", F.col("node").alias(x), F.col("place").alias(f"{x}_place")) for x in "uv")
+    met = a.join(b, "key").where("u < v").groupBy("u", "v").agg(F.sum((F.col("u_place") > 0).cast("int")).alias("shared"), F.max("u_place").alias("u_place"), F.max("v_place").alias("v_place"))
+    for x in "uv":
+        met = met.join(info.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("ending").alias(f"{x}_ending"), F.col("taken").alias(f"{x}_taken")), x)
+    behind = F.when(F.col("u_ending") <= F.col("v_ending"), F.least(F.col("u_n") - F.col("u_taken"), F.col("v_n") - F.col("v_place"))).otherwise(F.least(F.col("u_n") - F.col("u_place"), F.col("v_n") - F.col("v_taken")))
+    return met.where((100 + bound) * (F.col("shared") + behind) >= bound * (F.col("u_n") + F.col("v_n"))).where(100 * F.least("u_n", "v_n") >= bound * F.greatest("u_n", "v_n")).select("u", "v")
 
 
-def verified_pairs(pairs: DataFrame, packed: DataFrame, bound: int, scratch: Scratch) -> DataFrame:
+def verified_pairs(pairs: DataFrame, sets: DataFrame, bound: int, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) whose sets share `bound` per cent of their union or more. A set travels once a pair, u's once."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for batch in batches:
             us, vs = [], []
-            for u, v, packed_set in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for u, v, own_tokens in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if v is None:
-                    at, own = u, np.frombuffer(packed_set, "<u8")
+                    at, own = u, np.array(own_tokens, np.int64).view(np.uint64)
                     continue
                 if u != at:
                     raise ValueError("a set came before the one to compare it with")
-                other = np.frombuffer(packed_set, "<u8")
+                other = np.array(own_tokens, np.int64).view(np.uint64)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 if 100 * both >= bound * (len(own) + len(other) - both):
                     us.append(u)
@@ -204,28 +278,13 @@ def verified_pairs(pairs: DataFrame, packed: DataFrame, bound: int, scratch: Scr
             if us:
                 yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    heads = pairs.select("u").distinct().join(packed.select(F.col("node").alias("u"), "packed"), "u").select("u", F.lit(None).cast("long").alias("v"), "packed")
-    tails = pairs.join(packed.select(F.col("node").alias("v"), "packed"), "v").select("u", "v", "packed")
+    heads = pairs.select("u").distinct().join(sets.select(F.col("node").alias("u"), "tokens"), "u").select("u", F.lit(None).cast("long").alias("v"), "tokens")
+    tails = pairs.join(sets.select(F.col("node").alias("v"), "tokens"), "v").select("u", "v", "tokens")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     routed = heads.unionByName(tails).repartition(parts, "u").sortWithinPartitions("u", F.col("v").asc_nulls_first())
     return scratch.keep(map_texts(routed, verify, "u long, v long"))
 
 
-def left_apart(keys: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """u, v (u < v): sets of one key that no link connects yet and whose shared prefix tokens leave it open whether they are similar.
-
-    Of two sets the one whose prefix ends first shares all its common tokens in both prefixes, but for those beyond its end.
-    """
-    named = keys.join(labels, "node", "left").select("key", "node", "n", "mixed", F.coalesce("root", "node").alias("root"))
-    several = named.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
-    named = named.join(several, "key")
-    a, b = (named.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "mixed", "root"))) for x in "ab")
-    met = a.join(b, "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & (100 * F.least("a_n", "b_n") >= bound * F.greatest("a_n", "b_n")))
-    counted = met.groupBy(F.col("a_node").alias("u"), F.col("b_node").alias("v")).agg(F.count("*").alias("shared"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.first(F.col("a_mixed") | F.col("b_mixed")).alias("mixed"))
-    beyond = F.greatest(*(F.ceil(F.col(n) * bound / 100) - 1 for n in ("a_n", "b_n")))  # tokens behind spare + 1
-    return counted.where(F.col("mixed") | ((100 + bound) * (F.col("shared") + beyond) >= bound * (F.col("a_n") + F.col("b_n")))).select("u", "v")
-
-
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, bound: int = BOUND) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -236,9 +295,11 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, bound: int = BOU
     component's least one unless it has no other. Columns besides doc_id and text aren't read. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.keep(set_rows(docs, shingle, bound))
-    distinct = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    headed = scratch.keep(set_rows(docs, shingle, bound))
+    rows = scratch.keep(headed.select("doc_id", "n", "digest"))
+    distinct = headed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("head").alias("head"))
     distinct = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()))
+    scratch.drop(headed)
     edges = links_of(distinct, docs, shingle, bound, scratch)
     roots = connected_components(edges, scratch)
     placed = scratch.keep(distinct.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root")))
@@ -250,35 +311,25 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, bound: int = BOU
 
 def links_of(distinct: DataFrame, docs: DataFrame, shingle: int, bound: int, scratch: Scratch) -> DataFrame:
     """Edges (u, v) that connect the distinct sets just as all links would."""
-    first = distinct.select("node", "n", F.explode("prefix").alias("token"))
-    counts = scratch.keep(first.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"))
-    rare = scratch.keep(first.join(counts, "token").select("node", "n", "token"))
-    found = frequent_and_concerned(rare, counts, distinct, docs, shingle, scratch)
-    if found is None:
-        packed = None
-        indexed = rare.select(F.col("token").alias("key"), "node", "n", F.lit(False).alias("mixed"))
-    else:
-        frequent, packed = found
-        concerned = packed.select("node").distinct()
-        extended = scratch.keep(index_rows(packed, frequent, bound))
-        others = first.join(concerned, "node", "left_anti").select(F.col("token").alias("key"), "node", "n", F.lit(False).alias("mixed"))
-        indexed = others.unionByName(extended)
-    sizes = scratch.keep(indexed.groupBy("key").agg(F.count("*").alias("sets"), F.min("node").alias("leader")).where("sets > 1"))
-    keyed = scratch.keep(indexed.join(sizes, "key"))
-    # a token that isn't frequent has FEW sets of either kind at most
-    small, large = keyed.where(F.col("sets") <= 2 * FEW), keyed.where(F.col("sets") > 2 * FEW)
-    nodes = small.select("node").distinct()
-    if packed is not None:
-        nodes = nodes.join(packed.select("node").distinct(), "node", "left_anti")
-    more = scratch.keep(packed_sets(docs, nodes.join(distinct, "node").select("node", "n", "first"), shingle))
-    packed = more if packed is None else packed.unionByName(more)
-    stars = scratch.keep(small.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
-    starred = verified_pairs(stars, packed, bound, scratch)
-    apart = scratch.keep(left_apart(small.drop("sets", "leader"), connected_components(starred, scratch), bound))
-    edges = starred.unionByName(verified_pairs(apart, packed, bound, scratch))
-    chained = scratch.keep(large.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
-    if chained.take(1):
-        groups = connected_components(chained, scratch)
+    windows = Windows(distinct, docs, shingle, bound, scratch)
+    singles, combos, info = windows.index()
+    grouped, large = singles.toDF("key", "node", "place"), None
+    if combos is not None:
+        sizes = scratch.keep(combos.groupBy("key").agg(F.count("*").alias("sets"), F.min("node").alias("leader")).where("sets > 1"))
+        combos = scratch.keep(combos.join(sizes, "key"))
+        grouped = grouped.unionByName(combos.where(F.col("sets") <= FEW).select("key", "node", F.lit(0).alias("place")))
+        large = scratch.keep(combos.where((F.col("sets") > FEW) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
+    pairs = scratch.keep(candidates(scratch.keep(grouped), scratch.keep(info), bound))
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = scratch.keep(whole_sets(docs, nodes.join(distinct, "node").select("node", "n", "first"), shingle))
+    edges = verified_pairs(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, bound, scratch)
+    roots = connected_components(edges, scratch)
+    for x in "uv":
+        pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
+    apart = scratch.keep(pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
+    edges = edges.unionByName(verified_pairs(apart, sets, bound, scratch))
+    if large is not None and large.take(1):
+        groups = connected_components(large, scratch)
         groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
         members = scratch.keep(groups.join(distinct.select("node", "n", "first"), "node"))
         edges = edges.unionByName(verified_links(docs, members, shingle, bound / 100, scratch))

@@ -102,7 +102,7 @@ def test_prefixes_meet():
         if len(b) < 4 or len(a) < 4 or 100 * both < 80 * (len(a) + len(b) - both):
             continue
         frequent = base[rng.random(len(base)) < rng.choice([0, 0.3, 0.7, 0.9, 1])]
-        (s, p), (t, q) = (jj.combined(x, frequent, 80) for x in (a, b))
+        (s, p), (t, q) = (jj.combined(x, frequent, len(x), 80) for x in (a, b))
         assert len(np.intersect1d(s, t)) or len(np.intersect1d(p, q))
         met += not len(np.intersect1d(s, t))
     assert met > 50
