@@ -327,12 +327,8 @@ GENERIC = {
 SUBJECTS = {"revenue": r"(?:total\s+)?(?:net\s+)?(?:revenues?|sales)", "operating_income": r"operating\s+income", "net_income": r"net\s+(?:income|earnings)", "gross_profit": r"gross\s+profit"}
 
 
-def parse_materials(materials: DataFrame, registry: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
-    """company, quarter_index, and by metric value and change; issuer labels first, then the generic ones, then sentences.
-
-    materials: company, quarter_index, material_rank, text. A quarter's metric comes from its first material that has it. What no
-    pattern finds is null; no constants stand in.
-    """
+def material_metrics(materials: DataFrame, registry: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
+    """materials with their metrics as columns: issuer labels first, then the generic ones, then sentences."""
     registry = registry or {}
     own = materials
     for name, labels in GENERIC.items():
@@ -344,6 +340,15 @@ def parse_materials(materials: DataFrame, registry: dict[str, dict[str, list[str
         told = bound(F.coalesce(company_narrative(F.col("text"), SUBJECTS[name]), narrative(F.col("text"), SUBJECTS[name])), lambda t: F.when(t.isNotNull(), F.struct(t["value"].alias("value"), _none().alias("prior"), t["yoy"].alias("yoy")).cast(METRIC)))
         general = F.coalesce(metric(F.col("text"), labels), told)
         own = own.withColumn(name, general if cases is None else F.coalesce(cases, general))
-    own = own.withColumns({"eps": per_share(F.col("text")), "equity": ending_equity(F.col("text")), "guidance": guidance(F.col("text"))})
+    return own.withColumns({"eps": per_share(F.col("text")), "equity": ending_equity(F.col("text")), "guidance": guidance(F.col("text"))})
+
+
+def parse_materials(materials: DataFrame, registry: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
+    """company, quarter_index, and by metric value and change; issuer labels first, then the generic ones, then sentences.
+
+    materials: company, quarter_index, material_rank, text. A quarter's metric comes from its first material that has it. What no
+    pattern finds is null; no constants stand in.
+    """
+    own = material_metrics(materials, registry)
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("material_rank"))).alias(c)
     return own.groupBy("company", "quarter_index").agg(*(first(c) for c in (*GENERIC, "eps", "equity", "guidance")))

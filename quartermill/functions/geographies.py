@@ -146,7 +146,7 @@ def _row(block: Column, label: str, layout: tuple) -> Column:
 
 def _table(text: Column, heading: str, layout: tuple, annual: bool, rows: tuple) -> Column:
     """Items of a table; empty unless the heading and each row are there."""
-    block = F.nullif(F.regexp_extract(text, rf"(?is){heading}(.{{0,6000}})", 1), F.lit(""))
+    block = F.nullif(F.regexp_extract(text, rf"(?is){heading}(.*)", 1), F.lit(""))
     scope = F.lit("annual_filing" if annual else None).cast("string")
 
     def read(own: Column) -> Column:

@@ -6,12 +6,16 @@ left. New issuers and variants are rows of ISSUERS; there is no code for one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
-from quartermill.functions.extract import METRIC, MONEY, NUMBER, accepted, bound, change, parse_materials, percent_metric, quoted, row_both_changes, row_five_percents, row_five_quarters, row_pair, row_three_columns, row_with_percent, tail, tokens
+from quartermill.functions.extract import METRIC, MONEY, NUMBER, accepted, bound, change, material_metrics, parse_materials, percent_metric, quoted, row_both_changes, row_five_percents, row_five_quarters, row_pair, row_three_columns, row_with_percent, tail, tokens
 from quartermill.functions.numbers import parsed
 from quartermill.functions.text import has_any
 from quartermill.operators.structure import RATIO_BOUNDS
@@ -203,16 +207,98 @@ def parse_issuer(materials: DataFrame, issuer: str) -> DataFrame:
     return met.drop(*(c for c in met.columns if c.startswith("_")))
 
 
+def labels_of(variants: tuple[Variant, ...]) -> list[str]:
+    return list(dict.fromkeys(label for v in variants for own in (*v.metrics.values(), *v.segments.values()) for label in own))
+
+
+#: A-Z as a-z, as the patterns' ignoring of case has it.
+_LOWER = {k: k + 32 for k in range(65, 91)}
+
+
+def label_automaton(labels: list[str]):
+    """An Aho-Corasick table of all labels: one pass over a text finds every place of each, inside one another too."""
+    import ahocorasick
+
+    table = ahocorasick.Automaton()
+    same: dict[str, list[int]] = {}
+    for k, label in enumerate(labels):
+        same.setdefault(" ".join(label.split()).translate(_LOWER), []).append(k)
+    for word, at in same.items():
+        table.add_word(word, (at, len(word)))
+    table.make_automaton()
+    return table
+
+
+def first_places(labels: list[str]):
+    """A function of texts (single blanks between words): for each label the first place in a text, from 1; 0 for none."""
+
+    def places(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = label_automaton(labels) if labels else None
+        for texts in parts:
+            out = []
+            for text in texts:
+                own = [0] * len(labels)
+                if text and table is not None:
+                    for end, (at, length) in table.iter(text.translate(_LOWER)):
+                        for k in at:
+                            own[k] = own[k] or end - length + 2
+                out.append(own)
+            yield pd.Series(out, dtype=object)
+
+    return pandas_udf(places, ArrayType(IntegerType()))
+
+
+_SEGMENTS = "array<struct<name:string,value:double,yoy:double>>"
+
+
 def parse(materials: DataFrame, registry: dict[str, tuple[Variant, ...]] | None = None) -> DataFrame:
     """parse_issuer of each issuer's materials (column issuer), common columns: the dispatcher. registry: issuers to parse, ISSUERS by default.
 
-    An issuer without variants is parsed by the generic parser alone.
+    One scan and one exchange whatever the number of issuers: an automaton of all their labels finds each label's first place in a
+    text, the layouts of the text's own issuer look from there on, and a label that isn't there costs no search. An issuer
+    without variants is parsed by the generic parser alone.
     """
-    common = ("revenue", "operating_income", "net_income", "gross_profit", "eps", "equity", "guidance")
-    known = list(registry or ISSUERS)
-    out = None
-    for issuer in known:
-        one = parse_issuer(materials.where(F.col("issuer") == issuer), issuer).select("company", "quarter_index", *common, "segments")
-        out = one if out is None else out.unionByName(one)
-    rest = parse_materials(materials.where(~F.col("issuer").isin(known))).select("company", "quarter_index", *common).withColumn("segments", F.array().cast("array<struct<name:string,value:double,yoy:double>>"))
-    return rest if out is None else out.unionByName(rest)
+    known = registry or ISSUERS
+    generic = ("revenue", "operating_income", "net_income", "gross_profit", "eps", "equity", "guidance")
+    labels = list(dict.fromkeys(label for variants in known.values() for label in labels_of(variants)))
+    place = {label: k for k, label in enumerate(labels)}
+    text, flat = F.col("text"), F.col("_flat")
+    rows = material_metrics(materials.select("company", "quarter_index", "material_rank", "issuer", "text"))
+    rows = rows.withColumnsRenamed({c: f"_g_{c}" for c in generic}).withColumn("_flat", F.regexp_replace("text", r"\s+", " "))
+    rows = rows.withColumn("_places", first_places(labels)(flat))
+    at = lambda label: F.get("_places", F.lit(place[label]))
+    laid = lambda v, own: F.coalesce(*(F.when(at(x) > 0, LAYOUTS[v.layout](F.substring(flat, at(x), F.length(flat)), x, v.unit)) for x in own))
+    when = lambda v, c: F.when(has_any(text, v.markers), c) if v.markers else c
+    none, no_metric = F.array().cast(_SEGMENTS), F.lit(None).cast(METRIC)
+
+    def of_issuer(cases: dict[str, Column], otherwise: Column) -> Column:
+        out = None
+        for issuer, c in cases.items():
+            out = F.when(F.col("issuer") == issuer, c) if out is None else out.when(F.col("issuer") == issuer, c)
+        return otherwise if out is None else out.otherwise(otherwise)
+
+    fields = {}
+    for name in generic[:4]:
+        found = {i: [when(v, x) for v in vs for x in ([told(text, v.sentences[name])] if name in v.sentences else []) + ([laid(v, v.metrics[name])] if name in v.metrics else [])] for i, vs in known.items()}
+        fields[name] = of_issuer({i: F.coalesce(*c) for i, c in found.items() if c}, no_metric)
+    most = max((len(vs) for vs in known.values()), default=0)
+    for n in range(most):
+        made = {}
+        for issuer, vs in known.items():
+            if n < len(vs):
+                v = vs[n]
+                own = {name: laid(v, x) for name, x in v.segments.items()} | {name: told(text, x) for name, x in v.segment_sentences.items()}
+                if own:
+                    made[issuer] = F.array_compact(F.array(*(bound(when(v, x), _item(name)) for name, x in own.items())))
+        fields[f"_s{n}"] = of_issuer(made, none)
+    rows = rows.withColumns(fields)
+    says = lambda c: (F.size(c) > 0) if c.startswith("_s") else F.col(c).isNotNull()
+    first = lambda c: F.min_by(c, F.when(says(c), F.col("material_rank"))).alias(c)
+    out = rows.groupBy("company", "quarter_index", "issuer").agg(*(first(c) for c in (*fields, *(f"_g_{c}" for c in generic))))
+    out = out.withColumns({c: F.coalesce(c, f"_g_{c}") for c in generic[:4]} | {c: F.col(f"_g_{c}") for c in generic[4:]})
+    ratio = F.aggregate(F.col("_own"), F.lit(0.0), lambda a, x: a + x["value"]) / F.nullif(F.col("revenue.value"), F.lit(0.0))
+    bounds = [of_issuer({i: F.lit(float(b[k])) for i, b in RATIO_BOUNDS.items() if i in known}, F.lit((0.55, 1.35)[k])) for k in (0, 1)]
+    out = out.withColumn("segments", none)
+    for n in reversed(range(most)):
+        out = out.withColumn("_own", F.col(f"_s{n}")).withColumn("segments", F.when(ratio.between(*bounds), F.col("_own")).otherwise(F.col("segments")))
+    return out.select("company", "quarter_index", *generic, "segments")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from quartermill.functions.periods import ORDINALS
 from quartermill.functions.text import has_any, number_of, transcript_like
@@ -202,38 +205,96 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def suggested(references: DataFrame, companies: DataFrame, most: int = 5) -> DataFrame:
-    """Companies whose alias is like a reference: score (a prefix 0.92 at least, a part 0.84 at least), 0.55 and up, the best `most`.
+#: The least likeness of a suggestion, of a reference that stands for a company, of a prefix and of a part; hints of an error.
+SUGGESTED, RESOLVED, PREFIX, PART, HINTS = 0.55, 0.82, 0.92, 0.84, 3
+
+
+def normal_token(reference: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(reference)), r"[^a-z0-9一-鿿]+", "")
+
+
+def _ordinal_letters(token: Column) -> Column:
+    """A token's letters as a set: each with its number among its like, later ones first, as they are rarer."""
+    places = F.sequence(F.lit(1), F.length(token))
+    named = F.transform(places, lambda k: F.concat(F.lpad((999 - (k - F.length(F.replace(F.substring(token, F.lit(1), k), F.substring(token, k, F.lit(1)), F.lit(""))))).cast("string"), 3, "0"), F.substring(token, k, F.lit(1))))
+    return F.array_sort(named)
+
 
-    references: reference; companies: company_id, aliases (array of normal tokens). Tokens and aliases that share a letter meet by
-    a join, and lengths rule out most; only what is left has its likeness worked out in Python.
+def _near_tokens(own: DataFrame, aliases: DataFrame) -> DataFrame:
+    """token, alias: pairs that may be like enough, by joins on equal keys only.
+
+    Likeness is twice the matching letters over all letters, so a pair has SUGGESTED / 2 of both lengths in common as multisets, and
+    neither is shorter than SUGGESTED / (2 - SUGGESTED) of the other. Of two such sets the first letters in one order, all but those
+    they must share and one more, have a letter in common; what they share as a whole bounds the likeness. Parts are found by
+    equal substrings.
     """
-    token = F.regexp_replace(F.lower("reference"), r"[^a-z0-9一-鿿]+", "")
-    own = references.select("reference", token.alias("token")).where("token != ''").distinct()
+    least = SUGGESTED / (2 - SUGGESTED)
+    lettered = lambda df, c: df.select(c, _ordinal_letters(F.col(c)).alias(f"{c}_letters"))
+    first = lambda c: F.slice(c, F.lit(1), (F.size(c) - F.ceil(F.size(c) * least - 1e-9) + 1).cast("int"))
+    a, b = lettered(own, "token"), lettered(aliases, "alias")
+    met = a.withColumn("_k", F.explode(first("token_letters"))).join(b.withColumn("_k", F.explode(first("alias_letters"))), "_k").drop("_k")
+    shared = F.size(F.array_intersect("token_letters", "alias_letters"))
+    like = met.where(2 * shared >= SUGGESTED * (F.size("token_letters") + F.size("alias_letters")) - 1e-9).select("token", "alias")
+    parts = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda n: F.substring(F.col(c), k, n))))))
+    inside = own.select("token", F.col("token").alias("_k")).join(aliases.select("alias", parts("alias").alias("_k")), "_k").select("token", "alias")
+    around = own.select("token", parts("token").alias("_k")).join(aliases.select("alias", F.col("alias").alias("_k")), "_k").select("token", "alias")
+    return like.unionByName(inside).unionByName(around).distinct()
+
+
+def _scored(references: DataFrame, companies: DataFrame) -> DataFrame:
+    """token, company_id, score (prefixes and parts raised) and raw likeness of pairs that are suggested, a row a company."""
+    own = references.select(normal_token(F.col("reference")).alias("token")).where("token != ''").distinct()
     aliases = companies.select("company_id", F.explode("aliases").alias("alias")).where("alias != ''").distinct()
-    letters = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(F.col(c), k, F.lit(1))))
-    tried = own.withColumn("letter", F.explode(letters("token"))).join(aliases.withColumn("letter", F.explode(letters("alias"))), "letter")
-    # likeness is twice the matching letters over all, so it is bounded by the shorter one
-    n, m = F.length("token"), F.length("alias")
-    inside = F.col("alias").contains(F.col("token")) | F.col("token").contains(F.col("alias"))
-    near = tried.where(inside | (2 * F.least(n, m) >= 0.55 * (n + m))).select("reference", "token", "company_id", "alias").distinct()
+    near = _near_tokens(own, aliases.select("alias").distinct())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for reference, token, company, alias in batch.itertuples(index=False):
-                score = ratio(token, alias)
-                if alias.startswith(token) or token.startswith(alias):
-                    score = max(score, 0.92)
-                elif token in alias or alias in token:
-                    score = max(score, 0.84)
-                if score >= 0.55:
-                    out.append((reference, company, score))
-            yield pd.DataFrame(out, columns=["reference", "company_id", "score"])
-
-    scored = near.mapInPandas(run, "reference string, company_id string, score double").groupBy("reference", "company_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("reference").orderBy(F.desc("score"), "company_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most)
+            yield batch.assign(raw=[ratio(token, alias) for token, alias in zip(batch["token"], batch["alias"])])
+
+    pairs = near.mapInPandas(run, "token string, alias string, raw double")
+    prefix = F.col("alias").startswith(F.col("token")) | F.col("token").startswith(F.col("alias"))
+    part = F.col("alias").contains(F.col("token")) | F.col("token").contains(F.col("alias"))
+    raised = F.greatest("raw", F.when(prefix, F.lit(PREFIX)).when(part, F.lit(PART)).otherwise(F.lit(0.0)))
+    return pairs.select("token", "alias", "raw", raised.alias("score")).join(aliases, "alias").groupBy("token", "company_id").agg(F.max("score").alias("score"), F.max("raw").alias("raw")).where(F.col("score") >= SUGGESTED)
+
+
+def suggested(references: DataFrame, companies: DataFrame, most: int = 5) -> DataFrame:
+    """Companies whose alias is like a reference: score (a prefix 0.92 at least, a part 0.84 at least), 0.55 and up, the best `most`.
+
+    references: reference; companies: company_id, aliases (array of normal tokens). Candidates come from joins on equal keys that lose
+    none (_near_tokens); only what is left has its likeness worked out in Python.
+    """
+    own = references.select("reference", normal_token(F.col("reference")).alias("token")).distinct()
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "company_id"))
+    best = _scored(references, companies).withColumn("rank", rank).where(F.col("rank") <= most)
+    return own.join(best, "token").select("reference", "company_id", "score", "rank")
+
+
+def company_aliases(names: Column, english: Column) -> Column:
+    """Normal tokens by which a company may be named: names (array of id, slug, ticker, names), and the English name without points or commas."""
+    more = F.array(F.replace(english, F.lit("."), F.lit("")), F.replace(english, F.lit(","), F.lit("")))
+    return F.array_distinct(F.filter(F.transform(F.concat(names, more), normal_token), lambda t: F.coalesce(t != "", F.lit(False))))
+
+
+def resolved(references: DataFrame, companies: DataFrame) -> DataFrame:
+    """reference, company_id, raw, error of each distinct reference.
+
+    companies: company_id, aliases, display_order, english_name, ticker. A company with the reference's token for an alias stands for
+    it, the first in display order of several; else the best suggestion, if its own likeness (not raised) is 0.82 at least. Else
+    company_id is null and the error names up to three suggestions, or says that the reference is empty or unknown.
+    """
+    own = references.select("reference", normal_token(F.col("reference")).alias("token")).distinct()
+    aliases = companies.select("company_id", "display_order", F.explode("aliases").alias("token")).distinct()
+    exact = own.join(aliases, "token").groupBy("reference").agg(F.min_by("company_id", F.struct("display_order", "company_id")).alias("exact"))
+    open_ = own.join(exact, "reference", "left_anti").where("token != ''")
+    named = _scored(open_, companies).join(companies.select("company_id", F.concat("english_name", F.lit(" ("), "ticker", F.lit(")")).alias("hint")), "company_id")
+    best = named.groupBy("token").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "company_id", "raw", "hint"))), 1, HINTS).alias("best"))  # of the companies
+    met = own.join(exact, "reference", "left").join(best, "token", "left")
+    top = F.get("best", F.lit(0))
+    like = F.coalesce(top["raw"] >= RESOLVED, F.lit(False))
+    unknown = F.concat(F.lit("Unknown company reference: "), F.col("reference"))
+    error = F.when(F.col("token") == "", "Company reference is empty.").when(top.isNotNull(), F.concat(unknown, F.lit(". Closest matches: "), F.array_join(F.transform("best", lambda x: x["hint"]), ", "))).otherwise(unknown)
+    return met.select("reference", F.coalesce("exact", F.when(like, top["company_id"])).alias("company_id"), F.when(F.col("exact").isNull(), top["raw"]).alias("raw"), F.when(F.col("exact").isNull() & ~like, error).alias("error"))
 
 
 def reachable(links: DataFrame, start: DataFrame, depth: int = 2, most: int = 5) -> DataFrame:
@@ -250,7 +311,7 @@ def reachable(links: DataFrame, start: DataFrame, depth: int = 2, most: int = 5)
 
 def has_value(value: Column) -> Column:
     """Whether a string isn't blank."""
-    return F.coalesce(F.trim(value) != "", F.lit(False))
+    return F.coalesce(value.rlike(r"(?U)\S"), F.lit(False))
 
 
 def clean_map(entries: Column) -> Column:
@@ -258,6 +319,58 @@ def clean_map(entries: Column) -> Column:
     return F.map_filter(F.coalesce(entries, F.create_map().cast("map<string,string>")), lambda _, v: has_value(v))
 
 
+def kept_value(value: Column, kind: DataType) -> Column:
+    """Whether a value of any type says something: not null, a string that isn't blank, an array or map with entries, a struct with a field that does."""
+    if isinstance(kind, StringType):
+        return has_value(value)
+    if isinstance(kind, (ArrayType, MapType)):
+        return F.coalesce(F.size(value) > 0, F.lit(False))
+    if isinstance(kind, StructType):
+        return reduce(or_, (kept_value(value[f.name], f.dataType) for f in kind), F.lit(False))
+    return value.isNotNull()
+
+
+def cleaned(value: Column, kind: DataType) -> Column:
+    """value without what says nothing, at any depth: entries of arrays and maps go, fields of structs become null; null for nothing left.
+
+    The walk is over the type, so a value of any depth is one expression that stays in the JVM; strings keep their blanks outside.
+    """
+    if isinstance(kind, ArrayType):
+        value = F.filter(F.transform(value, lambda x: cleaned(x, kind.elementType)), lambda x: kept_value(x, kind.elementType))
+    elif isinstance(kind, MapType):
+        value = F.map_filter(F.transform_values(value, lambda _, v: cleaned(v, kind.valueType)), lambda _, v: kept_value(v, kind.valueType))
+    elif isinstance(kind, StructType):
+        value = F.struct(*(cleaned(value[f.name], f.dataType).alias(f.name) for f in kind))
+    return F.when(kept_value(value, kind), value)
+
+
+def _entries_over(old: Column, new: Column, kind: MapType) -> Column:
+    said = F.map_filter(new, lambda _, v: kept_value(v, kind.valueType))
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(said, k)), said)
+
+
+def overridden(base: Column, over: Column, kind: StructType, lists: tuple[str, ...] = ()) -> Column:
+    """base with what `over` says: a field that says something replaces the base's, maps and structs field by field; of `lists`, arrays of
+    strings, the distinct trimmed ones of both, over's first. A null payload says nothing."""
+    fields = []
+    for f in kind:
+        old, new, t = base[f.name], over[f.name], f.dataType
+        if f.name in lists:
+            both = F.concat(F.coalesce(new, F.array().cast(t)), F.coalesce(old, F.array().cast(t)))
+            listed = F.array_distinct(F.filter(F.transform(both, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: has_value(x)))
+            made = F.when(kept_value(new, t), listed).otherwise(old)
+        elif isinstance(t, MapType):
+            made = F.when(~kept_value(new, t), old).when(old.isNull(), new).otherwise(_entries_over(old, new, t))
+        elif isinstance(t, StructType):
+            inner = F.struct(*(F.when(kept_value(new[g.name], g.dataType), new[g.name]).otherwise(old[g.name]).alias(g.name) for g in t))
+            made = F.when(~kept_value(new, t), old).when(old.isNull(), new).otherwise(inner)
+        else:
+            made = F.when(kept_value(new, t), new).otherwise(old)
+        fields.append(made.alias(f.name))
+    return F.struct(*fields)
+
+
+
 def cascade(primary: DataFrame, fallback: DataFrame, keys: list[str], scalars: list[str], maps: list[str], lists: list[str], preferred: list[str], notes: list[str]) -> DataFrame:
     """Primary payloads filled from fallback ones.
 

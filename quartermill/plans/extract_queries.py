@@ -401,6 +401,55 @@ def issuer_others(spark, d):
     return flat(I.parse(rows, {x[0]: I.ISSUERS[x[0]] for x in OTHERS[:-1]}), "revenue.value")
 
 
+#: How each layout writes a row's numbers: now, a year before.
+WRITTEN = {
+    "pair": lambda now, before: (" ", now, " ", before), "reversed": lambda now, before: (" ", before, " ", now), "five_quarters": lambda now, before: (" ", before, " 1 2 3 ", now, " 900%"), "three_columns": lambda now, before: (" ", now, " 1 ", before),
+    "both_changes": lambda now, before: (" ", now, " 1 ", before, " 3% 900%"), "first_of_five": lambda now, before: (" ", now, " 1 2 3 ", before, " 1 900"), "beside_percents": lambda now, before: (" ", now, " 10 ", before, " 10"),
+}
+#: Revenue of issuers that tell it in sentences, or whose revenue has no label of its own.
+TOLD = {"walmart": ("Total revenues ", " 1,000"), "visa": ("Net revenue in the fiscal first quarter was $", " billion, an increase of 12%."), "jpm": ("Reported revenue of $", " billion and managed revenue of $99 billion.")}
+
+
+def _of_issuers():
+    """Of each issuer: the variants that tell revenue and segments, whether revenue is told in billions, whether net income stands there, up to two segments."""
+    out = []
+    for issuer, variants in I.ISSUERS.items():
+        base = next((x for x in variants if "revenue" in x.metrics), None)
+        v = next((x for x in variants if x.segments and x.unit == 0.001), None)
+        told_in = issuer in TOLD and "billion" in TOLD[issuer][1]
+        out.append((issuer, base, v, told_in, base is not None and "net_income" in base.metrics, list(v.segments)[:2] if v and not told_in else []))
+    return [*out, ("unknown", None, None, False, True, [])]
+
+
+SENT = _of_issuers()
+
+
+def _sent(issuer, base, v, told_in, has_net, names):
+    """An issuer's text in its own layout."""
+    if issuer == "unknown":
+        return said("Net sales ", spoken(), " 1,000. Net income 300 200. ")
+    revenue = (TOLD[issuer][0], F.col("o_custkey") % 50 + 40 if told_in else spoken(), TOLD[issuer][1]) if issuer in TOLD else (base.metrics["revenue"][0], *WRITTEN[base.layout](spoken(), "1,000"))
+    net = (base.metrics["net_income"][0], *WRITTEN[base.layout]("300", "200"), ". ") if has_net else ()
+    amounts = [F.format_number(amount() - 500, 0), "500"] if len(names) == 2 else [spoken()]
+    rows = [x for name, now in zip(names, amounts) for x in (v.segments[name][0], *WRITTEN[v.layout](now, "400"), ". ")]
+    markers = [m for x in (base, v) if x for m in x.markers]
+    return said(*(f"{m}. " for m in dict.fromkeys(markers)), *revenue, ". ", *net, *rows)
+
+
+@query("issuer_dispatch", f"""WITH o AS (SELECT o_orderkey AS company, o_orderkey % {len(SENT)} AS n, (o_custkey + 2000)::DOUBLE AS v, (o_custkey % 50 + 40)::DOUBLE AS told FROM orders),
+i(n, issuer, in_words, has_net, a, b) AS ({sql.values((n, x[0], int(x[3]), int(x[4]), *(x[5] + [None, None])[:2]) for n, x in enumerate(SENT))})
+SELECT company, issuer, CASE WHEN in_words = 1 THEN told ELSE round(v / 1000, 6) END AS revenue_value, CASE WHEN has_net = 1 THEN 0.3::DOUBLE END AS net_income_value,
+ CASE WHEN b IS NOT NULL THEN a || '=' || CAST(CAST(round((v - 500) / 1000, 3) AS DECIMAL(18,3)) AS VARCHAR) || '; ' || b || '=0.500' WHEN a IS NOT NULL THEN a || '=' || CAST(CAST(round(v / 1000, 3) AS DECIMAL(18,3)) AS VARCHAR) ELSE '' END AS segments FROM o JOIN i USING (n)""")
+def issuer_dispatch(spark, d):
+    """Texts of all issuers in one table, each in its own layout: one scan, one pass of the label automaton."""
+    at = lambda options: F.coalesce(*(F.when(F.col("o_orderkey") % len(SENT) == n, c) for n, c in enumerate(options)))
+    issuer = at([F.lit(x[0]) for x in SENT])
+    out = I.parse(materials(spark, d, at([_sent(*x) for x in SENT]), issuer=issuer))
+    names = table(spark, d, "orders").select(F.col("o_orderkey").alias("company"), issuer.alias("issuer"))
+    items = F.array_join(F.transform("segments", lambda s: F.concat(s["name"], F.lit("="), F.round(s["value"], 3).cast("decimal(18,3)").cast("string"))), "; ")
+    return out.join(names, "company").select("company", "issuer", F.round("revenue.value", 6).alias("revenue_value"), F.round("net_income.value", 6).alias("net_income_value"), items.alias("segments"))
+
+
 # ---- geographies -----------------------------------------------------------------------------------------------------------
 
 HEADINGS = {

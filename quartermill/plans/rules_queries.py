@@ -578,3 +578,53 @@ def clean_entries(spark, d):
     k = F.col("p_partkey")
     entries = F.create_map(F.lit("a"), F.when(k % 3 != 0, F.col("p_name")).otherwise("  "), F.lit("b"), F.when(k % 5 != 0, F.col("p_type")))
     return table(spark, d, "part").select("p_partkey", F.size(X.clean_map(entries)).alias("n"))
+
+
+@query("company_resolution", """WITH r AS (SELECT c_custkey, n_nationkey, translate(lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), '0123456789', 'qwzkvxjpfm') || ' Nation' AS n_name, c_custkey % 9973 AS tag FROM customer JOIN nation ON c_nationkey = n_nationkey),
+t AS (SELECT *, length(n_name) - 1 AS n, length(CAST(tag AS VARCHAR)) AS d FROM r)
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 OR 2.0 * n / (2 * n + d) >= 0.82 THEN lower(n_name) END AS company, CASE WHEN c_custkey % 4 != 0 THEN round(2.0 * n / (2 * n + d), 9)::DOUBLE END AS likeness,
+       CASE WHEN c_custkey % 4 != 0 AND 2.0 * n / (2 * n + d) < 0.82 THEN 'Unknown company reference: ' || n_name || '-' || tag || '. Closest matches: ' || n_name || ' (' || n_nationkey || ')' END AS error
+FROM t UNION ALL SELECT -1, NULL, NULL, 'Company reference is empty.' FROM region WHERE r_regionkey = 0 UNION ALL SELECT -2, NULL, NULL, 'Unknown company reference: 8675309' FROM region WHERE r_regionkey = 0""")
+def company_resolution(spark, d):
+    """Customers' references to their nation: its name as it is or in small letters and other signs, and the name with a number behind it."""
+    spelled = F.concat(F.translate(F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), "0123456789", "qwzkvxjpfm"), F.lit(" Nation"))
+    nation = table(spark, d, "nation").withColumn("n_name", spelled)
+    name, key = F.col("n_name"), F.col("n_nationkey").cast("string")
+    companies = nation.select(F.lower(name).alias("company_id"), X.company_aliases(F.array(name), name).alias("aliases"), F.col("n_nationkey").alias("display_order"), name.alias("english_name"), key.alias("ticker"))
+    written = F.when(F.col("c_custkey") % 8 == 0, F.concat(F.lower(name), F.lit(" ."))).when(F.col("c_custkey") % 4 == 0, name).otherwise(F.concat_ws("-", name, F.col("c_custkey") % 9973))
+    customers = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", written.alias("reference"))
+    odd = table(spark, d, "region").where("r_regionkey = 0").select(F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("c_custkey"), F.lit(" -").alias("reference")), F.struct(F.lit(-2).cast("long").alias("c_custkey"), F.lit("8675309").alias("reference")))).alias("o")).select("o.*")
+    asked = customers.unionByName(odd)
+    found = X.resolved(asked, companies)
+    first = F.regexp_replace("error", r"(Closest matches: [^,]*),.*", "$1")
+    return asked.join(found, "reference").select("c_custkey", F.col("company_id").alias("company"), F.round("raw", 9).alias("likeness"), first.alias("error"))
+
+
+@query("cleaned_payloads", """SELECT p_partkey, p_partkey % 3 != 0 AS has_title, 1 + CAST(p_partkey % 2 = 0 AS INTEGER) AS tags, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END AS notes, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END AS deep,
+ NOT (p_partkey % 4 = 0 AND p_partkey % 5 = 0) AS has_nested FROM part""")
+def cleaned_payloads(spark, d):
+    """Structs in arrays in maps in structs: what says nothing goes at every depth."""
+    k = F.col("p_partkey")
+    deep = F.array(F.struct(F.when(k % 4 != 0, F.col("p_type")).alias("kind"), F.array(F.lit(" "), F.lit(None).cast("string")).alias("none")), F.struct(F.lit("\t ").alias("kind"), F.array().cast("array<string>").alias("none")))
+    nested = F.struct(F.create_map(F.lit("a"), F.when(k % 5 != 0, F.array("p_name")).otherwise(F.array(F.lit("  "))), F.lit("b"), F.array().cast("array<string>")).alias("notes"), deep.alias("deep"))
+    payload = F.struct(F.when(k % 3 != 0, F.col("p_name")).otherwise("").alias("title"), F.array(F.col("p_brand"), F.when(k % 2 == 0, F.col("p_type")), F.lit(" ")).alias("tags"), nested.alias("nested"))
+    rows = table(spark, d, "part").select("p_partkey", payload.alias("p"))
+    clean = rows.select("p_partkey", X.cleaned(F.col("p"), rows.schema["p"].dataType).alias("p"))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    return clean.select("p_partkey", F.col("p.title").isNotNull().alias("has_title"), count("p.tags").alias("tags"), size("p.nested.notes").alias("notes"), size("p.nested.deep").alias("deep"), F.col("p.nested").isNotNull().alias("has_nested"))
+
+
+@query("overridden_payloads", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type END AS title, CASE WHEN p_partkey % 2 = 0 THEN 'x|base' ELSE ' base ' END AS notes,
+ CASE WHEN p_partkey % 5 = 0 THEN 'a=1' ELSE 'a=' || p_brand || '|b=2' END AS facts, CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE p_brand END AS inner_name, 7 AS inner_n FROM part""")
+def overridden_payloads(spark, d):
+    """A payload over another: blank values don't replace, maps and structs merge field by field, notes are joined."""
+    k = F.col("p_partkey")
+    text = lambda c: F.array(*c).cast("array<string>")
+    fact = lambda a, b: F.map_filter(F.create_map(F.lit("a"), a, F.lit("b"), b), lambda _, v: v != "-")
+    base = F.struct(F.col("p_name").alias("title"), text([F.lit(" base ")]).alias("notes"), fact(F.lit("1"), F.lit("-")).alias("facts"), F.struct(F.col("p_name").alias("name"), F.lit(7).alias("n")).alias("inner"))
+    over = F.struct(F.when(k % 3 == 0, F.lit(" ")).otherwise(F.col("p_type")).alias("title"), F.when(k % 2 == 0, text([F.lit("x "), F.lit("base"), F.lit("")])).otherwise(text([])).alias("notes"), fact(F.when(k % 5 == 0, F.lit("")).otherwise(F.col("p_brand")), F.when(k % 5 == 0, F.lit("-")).otherwise(F.lit("2"))).alias("facts"), F.struct(F.when(k % 7 != 0, F.col("p_brand")).alias("name"), F.lit(None).cast("int").alias("n")).alias("inner"))
+    rows = table(spark, d, "part").select("p_partkey", base.alias("base"), over.alias("over"))
+    made = rows.select("p_partkey", X.overridden(F.col("base"), F.col("over"), rows.schema["base"].dataType, ("notes",)).alias("p"))
+    facts = F.array_join(F.transform(F.array_sort(F.map_entries("p.facts")), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    return made.select("p_partkey", F.col("p.title").alias("title"), F.array_join("p.notes", "|").alias("notes"), facts.alias("facts"), F.col("p.inner.name").alias("inner_name"), F.col("p.inner.n").alias("inner_n"))

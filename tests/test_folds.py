@@ -37,6 +37,43 @@ def test_fuzzy_names(spark):
     assert by["micro", "msft"] == 0.92 and not any(k[0] == "zzz" for k in by)
 
 
+def test_resolution_is_the_plain_loop(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    make = lambda: "".join(rng.choice("abcdeen o.x1") for _ in range(rng.randint(1, 9)))
+    companies = [(f"c{n:02}", [make() for _ in range(2)], 30 - n, f"{make()}, Inc.", f"T{n}") for n in range(30)]
+    df = spark.createDataFrame(companies, "company_id string, names array<string>, display_order int, english_name string, ticker string")
+    df = df.withColumn("aliases", X.company_aliases(F.concat(F.array("company_id", "ticker", "english_name"), F.col("names")), F.col("english_name")))
+    token = lambda t: re.sub("[^0-9a-z\u4e00-\u9fff]+", "", t.strip().lower())
+    names = {c[0]: {token(a) for a in (c[0], c[4], c[3], *c[1], c[3].replace(".", ""), c[3].replace(",", ""))} - {""} for c in companies}
+    references = sorted({make() for _ in range(150)} | {"", " .", companies[3][3], "C07", "zzz", "英伟达"})
+
+    def score(own, alias):
+        r = SequenceMatcher(None, own, alias).ratio()
+        return max(r, 0.92) if alias.startswith(own) or own.startswith(alias) else max(r, 0.84) if own in alias or alias in own else r
+
+    want, listed = {}, {}
+    for reference in references:
+        own = token(reference)
+        found = sorted(((-max(score(own, a) for a in names[c[0]]), c[0], c) for c in companies if own and names[c[0]]), key=lambda x: x[:2])
+        found = [x for x in found if x[0] <= -0.55]
+        listed[reference] = [(c, round(-s, 9)) for s, c, _ in found[:5]]
+        exact = sorted((c[2], c[0]) for c in companies if own in names[c[0]])
+        top = max((SequenceMatcher(None, own, a).ratio() for a in names[found[0][1]]), default=0) if found else 0
+        hints = ", ".join(f"{c[3]} ({c[4]})" for _, _, c in found[:3])
+        want[reference] = (None, "Company reference is empty.") if not own else (exact[0][1], None) if exact else (found[0][1], None) if top >= 0.82 else (None, f"Unknown company reference: {reference}" + (f". Closest matches: {hints}" if found else ""))
+    own = spark.createDataFrame([(r,) for r in references], "reference string")
+    assert {r.reference: (r.company_id, r.error) for r in X.resolved(own, df).collect()} == want
+    got = {r: [] for r in references}
+    for r in sorted(X.suggested(own, df).collect(), key=lambda r: r["rank"]):
+        got[r.reference].append((r.company_id, round(r.score, 9)))
+    assert got == listed
+
+
 def test_two_keys_greedily(spark):
     rows = [(1, n, f, link) for n, (f, link) in enumerate([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), ("c", "z"), ("d", "w"), ("e", "v")])]
     got = X.first_of_two_keys(spark.createDataFrame(rows, "report int, ordinal int, firm string, link string")).orderBy("ordinal").collect()
@@ -116,16 +153,16 @@ def test_many_items_have_a_best_subset(spark):
     from quartermill.operators import structure as T
 
     values = [3.0, 5.0, 7.0, 11.0, 13.0, 17.0, 19.0, 23.0, 2.0, 4.0, 6.0, 8.0]
-    for n, revenue in ((12, 60.0), (3, 4.0), (1, 100.0)):
+    for n, revenue in ((12, 60.0), (3, 4.0), (1, 100.0), (12, None), (12, 118.0)):
         items = [(f"n{i}", v, i % 2 == 0, i % 5 == 4) for i, v in enumerate(values[:n])]
         best, kept = float("-inf"), items
         for size in range(1, n + 1):
             for own in itertools.combinations(items, size):
                 total = sum(x[1] for x in own)
-                if not 0.45 <= total / revenue <= 1.18:
+                if revenue and not 0.45 <= total / revenue <= 1.18:
                     continue
                 b = sum(x[2] for x in own)
-                score = round(1 - abs(revenue - total) / max(revenue, 1.0) + (0.06 if b in (0, size) else -0.08) + size * 0.03 + b * 0.015 - 0.09 * sum(x[3] for x in own), 9)
+                score = round((1 - abs(revenue - total) / max(revenue, 1.0) if revenue else 0.6) + (0.06 if b in (0, size) else -0.08) + size * 0.03 + b * 0.015 - 0.09 * sum(x[3] for x in own), 9)
                 if score > best:
                     best, kept = score, list(own)
         want = [x[0] for x in sorted(kept, key=lambda x: -x[1])] if best > float("-inf") else [x[0] for x in items]
@@ -166,3 +203,58 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = {(r.start, r.event_type): (r.n, r.total) for r in spark.read.parquet(str(tmp_path / "hours")).collect()}
     batch = {(r.start, r.event_type): (r.n, r.total) for r in E.tumbling(table).collect()}
     assert stream and all(batch[k] == v for k, v in stream.items())
+
+
+def test_halves_meet_at_the_best_of_all():
+    """Fifteen items against all subsets, ties and outer items included; forty items in a bounded time and memory."""
+    import itertools
+    import random
+    import time
+
+    from quartermill.functions import subsets as S
+
+    def plain(v, b, a, target):
+        best, kept = None, None
+        for size in range(1, len(v) + 1):
+            for own in itertools.combinations(range(len(v)), size):
+                total, k = sum(v[i] for i in own), sum(b[i] for i in own)
+                if target and not 0.45 <= total / target <= 1.18:
+                    continue
+                score = round((1 - abs(target - total) / max(target, 1.0) if target else 0.6) + (0.06 if k in (0, size) else -0.08) + size * 0.03 + k * 0.015 - 0.09 * sum(a[i] for i in own), 9)
+                if best is None or score > best:
+                    best, kept = score, list(own)
+        return kept
+
+    rng, half = random.Random(3), S.HALF
+    for trial in range(40):
+        n = 15 if trial == 0 else rng.randint(1, 10)
+        v = [rng.choice([float(rng.randint(1, 9)), rng.random() * 20 + 0.1]) for _ in range(n)]
+        b, a = [rng.random() < 0.5 for _ in v], [rng.random() < 0.2 for _ in v]
+        target = rng.choice([None, sum(v) * rng.random() * 1.4 + 0.01, float(rng.randint(1, 40))])
+        try:
+            S.HALF = rng.choice([half, 3])  # more items than two halves hold
+            assert S.best_of(v, b, a, target) == plain(v, b, a, target)
+        finally:
+            S.HALF = half
+    v = [rng.random() * 30 + 0.1 for _ in range(40)]
+    began = time.perf_counter()
+    assert S.best_of(v, [i % 2 == 0 for i in range(40)], [i % 7 == 3 for i in range(40)], sum(v) / 2)
+    assert time.perf_counter() - began < 10
+
+
+def test_label_automaton_finds_first_places(spark):
+    """First places of labels within one another, ignoring case and the kind of white space, as a pattern finds them."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quartermill.functions import issuers as I
+
+    labels = ["Revenue", "Net  revenue", "Total net revenue", "İncome", "Sam’s Club", "absent"]
+    texts = ["total NET revenue 5", "revenues\tnet\n revenue", "", None, "x İncome İncome Sam’s  Club REVENUE", "netrevenue é Net Revenue"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("flat", F.regexp_replace("text", r"\s+", " "))
+    for r in df.select("flat", I.first_places(labels)(F.col("flat")).alias("places")).collect():
+        for label, place in zip(labels, r.places):
+            found = re.search(r"\s+".join(map(re.escape, label.split())), r.flat or "", re.I | re.A)
+            assert place == (found.start() + 1 if found else 0), (label, r)
+    assert set(I.labels_of(I.ISSUERS["apple"])) >= {"iPhone", "Services", "Total net sales"}
