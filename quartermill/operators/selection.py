@@ -309,6 +309,28 @@ def reachable(links: DataFrame, start: DataFrame, depth: int = 2, most: int = 5)
     return seen
 
 
+def crawled(links: DataFrame, starts: DataFrame, depth: int = 2, most: int = 5, pages: int = 10) -> DataFrame:
+    """crawl, url, depth, place: the pages that each crawl fetches, in order, with one budget over all its levels.
+
+    links: src, url, score (0 and less are no pages); starts: crawl, url. A page's best `most` links, ties by the later url, join the
+    queue behind those of pages before it; a url is fetched once, where it stands first. The start and `pages` more are fetched; pages
+    at the full depth aren't followed. A crawl's queue holds most ** depth pages at most, so its windows are small however
+    many crawls there are.
+    """
+    ranked = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), F.desc("url")))
+    best = links.where("score > 0").withColumn("_k", ranked).where(F.col("_k") <= most).select("src", "url", "_k")
+    level = starts.select("crawl", "url", F.array(F.lit(0)).alias("_path"))
+    queued = level.withColumn("depth", F.lit(0))
+    for n in range(1, depth + 1):
+        # a page that stands in the queue before isn't fetched, and so not followed, again
+        level = level.select("crawl", F.col("url").alias("src"), "_path").join(best, "src").select("crawl", "url", F.concat("_path", F.array("_k")).alias("_path"))
+        level = level.withColumn("_first", F.row_number().over(Window.partitionBy("crawl", "url").orderBy("_path"))).where("_first = 1").drop("_first")
+        level = level.join(queued.select("crawl", "url"), ["crawl", "url"], "left_anti")
+        queued = queued.unionByName(level.withColumn("depth", F.lit(n)))
+    place = F.row_number().over(Window.partitionBy("crawl").orderBy("depth", "_path")) - 1
+    return queued.withColumn("place", place).where(F.col("place") <= pages).drop("_path")
+
+
 def has_value(value: Column) -> Column:
     """Whether a string isn't blank."""
     return F.coalesce(value.rlike(r"(?U)\S"), F.lit(False))

@@ -136,6 +136,37 @@ def link_reach(spark, d):
     return X.reachable(links, spark.createDataFrame([(1,)], "url long"))
 
 
+@query("crawl_budget", """WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS url, (o_custkey * 7 + l_suppkey) % 6 AS score FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+b AS (SELECT * FROM (SELECT src, url, row_number() OVER (PARTITION BY src ORDER BY score DESC, url DESC) AS k FROM l WHERE score > 0) WHERE k <= 5),
+c(crawl, url, path, depth) AS (SELECT c_custkey, c_custkey, '0', 0 FROM customer UNION ALL SELECT c.crawl, b.url, c.path || b.k, c.depth + 1 FROM c JOIN b ON b.src = c.url WHERE c.depth < 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY crawl, url ORDER BY depth, path) AS first FROM c), p AS (SELECT crawl, url, depth, row_number() OVER (PARTITION BY crawl ORDER BY depth, path) - 1 AS place FROM f WHERE first = 1)
+SELECT * FROM p WHERE place <= 10""")
+def crawl_budget(spark, d):
+    """A crawl from every customer: breadth first, best links first, ten pages over all levels."""
+    met = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    links = met.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("url")).distinct().withColumn("score", (F.col("src") * 7 + F.col("url")) % 6)
+    return X.crawled(links, table(spark, d, "customer").select(F.col("c_custkey").alias("crawl"), F.col("c_custkey").alias("url")))
+
+
+@query("sliding_windows", """WITH s AS (SELECT *, unnest([0, 15, 30, 45]) AS back FROM events), w AS (SELECT time_bucket(INTERVAL '15 minutes', ts) - to_minutes(back) AS start, event_type, value FROM s)
+SELECT start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM w GROUP BY ALL""")
+def sliding_windows(spark, d):
+    from quartermill.streaming.events import tumbling
+
+    return tumbling(table(spark, d, "events"), "1 hour", slide="15 minutes")
+
+
+@query("job_progress", """WITH e AS (SELECT user_id AS job, event_id AS seq, event_type AS stage, least(1, greatest(0, value / 100)) AS p FROM events), m AS (SELECT *, max(p) OVER (PARTITION BY job ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+r AS (SELECT * FROM m WHERE before IS NULL OR p > before), k AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq DESC) AS k FROM r)
+SELECT k.job, round(k.p, 9) AS progress, k.stage, n, k.p >= 1 AS done FROM k JOIN (SELECT job, count(*) AS n FROM e GROUP BY job) USING (job) WHERE k = 1""")
+def job_progress(spark, d):
+    """Progress of jobs by their events: never back, the stage that last brought it on."""
+    from quartermill.streaming.jobs import folded
+
+    events = table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), (F.col("value") / 100).alias("progress"))
+    return folded(events).select("job", F.round("progress", 9).alias("progress"), "stage", "n", "done")
+
+
 @query("event_windows", """SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL""")
 def event_windows(spark, d):
     from quartermill.streaming.events import tumbling
