@@ -100,13 +100,12 @@ def prefix_length(n: str, bound: int) -> Column:
 
 
 def possibly(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
-    """rows less most of those whose key isn't among members' (one column): by a bitmap of 2**25 places (4 MB), whatever the input."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 25))
-    own = members.toDF("_qm_key").select(place("_qm_key").alias("_qm_place"))
-    bitmap = own.groupBy(F.shiftright("_qm_place", 15).alias("_qm_part")).agg(F.bitmap_construct_agg(F.col("_qm_place").bitwiseAND(32767)).alias("_qm_bits"))
-    placed = rows.withColumn("_qm_part", F.shiftright(place(key), 15)).withColumn("_qm_bit", place(key).bitwiseAND(32767).cast("int"))
-    is_set = F.expr("(cast(conv(hex(substring(_qm_bits, _qm_bit div 8 + 1, 1)), 16, 10) as int) >> (_qm_bit % 8)) & 1") == 1
-    return placed.join(F.broadcast(bitmap), "_qm_part").where(is_set).select(*rows.columns)
+    """rows less most of those whose key, a hash, isn't among members' (one column): by 2**18 words of 64 bits, whatever the input."""
+    word, bit = F.col(key).bitwiseAND((1 << 24) - 1), F.col(key).bitwiseAND(63).cast("int")
+    word = F.shiftright(word, 6).alias("_qm_word")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = members.toDF(key).select(word, one.alias("_qm_one")).groupBy("_qm_word").agg(F.bit_or("_qm_one").alias("_qm_bits"))
+    return rows.withColumn("_qm_word", word).join(F.broadcast(words), "_qm_word").where(F.col("_qm_bits").bitwiseAND(one) != 0).select(*rows.columns)
 
 
 class Windows:
@@ -117,9 +116,10 @@ class Windows:
     have. A window grows to the head that is kept of every set and then to the whole set.
     """
 
-    def __init__(self, distinct: DataFrame, docs: DataFrame, shingle: int, bound: int, scratch: Scratch):
-        self.distinct, self.docs, self.shingle, self.bound, self.scratch = distinct, docs, shingle, bound, scratch
-        self.sets = distinct.where(F.size("head") > 0).select("node", "n", "head")
+    def __init__(self, with_heads: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, bound: int, scratch: Scratch):
+        self.docs, self.shingle, self.bound, self.scratch = docs, shingle, bound, scratch
+        self.distinct = distinct
+        self.sets = with_heads.where(F.size("head") > 0).select("node", "n", "head")
         self.base = self.sets.select("node", F.explode(F.slice("head", F.lit(1), prefix_length("n", bound))).alias("token"))
         empty = distinct.sparkSession.createDataFrame
         self.counts = scratch.keep(self.base.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"))
@@ -133,22 +133,25 @@ class Windows:
 
     @staticmethod
     def _having(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-        return possibly(rows, "token", tokens).join(tokens, "token", "left_semi").select("node", "token")
+        # tokens are distinct; a semi join would be moved ahead of the bitmap
+        return possibly(rows, "token", tokens).join(tokens, "token").select("node", "token")
 
     def _grown(self) -> bool:
         """Lets windows grow that have too few rare tokens; whether any did."""
-        keep, size = self.scratch.keep, F.size("head")
+        keep = self.scratch.keep
         found = self.hits.groupBy("node").agg(F.count("*").alias("found"))
         full = self.whole.select("node").distinct()
-        short = found.join(full, "node", "left_anti").join(self.sets, "node").join(self.wide.withColumn("is_wide", F.lit(True)), "node", "left")
+        short = found.join(full, "node", "left_anti").join(self.distinct.select("node", "n"), "node").join(self.wide.withColumn("is_wide", F.lit(True)), "node", "left")
         length = prefix_length("n", self.bound)
-        window = F.when(F.col("is_wide"), size).otherwise(length)
-        short = keep(short.where((window < F.col("n")) & (window - F.col("found") < length)).select("node", "n", "head", F.coalesce("is_wide", F.lit(False)).alias("is_wide")))
+        kept = F.least(F.col("n"), length + F.floor(length / 6) + 8).cast("int")  # reserve_of
+        window = F.when(F.col("is_wide"), kept).otherwise(length)
+        short = keep(short.where((window < F.col("n")) & (window - F.col("found") < length)).select("node", "n", kept.alias("kept"), F.coalesce("is_wide", F.lit(False)).alias("is_wide")))
         if not short.take(1):
             return False
         whole = keep(whole_sets(self.docs, short.where("is_wide").join(self.distinct.select("node", "first"), "node").select("node", "n", "first"), self.shingle).dropDuplicates(["node"]))
-        behind = whole.join(short.select("node", size.alias("kept")), "node").select("node", F.explode(F.slice("tokens", F.col("kept") + 1, F.greatest(F.size("tokens") - F.col("kept"), F.lit(0)))).alias("token"))
-        within = short.where("NOT is_wide").select("node", F.explode(F.slice("head", length + 1, size - length)).alias("token"))
+        behind = whole.join(short.select("node", "kept"), "node").select("node", F.explode(F.slice("tokens", F.col("kept") + 1, F.greatest(F.size("tokens") - F.col("kept"), F.lit(0)))).alias("token"))
+        wider = short.where("NOT is_wide").select("node")
+        within = possibly(self.sets, "node", wider).join(wider, "node").select("node", F.explode(F.slice("head", length + 1, F.size("head") - length)).alias("token"))
         new = keep(within.unionByName(behind))
         self.whole, self.wide = keep(self.whole.unionByName(whole)), keep(self.wide.unionByName(short.where("NOT is_wide").select("node")))
         before = self.added
@@ -158,7 +161,10 @@ class Windows:
         fresh = keep(more.select("token").join(self.frequent, "token", "left_anti"))
         known = self._having(new, self.frequent)
         self.frequent = keep(self.frequent.unionByName(fresh))
-        self.hits = keep(self.hits.unionByName(known).unionByName(self._having(self.base.unionByName(before).unionByName(new), fresh)))
+        hits = self.hits.unionByName(known)
+        if fresh.take(1):
+            hits = hits.unionByName(self._having(self.base.unionByName(before).unionByName(new), fresh))
+        self.hits = keep(hits)
         return True
 
     def index(self) -> tuple[DataFrame, DataFrame | None, DataFrame]:
@@ -168,18 +174,17 @@ class Windows:
         """
         length, signed = prefix_length("n", self.bound), lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  in the order of unsigned hashes
         rare = self.counts.select("token").unionByName(self.added.select("token")).distinct()
-        taken = F.slice("head", F.lit(1), length)
+        taken, pairs = F.slice("head", F.lit(1), length), None
         if not self.any:
-            prefixes, pairs = self.sets.select("node", "n", taken.alias("prefix")), None
+            prefixes = self.sets.select("node", "n", taken.alias("prefix"))
         else:
             rare = rare.join(self.frequent, "token", "left_anti")
             often = self.scratch.keep(self.hits.groupBy("node").agg(F.collect_set("token").alias("often")))  # a set's own tokens
-            plain = self.sets.join(often, "node", "left_anti").select("node", "n", taken.alias("prefix"))
-            special = self.sets.join(often, "node")
-            partial = F.size("head") < F.col("n")
-            by_head = special.where(partial).join(self.whole.select("node"), "node", "left_anti")
-            by_head = by_head.select("node", "n", F.slice(F.filter("head", lambda t: ~F.array_contains("often", t)), F.lit(1), length).alias("prefix"))
-            by_set = special.where(~partial).select("node", "n", F.col("head").alias("tokens"), "often").unionByName(self.whole.join(often, "node"))
+            # of a set with frequent tokens, unless its window is all it has: the rare ones of its head
+            own = F.when(F.col("often").isNull(), taken).when(F.size("head") < F.col("n"), F.slice(F.filter("head", lambda t: ~F.array_contains("often", t)), F.lit(1), length))
+            by_head = self.scratch.keep(self.sets.join(often, "node", "left").join(self.whole.select("node", F.lit(True).alias("by_set")), "node", "left").select("node", "n", F.when(F.col("by_set").isNull(), own).alias("prefix")))
+            small = self.sets.where(F.size("head") == F.col("n")).select("node", "n", F.col("head").alias("tokens"))
+            by_set = small.join(often, "node").unionByName(self.whole.join(often, "node"))
             bound = self.bound
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +194,9 @@ class Windows:
                     yield pa.record_batch([batch.column(0), batch.column(1), lists([m[0] for m in made]), lists([m[1] for m in made])], names=["node", "n", "prefix", "pairs"])
 
             mixed = self.scratch.keep(map_texts(by_set, run, "node long, n long, prefix array<long>, pairs array<long>"))
-            prefixes = plain.unionByName(by_head).unionByName(mixed.select("node", "n", "prefix"))
+            prefixes = by_head.where("prefix IS NOT NULL").unionByName(mixed.select("node", "n", "prefix"))
             pairs = mixed.select(F.explode("pairs").alias("key"), "node")
-        singles = possibly(prefixes.select("node", F.posexplode("prefix").alias("place", "token")), "token", rare).join(rare, "token", "left_semi")
+        singles = possibly(prefixes.select("node", F.posexplode("prefix").alias("place", "token")), "token", rare).join(rare, "token")
         filled = F.size("prefix") == length
         ending = F.when(filled, signed(F.element_at("prefix", length))).otherwise(F.lit((1 << 63) - 1))
         return singles.select(F.col("token").alias("key"), "node", F.col("place") + 1), pairs, prefixes.select("node", "n", ending.alias("ending"), F.when(filled, length).otherwise(0).alias("taken"))
@@ -298,9 +303,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, bound: int = BOU
     headed = scratch.keep(set_rows(docs, shingle, bound))
     rows = scratch.keep(headed.select("doc_id", "n", "digest"))
     distinct = headed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("head").alias("head"))
-    distinct = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()))
+    with_heads = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()))
     scratch.drop(headed)
-    edges = links_of(distinct, docs, shingle, bound, scratch)
+    distinct = scratch.keep(with_heads.drop("head"))
+    edges = links_of(with_heads, distinct, docs, shingle, bound, scratch)
     roots = connected_components(edges, scratch)
     placed = scratch.keep(distinct.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root")))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -309,17 +315,19 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, bound: int = BOU
     return own.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def links_of(distinct: DataFrame, docs: DataFrame, shingle: int, bound: int, scratch: Scratch) -> DataFrame:
-    """Edges (u, v) that connect the distinct sets just as all links would."""
-    windows = Windows(distinct, docs, shingle, bound, scratch)
+def links_of(with_heads: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, bound: int, scratch: Scratch) -> DataFrame:
+    """Edges (u, v) that connect the distinct sets just as all links would. with_heads goes when the index stands."""
+    windows = Windows(with_heads, distinct, docs, shingle, bound, scratch)
     singles, combos, info = windows.index()
-    grouped, large = singles.toDF("key", "node", "place"), None
+    grouped, large = scratch.keep(singles.toDF("key", "node", "place")), None
+    info = scratch.keep(info)
+    scratch.drop(with_heads)
     if combos is not None:
         sizes = scratch.keep(combos.groupBy("key").agg(F.count("*").alias("sets"), F.min("node").alias("leader")).where("sets > 1"))
         combos = scratch.keep(combos.join(sizes, "key"))
         grouped = grouped.unionByName(combos.where(F.col("sets") <= FEW).select("key", "node", F.lit(0).alias("place")))
         large = scratch.keep(combos.where((F.col("sets") > FEW) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
-    pairs = scratch.keep(candidates(scratch.keep(grouped), scratch.keep(info), bound))
+    pairs = scratch.keep(candidates(grouped, info, bound))
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     sets = scratch.keep(whole_sets(docs, nodes.join(distinct, "node").select("node", "n", "first"), shingle))
     edges = verified_pairs(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, bound, scratch)
