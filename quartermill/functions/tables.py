@@ -47,8 +47,8 @@ def find_row(rows: Column, labels: list[str]) -> Column:
 
 def series(row: Column) -> Column:
     """The row's numbers after its label, percentages left out; a small whole number before far larger ones is a footnote."""
-    values = F.filter(F.transform(F.filter(F.slice(row, F.lit(2), F.greatest(F.size(row) - 1, F.lit(0))), lambda c: ~c.contains("%")), parsed), lambda v: v.isNotNull())
-    first, rest = F.get(values, F.lit(0)), F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
+    values = F.filter(F.transform(F.filter(F.filter(row, lambda _, i: i > 0), lambda c: ~c.contains("%")), parsed), lambda v: v.isNotNull())
+    first, rest = F.get(values, F.lit(0)), F.filter(values, lambda _, i: i > 0)
     note = (F.size(values) >= 2) & (first == F.floor(first)) & F.forall(rest, lambda v: (F.abs(v) > 100 * F.abs(first)) & (F.abs(v) > 10000))
     return F.when(note, rest).otherwise(values)
 
