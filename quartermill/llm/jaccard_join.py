@@ -78,17 +78,35 @@ def set_rows(docs: DataFrame, shingle: int, bound: int) -> DataFrame:
     return map_texts(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, digest binary, n long, head array<long>")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node, n, tokens (all, by hash) of nodes: node, n, first (doc_id and text_hash of a row that has the set). Rows may repeat."""
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, text of nodes: node, n, first (doc_id and text_hash of a row that has the set). Rows may repeat."""
     texts = perhaps_in(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), nodes.select(F.col("first.text_hash").alias("text_hash")))
     wanted = nodes.select("node", "n", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    met = wanted.join(texts, (wanted["first_hash"] == texts["text_hash"]) & wanted["first_id"].eqNullSafe(texts["doc_id"])).select("node", "n", "text")
+    return wanted.join(texts, (wanted["first_hash"] == texts["text_hash"]) & wanted["first_id"].eqNullSafe(texts["doc_id"])).select("node", "n", "text")
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, n, tokens (all, by hash) of nodes as in texts_of. Rows may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), batch.column(1), lists([shingle_set(t, shingle) for t in columns_of(batch, "text")[0]])], names=["node", "n", "tokens"])
 
-    return map_texts(met, run, "node long, n long, tokens array<long>")
+    return map_texts(texts_of(docs, nodes), run, "node long, n long, tokens array<long>")
+
+
+def packed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, packed (its text, compressed) of nodes as in texts_of: a third and less of what its hashes take. Rows may repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in columns_of(batch, "text")[0]]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary())], names=["node", "packed"])
+
+    return map_texts(texts_of(docs, nodes), run, "node long, packed binary")
 
 
 # ---- frequent tokens -------------------------------------------------------------------------------------------------------
@@ -262,29 +280,32 @@ def candidates(grouped: DataFrame, info: DataFrame, bound: int) -> DataFrame:
     return met.where((100 + bound) * (F.col("shared") + behind) >= bound * (F.col("u_n") + F.col("v_n"))).where(100 * F.least("u_n", "v_n") >= bound * F.greatest("u_n", "v_n")).select("u", "v")
 
 
-def verified_pairs(pairs: DataFrame, sets: DataFrame, bound: int, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v) whose sets share `bound` per cent of their union or more. A set travels once a pair, u's once."""
+def verified_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, bound: int, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) whose sets share `bound` per cent of their union or more. A text (packed_texts) travels once a pair, u's once."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         at, own = None, None
         for batch in batches:
             us, vs = [], []
-            for u, v, own_tokens in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for u, v, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                tokens = shingle_set(unpack(packed).decode("utf-8", "surrogatepass"), shingle)
                 if v is None:
-                    at, own = u, np.array(own_tokens, np.int64).view(np.uint64)
+                    at, own = u, tokens
                     continue
                 if u != at:
                     raise ValueError("a set came before the one to compare it with")
-                other = np.array(own_tokens, np.int64).view(np.uint64)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= bound * (len(own) + len(other) - both):
+                both = len(np.intersect1d(own, tokens, assume_unique=True))
+                if 100 * both >= bound * (len(own) + len(tokens) - both):
                     us.append(u)
                     vs.append(v)
             if us:
                 yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    heads = pairs.select("u").distinct().join(sets.select(F.col("node").alias("u"), "tokens"), "u").select("u", F.lit(None).cast("long").alias("v"), "tokens")
-    tails = pairs.join(sets.select(F.col("node").alias("v"), "tokens"), "v").select("u", "v", "tokens")
+    heads = pairs.select("u").distinct().join(texts.select(F.col("node").alias("u"), "packed"), "u").select("u", F.lit(None).cast("long").alias("v"), "packed")
+    tails = pairs.join(texts.select(F.col("node").alias("v"), "packed"), "v").select("u", "v", "packed")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     routed = heads.unionByName(tails).repartition(parts, "u").sortWithinPartitions("u", F.col("v").asc_nulls_first())
     return scratch.keep(map_texts(routed, verify, "u long, v long"))
@@ -329,13 +350,13 @@ def links_of(with_heads: DataFrame, distinct: DataFrame, docs: DataFrame, shingl
         large = scratch.keep(combos.where((F.col("sets") > FEW) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
     pairs = scratch.keep(candidates(grouped, info, bound))
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = scratch.keep(whole_sets(docs, nodes.join(distinct, "node").select("node", "n", "first"), shingle))
-    edges = verified_pairs(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, bound, scratch)
+    texts = scratch.keep(packed_texts(docs, nodes.join(distinct, "node").select("node", "n", "first")))
+    edges = verified_pairs(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts, shingle, bound, scratch)
     roots = connected_components(edges, scratch)
     for x in "uv":
         pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
     apart = scratch.keep(pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
-    edges = edges.unionByName(verified_pairs(apart, sets, bound, scratch))
+    edges = edges.unionByName(verified_pairs(apart, texts, shingle, bound, scratch))
     if large is not None and large.take(1):
         groups = connected_components(large, scratch)
         groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
