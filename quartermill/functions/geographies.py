@@ -96,6 +96,25 @@ def profile_geographies(materials: DataFrame) -> DataFrame:
     return best.select("company", "quarter_index", by_value(F.col("b.g")).alias("geographies"))
 
 
+#: Regions of an older kind of results table, each with its labels.
+LEGACY = {
+    "Americas": ("Americas net sales", "Americas revenue"),
+    "Europe": ("Europe net sales", "Europe revenue"),
+    "Japan": ("Japan net sales", "Japan revenue"),
+    "Asia-Pacific": ("Asia-Pacific net sales", "Asia Pacific net sales", "Asia-Pacific revenue"),
+    "Retail": ("Retail net sales", "Retail revenue"),
+}
+
+
+def legacy_geographies(materials: DataFrame) -> DataFrame:
+    """company, quarter_index, geographies: the text with most regions whose sum fits revenue; of equals the first by material_rank. materials as in profile_geographies."""
+    found = F.array(*(F.struct(F.lit(name).alias("name"), metric(F.col("text"), list(labels)).alias("m")) for name, labels in LEGACY.items()))
+    rows = materials.select("company", "quarter_index", "material_rank", "revenue", F.filter(F.transform(found, lambda x: item(x["name"], x["m"]["value"], x["m"]["yoy"])), lambda x: x.isNotNull()).alias("items"))
+    rows = rows.where(reasonable(F.col("items"), F.col("revenue")))
+    best = rows.groupBy("company", "quarter_index").agg(F.max_by("items", F.struct(F.size("items").alias("n"), (-F.col("material_rank")).alias("m"))).alias("items"))
+    return best.select("company", "quarter_index", by_value(F.col("items")).alias("geographies"))
+
+
 def table_geographies(tables: Column, label: Column, revenue: Column, target: Column) -> Column:
     """The richest of a page's tables by the generic labels, two regions at least; an annual report's is marked. tables: tables.html_tables."""
     empty = F.array().cast(ITEMS)

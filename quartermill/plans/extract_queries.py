@@ -513,6 +513,15 @@ def profile_geographies(spark, d):
     return G.profile_geographies(rows).select("company", F.explode("geographies").alias("g")).select("company", "g.name", "g.value", "g.yoy", "g.scope")
 
 
+@query("legacy_geographies", """WITH o AS (SELECT o_orderkey AS company, (o_custkey + 2000)::DOUBLE AS v FROM orders WHERE o_orderkey % 2 = 0), i AS (SELECT company, unnest(['Americas', 'Europe', 'Japan', 'Asia-Pacific', 'Retail']) AS name, unnest([v, 500, 300, 200, 400]) AS now, unnest([1000, 400, 200, 100, 400]) AS before FROM o)
+SELECT company, name, round(now / 1000, 3) AS value, round((now / before::DOUBLE - 1) * 100, 1) AS yoy FROM i""")
+def legacy_geographies(spark, d):
+    """Five regions whose sum fits revenue in every other quarter."""
+    text = said("Americas net sales ", spoken(), " 1,000\nEurope net sales 500 400\nJapan revenue 300 200\nAsia Pacific net sales 200 100\nRetail net sales 400 400\n")
+    rows = materials(spark, d, text, kind=F.lit("sec_filing"), label=F.lit("10-Q"), revenue=F.when(F.col("o_orderkey") % 2 == 1, 0.1).otherwise((amount() + 1400) / 1000))
+    return G.legacy_geographies(rows).select("company", F.explode("geographies").alias("g")).select("company", "g.name", "g.value", "g.yoy")
+
+
 @query("table_geographies", """WITH o AS (SELECT o_orderkey AS company, (o_custkey + 2000)::DOUBLE AS v, o_orderkey % 3 = 0 AS annual FROM orders) SELECT company, unnest(['United States', 'Canada', 'Europe', 'Other countries']) AS name, round(unnest([v, 900, 800, 700]) / 1000, 3) AS value, round((unnest([v / 1000, 900 / 450.0, 800 / 1000.0, 700 / 700.0]) - 1) * 100, 1) AS yoy, CASE WHEN annual THEN 'annual_filing' END AS scope FROM o""")
 def table_geographies(spark, d):
     """Two tables, of which the one with more regions is taken."""
