@@ -10,14 +10,16 @@ and the classes' c - 1 exceed `spare`, and is indexed by the pairs within each c
 documents quote thus makes no pair of them a candidate unless they consist of such passages.
 
 Groups of up to FEW sets under one index key give pairs, with the number of prefix tokens that they share and the places of
-the last; what may be alike behind it bounds their overlap, and few pairs are left. Whole sets decide these exactly: first each
+the last; what may be alike behind it bounds their overlap, and few pairs are left. Bitmaps of the sets, a fifth of a text's size,
+rule out most of these for certain (a bit that one alone has is a token that the other lacks). Whole sets decide the rest exactly: first each
 set with the least that it is paired with, then pairs that these links leave apart. Larger groups are near copies by the
 thousand; they are dealt out to tasks that pass over what is linked already (near_dup.grouped_links).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -95,18 +97,40 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return map_texts(texts_of(docs, nodes), run, "node long, n long, tokens array<long>")
 
 
-def packed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, packed (its text, compressed) of nodes as in texts_of: a third and less of what its hashes take. Rows may repeat."""
+def packed_texts(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, bits (sketch), packed (its text, compressed: a third and less of its hashes) of nodes as in texts_of. Rows may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in columns_of(batch, "text")[0]]
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary())], names=["node", "packed"])
+            texts = columns_of(batch, "text")[0]
+            packed = [pack((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.record_batch([batch.column(0), pa.array([sketch(shingle_set(t, shingle)) for t in texts], pa.binary()), pa.array(packed, pa.binary())], names=["node", "bits", "packed"])
 
-    return map_texts(texts_of(docs, nodes), run, "node long, packed binary")
+    return map_texts(texts_of(docs, nodes), run, "node long, bits binary, packed binary")
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """The number of tokens (8 bytes), then a bitmap of 4 to 8 bits a token in which each sets the bit of its low digits."""
+    bits = np.zeros(1 << max(6, (4 * len(tokens) - 1).bit_length()), np.uint8)
+    bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return len(tokens).to_bytes(8, "little") + np.packbits(bits).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def perhaps_similar(u: bytes, v: bytes, bound: int) -> bool:
+    """Whether sets with these sketches may be similar. A bit of one alone is a token that the other lacks, so no similar pair is lost."""
+    n_u, n_v = (int.from_bytes(x[:8], "little") for x in (u, v))
+    of_u, of_v = (np.frombuffer(x, np.uint8, offset=8) for x in (u, v))
+    size = min(len(of_u), len(of_v))
+    of_u, of_v = folded(of_u, size), folded(of_v, size)
+    both = -(-bound * (n_u + n_v) // (100 + bound))
+    return int(np.bitwise_count(of_u & ~of_v).sum()) <= n_u - both and int(np.bitwise_count(of_v & ~of_u).sum()) <= n_v - both
 
 
 # ---- frequent tokens -------------------------------------------------------------------------------------------------------
@@ -143,7 +167,7 @@ class Windows:
         self.counts = scratch.keep(self.base.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"))
         self.frequent = scratch.keep(self.counts.where(F.col("sets") > FEW).select("token"))
         self.added, self.whole, self.wide = empty([], "node long, token long"), empty([], "node long, n long, tokens array<long>"), empty([], "node long")
-        self.any = bool(self.frequent.take(1))
+        self.any, self.grown = bool(self.frequent.take(1)), False
         if self.any:
             self.hits = scratch.keep(self._having(self.base, self.frequent))
             while self._grown():
@@ -175,7 +199,10 @@ class Windows:
         before = self.added
         self.added = keep(self.added.unionByName(new))
         # a token of one window at most to begin with isn't in counts
-        more = self.added.groupBy("token").agg(F.count("*").alias("more")).join(self.counts, "token", "left").where(F.col("more") + F.coalesce("sets", F.lit(1)) > FEW)
+        # only what is new can make a token frequent
+        counted = possibly(before, "token", new.select("token")).unionByName(new) if self.grown else new
+        self.grown = True
+        more = counted.groupBy("token").agg(F.count("*").alias("more")).join(self.counts, "token", "left").where(F.col("more") + F.coalesce("sets", F.lit(1)) > FEW)
         fresh = keep(more.select("token").join(self.frequent, "token", "left_anti"))
         known = self._having(new, self.frequent)
         self.frequent = keep(self.frequent.unionByName(fresh))
@@ -280,37 +307,47 @@ def candidates(grouped: DataFrame, info: DataFrame, bound: int) -> DataFrame:
     return met.where((100 + bound) * (F.col("shared") + behind) >= bound * (F.col("u_n") + F.col("v_n"))).where(100 * F.least("u_n", "v_n") >= bound * F.greatest("u_n", "v_n")).select("u", "v")
 
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, bound: int, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v) whose sets share `bound` per cent of their union or more. A text (packed_texts) travels once a pair, u's once."""
+def decided_pairs(pairs: DataFrame, nodes: DataFrame, load: Callable[[bytes], Any], similar: Callable[[Any, Any], bool], scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) that are similar by what load makes of their nodes (node, value). A value travels once a pair, u's once."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         at, own = None, None
         for batch in batches:
             us, vs = [], []
-            for u, v, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                tokens = shingle_set(unpack(packed).decode("utf-8", "surrogatepass"), shingle)
+            for u, v, value in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if v is None:
-                    at, own = u, tokens
+                    at, own = u, load(value)
                     continue
                 if u != at:
                     raise ValueError("a set came before the one to compare it with")
-                both = len(np.intersect1d(own, tokens, assume_unique=True))
-                if 100 * both >= bound * (len(own) + len(tokens) - both):
+                if similar(own, load(value)):
                     us.append(u)
                     vs.append(v)
             if us:
                 yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    heads = pairs.select("u").distinct().join(texts.select(F.col("node").alias("u"), "packed"), "u").select("u", F.lit(None).cast("long").alias("v"), "packed")
-    tails = pairs.join(texts.select(F.col("node").alias("v"), "packed"), "v").select("u", "v", "packed")
+    heads = pairs.select("u").distinct().join(nodes.toDF("u", "value"), "u").select("u", F.lit(None).cast("long").alias("v"), "value")
+    tails = pairs.join(nodes.toDF("v", "value"), "v").select("u", "v", "value")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     routed = heads.unionByName(tails).repartition(parts, "u").sortWithinPartitions("u", F.col("v").asc_nulls_first())
     return scratch.keep(map_texts(routed, verify, "u long, v long"))
 
 
+def verified_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, bound: int, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) whose sets share `bound` per cent of their union or more, by their texts (packed_texts)."""
+
+    def load(packed: bytes) -> np.ndarray:
+        import zstandard
+
+        return shingle_set(zstandard.decompress(packed).decode("utf-8", "surrogatepass"), shingle)
+
+    def similar(u: np.ndarray, v: np.ndarray) -> bool:
+        both = len(np.intersect1d(u, v, assume_unique=True))
+        return 100 * both >= bound * (len(u) + len(v) - both)
+
+    return decided_pairs(pairs, texts.select("node", "packed"), load, similar, scratch)
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, bound: int = BOUND) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -350,7 +387,8 @@ def links_of(with_heads: DataFrame, distinct: DataFrame, docs: DataFrame, shingl
         large = scratch.keep(combos.where((F.col("sets") > FEW) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
     pairs = scratch.keep(candidates(grouped, info, bound))
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    texts = scratch.keep(packed_texts(docs, nodes.join(distinct, "node").select("node", "n", "first")))
+    texts = scratch.keep(packed_texts(docs, nodes.join(distinct, "node").select("node", "n", "first"), shingle))
+    pairs = decided_pairs(pairs, texts.select("node", "bits"), bytes, lambda u, v: perhaps_similar(u, v, bound), scratch)
     edges = verified_pairs(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts, shingle, bound, scratch)
     roots = connected_components(edges, scratch)
     for x in "uv":

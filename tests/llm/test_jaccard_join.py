@@ -106,3 +106,21 @@ def test_prefixes_meet():
         assert len(np.intersect1d(s, t)) or len(np.intersect1d(p, q))
         met += not len(np.intersect1d(s, t))
     assert met > 50
+
+
+def test_sketches_lose_no_similar_pair():
+    """Pairs at and above the bound always pass, of one size class or two; most unlike ones don't."""
+    rng, passed, unlike = np.random.default_rng(5), 0, 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 700))
+        u = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        kept = u[rng.random(len(u)) < rng.choice([0.5, 0.8, 0.9, 1.0])]
+        v = np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, int(rng.integers(0, n // 4 + 1)), np.uint64)]))
+        both = len(np.intersect1d(u, v))
+        found = jj.perhaps_similar(jj.sketch(u), jj.sketch(v), 80)
+        if 100 * both >= 80 * (len(u) + len(v) - both):
+            assert found
+        elif 100 * both < 60 * (len(u) + len(v) - both) and n >= 50:
+            unlike, passed = unlike + 1, passed + found
+    assert unlike > 500 and passed < unlike / 50
+    assert jj.perhaps_similar(jj.sketch(u[:0]), jj.sketch(u[:0]), 80)
