@@ -123,23 +123,26 @@ def name_profile(items: DataFrame, canonical: DataFrame | None = None) -> DataFr
     least; 2 at least, no more than there are, never less than required). Core names are the first two in rank that are in two fifths of
     the quarters, 2 at least; without such, the first two.
     """
-    marked = items.withColumn("_region", F.lower("name").isin(*REGIONS))
-    regional = marked.groupBy(*QUARTER).agg(F.bool_and("_region").alias("_only"))
-    counted = items.join(regional.where("NOT _only").select(*QUARTER), QUARTER)
-    per_quarter = counted.groupBy(*QUARTER).agg(F.countDistinct("name").alias("n"))
-    sized = per_quarter.groupBy(KEY).agg(F.sort_array(F.collect_list("n")).alias("sizes"))  # a number a quarter
-    sized = sized.select(KEY, F.size("sizes").alias("_quarters"), F.get("sizes", F.floor(F.size("sizes") / 2).cast("int")).alias("_median"))
-    found = counted.groupBy(KEY, "name").agg(F.countDistinct(AT).alias("quarters"), F.min(F.struct(AT, "position")).alias("_p"))
-    found = found.select(KEY, "name", "quarters", "_p", F.lit(None).cast("int").alias("_place"))
+    quarter = in_quarter()
+    marked = items.select(*QUARTER, "name", "position").withColumns({
+        "_only": F.bool_and(F.lower("name").isin(*REGIONS)).over(quarter),
+        "_n": F.size(F.collect_set("name").over(quarter)),
+        "_first": F.row_number().over(quarter.orderBy("position", "name")) == 1,
+    }).where("NOT _only")
+    # a quarter's number of names goes with its first item
+    found = marked.groupBy(KEY, "name").agg(F.size(F.collect_set(AT)).cast("long").alias("quarters"), F.min(F.struct(AT, "position")).alias("_p"), F.collect_list(F.when(F.col("_first"), F.col("_n"))).alias("_sizes"))
+    found = found.select(KEY, "name", "quarters", "_p", "_sizes", F.lit(None).cast("int").alias("_place"))
     if canonical is not None:
         wanted = canonical.select(KEY, F.posexplode("names").alias("_place", "name"), F.lit(0).cast("long").alias("_none"))
-        found = found.drop("_place").join(wanted, [KEY, "name"], "full_outer").select(KEY, "name", F.coalesce("quarters", "_none").alias("quarters"), "_p", "_place")
+        found = found.drop("_place").join(wanted, [KEY, "name"], "full_outer").select(KEY, "name", F.coalesce("quarters", "_none").alias("quarters"), "_p", "_sizes", "_place")
         required = required_names(F.max(F.col("_place") + 1).over(Window.partitionBy(KEY)))
     else:
         required = F.lit(1)
     w = Window.partitionBy(KEY)
     order = w.orderBy(F.col("_place").asc_nulls_last(), F.desc("quarters"), "_p", "name")
-    ranked = found.join(sized, KEY, "left").withColumns({"rank": F.row_number().over(order), "_names": F.count("*").over(w), "_required": F.coalesce(required, F.lit(1))})
+    found = found.withColumn("_sizes", F.sort_array(F.flatten(F.collect_list("_sizes").over(w))))
+    found = found.withColumns({"_quarters": F.size("_sizes"), "_median": F.get("_sizes", F.floor(F.size("_sizes") / 2).cast("int"))})
+    ranked = found.withColumns({"rank": F.row_number().over(order), "_names": F.count("*").over(w), "_required": F.coalesce(required, F.lit(1))})
     most = F.greatest(F.lit(2), F.bround(F.greatest(F.coalesce("_median", F.lit(0)), F.col("_required")) * 0.8))
     target = F.greatest(F.col("_required"), F.least(F.col("_names"), most))
     stable = F.coalesce((F.col("_quarters") > 0) & (F.col("quarters") >= F.greatest(F.lit(2), F.bround(F.col("_quarters") * 0.4))), F.lit(False))
