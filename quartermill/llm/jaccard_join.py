@@ -200,9 +200,12 @@ class Windows:
         self.added = keep(self.added.unionByName(new))
         # a token of one window at most to begin with isn't in counts
         # only what is new can make a token frequent
-        counted = possibly(before, "token", new.select("token")).unionByName(new) if self.grown else new
+        counted, counts = new, self.counts
+        if self.grown:
+            counted, counts = (possibly(rows, "token", new.select("token")) for rows in (before, counts))
+            counted = counted.unionByName(new)
         self.grown = True
-        more = counted.groupBy("token").agg(F.count("*").alias("more")).join(self.counts, "token", "left").where(F.col("more") + F.coalesce("sets", F.lit(1)) > FEW)
+        more = counted.groupBy("token").agg(F.count("*").alias("more")).join(counts, "token", "left").where(F.col("more") + F.coalesce("sets", F.lit(1)) > FEW)
         fresh = keep(more.select("token").join(self.frequent, "token", "left_anti"))
         known = self._having(new, self.frequent)
         self.frequent = keep(self.frequent.unionByName(fresh))
@@ -213,17 +216,17 @@ class Windows:
         return True
 
     def index(self) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-        """key, node, place (from 1) of all prefixes' rare tokens that more than one window may have; key, node of the pairs of
+        """key, node, place (from 1) of all prefixes' rare tokens but most that one window alone has; key, node of the pairs of
         frequent tokens, if any token is frequent; and node, n, ending, taken: where a set's prefix ends among the rare tokens, and
         how many of them it takes. A prefix that goes into frequent tokens ends behind all rare ones.
         """
         length, signed = prefix_length("n", self.bound), lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  in the order of unsigned hashes
-        rare = self.counts.select("token").unionByName(self.added.select("token")).distinct()
+        # frequent tokens are among these, but in no prefix; a token that one prefix alone has gives no pair
+        shared = self.counts.select("token").unionByName(self.added.select("token"))
         taken, pairs = F.slice("head", F.lit(1), length), None
         if not self.any:
             prefixes = self.sets.select("node", "n", taken.alias("prefix"))
         else:
-            rare = rare.join(self.frequent, "token", "left_anti")
             often = self.scratch.keep(self.hits.groupBy("node").agg(F.collect_set("token").alias("often")))  # a set's own tokens
             # of a set with frequent tokens, unless its window is all it has: the rare ones of its head
             own = F.when(F.col("often").isNull(), taken).when(F.size("head") < F.col("n"), F.slice(F.filter("head", lambda t: ~F.array_contains("often", t)), F.lit(1), length))
@@ -241,7 +244,7 @@ class Windows:
             mixed = self.scratch.keep(map_texts(by_set, run, "node long, n long, prefix array<long>, pairs array<long>"))
             prefixes = by_head.where("prefix IS NOT NULL").unionByName(mixed.select("node", "n", "prefix"))
             pairs = mixed.select(F.explode("pairs").alias("key"), "node")
-        singles = possibly(prefixes.select("node", F.posexplode("prefix").alias("place", "token")), "token", rare).join(rare, "token")
+        singles = possibly(prefixes.select("node", F.posexplode("prefix").alias("place", "token")), "token", shared)
         filled = F.size("prefix") == length
         ending = F.when(filled, signed(F.element_at("prefix", length))).otherwise(F.lit((1 << 63) - 1))
         return singles.select(F.col("token").alias("key"), "node", F.col("place") + 1), pairs, prefixes.select("node", "n", ending.alias("ending"), F.when(filled, length).otherwise(0).alias("taken"))
@@ -377,7 +380,8 @@ def links_of(with_heads: DataFrame, distinct: DataFrame, docs: DataFrame, shingl
     """Edges (u, v) that connect the distinct sets just as all links would. with_heads goes when the index stands."""
     windows = Windows(with_heads, distinct, docs, shingle, bound, scratch)
     singles, combos, info = windows.index()
-    grouped, large = scratch.keep(singles.toDF("key", "node", "place")), None
+    singles, large = scratch.keep(singles.toDF("key", "node", "place")), None
+    grouped = singles
     info = scratch.keep(info)
     scratch.drop(with_heads)
     if combos is not None:
@@ -386,6 +390,7 @@ def links_of(with_heads: DataFrame, distinct: DataFrame, docs: DataFrame, shingl
         grouped = grouped.unionByName(combos.where(F.col("sets") <= FEW).select("key", "node", F.lit(0).alias("place")))
         large = scratch.keep(combos.where((F.col("sets") > FEW) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
     pairs = scratch.keep(candidates(grouped, info, bound))
+    scratch.drop(singles)
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     texts = scratch.keep(packed_texts(docs, nodes.join(distinct, "node").select("node", "n", "first"), shingle))
     pairs = decided_pairs(pairs, texts.select("node", "bits"), bytes, lambda u, v: perhaps_similar(u, v, bound), scratch)
