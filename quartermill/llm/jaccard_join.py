@@ -80,11 +80,15 @@ def set_rows(docs: DataFrame, shingle: int, bound: int) -> DataFrame:
     return map_texts(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, digest binary, n long, head array<long>")
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, text of nodes: node, n, first (doc_id and text_hash of a row that has the set). Rows may repeat."""
+def texts_of(docs: DataFrame, nodes: DataFrame, made: Callable[[DataFrame], DataFrame] = lambda texts: texts) -> DataFrame:
+    """node, n, text of nodes: node, n, first (doc_id and text_hash of a row that has the set). Rows may repeat.
+
+    made: puts other columns in text's place, ahead of the join.
+    """
     texts = perhaps_in(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), nodes.select(F.col("first.text_hash").alias("text_hash")))
     wanted = nodes.select("node", "n", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    return wanted.join(texts, (wanted["first_hash"] == texts["text_hash"]) & wanted["first_id"].eqNullSafe(texts["doc_id"])).select("node", "n", "text")
+    texts = made(texts)
+    return wanted.join(texts, (wanted["first_hash"] == texts["text_hash"]) & wanted["first_id"].eqNullSafe(texts["doc_id"])).drop("first_id", "first_hash", "doc_id", "text_hash")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -98,18 +102,21 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
 
 def packed_texts(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node, bits (sketch), packed (its text, compressed: a third and less of its hashes) of nodes as in texts_of. Rows may repeat."""
+    """node, bits (sketch), packed (its text, compressed: a third and less of its hashes) of nodes as in texts_of. Rows may repeat.
+
+    Texts are packed where they are read, and travel so.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            texts = columns_of(batch, "text")[0]
+            keys, hashes, texts = columns_of(batch, "doc_id", "text_hash", "text")
             packed = [pack((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.record_batch([batch.column(0), pa.array([sketch(shingle_set(t, shingle)) for t in texts], pa.binary()), pa.array(packed, pa.binary())], names=["node", "bits", "packed"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array([sketch(shingle_set(t, shingle)) for t in texts], pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "text_hash", "bits", "packed"])
 
-    return map_texts(texts_of(docs, nodes), run, "node long, bits binary, packed binary")
+    return texts_of(docs, nodes, lambda texts: map_texts(texts, run, "doc_id long, text_hash long, bits binary, packed binary")).select("node", "bits", "packed")
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -141,13 +148,19 @@ def prefix_length(n: str, bound: int) -> Column:
     return (F.col(n) - F.ceil(F.col(n) * bound / 100) + 1).cast("int")
 
 
-def possibly(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
-    """rows less most of those whose key, a hash, isn't among members' (one column): by 2**18 words of 64 bits, whatever the input."""
-    word, bit = F.col(key).bitwiseAND((1 << 24) - 1), F.col(key).bitwiseAND(63).cast("int")
-    word = F.shiftright(word, 6).alias("_qm_word")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+def marked(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """rows with _qm_in, which is false for most whose key isn't among members' (one column) and true for all others: by 2**18 words of 64 bits, whatever the input."""
+    # numbers of rows are alike in their low digits
+    place = F.xxhash64(key).bitwiseAND((1 << 24) - 1)
+    word, one = F.shiftright(place, 6).alias("_qm_word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
     words = members.toDF(key).select(word, one.alias("_qm_one")).groupBy("_qm_word").agg(F.bit_or("_qm_one").alias("_qm_bits"))
-    return rows.withColumn("_qm_word", word).join(F.broadcast(words), "_qm_word").where(F.col("_qm_bits").bitwiseAND(one) != 0).select(*rows.columns)
+    is_set = F.coalesce(F.col("_qm_bits").bitwiseAND(one) != 0, F.lit(False))
+    return rows.withColumn("_qm_word", word).join(F.broadcast(words), "_qm_word", "left").select(*rows.columns, is_set.alias("_qm_in"))
+
+
+def possibly(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """rows less most of those whose key isn't among members'."""
+    return marked(rows, key, members).where("_qm_in").drop("_qm_in")
 
 
 class Windows:
@@ -166,8 +179,8 @@ class Windows:
         empty = distinct.sparkSession.createDataFrame
         self.counts = scratch.keep(self.base.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"))
         self.frequent = scratch.keep(self.counts.where(F.col("sets") > FEW).select("token"))
-        self.added, self.whole, self.wide = empty([], "node long, token long"), empty([], "node long, n long, tokens array<long>"), empty([], "node long")
-        self.any, self.grown = bool(self.frequent.take(1)), False
+        self.added, self.whole, self.wide = scratch.keep(empty([], "node long, token long")), empty([], "node long, n long, tokens array<long>"), empty([], "node long")
+        self.any, self.grown, self.by_head = bool(self.frequent.take(1)), False, None
         if self.any:
             self.hits = scratch.keep(self._having(self.base, self.frequent))
             while self._grown():
@@ -193,11 +206,13 @@ class Windows:
         whole = keep(whole_sets(self.docs, short.where("is_wide").join(self.distinct.select("node", "first"), "node").select("node", "n", "first"), self.shingle).dropDuplicates(["node"]))
         behind = whole.join(short.select("node", "kept"), "node").select("node", F.explode(F.slice("tokens", F.col("kept") + 1, F.greatest(F.size("tokens") - F.col("kept"), F.lit(0)))).alias("token"))
         wider = short.where("NOT is_wide").select("node")
-        within = possibly(self.sets, "node", wider).join(wider, "node").select("node", F.explode(F.slice("head", length + 1, F.size("head") - length)).alias("token"))
+        # of the head only what the window grows by travels
+        beyond = possibly(self.sets, "node", wider).select("node", F.slice("head", length + 1, F.size("head") - length).alias("tokens"))
+        within = beyond.join(wider, "node").select("node", F.explode("tokens").alias("token"))
         new = keep(within.unionByName(behind))
         self.whole, self.wide = keep(self.whole.unionByName(whole)), keep(self.wide.unionByName(short.where("NOT is_wide").select("node")))
         before = self.added
-        self.added = keep(self.added.unionByName(new))
+        self.added = before.unionByName(new)
         # a token of one window at most to begin with isn't in counts
         # only what is new can make a token frequent
         counted, counts = new, self.counts
@@ -230,7 +245,11 @@ class Windows:
             often = self.scratch.keep(self.hits.groupBy("node").agg(F.collect_set("token").alias("often")))  # a set's own tokens
             # of a set with frequent tokens, unless its window is all it has: the rare ones of its head
             own = F.when(F.col("often").isNull(), taken).when(F.size("head") < F.col("n"), F.slice(F.filter("head", lambda t: ~F.array_contains("often", t)), F.lit(1), length))
-            by_head = self.scratch.keep(self.sets.join(often, "node", "left").join(self.whole.select("node", F.lit(True).alias("by_set")), "node", "left").select("node", "n", F.when(F.col("by_set").isNull(), own).alias("prefix")))
+            # sets without frequent tokens stay where they are; the others' windows alone can be all they have
+            sets = marked(self.sets, "node", often.select("node"))
+            met = sets.where("_qm_in").join(often, "node", "left").join(self.whole.select("node", F.lit(True).alias("by_set")), "node", "left")
+            by_head = met.select("node", "n", F.when(F.col("by_set").isNull(), own).alias("prefix"))
+            by_head = self.by_head = self.scratch.keep(by_head.unionByName(sets.where("NOT _qm_in").select("node", "n", taken.alias("prefix"))))
             small = self.sets.where(F.size("head") == F.col("n")).select("node", "n", F.col("head").alias("tokens"))
             by_set = small.join(often, "node").unionByName(self.whole.join(often, "node"))
             bound = self.bound
@@ -250,6 +269,12 @@ class Windows:
         return singles.select(F.col("token").alias("key"), "node", F.col("place") + 1), pairs, prefixes.select("node", "n", ending.alias("ending"), F.when(filled, length).otherwise(0).alias("taken"))
 
 
+    def drop(self) -> None:
+        """Deletes the largest tables; for when the index is stored."""
+        for df in (self.counts, self.by_head):
+            self.scratch.drop(df)
+
+
 def class_number(n: int) -> int:
     """Classes of the frequent tokens in sets of n, alike for all n of one power of two."""
     return max(1, (1 << max(0, n.bit_length() - 1)) // PER_CLASS)
@@ -363,8 +388,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, bound: int = BOU
     scratch = Scratch(docs.sparkSession, "jaccard")
     headed = scratch.keep(set_rows(docs, shingle, bound))
     rows = scratch.keep(headed.select("doc_id", "n", "digest"))
-    distinct = headed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("head").alias("head"))
-    with_heads = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()))
+    with_heads = scratch.keep(distinct_sets(headed, scratch).withColumn("node", F.monotonically_increasing_id()))
     scratch.drop(headed)
     distinct = scratch.keep(with_heads.drop("head"))
     edges = links_of(with_heads, distinct, docs, shingle, bound, scratch)
@@ -376,6 +400,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, bound: int = BOU
     return own.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def distinct_sets(headed: DataFrame, scratch: Scratch) -> DataFrame:
+    """digest, least (doc_id), first (doc_id and text_hash), n, head of every set of set_rows that has a token. Heads of sets without copies don't travel."""
+    sets = headed.where("n > 0")
+    repeated = scratch.keep(sets.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest"))
+    sets, first = marked(sets, "digest", repeated), F.struct("doc_id", "text_hash")
+    copies = sets.where("_qm_in").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(first).alias("first"), F.first("n").alias("n"), F.first("head").alias("head"))
+    return copies.unionByName(sets.where("NOT _qm_in").select("digest", F.col("doc_id").alias("least"), first.alias("first"), "n", "head"))
+
+
 def links_of(with_heads: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, bound: int, scratch: Scratch) -> DataFrame:
     """Edges (u, v) that connect the distinct sets just as all links would. with_heads goes when the index stands."""
     windows = Windows(with_heads, distinct, docs, shingle, bound, scratch)
@@ -383,6 +416,7 @@ def links_of(with_heads: DataFrame, distinct: DataFrame, docs: DataFrame, shingl
     singles, large = scratch.keep(singles.toDF("key", "node", "place")), None
     grouped = singles
     info = scratch.keep(info)
+    windows.drop()
     scratch.drop(with_heads)
     if combos is not None:
         sizes = scratch.keep(combos.groupBy("key").agg(F.count("*").alias("sets"), F.min("node").alias("leader")).where("sets > 1"))

@@ -124,3 +124,30 @@ def test_sketches_lose_no_similar_pair():
             unlike, passed = unlike + 1, passed + found
     assert unlike > 500 and passed < unlike / 50
     assert jj.perhaps_similar(jj.sketch(u[:0]), jj.sketch(u[:0]), 80)
+
+
+def test_marks_tell_row_numbers_apart(spark):
+    """No member is lost, and few others pass: numbers of rows differ in their high digits alone."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000, numPartitions=8).select(F.monotonically_increasing_id().alias("node"))
+    members = rows.where(F.shiftright("node", 33) < 2)
+    passed = {r[0] for r in jj.possibly(rows, "node", members).collect()}
+    assert passed >= {r[0] for r in members.collect()} and len(passed) < 1010
+    assert jj.possibly(rows, "node", members.limit(0)).count() == 0
+
+
+def test_heads_without_copies_stay(spark, tmp_path):
+    """Sets with copies and without give one row each, with the least doc_id and the head that all of them have."""
+    rows = [(k, " ".join(f"w{(k % 50) * 40 + j if k < 60 else k * 40 + j}" for j in range(30))) for k in range(400)] + [(None, ""), (None, "w0 x"), (7, None)]
+    headed = spark.createDataFrame(rows, "doc_id long, text string")
+    headed = jj.set_rows(headed, 5, 80)
+    got = {bytes(r["digest"]): r for r in jj.distinct_sets(headed, jj.Scratch(spark, "test")).collect()}
+    sets = {}
+    for r in headed.where("n > 0").collect():
+        sets.setdefault(bytes(r["digest"]), []).append(r)
+    assert got.keys() == sets.keys() and len(got) == 391
+    for digest, own in sets.items():
+        r, least = got[digest], min(own, key=lambda x: -1 if x["doc_id"] is None else x["doc_id"])
+        assert (r["least"], r["n"], r["head"]) == (least["doc_id"], own[0]["n"], own[0]["head"])
+        assert r["first"]["text_hash"] in {x["text_hash"] for x in own if x["doc_id"] == r["first"]["doc_id"]}
