@@ -134,10 +134,15 @@ def transcript_like(text: Column, label: Column) -> Column:
     return F.coalesce(has_any(F.lower(label), ("transcript", "prepared remarks")), F.lit(False)) | F.coalesce((number_of(low, CALL_WORDS) >= 2) | (F.regexp_count(text, F.lit(SPEAKERS)) >= 4), F.lit(False))
 
 
+#: Space characters, those beyond ASCII too.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def chunks(text: Column, least: int = 220) -> Column:
     """Paragraphs; of a text without blank lines, its lines joined until each has `least` characters."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n+"), F.trim), lambda p: p != "")
-    lines = F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda p: p != "")
+    bare = lambda p: F.trim(p, F.lit(SPACES))  # noqa: E731 - of one argument: transform hands a function of two the place as well, which F.trim would take for letters to cut
+    paragraphs = F.filter(F.transform(F.split(text, r"\n[\t\n\f\r ]*\n+"), bare), lambda p: p != "")
+    lines = F.filter(F.transform(F.split(text, r"\n+"), bare), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(a: Column, line: Column) -> Column:

@@ -1,5 +1,8 @@
 """Expensive expressions stand once in a plan, and edges of texts."""
 
+from pyspark.sql import functions as F
+
+from quartermill.functions import text as S
 from quartermill.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -11,3 +14,9 @@ def plan(df):
 
 def test_attachment_choice_reads_names_once(spark):
     assert plan(QUERIES["attachment_choice"](spark, SMALL)).count("regexp_replace(") < 200
+
+
+def test_chunks_keep_digits_at_lines_edges(spark):
+    texts = ["0 first 0\n1 second 1\n\u00a02 third 2\u3000", "00 a\n\n11 b\n\n 22 c"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(S.chunks(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [["0 first 0 1 second 1 2 third 2"], ["00 a", "11 b", "22 c"]]
