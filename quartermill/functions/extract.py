@@ -72,7 +72,17 @@ def row_with_percent(text: Column, label: str, unit: float = 0.001, now: int = 0
 
 def row_pair(text: Column, label: str, unit: float = 0.001, now: int = 0, prior: int = 1) -> Column:
     """struct<value, prior, yoy> of 'label 1,200 1,000'; reversed where now is 1 and prior 0."""
-    return bound(tokens(tail(text, label, MONEY + MONEY)), lambda t: _metric(F.get(t, F.lit(now)), F.get(t, F.lit(prior)), accepted(F.get(t, F.lit(now)), F.get(t, F.lit(prior)), _none()), unit))
+    return _two(tail(text, label, MONEY + MONEY), unit, now, prior)
+
+
+def _two(piece: Column, unit: float, now: int, prior: int) -> Column:
+    return bound(tokens(piece), lambda t: _metric(F.get(t, F.lit(now)), F.get(t, F.lit(prior)), accepted(F.get(t, F.lit(now)), F.get(t, F.lit(prior)), _none()), unit))
+
+
+def row_of_two(text: Column, label: str, unit: float = 0.001, now: int = 0, prior: int = 1) -> Column:
+    """row_with_percent, else row_pair. A text without the pair has no row with a percentage either, so that it is searched once."""
+    pair = tail(text, label, MONEY + MONEY)
+    return bound(pair, lambda p: F.when(p.isNotNull(), F.coalesce(row_with_percent(text, label, unit, now, prior), _two(p, unit, now, prior))))
 
 
 def row_five_quarters(text: Column, label: str, unit: float = 0.001) -> Column:
@@ -114,7 +124,7 @@ def row_per_share(text: Column, label: str) -> Column:
 
 def metric(text: Column, labels: list[str], unit: float = 0.001) -> Column:
     """The first label that a row has; for each, the row with a percentage before the plain one."""
-    return F.coalesce(*(f(text, label, unit) for label in labels for f in (row_with_percent, row_pair)))
+    return F.coalesce(*(row_of_two(text, label, unit) for label in labels))
 
 
 def percent_metric(text: Column, labels: list[str]) -> Column:
@@ -144,11 +154,14 @@ def narrative(text: Column, subject: str) -> Column:
     """struct<value, yoy>: 'subject was $N billion', or '$N billion of subject', and the growth that the next 220 characters tell."""
 
     def read(pattern: str, reverse: bool) -> Column:
-        piece, at = F.regexp_extract(text, FLAGS + pattern, 0), F.regexp_instr(text, F.lit(FLAGS + pattern))
-        begin = F.greatest(at - 20, F.lit(1))
-        context = F.substring(text, begin, (at - begin + F.length(piece) + 220).cast("int"))
-        amount = _amount(F.regexp_extract(piece, FLAGS + "^" + AMOUNT, 0) if reverse else piece)
-        return F.when(at > 0, F.struct(amount.alias("value"), growth_of(context).alias("yoy")))
+        def told(piece: Column) -> Column:
+            at = F.position(piece, text)  # the first match is the first place of its letters
+            begin = F.greatest(at - 20, F.lit(1))
+            context = F.substring(text, begin, (at - begin + F.length(piece) + 220).cast("int"))
+            amount = _amount(F.regexp_extract(piece, FLAGS + "^" + AMOUNT, 0) if reverse else piece)
+            return F.when(piece != "", F.struct(amount.alias("value"), bound(context, growth_of).alias("yoy")))
+
+        return bound(F.regexp_extract(text, FLAGS + pattern, 0), told)
 
     return F.coalesce(read(rf"(?:reported\s+)?(?:{subject})(?:\s+for\s+the\s+quarter)?{VERBS}\s+{AMOUNT}", False), read(rf"{AMOUNT}\s+(?:of\s+)?(?:{subject})", True))
 
@@ -160,16 +173,26 @@ def company_narrative(text: Column, subject: str) -> Column:
         rf"{lead}{verb}?\s*(?:the company's\s+)?(?:{subject})(?:\s+for\s+the\s+(?:quarter|period))?{VERBS}\s+{AMOUNT}",
         rf"{lead}{verb}\s+{AMOUNT}\s+(?:of\s+)?(?:{subject})",
     )
-    found = None
-    for n, pattern in enumerate(patterns):
-        whole = rf"{FLAGS}({pattern})(?<=(\A.{{0,299}}|.{{300}}))(?=(.{{0,180}}))"
-        part = lambda g: F.regexp_extract_all(text, F.lit(whole), F.lit(g))  # noqa: B023, E731
-        # groups: the match, amount, unit, what is up to its end, what follows; the context begins 48 characters before the match
-        own = F.transform(F.arrays_zip(part(1).alias("m"), part(2).alias("v"), part(3).alias("u"), part(4).alias("b"), part(5).alias("a")), lambda x, i: F.struct(in_billions(parsed(x["v"]), x["u"]).alias("value"), F.lower(F.concat(F.right(x["b"], F.length(x["m"]) + 48), x["a"])).alias("context"), (i + n * 100000).alias("at")))  # noqa: B023
-        found = own if found is None else F.concat(found, own)
     score = lambda c: F.when(has_any(c, ("quarter", "period")), 3).otherwise(0) + F.when(has_any(c, ("total revenue", "net revenue", "net operating revenue", "total sales")), 4).otherwise(0) - F.when(has_any(c, ("full-year", "fiscal year", "annual")), 7).otherwise(0)
-    rated = F.transform(F.filter(found, lambda x: x["value"].isNotNull()), lambda x: F.struct(score(x["context"]).alias("score"), (-x["at"]).alias("early"), x["value"].alias("value"), x["context"].alias("context")))
-    return bound(F.array_max(rated), lambda best: F.when(best.isNotNull(), F.struct(best["value"].alias("value"), growth_of(best["context"]).alias("yoy"))))
+
+    def rated(own: Column, n: int, pattern: str) -> Column:
+        """The sentences of a pattern with score, order and context: 48 characters before and 180 behind. The next match is the next place of its letters."""
+        group = lambda m, g: F.regexp_extract(m, FLAGS + pattern, g)
+
+        def step(a: Column, m: Column) -> Column:
+            def placed(at: Column) -> Column:
+                begin = F.greatest(at - 48, F.lit(1))
+                context = F.lower(F.substring(own, begin, at - begin + F.length(m) + 180))
+                item = lambda c: F.struct(score(c).alias("score"), (-F.size(a["found"]) - n * 100000).alias("early"), in_billions(parsed(group(m, 1)), group(m, 2)).alias("value"), c.alias("context"))
+                return F.struct((at + F.length(m)).alias("end"), F.concat(a["found"], F.array(bound(context, item))).alias("found"))
+
+            return bound(F.position(m, own, a["end"]), placed)
+
+        start = F.struct(F.lit(1).alias("end"), F.array().cast("array<struct<score:int,early:int,value:double,context:string>>").alias("found"))
+        return F.aggregate(F.regexp_extract_all(own, F.lit(FLAGS + pattern), F.lit(0)), start, step, lambda a: a["found"])
+
+    found = lambda own: F.filter(F.concat(*(rated(own, n, p) for n, p in enumerate(patterns))), lambda x: x["value"].isNotNull())
+    return bound(F.array_max(bound(text, found)), lambda best: F.when(best.isNotNull(), F.struct(best["value"].alias("value"), bound(best["context"], growth_of).alias("yoy"))))
 
 
 def segment_narrative(text: Column, label: str) -> Column:
@@ -190,8 +213,7 @@ def per_share(text: Column) -> Column:
     """Diluted earnings a share, by row or sentence."""
     row = F.coalesce(*(row_per_share(text, label)["value"] for label in ("Diluted earnings per share", "Diluted net income per share", "Diluted EPS", "Diluted")))
     said = parsed(F.nullif(F.regexp_extract(text, rf"{FLAGS}(?:earnings|income)\s+per\s+(?:diluted\s+)?share\s+(?:was|were|of)\s+\$?([0-9.]*[0-9])", 1), F.lit("")))
-    value = F.coalesce(said, row)
-    return F.when(F.abs(value) <= 100, value)
+    return bound(F.coalesce(said, row), lambda value: F.when(F.abs(value) <= 100, value))
 
 
 #: What tells that a profit holds items of its own.
@@ -280,7 +302,7 @@ def guidance(text: Column) -> Column:
     begin = F.greatest(at - 20, F.lit(1))
     around = F.substring(text, begin, (at - begin + F.length(piece) + 180).cast("int"))
     tries.append(F.when((at > 0) & guidance_signal(around), make(none, none, none, "context")))
-    return F.coalesce(*tries)
+    return F.when(text.rlike("(?i)expect|guidance|outlook"), F.coalesce(*tries))  # each of them has one of these
 
 
 # ---- structures ----------------------------------------------------------------------------------------------------------

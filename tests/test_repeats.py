@@ -20,3 +20,7 @@ def test_chunks_keep_digits_at_lines_edges(spark):
     texts = ["0 first 0\n1 second 1\n\u00a02 third 2\u3000", "00 a\n\n11 b\n\n 22 c"]
     rows = spark.createDataFrame([(x,) for x in texts], "t string").select(S.chunks(F.col("t"))).collect()
     assert [r[0] for r in rows] == [["0 first 0 1 second 1 2 third 2"], ["00 a", "11 b", "22 c"]]
+
+
+def test_company_narrative_searches_once_a_pattern(spark):
+    assert plan(QUERIES["company_narrative"](spark, SMALL)).count("regexp_extract_all(") <= 2
