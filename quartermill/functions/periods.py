@@ -93,7 +93,9 @@ def normal_quarter(text: Column) -> Column:
 
 def header_quarter(cell: Column) -> Column:
     """The quarter index of a table heading's date, 'September 30, 2024'."""
-    return index_of_date(F.try_to_date(F.regexp_extract(cell, r"(?i)((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4})", 1), "MMMM d, yyyy"))
+    found = F.regexp_extract(cell, r"(?i)((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4})", 1)
+    dated = F.transform(F.array(found), lambda x: F.when(x != "", F.try_to_date(x, "MMMM d, yyyy")))  # parsed once, and only where there is a date
+    return F.get(F.transform(dated, lambda x: index_of_date(x)), F.lit(0))
 
 
 def header_span(cell: Column) -> Column:

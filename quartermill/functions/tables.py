@@ -36,36 +36,48 @@ def inferred_scale(values: Column, known: Column) -> Column:
 
 def find_row(rows: Column, labels: list[str]) -> Column:
     """The row of the first label that one has: equal, or beginning so; the last row of equals; null for none."""
-    key = lambda r: token(F.get(r, F.lit(0)))
-    found = []
-    for label in labels:
-        own = "".join(c for c in label.lower() if c.isalnum())
-        equal, begins = F.filter(rows, lambda r: key(r) == own), F.filter(rows, lambda r: key(r).startswith(own))
-        found += [F.get(equal, F.size(equal) - 1), F.get(begins, F.lit(0))]
-    return F.coalesce(*found)
+
+    def of(keyed: Column) -> Column:
+        found = []
+        for label in labels:
+            own = "".join(c for c in label.lower() if c.isalnum())
+            equal, begins = F.filter(keyed, lambda r: r["key"] == own), F.filter(keyed, lambda r: r["key"].startswith(own))  # noqa: B023
+            found += [F.get(equal, F.size(equal) - 1), F.get(begins, F.lit(0))]
+        return F.coalesce(*found)["row"]
+
+    keyed = F.transform(rows, lambda r: F.struct(token(F.get(r, F.lit(0))).alias("key"), r.alias("row")))
+    return F.get(F.transform(F.array(keyed), of), F.lit(0))
 
 
 def series(row: Column) -> Column:
     """The row's numbers after its label, percentages left out; a small whole number before far larger ones is a footnote."""
     values = F.filter(F.transform(F.filter(F.filter(row, lambda _, i: i > 0), lambda c: ~c.contains("%")), parsed), lambda v: v.isNotNull())
-    first, rest = F.get(values, F.lit(0)), F.filter(values, lambda _, i: i > 0)
-    note = (F.size(values) >= 2) & (first == F.floor(first)) & F.forall(rest, lambda v: (F.abs(v) > 100 * F.abs(first)) & (F.abs(v) > 10000))
-    return F.when(note, rest).otherwise(values)
+
+    def own(v: Column) -> Column:
+        first, rest = F.get(v, F.lit(0)), F.filter(v, lambda _, i: i > 0)
+        note = (F.size(v) >= 2) & (first == F.floor(first)) & F.forall(rest, lambda x: (F.abs(x) > 100 * F.abs(first)) & (F.abs(x) > 10000))
+        return F.when(note, rest).otherwise(v)
+
+    return F.get(F.transform(F.array(values), own), F.lit(0))
 
 
 def period_columns(rows: Column) -> Column:
     """array<struct<quarter, span>> of the table's value columns: each span heading covers an equal run of the dates."""
-    head = F.flatten(F.slice(rows, 1, 4))
-    dates = F.filter(F.transform(head, header_quarter), lambda q: q.isNotNull())
-    spans = F.filter(F.transform(head, header_span), lambda s: s.isNotNull())
-    each = F.greatest(F.lit(1), F.floor(F.size(dates) / F.greatest(F.lit(1), F.size(spans)))).cast("int")
-    return F.transform(dates, lambda q, i: F.struct(q.alias("quarter"), F.get(spans, F.least(F.floor(i / each).cast("int"), F.size(spans) - 1)).alias("span")))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    known = lambda head: F.struct(F.filter(F.transform(head, header_quarter), lambda q: q.isNotNull()).alias("dates"), F.filter(F.transform(head, header_span), lambda s: s.isNotNull()).alias("spans"))
+
+    def columns(x: Column) -> Column:
+        dates, spans = x["dates"], x["spans"]
+        each = F.greatest(F.lit(1), F.floor(F.size(dates) / F.greatest(F.lit(1), F.size(spans)))).cast("int")
+        return F.transform(dates, lambda q, i: F.struct(q.alias("quarter"), F.get(spans, F.least(F.floor(i / each).cast("int"), F.size(spans) - 1)).alias("span")))
+
+    return once(once(F.flatten(F.slice(rows, 1, 4)), known), columns)
 
 
 def quarter_columns(columns: Column, target: Column) -> Column:
     """Positions of the target quarter's three-month column and the one a year before; -1 for none."""
-    at = lambda q: F.array_position(F.transform(columns, lambda c: (c["quarter"] == q) & F.coalesce(c["span"] == 3, F.lit(True))), F.lit(True)).cast("int") - 1
-    return F.struct(at(target).alias("now"), at(target - 4).alias("before"))
+    at = lambda own, q: F.array_position(F.transform(own, lambda c: (c["quarter"] == q) & F.coalesce(c["span"] == 3, F.lit(True))), F.lit(True)).cast("int") - 1
+    return F.get(F.transform(F.array(columns), lambda own: F.struct(at(own, target).alias("now"), at(own, target - 4).alias("before"))), F.lit(0))
 
 
 def statement_metric(rows: Column, labels: list[str], target: Column) -> Column:

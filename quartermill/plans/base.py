@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all partitions of a shuffle: texts written from them cost far more than the rows, and a small file is a single task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def net() -> Column:
     return F.col("l_extendedprice").cast("decimal(14,2)") * (F.lit(1).cast("decimal(5,2)") - F.col("l_discount").cast("decimal(4,2)"))
 

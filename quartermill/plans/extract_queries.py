@@ -14,7 +14,7 @@ from quartermill.functions import text as S
 from quartermill.operators import quality as Q
 from quartermill.operators import structure as T
 from quartermill.plans import sql
-from quartermill.plans.base import table
+from quartermill.plans.base import spread, table
 from quartermill.sources import readers as R
 
 QUERIES: dict = {}
@@ -73,7 +73,7 @@ def company_narrative(spark, d):
     k, a, b = F.col("o_orderkey") % 3, F.col("o_orderkey") % 90 + 10, F.col("o_custkey") % 90 + 10
     far = " x" * 120
     text = F.when(k == 0, said("Revenue was $", a, " billion for the fiscal year." + far + ". Total revenue for the quarter was $", b, " billion, up 7% from before.")).when(k == 1, said("Revenue was $", a, " billion, down 4%." + far + ". Revenue was $", b, " billion.")).otherwise(said("We are pleased. Reported $", a, " million of revenue."))
-    found = table(spark, d, "orders").select("o_orderkey", F.explode(F.array(E.company_narrative(text, "(?:total )?revenue"))).alias("m"))
+    found = spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", F.explode(F.array(E.company_narrative(text, "(?:total )?revenue"))).alias("m"))
     return found.select("o_orderkey", "m.value", "m.yoy")
 
 
@@ -93,7 +93,7 @@ def row_layouts(spark, d):
     number = F.format_number(v, 0)
     text = said("Cost 7 8\nSales ", number, " 2,000\nFees (1) (in millions) $ ", number, " $ 900 ", p, " %\nDeliveries 1,000 2,000 — 4,000 5,000 (3)%\nPlatform ", F.format_number(v + 10, 0), " 50 60 Up 4% Down ", p, "%\nMargin rate ", p, " % 40 %\nDiluted EPS $ 1.25 $ 1.00\n")
     fields = F.struct(E.metric(text, ["Nothing", "Sales"]).alias("a"), E.metric(text, ["Fees"]).alias("b"), E.row_five_quarters(text, "Deliveries").alias("c"), E.row_both_changes(text, "Platform").alias("e"), E.percent_metric(text, ["Margin rate"]).alias("f"), E.row_per_share(text, "Diluted EPS").alias("g"))
-    rows = table(spark, d, "orders").select(k, F.explode(F.array(fields)).alias("r"))
+    rows = spread(table(spark, d, "orders"), "o_orderkey").select(k, F.explode(F.array(fields)).alias("r"))
     return rows.select("o_orderkey", F.col("r.a.value").alias("pair"), F.col("r.a.prior").alias("pair_prior"), F.round("r.a.yoy", 6).alias("pair_yoy"), F.col("r.b.value").alias("noted"), F.col("r.b.yoy").alias("noted_yoy"), F.col("r.c.value").alias("last_quarter"), F.col("r.c.prior").alias("year_ago"), F.col("r.e.value").alias("three"), F.col("r.e.yoy").alias("three_yoy"), F.col("r.f").alias("share"), F.col("r.g.value").alias("eps"))
 
 
@@ -144,7 +144,7 @@ def statement(spark, d):
     v, w = F.format_number(whole("o_totalprice"), 0), F.col("o_custkey") + 1
     head = "<tr><td>(In millions)</td></tr><tr><th>Nine Months Ended</th><th>Three Months Ended</th></tr><tr><th>September 30, 2024</th><th>September 30, 2023</th><th>September 30, 2024</th><th>September 30, 2023</th></tr>"
     body = F.concat(row("Cost", "5", "6", "7", "8"), row("Total revenue", F.lit("9"), F.lit("8"), F.concat(F.lit("$"), v), w), row("Margin", "1", "%", "2", "%", "3", "%", "4", "%"))
-    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("<html><table>" + head), body, F.lit("</table></html>")).alias("html"))
+    return spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", F.concat(F.lit("<html><table>" + head), body, F.lit("</table></html>")).alias("html"))
 
 
 @query("html_statement_metric", "SELECT o_orderkey, round(floor(o_totalprice) * 0.001::DOUBLE, 3) AS value, round((o_custkey + 1) * 0.001::DOUBLE, 3) AS prior FROM orders")
@@ -152,7 +152,8 @@ def html_statement_metric(spark, d):
     pages = statement(spark, d)
     rows = pages.select("o_orderkey", F.explode(H.html_tables(F.col("html"))).alias("t"))
     m = H.statement_metric(F.col("t"), ["Revenue", "Total revenue"], F.lit(2024 * 4 + 2))
-    return rows.select("o_orderkey", m["value"].alias("value"), m["prior"].alias("prior"))
+    found = rows.select("o_orderkey", F.explode(F.array(m)).alias("m"))  # computed once for both fields
+    return found.select("o_orderkey", "m.value", "m.prior")
 
 
 @query("html_table_cells", """WITH o AS (SELECT o_orderkey, unnest([['(In millions)'], ['Nine Months Ended', 'Three Months Ended'], ['September 30, 2024', 'September 30, 2023', 'September 30, 2024', 'September 30, 2023'], ['Cost', '5', '6', '7', '8'], ['Total revenue', '9', '8', '$' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), (o_custkey + 1)::VARCHAR], ['Margin', '1%', '2%', '3%', '4%']]) AS cells, unnest(range(6)) AS place FROM orders) SELECT o_orderkey, CAST(place AS INTEGER) AS place, array_to_string(cells, '|') AS cells FROM o""")
@@ -240,7 +241,7 @@ def quote_cards(spark, d):
     quote = said("We shipped ", F.col("o_custkey"), " units and customers asked for more of them")
     other = F.when(k == 0, F.concat(F.lit('Chief of Staff: "Another '), quote, F.lit('"'))).when(k == 1, F.concat(F.lit('Operator: "Another '), quote, F.lit('"'))).otherwise(F.concat(F.lit('Jane Roe said, "'), quote, F.lit('"')))
     text = F.concat(F.lit('Intro.\n"'), quote, F.lit('," said Jane Roe.\n'), other)
-    return table(spark, d, "orders").select("o_orderkey", F.explode(S.quotes(text)).alias("q")).select("o_orderkey", "q.speaker", "q.quote")
+    return spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", F.explode(S.quotes(text)).alias("q")).select("o_orderkey", "q.speaker", "q.quote")
 
 
 @query("payload_quality", """WITH p AS (SELECT o_orderkey, o_orderkey % 5 = 0 AS no_revenue, o_orderkey % 3 AS qna, o_orderkey % 4 AS mgmt FROM orders), i AS (SELECT *, CASE WHEN no_revenue THEN 1 ELSE 0 END AS critical, CASE WHEN qna < 2 THEN 1 ELSE 0 END AS major, CASE WHEN mgmt < 2 THEN 1 ELSE 0 END AS minor FROM p)
@@ -268,7 +269,7 @@ def promoted_structures(spark, d):
 
 def materials(spark, d, text, **more):
     """One material of each order: company the order, quarter 8000."""
-    orders = table(spark, d, "orders")
+    orders = spread(table(spark, d, "orders"), "o_orderkey")
     return orders.select(F.col("o_orderkey").alias("company"), F.lit(8000).alias("quarter_index"), F.lit(0).alias("material_rank"), text.alias("text"), *(v.alias(k) for k, v in more.items()))
 
 
@@ -529,7 +530,7 @@ def table_geographies(spark, d):
     head = "<tr><td>(In millions)</td></tr><tr><th>Three Months Ended</th></tr><tr><th>September 30, 2024</th><th>September 30, 2023</th></tr>"
     small = F.concat(F.lit("<table>" + head), row("United States", spoken(), "1,000"), row("International", "900", "450"), F.lit("</table>"))
     large = F.concat(F.lit("<table>" + head), row("United States", spoken(), "1,000"), row("Canada", "900", "450"), row("Europe", "800", "1,000"), row("Other countries", "700", "700"), F.lit("</table>"))
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("company"), F.when(F.col("o_orderkey") % 3 == 0, "Annual report").otherwise("10-Q").alias("label"), ((amount() + 2400) / 1000).alias("revenue"), F.explode(F.array(H.html_tables(F.concat(small, large)))).alias("t"))
+    rows = spread(table(spark, d, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("company"), F.when(F.col("o_orderkey") % 3 == 0, "Annual report").otherwise("10-Q").alias("label"), ((amount() + 2400) / 1000).alias("revenue"), F.explode(F.array(H.html_tables(F.concat(small, large)))).alias("t"))
     return rows.select("company", F.explode(G.table_geographies(F.col("t"), F.col("label"), F.col("revenue"), F.lit(2024 * 4 + 2))).alias("g")).select("company", "g.name", "g.value", "g.yoy", "g.scope")
 
 

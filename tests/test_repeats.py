@@ -29,3 +29,17 @@ def test_company_narrative_searches_once_a_pattern(spark):
 def test_issuers_look_back_nowhere(spark):
     for name in ("issuer_visa", "issuer_jpm"):
         assert "(?<=(" not in plan(QUERIES[name](spark, SMALL)), name
+
+
+def test_table_headings_are_read_once(spark):
+    for name in ("html_statement_metric", "table_geographies"):
+        assert plan(QUERIES[name](spark, SMALL)).count("three months|quarter") <= 1, name
+
+
+def test_texts_are_spread(spark):
+    for name in ("company_narrative", "html_statement_metric", "issuer_visa", "quote_cards"):
+        assert "RepartitionByExpression" in plan(QUERIES[name](spark, SMALL)), name
+
+
+def test_quotes_search_once_a_pattern(spark):
+    assert plan(QUERIES["quote_cards"](spark, SMALL)).count("regexp_extract_all(") <= 3
