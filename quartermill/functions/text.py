@@ -161,11 +161,14 @@ def quotes(text: Column, most: int = 2) -> Column:
     """
     verbs, open_, close = r"(?:said|stated|noted|added|commented|remarked|explained)", r"[“\"]", r"[”\"]"
     said = rf"([^\"”]{{40,320}}){close}"
-    pair = lambda p, s, q: F.zip_with(F.regexp_extract_all(text, F.lit("(?is)" + p), F.lit(s)), F.regexp_extract_all(text, F.lit("(?is)" + p), F.lit(q)), lambda a, b: F.struct(collapsed(a).alias("speaker"), collapsed(b).alias("quote")))
+    group = lambda m, p, g: collapsed(F.regexp_extract(m, "(?is)" + p, g))
+    pair = lambda p, s, q: F.transform(F.regexp_extract_all(text, F.lit("(?is)" + p), F.lit(0)), lambda m: F.struct(group(m, p, s).alias("speaker"), group(m, p, q).alias("quote")))  # noqa: E731 - searched once, both groups from what was found
+    none = F.array().cast("array<struct<speaker:string,quote:string>>")
+    where = lambda mark, found: F.when(text.rlike("(?i)" + mark), found).otherwise(none)
     every = F.concat(
         pair(rf"{open_}{said},?\s+{verbs}\s+([^.,\n]+)", 2, 1),
-        pair(rf"([^.,\n]+?)\s+{verbs}[:,]?\s+{open_}{said}", 1, 2),
-        pair(rf"([^:\n]{{3,120}}):\s*{open_}{said}", 1, 2),
+        where(rf"{verbs}[:,]?\s+{open_}", pair(rf"([^.,\n]+?)\s+{verbs}[:,]?\s+{open_}{said}", 1, 2)),
+        where(rf":\s*{open_}", pair(rf"([^:\n]{{3,120}}+):\s*{open_}{said}", 1, 2)),
     )
     fit = F.filter(every, lambda x: ~F.lower(x["speaker"]).isin("operator", "question", "analyst") & (F.length(x["quote"]) >= 40))
     return F.slice(F.array_distinct(fit), 1, most)
