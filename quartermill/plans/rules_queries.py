@@ -14,7 +14,7 @@ from quartermill.operators import selection as X
 from quartermill.operators import series as R
 from quartermill.operators import structure as T
 from quartermill.plans import sql
-from quartermill.plans.base import OVER, SERIES_SQL, gapped, quarterly, rounded, table
+from quartermill.plans.base import OVER, SERIES_SQL, gapped, quarterly, rounded, spread, table
 from quartermill.sources import dimensions as D
 from quartermill.sources import readers as L
 
@@ -103,7 +103,7 @@ z AS (SELECT *, url != wrapper_url AND score >= wrapper AND {sql.any_of('uname',
 g AS (SELECT *, row_number() OVER (PARTITION BY filing ORDER BY listing) AS k FROM z WHERE CASE WHEN listing = 'directory' THEN preferred OR (score > wrapper + 6 AND url != wrapper_url) ELSE NOT vague AND (preferred OR score > wrapper + 6) END)
 SELECT p.filing, coalesce(g.url, p.wrapper_url) AS url, CAST(coalesce(g.score, p.wrapper) AS INTEGER) AS score FROM p LEFT JOIN g ON g.filing = p.filing AND g.k = 1""")
 def attachment_choice(spark, d):
-    rows = subsets(spark, d, ATTACHMENTS, "listing string, ordinal int, href string, text string, kind string", "filing").drop("n")
+    rows = spread(subsets(spark, d, ATTACHMENTS, "listing string, ordinal int, href string, text string, kind string", "filing").drop("n"), "filing")
     wrappers = table(spark, d, "part").select(F.col("p_partkey").alias("filing"), chosen(WRAPPERS, F.col("p_partkey") % 4).alias("wrapper_url"), listed(*_HINTS).alias("hints"), listed(*_EXCLUDES).alias("excludes"))
     return X.attachment_choice(rows, wrappers).withColumn("score", F.col("score").cast("int"))
 
