@@ -54,6 +54,11 @@ def accepted(now: Column, before: Column, yoy: Column) -> Column:
     return F.coalesce(F.when(F.abs(yoy) <= 500, yoy), F.when(F.abs(derived) <= 500, derived))
 
 
+def rederived(m: Column) -> Column:
+    """A row's metric with the change of its own two values where none was accepted, however large."""
+    return F.when(m.isNotNull(), F.struct(m["value"].alias("value"), m["prior"].alias("prior"), F.coalesce(m["yoy"], change(m["value"], m["prior"])).alias("yoy")).cast(METRIC))
+
+
 def _metric(now: Column, before: Column, yoy: Column, unit: float) -> Column:
     return F.when(now.isNotNull(), F.struct((now * unit).alias("value"), (before * unit).alias("prior"), yoy.alias("yoy")).cast(METRIC))
 
